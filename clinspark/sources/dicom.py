@@ -61,10 +61,6 @@ class _Elements:
                 self.at += size
         self.at += 4
 
-    def __iter__(self) -> Iterator[tuple[int, int]]:
-        while True:
-            yield (tag := self.tag()), self.length(self.explicit or tag >> 16 <= 2)
-
 
 def parse_header(data: bytes, wanted: dict[str, int]) -> dict[str, str] | None:
     """Wanted tags of a header, or None without the magic word or any wanted tag.
