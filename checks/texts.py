@@ -10,12 +10,13 @@ from clinspark.functions import audio, chunking, language, prompts, replies, sig
 from clinspark.functions import text as text_functions
 from clinspark.operators import speech
 from clinspark.operators.ordering import join_ordered
+from clinspark.session import spread
 
 SP = SPACES
 
 
 def documents(spark, folder):
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"))
 
 
 def conversations(spark, folder):

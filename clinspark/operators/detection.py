@@ -201,18 +201,22 @@ def combine_detections(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def detection_counts(detections: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct detections per source and status, in one row per ``keys``."""
-    pair = F.struct(entity_key("entity"), "type")
-
-    def distinct_where(condition: Column) -> Column:
-        return F.count_distinct(F.when(condition, pair)).cast("bigint")
+    """Distinct detections per source and status, in one row per ``keys``.
 
+    Pairs are made distinct once, with flags, instead of once per counter.
+    """
     source, status = F.col("source"), F.col("status")
     kept = status == "kept"
-    return detections.groupBy(*keys).agg(
-        distinct_where((source == "first") & kept).alias("first_pass"),
-        distinct_where((source == "second") & kept).alias("second_pass"),
-        distinct_where(status == "removed").alias("removed"),
+    flags = {
+        "first_pass": (source == "first") & kept,
+        "second_pass": (source == "second") & kept,
+        "removed": status == "removed",
+    }
+    pairs = detections.groupBy(*keys, entity_key("entity").alias("_key"), "type").agg(
+        *[F.max(condition.cast("int")).alias(name) for name, condition in flags.items()]
+    )
+    return pairs.groupBy(*keys).agg(
+        *[F.sum(name).cast("bigint").alias(name) for name in flags]
     )
 
 

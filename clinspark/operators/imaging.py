@@ -145,12 +145,14 @@ def project_tags(tags: Column | str, modality: Column | str) -> Column:
     """Only the optional tags of the series' modality."""
     tags = F.col(tags) if isinstance(tags, str) else tags
     modality = F.col(modality) if isinstance(modality, str) else modality
+
+    def chosen(keys: tuple[str, ...]) -> Column:
+        return F.map_filter(tags, lambda key, _: key.isin(*keys))
+
     kept = None
     for name, keys in fixed.OPTIONAL_TAGS.items():
-        chosen = F.map_filter(tags, lambda key, _, keys=keys: key.isin(*keys))
-        kept = F.when(modality == name, chosen) if kept is None else kept.when(
-            modality == name, chosen
-        )
+        match = modality == name
+        kept = F.when(match, chosen(keys)) if kept is None else kept.when(match, chosen(keys))
     return kept.otherwise(F.create_map().cast("map<string,string>"))
 
 

@@ -70,22 +70,21 @@ def document_entries(chunks: Column) -> Column:
             ),
         )
 
+        def of_type(items: Column, kind: str) -> Column:
+            return F.transform(
+                F.filter(items, lambda item: item["type"] == kind),
+                lambda item, index: F.struct(
+                    item["entity"].alias("entity"),
+                    item["type"].alias("type"),
+                    F.concat(
+                        F.lit(f"[{kind}_"), (index + 1).cast("string"), F.lit("]")
+                    ).alias("replacement"),
+                    item["seq"].alias("seq"),
+                ),
+            )
+
         def tagged(items: Column) -> Column:
-            per_type = [
-                F.transform(
-                    F.filter(items, lambda item, kind=kind: item["type"] == kind),
-                    lambda item, index, kind=kind: F.struct(
-                        item["entity"].alias("entity"),
-                        item["type"].alias("type"),
-                        F.concat(
-                            F.lit(f"[{kind}_"), (index + 1).cast("string"), F.lit("]")
-                        ).alias("replacement"),
-                        item["seq"].alias("seq"),
-                    ),
-                )
-                for kind in RULE_TYPES
-            ]
-            return F.concat(*per_type)
+            return F.concat(*[of_type(items, kind) for kind in RULE_TYPES])
 
         return let(typed, tagged)
 
