@@ -198,11 +198,11 @@ HUMAN_SQL = """
 WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey,
   CAST(trunc(l_quantity * pow(7.0, CAST(l_linenumber AS DOUBLE) * 1.7)) AS BIGINT) AS b FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_suppkey,
-  CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0)
-    WHEN b < 1073741824 THEN printf('%.1f MB', b / 1048576.0)
-    ELSE printf('%.2f GB', b / 1073741824.0) END AS size,
-  CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0)
-    ELSE printf('%.1f MB', b / 1048576.0) END AS pdf_size FROM s"""
+  CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b / 1024.0::DOUBLE * 10 + 0.5) / 10)
+    WHEN b < 1073741824 THEN printf('%.1f MB', floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10)
+    ELSE printf('%.2f GB', floor(b / 1073741824.0::DOUBLE * 100 + 0.5) / 100) END AS size,
+  CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', floor(b / 1024.0::DOUBLE * 10 + 0.5) / 10)
+    ELSE printf('%.1f MB', floor(b / 1048576.0::DOUBLE * 10 + 0.5) / 10) END AS pdf_size FROM s"""
 
 
 def format_seconds(spark, folder):

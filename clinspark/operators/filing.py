@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clinspark import fixed_values as fixed
 from clinspark.functions.text import format_dicom_date, sanitize_path
-from clinspark.operators.imaging import exclude_modalities, series_with_context
+from clinspark.operators.imaging import exclude_modalities
 from clinspark.operators.ordering import ordinal_within
 
 STUDY = ["patient_id", "study_uid"]
@@ -53,15 +53,16 @@ def primary_series(series: DataFrame) -> DataFrame:
     )
 
 
-def nest_plans(structs: DataFrame, plans: DataFrame) -> DataFrame:
-    """Folders of RTPLAN series: one under every RTSTRUCT of the study.
+def nest_plans(plans: DataFrame, structs: DataFrame) -> DataFrame:
+    """Folders of RTPLAN series: one under every RTSTRUCT of the study, or under the primary series
+    if the study has none.
 
     Every such pair is a destination of its own, so the product per study is the result itself.
     """
     under = structs.select(*STUDY, F.col("folder").alias("_struct_folder"))
-    return plans.join(under, STUDY).withColumn(
-        "folder", F.concat_ws("/RTPLAN_", "_struct_folder", "label")
-    ).drop("_struct_folder")
+    parent = F.coalesce("_struct_folder", "primary_folder")
+    nested = plans.join(under, STUDY, "left")
+    return nested.withColumn("folder", F.concat(parent, F.lit("/RTPLAN_"), F.col("label")))
 
 
 def series_folders(
@@ -71,7 +72,7 @@ def series_folders(
     required: list[str] | None = None,
 ) -> DataFrame:
     """(patient, study, series, folder): the destination folders of every series."""
-    series = series_with_context(index)
+    series = index["series"].join(index["studies"].drop("series_count"), STUDY)
     if required:
         series = series.join(complete_patients(index["series"], required), "patient_id", "left_semi")
     series = exclude_modalities(series, excluded or [])
@@ -99,27 +100,22 @@ def series_folders(
         return labelled.select(*SERIES, sibling.alias("folder"))
     if mode != "nested":
         raise ValueError(f"unknown mode {mode!r}")
-    placed = labelled.join(primary_series(labelled), STUDY, "left").withColumn("folder", sibling)
+    primary_folder = F.concat(
+        F.col("base"), F.lit("/"), F.col("primary.modality"), F.lit("_"), F.col("primary.label")
+    )
+    placed = labelled.join(primary_series(labelled), STUDY, "left").withColumn(
+        "primary_folder", primary_folder
+    )
     nested = F.col("primary").isNotNull() & F.col("modality").isin(*fixed.THERAPY_MODALITIES)
-    beside = placed.filter(~nested)
-    therapy = placed.filter(nested).withColumn(
-        "folder",
-        F.concat(
-            F.col("base"), F.lit("/"), F.col("primary.modality"), F.lit("_"),
-            F.col("primary.label"), F.lit("/"), F.col("modality"), F.lit("_"), F.col("label"),
-        ),
-    )
-    structs = therapy.filter("modality = 'RTSTRUCT'")
-    plans = therapy.filter("modality = 'RTPLAN'")
-    under_structs = nest_plans(structs, plans)
-    under_primary = plans.join(structs.select(*STUDY), STUDY, "left_anti")
-    columns = [*SERIES, "folder"]
-    return (
-        beside.select(*columns)
-        .unionByName(therapy.filter("modality <> 'RTPLAN'").select(*columns))
-        .unionByName(under_structs.select(*columns))
-        .unionByName(under_primary.select(*columns))
+    below = F.concat(
+        F.col("primary_folder"), F.lit("/"), F.col("modality"), F.lit("_"), F.col("label")
     )
+    is_plan = nested & (F.col("modality") == "RTPLAN")
+    others = placed.filter(~is_plan).withColumn("folder", F.when(nested, below).otherwise(sibling))
+    structs = others.filter(nested & (F.col("modality") == "RTSTRUCT"))
+    columns = [*SERIES, "folder"]
+    plans = nest_plans(placed.filter(is_plan), structs)
+    return others.select(*columns).unionByName(plans.select(*columns))
 
 
 def sort_plan(

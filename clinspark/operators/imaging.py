@@ -9,6 +9,7 @@ from clinspark import fixed_values as fixed
 from clinspark.functions.signals import guess_modality, looks_like_image
 from clinspark.functions.text import format_dicom_date, human_size
 from clinspark.operators.ordering import exact_median, ordinal_within
+from clinspark.session import cut_lineage
 
 
 # --- classing files ------------------------------------------------------------------------------
@@ -161,8 +162,9 @@ def build_index(headers: DataFrame) -> dict[str, DataFrame]:
     ``size``, ``tags``, ``inferred``.
 
     The first file of a level gives its attributes: read headers before inferred ones, then by path.
-    Files are aggregated once, by series, with map-side combining; studies and patients roll up from
-    the much smaller series table.
+    Files are aggregated once, by series, with map-side combining, and that roll-up is checkpointed:
+    studies, patients, totals and plans all come from it and would otherwise each go through every
+    file again.
     """
 
     def value(key: str, missing: str = "") -> Column:
@@ -204,7 +206,9 @@ def build_index(headers: DataFrame) -> dict[str, DataFrame]:
         ).alias("first"),
         F.count("*").cast("bigint").alias("file_count"),
         F.sum("size").cast("bigint").alias("total_size"),
+        F.sum(F.col("inferred").cast("bigint")).alias("inferred_count"),
     )
+    series_level = cut_lineage(series_level)
     studies = series_level.groupBy("patient_id", "study_uid").agg(
         F.min("first_place").alias("first_place"),
         F.min_by(
@@ -233,6 +237,7 @@ def build_index(headers: DataFrame) -> dict[str, DataFrame]:
         "first.institution",
         "file_count",
         "total_size",
+        "inferred_count",
         project_tags("first.tags", "first.modality").alias("optional_tags"),
     )
     return {
@@ -262,20 +267,17 @@ def exclude_modalities(series: DataFrame, excluded: list[str]) -> DataFrame:
 
 # --- totals --------------------------------------------------------------------------------------
 def scan_info(index: dict[str, DataFrame], classed: DataFrame | None = None) -> DataFrame:
-    """One row of totals. Counts come from the aggregated levels, so no distinct over files is
-    needed."""
+    """One row of totals, all from the rolled-up levels: no file is counted twice or looked at again."""
     series = index["series"].agg(
         F.count("*").cast("bigint").alias("series"),
         F.sum("file_count").cast("bigint").alias("files"),
+        F.sum("inferred_count").cast("bigint").alias("inferred"),
+        (F.sum("file_count") - F.sum("inferred_count")).cast("bigint").alias("parsed"),
         F.array_join(F.sort_array(F.collect_set("modality")), ", ").alias("modalities"),
     )
     studies = index["studies"].agg(F.count("*").cast("bigint").alias("studies"))
     patients = index["patients"].agg(F.count("*").cast("bigint").alias("patients"))
-    inferred = index["files"].agg(
-        F.count(F.when(F.col("inferred"), True)).cast("bigint").alias("inferred"),
-        F.count(F.when(~F.col("inferred"), True)).cast("bigint").alias("parsed"),
-    )
-    tables = [series, studies, patients, inferred]
+    tables = [series, studies, patients]
     if classed is not None:
         tables.append(
             classed.agg(
