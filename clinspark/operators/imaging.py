@@ -17,7 +17,6 @@ def directory_profile(files: DataFrame) -> DataFrame:
     """Per directory: candidates, exact median size, files of similar size, files per guessed
     imaging modality."""
     candidates = files.filter(looks_like_image("name", "size"))
-    medians = exact_median(candidates, ["dir"], "size")
     sizes = candidates.groupBy("dir", "size").agg(
         F.count("*").alias("_n"),
         *[
@@ -25,6 +24,7 @@ def directory_profile(files: DataFrame) -> DataFrame:
             for modality in fixed.IMAGING_MODALITIES
         ],
     )
+    medians = exact_median(sizes, ["dir"], "size", weight="_n")
     near = F.abs(F.col("size") - F.col("median")) < F.col("median") * fixed.SIMILAR_SIZE_RATIO
     return (
         sizes.join(medians, "dir")
@@ -85,6 +85,8 @@ def classify_files(files: DataFrame, smart: bool = True) -> DataFrame:
     grouped = joined.withColumn("_group", F.when(F.col("_image"), group)).select(
         *files.columns, "_image", "_group.by", "_group.total"
     )
+    # Numbering samples, counts and numbers these rows, and the rest of them is read once more.
+    grouped = cut_lineage(grouped)
     members = ordinal_within(grouped.filter("by IS NOT NULL"), ["dir", "by"], ["path"])
     sampled = is_sample_position(
         F.col("ordinal") - 1, F.col("total"), fixed.SAMPLES_PER_SERIES

@@ -105,16 +105,20 @@ def join_ordered(
     return df.groupBy(*keys).agg(joined.alias(out))
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median") -> DataFrame:
+def exact_median(
+    df: DataFrame, keys: list[str], value: str, out: str = "median", weight: str | None = None
+) -> DataFrame:
     """The exact median of a non-negative whole number per key (mean of the middle pair).
 
     Values are first counted per 1024-wide bin; only the one or two bins that hold the middle rows
     are looked at value by value. No task ever holds all values of a key, unlike ``percentile``.
+    ``weight`` names a count column if the values are already grouped.
     """
+    number = F.count("*") if weight is None else F.sum(weight)
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("bigint").alias("_value"))
-        .agg(F.count("*").alias("_n"))
+        .agg(number.alias("_n"))
         .withColumn("_bin", F.shiftright("_value", 10))
     )
     running = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
@@ -140,12 +144,6 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
         .withColumn("_end", F.col("_before") + F.sum("_n").over(within))
         .withColumn("_start", F.col("_end") - F.col("_n"))
     )
-    return detail.groupBy(*keys).agg(
-        (
-            (
-                F.max(F.when(holds(low, "_start", "_end"), F.col("_value")))
-                + F.max(F.when(holds(high, "_start", "_end"), F.col("_value")))
-            )
-            / 2.0
-        ).alias(out)
-    )
+    lower = F.max(F.when(holds(low, "_start", "_end"), F.col("_value")))
+    upper = F.max(F.when(holds(high, "_start", "_end"), F.col("_value")))
+    return detail.groupBy(*keys).agg(((lower + upper) / 2.0).alias(out))
