@@ -59,7 +59,7 @@ def safe_rows(answer: Callable[[pd.Series], str], out: str = "reply") -> ModelFn
 
 def with_columns(df: DataFrame, **types: str) -> T.StructType:
     """The schema of ``df`` plus new columns, for ``infer``."""
-    schema = T.StructType(df.schema.fields)
+    schema = T.StructType(list(df.schema.fields))
     for name, kind in types.items():
         schema = schema.add(name, kind)
     return schema

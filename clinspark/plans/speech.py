@@ -51,16 +51,19 @@ def transcribe_long(
     model_fn: ModelFn,
     window_s: int = LONG_WINDOW_SECONDS,
     stride_s: int = LONG_STRIDE_SECONDS,
+    rate: int = SAMPLE_RATE,
 ) -> DataFrame:
     """(recording_id, transcript) of ``[MM:SS] text`` lines.
 
     Recordings (``recording_id``, ``sample_rate``, ``pcm``) are cut into overlapping windows that are
     spread over the cluster. ``model_fn`` yields (recording_id, window_no, start_s, text) with times
     inside the window; of two windows that cover a moment, the one further from its edge counts.
+    ``rate`` is the sample rate the model expects. A window is about 2 MB at 16 kHz, so keep
+    ``spark.sql.execution.arrow.maxBytesPerBatch`` well below the worker memory.
     """
-    ready = recordings.select("recording_id", resample("pcm", "sample_rate").alias("pcm"))
+    ready = recordings.select("recording_id", resample("pcm", "sample_rate", rate).alias("pcm"))
     windows = audio_windows(
-        ready.withColumn("samples", F.size("pcm")), window_s=window_s, stride_s=stride_s
+        ready.withColumn("samples", F.size("pcm")), rate=rate, window_s=window_s, stride_s=stride_s
     )
     total = F.col("samples")
     pieces = windows.select(
@@ -70,7 +73,7 @@ def transcribe_long(
             "pcm", (F.col("from_sample") + 1).cast("int"),
             (F.col("to_sample") - F.col("from_sample")).cast("int"),
         ).alias("pcm"),
-        (F.col("from_sample") / SAMPLE_RATE).alias("offset_s"),
+        (F.col("from_sample") / rate).alias("offset_s"),
         (F.col("to_sample") >= total).alias("is_last"),
     ).repartition("recording_id", "window_no")
     schema = (
