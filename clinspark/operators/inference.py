@@ -59,10 +59,14 @@ def safe_rows(answer: Callable[[pd.Series], str], out: str = "reply") -> ModelFn
 
 def with_columns(df: DataFrame, **types: str) -> T.StructType:
     """The schema of ``df`` plus new columns, for ``infer``."""
-    schema = T.StructType(list(df.schema.fields))
-    for name, kind in types.items():
-        schema = schema.add(name, kind)
-    return schema
+    new = ", ".join(f"`{name}` {kind}" for name, kind in types.items())
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(new).fields])
+
+
+SPAN_COLUMNS = {
+    "pos": "int", "raw_type": "string", "word": "string", "start": "int", "end": "int",
+    "score": "double",
+}
 
 
 class Detector:
@@ -78,12 +82,7 @@ class Detector:
         self.threshold = threshold
 
     def spans(self, chunks: DataFrame, keys: list[str]) -> DataFrame:
-        schema = T.StructType([chunks.schema[key] for key in keys])
-        for name, kind in (
-            ("pos", "int"), ("raw_type", "string"), ("word", "string"),
-            ("start", "int"), ("end", "int"), ("score", "double"),
-        ):
-            schema = schema.add(name, kind)
+        schema = with_columns(chunks.select(*keys), **SPAN_COLUMNS)
         return map_types(infer(chunks, self.detect, schema), self.model_id)
 
 
