@@ -33,7 +33,7 @@ def read_audio_frames(spark: SparkSession, path: str) -> DataFrame:
                 try:
                     rows.append((name, *wav_samples(content), None))
                 except Exception as problem:  # noqa: BLE001 - damaged files become error rows
-                    rows.append((name, None, None, str(problem)))
+                    rows.append((name, None, None, f"{type(problem).__name__}: {problem}"))
             yield pd.DataFrame(rows, columns=["path", "sample_rate", "pcm", "error"])
 
     return (

@@ -166,7 +166,7 @@ def read_dicom_headers(
                         error = "transfer_syntax"
                 except Exception as problem:  # noqa: BLE001 - one bad file must not stop the job
                     error = f"{type(problem).__name__}: {problem}"
-                tags.append(None if error else list(found.items()))
+                tags.append(None if error else found)
                 errors.append(error)
             yield pd.DataFrame(
                 {
