@@ -60,23 +60,40 @@ def cut_long_paragraph(paragraph: str, size: int, overlap: int) -> Iterator[str]
         yield rest
 
 
+class _OpenChunk:
+    """Paragraphs of the chunk being filled and the length of their joined text."""
+
+    def __init__(self) -> None:
+        self.parts: list[str] = []
+        self.length = 0
+
+    def add(self, part: str) -> None:
+        self.length += len(part) + bool(self.parts)
+        self.parts.append(part)
+
+    def close(self) -> str:
+        chunk = _trim("\n".join(self.parts))
+        self.__init__()
+        return chunk
+
+
 def chunks_of(text: str, size: int, overlap: int) -> list[str]:
     """Paragraphs packed into chunks of about ``size`` characters."""
     done: list[str] = []
-    open_chunk = ""
+    current = _OpenChunk()
     for paragraph in filter(_trim, _LINE_BREAKS.split(text)):
         if len(paragraph) > size:
-            done += filter(None, [_trim(open_chunk)])
-            open_chunk = ""
+            done.append(current.close())
             done += cut_long_paragraph(paragraph, size, overlap)
-        elif open_chunk and len(open_chunk) + 1 + len(paragraph) > size:
-            done.append(_trim(open_chunk))
+            continue
+        if current.parts and current.length + 1 + len(paragraph) > size:
+            done.append(current.close())
             context = carried_context(done[-1], overlap)
-            open_chunk = f"{context}\n{paragraph}" if context else paragraph
-        else:
-            open_chunk = f"{open_chunk}\n{paragraph}" if open_chunk else paragraph
-    done += filter(None, [_trim(open_chunk)])
-    return done or [text]
+            if context:
+                current.add(context)
+        current.add(paragraph)
+    done.append(current.close())
+    return [chunk for chunk in done if chunk] or [text]
 
 
 def windows_of(text: str, size: int, overlap: int, minimum: int = 50) -> list[str]:

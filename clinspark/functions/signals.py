@@ -29,30 +29,35 @@ def _has_word(text: Column, words: tuple[str, ...] | str) -> Column:
     return text.rlike("(?i)" + whole_word(pattern))
 
 
-def _care_title(text: Column) -> Column:
-    # "dr." ends in a dot, so its right edge is a boundary only before a word character; plain "dr"
-    # already matches everywhere "dr." does, therefore the dot can be left out.
-    return _has_word(text, tuple(title.removesuffix(r"\.?") for title in fixed.CARE_TITLES))
+# "dr." ends in a dot, so its right edge is a boundary only before a word character; plain "dr" already
+# matches everywhere "dr." does, therefore the dot can be left out.
+_CARE_WORDS = (
+    *(title.removesuffix(r"\.?") for title in fixed.CARE_TITLES),
+    *fixed.MEDICAL_ORGANISATIONS,
+)
 
 
 def has_strong_pii_signal(entity: Column | str, entity_type: Column | str) -> Column:
-    """True if an entity must never be dropped by a reviewer (blank entities: false)."""
+    """True if an entity must never be dropped by a reviewer (blank entities: false).
+
+    Most texts have neither a digit nor an at sign, so these cheap tests guard the costly patterns.
+    """
     text = trim_spaces(F.coalesce(as_column(entity), F.lit("")))
     kind = F.coalesce(as_column(entity_type), F.lit(""))
-    digit = text.rlike("[0-9]")
-    street = _has_word(text, fixed.STREET_WORDS) & _has_word(text, HOUSE_NUMBER_SHAPE)
+    numeric = (
+        kind.isin("ID_NUMBER", "DATE", "AGE")
+        | text.rlike(PHONE_SHAPE)
+        | _has_word(text, POSTCODE_SHAPE)
+        | (_has_word(text, HOUSE_NUMBER_SHAPE) & _has_word(text, fixed.STREET_WORDS))
+    )
     signal = (
         kind.isin("EMAIL", "PHONE", "ADDRESS")
-        | text.rlike(EMAIL_SHAPE)
-        | text.rlike(PHONE_SHAPE)
-        | (kind.isin("ID_NUMBER", "DATE", "AGE") & digit)
+        | (F.contains(text, F.lit("@")) & text.rlike(EMAIL_SHAPE))
+        | (text.rlike("[0-9]") & numeric)
         | ((kind == "DATE") & _has_word(text, fixed.DUTCH_MONTHS))
-        | _has_word(text, POSTCODE_SHAPE)
-        | street
-        | _care_title(text)
-        | _has_word(text, fixed.MEDICAL_ORGANISATIONS)
         | ((kind == "PERSON") & text.rlike(NAME_SHAPE))
         | (kind.isin("LOCATION", "ORGANIZATION") & text.rlike(PLACE_SHAPE))
+        | _has_word(text, _CARE_WORDS)
     )
     return (text != "") & signal
 

@@ -25,6 +25,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def quoted(literal: Column) -> Column:
+    """A regex that matches ``literal`` as it stands."""
+    inner = F.replace(literal, F.lit(r"\E"), F.lit(r"\E\\E\Q"))
+    return F.concat(F.lit(r"\Q"), inner, F.lit(r"\E"))
+
+
 def whole_word(pattern: str) -> str:
     """``pattern`` between ASCII word boundaries; for patterns that start and end with [A-Za-z0-9_].
 

@@ -43,17 +43,23 @@ RULES: tuple[tuple[str, str], ...] = (
 
 
 def detector_regex(before: str, after: str) -> str:
-    """All rules as one alternation, with the given notation for the two word edges."""
-    parts = []
+    """All rules as one alternation, with the given notation for the two word edges.
+
+    The left edge is tested once for all rules that start with an ASCII character, so positions
+    inside words are given up after a single test.
+    """
+    inner, others = [], []
     for kind, shape in RULES:
-        if kind == "PHONE":
-            parts.append(rf"\+?{before}{shape}{after}")
-        elif kind == "PERSON":
-            start = f"(?:{before}[A-Z]|[À-ÖØ-Þ])"
-            parts.append(start + shape.removeprefix("[A-ZÀ-ÖØ-Þ]"))
+        if kind == "PERSON":
+            rest = shape.removeprefix("[A-ZÀ-ÖØ-Þ]")
+            inner.append("[A-Z]" + rest)
+            others.append("[À-ÖØ-Þ]" + rest)
         else:
-            parts.append(f"{before}{shape}{after}")
-    return "|".join(f"(?:{part})" for part in parts)
+            inner.append(shape + after)
+            if kind == "PHONE":
+                others.append(rf"\+{before}{shape}{after}")
+    grouped = "|".join(f"(?:{part})" for part in inner)
+    return "|".join([f"{before}(?:{grouped})", *others])
 
 
 ANY_RULE = detector_regex(NOT_WORD_BEFORE, NOT_WORD_AFTER)

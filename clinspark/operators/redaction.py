@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinspark.fixed_values import BOX_PADDING
 from clinspark.functions.signals import page_kind
-from clinspark.functions.text import trim_spaces
+from clinspark.functions.text import let, quoted, trim_spaces
 from clinspark.operators.ordering import join_ordered
 
 PAGE = ["doc_id", "page"]
@@ -107,30 +107,41 @@ def locate_targets(pages: DataFrame, targets: DataFrame) -> DataFrame:
     occurrence is a running sum of lengths; texts stay in place and only lengths are windowed.
     """
     wanted = clean_targets(targets).groupBy("doc_id").agg(F.collect_list("target").alias("targets"))
-    needle = F.lower(trim_spaces("target"))
-    quoted = F.concat(
-        F.lit(r"\Q"), F.replace(needle, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")
-    )
-    lowered = pages.join(wanted, "doc_id").select(
-        *PAGE, F.lower("text").alias("_text"), F.explode("targets").alias("target")
-    )
-    found = lowered.filter(F.contains(F.col("_text"), needle)).select(
-        *PAGE,
-        "target",
-        F.length(needle).alias("_size"),
-        F.posexplode(
-            F.transform(F.split(F.col("_text"), quoted, -1), lambda gap: F.length(gap))
-        ).alias("_no", "_gap"),
+
+    def needle(target: Column) -> Column:
+        return F.lower(trim_spaces(target))
+
+    def occurrences(lowered: Column) -> Column:
+        present = F.filter("targets", lambda target: F.contains(lowered, needle(target)))
+        return F.transform(
+            present,
+            lambda target: F.struct(
+                target.alias("target"),
+                F.length(needle(target)).alias("size"),
+                F.transform(
+                    F.split(lowered, quoted(needle(target)), -1), lambda gap: F.length(gap)
+                ).alias("gaps"),
+            ),
+        )
+
+    found = (
+        pages.join(wanted, "doc_id")
+        .select(*PAGE, F.explode(let(F.lower("text"), occurrences)).alias("found"))
+        .select(
+            *PAGE,
+            F.col("found.target").alias("target"),
+            F.col("found.size").alias("_size"),
+            (F.size("found.gaps") - 1).alias("_hits"),
+            F.posexplode("found.gaps").alias("_no", "_gap"),
+        )
+        .filter("_no < _hits")
     )
     upto = (
         Window.partitionBy(*PAGE, "target").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
     )
-    last = F.row_number().over(Window.partitionBy(*PAGE, "target").orderBy(F.desc("_no"))) == 1
     start = F.sum("_gap").over(upto) + F.col("_no") * F.col("_size")
     return (
         found.withColumn("start", start.cast("int"))
-        .withColumn("_last", last)
-        .filter(~F.col("_last"))
         .withColumn("end", F.col("start") + F.col("_size"))
         .select(*PAGE, "target", "start", "end")
     )

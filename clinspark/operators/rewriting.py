@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinspark.functions.text import as_column
+from clinspark.functions.text import as_column, let, quoted
 
 _LETTER_OR_DIGIT = r"[\p{L}\p{N}]"
 # Private-use characters that stand for a tag while a single-pass rewrite is under way. None of them
@@ -18,12 +18,9 @@ def entity_pattern(entity: Column | str) -> Column:
     """Case-insensitive pattern of an entity, with letter/digit boundaries on the sides where the
     entity itself has a letter or digit."""
     entity = as_column(entity)
-    quoted = F.concat(
-        F.lit(r"\Q"), F.replace(entity, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")
-    )
     before = F.when(entity.rlike(f"^{_LETTER_OR_DIGIT}"), f"(?<!{_LETTER_OR_DIGIT})").otherwise("")
     after = F.when(entity.rlike(rf"{_LETTER_OR_DIGIT}\z"), f"(?!{_LETTER_OR_DIGIT})").otherwise("")
-    return F.concat(F.lit("(?iu)"), before, quoted, after)
+    return F.concat(F.lit("(?iu)"), before, quoted(entity), after)
 
 
 def _literal_replacement(text: Column) -> Column:
@@ -74,16 +71,20 @@ def anonymize_text(text: Column | str, entries: Column | str, mode: str = "seque
             item["replacement"].alias("replacement"),
         ),
     )
-    protected = F.aggregate(
-        numbered,
-        text,
-        lambda result, item: F.regexp_replace(result, item["pattern"], item["token"]),
-    )
-    return F.aggregate(
-        numbered,
-        protected,
-        lambda result, item: F.replace(result, item["token"], item["replacement"]),
-    )
+
+    def rewrite(items: Column) -> Column:
+        protected = F.aggregate(
+            items,
+            text,
+            lambda result, item: F.regexp_replace(result, item["pattern"], item["token"]),
+        )
+        return F.aggregate(
+            items,
+            protected,
+            lambda result, item: F.replace(result, item["token"], item["replacement"]),
+        )
+
+    return let(numbered, rewrite)
 
 
 def entries_by_key(mapping: DataFrame, keys: list[str], out: str = "entries") -> DataFrame:
@@ -125,8 +126,7 @@ def shortlist(
     An entity with a letter or digit can only match where each of its letter/digit runs is a whole
     run of the text, so texts and mapping meet on one such run: the run of the entity that the fewest
     other entities contain. Common runs ("de", "1") therefore never become the join key of an entity
-    that also has a rare one. Entities without any letter or digit carry no run and are joined to the
-    distinct characters of the texts instead.
+    that also has a rare one. Entities without any letter or digit meet texts on their first sign.
     """
     runs = mapping.select("entity", F.explode(_word_tokens(F.col("entity"))).alias("run"))
     frequency = runs.groupBy("run").agg(F.count("*").alias("entities"))
@@ -135,20 +135,14 @@ def shortlist(
         .groupBy("entity")
         .agg(F.min_by("run", F.struct("entities", "run")).alias("run"))
     )
-    with_run = mapping.join(best, "entity")
-    text_runs = texts.select(*keys, F.explode(_word_tokens(F.col(text))).alias("run"))
-    candidates = text_runs.join(with_run, "run").select(*keys, "entity", "replacement", "seq")
-    signs = mapping.filter(~F.col("entity").rlike(_LETTER_OR_DIGIT)).withColumn(
-        "run", F.substring("entity", 1, 1)
+    keyed = mapping.join(best, "entity", "left").withColumn(
+        "run", F.coalesce("run", F.substring("entity", 1, 1))
     )
-    text_signs = texts.select(
-        *keys,
-        F.explode(
-            F.array_distinct(F.split(F.regexp_replace(text, _LETTER_OR_DIGIT, ""), ""))
-        ).alias("run"),
+    text_signs = F.split(F.regexp_replace(text, _LETTER_OR_DIGIT, ""), "")
+    text_runs = texts.select(
+        *keys, F.explode(F.array_union(_word_tokens(F.col(text)), text_signs)).alias("run")
     )
-    more = text_signs.join(signs, "run").select(*keys, "entity", "replacement", "seq")
-    return candidates.unionByName(more)
+    return text_runs.join(keyed, "run").select(*keys, "entity", "replacement", "seq")
 
 
 def apply_global_mapping(
@@ -161,8 +155,24 @@ def apply_global_mapping(
     """Rewrite every text with one mapping shared by all of them.
 
     Each text is first paired with only those entries that can occur in it, so the array beside a
-    text is as small as the text, however large the mapping is. Tags are protected (``single_pass``):
-    with a large shared mapping almost any number is also somebody's tag number.
+    text is as small as the text, however large the mapping is; of those, entries that are no
+    substring of the text never become a pattern. Tags are protected (``single_pass``): with a large
+    shared mapping almost any number is also somebody's tag number.
     """
-    candidates = shortlist(texts, mapping, keys, text)
-    return apply_scoped_mapping(texts, candidates, keys, text, out, "single_pass")
+    entries = entries_by_key(shortlist(texts, mapping, keys, text), keys)
+    joined = texts.join(entries, keys, "left")
+    rewritten = anonymize_text(F.col(text), present_entries(F.col(text), F.col("entries")), "single_pass")
+    return joined.withColumn(
+        out, F.when(F.col("entries").isNull(), F.col(text)).otherwise(rewritten)
+    ).drop("entries")
+
+
+def present_entries(text: Column, entries: Column) -> Column:
+    """The entries that occur in ``text``, ignoring case; substring search is far cheaper than the
+    patterns it saves."""
+    return let(
+        F.lower(text),
+        lambda lowered: F.filter(
+            entries, lambda item: F.contains(lowered, F.lower(item["entity"]))
+        ),
+    )

@@ -36,6 +36,7 @@ from clinspark.operators.rewriting import (
     apply_global_mapping,
     apply_scoped_mapping,
     entries_by_key,
+    present_entries,
     shortlist,
 )
 from clinspark.session import cut_lineage
@@ -296,7 +297,9 @@ def anonymize_table(
     with_entries = df.join(entries, row, "left")
     rewritten = {
         name: F.when(F.col("entries").isNull(), F.col(name)).otherwise(
-            anonymize_text(F.col(name), F.col("entries"), "single_pass")
+            anonymize_text(
+                F.col(name), present_entries(F.col(name), F.col("entries")), "single_pass"
+            )
         )
         for name in columns
     }
