@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.base import Check, rounded, sql_trim
-from checks.texts import documents
+from checks.texts import FIVE_SQL, documents
 from clinspark.operators import redaction
 from clinspark.plans.redact import redact_boxes
 
@@ -134,6 +134,11 @@ def ocr_language(spark, folder):
     return redaction.ocr_language(read)
 
 
+OCR_SQL = f"""
+WITH {ITEMS_CTE}, five AS ({FIVE_SQL})
+SELECT doc_id, coalesce(language, 'eng') AS ocr_lang FROM five
+WHERE doc_id IN (SELECT doc_id FROM pages WHERE length({sql_trim('text')}) < 20)"""
+
 CHECKS = {
     "page_text": Check(page_text, PAGE_TEXT_SQL),
     "document_text": Check(document_text, DOCUMENT_TEXT_SQL),
@@ -142,5 +147,5 @@ CHECKS = {
     "locate_targets": Check(locate_targets, HITS_SQL),
     "redaction_boxes": Check(redaction_boxes, BOXES_SQL),
     "redaction_summary": Check(redaction_summary, SUMMARY_SQL),
-    "ocr_language": Check(ocr_language),
+    "ocr_language": Check(ocr_language, OCR_SQL),
 }

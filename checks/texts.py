@@ -518,7 +518,7 @@ SELECT vec_id, round(r, 6) AS rms, r < 0.01 AS silent, r < 0.125 AS quiet FROM s
 def resample(spark, folder):
     rate = F.when(F.col("vec_id") % 3 == 0, 44100).when(F.col("vec_id") % 3 == 1, 8000).otherwise(16000)
     made = table(spark, folder, "embeddings").select("vec_id", audio.resample("embedding", rate).alias("pcm"))
-    return made.select("vec_id", F.posexplode("pcm").alias("i", "x")).select("vec_id", "i", rounded(F.col("x").cast("double"), 5).alias("x"))
+    return made.select("vec_id", F.posexplode("pcm").alias("i", "x")).select("vec_id", "i", (rounded(F.col("x").cast("double"), 5) + F.lit(0.0)).alias("x"))
 
 
 RESAMPLE_SQL = """
@@ -526,7 +526,7 @@ WITH s AS (SELECT vec_id, embedding AS e, CASE vec_id % 3 WHEN 0 THEN 44100 WHEN
 i AS (SELECT *, CAST(i AS INTEGER) AS i, i * ratio AS p, CAST(floor(i * ratio) AS BIGINT) AS lo
   FROM s, unnest(range(0, CAST(floor(len(e) / ratio + 0.5) AS BIGINT))) AS r(i))
 SELECT vec_id, i, round(CAST(CAST(CAST(e[lo + 1] AS DOUBLE) * (1 - (p - lo))
-  + CAST(e[least(lo + 1, len(e) - 1) + 1] AS DOUBLE) * (p - lo) AS FLOAT) AS DOUBLE), 5) AS x FROM i"""
+  + CAST(e[least(lo + 1, len(e) - 1) + 1] AS DOUBLE) * (p - lo) AS FLOAT) AS DOUBLE), 5) + 0.0::DOUBLE AS x FROM i"""
 
 
 # --- chunks --------------------------------------------------------------------------------------
@@ -538,6 +538,19 @@ def chunk_fixed(spark, folder):
     return chunking.explode_chunks(documents(spark, folder), chunking.chunk_fixed("text"), ["doc_id"])
 
 
+_SLICE = "substr(text, st + 1, 3000)"
+_LAST = "greatest(" + ", ".join(
+    f"CASE WHEN contains({_SLICE}, {mark}) THEN length({_SLICE}) - strpos(reverse({_SLICE}), reverse({mark})) - 1 ELSE -1 END"
+    for mark in ("'.' || chr(10)", "'. '", "'?' || chr(10)", "'? '")
+) + ")"
+FIXED_CTE = f"""starts AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS st FROM documents WHERE text <> ''
+  UNION ALL SELECT doc_id, text, CASE WHEN {_LAST} > 1500 THEN st + {_LAST} + 1 ELSE st + 3000 END - 200 FROM starts WHERE st + 3000 < length(text)),
+ends AS (SELECT doc_id, st, {sql_trim(f"substr(text, st + 1, CASE WHEN st + 3000 >= length(text) THEN 3000 WHEN {_LAST} > 1500 THEN {_LAST} + 1 ELSE 3000 END)")} AS piece FROM starts),
+windows AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY st) - 1 AS INTEGER) AS chunk_idx, piece AS text,
+  count(*) OVER (PARTITION BY doc_id) AS parts FROM ends WHERE length(piece) > 50)"""
+CHUNK_FIXED_SQL = f"WITH RECURSIVE {FIXED_CTE} SELECT doc_id, chunk_idx, text FROM windows"
+
+
 def chunk_sentences(spark, folder):
     return documents(spark, folder).select(
         "doc_id", F.posexplode(chunking.chunk_sentences("text")).alias("chunk_idx", "chunk")
@@ -587,6 +600,6 @@ CHECKS = {
     "rms_and_silence": Check(rms, RMS_SQL),
     "resample_16k": Check(resample, RESAMPLE_SQL),
     "chunk_text": Check(chunk_text),
-    "chunk_fixed": Check(chunk_fixed),
+    "chunk_fixed": Check(chunk_fixed, CHUNK_FIXED_SQL),
     "chunk_sentences": Check(chunk_sentences, CHUNK_SENTENCES_SQL),
 }

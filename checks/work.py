@@ -6,9 +6,8 @@ import re
 
 from pyspark.sql import functions as F
 
-from checks.base import SPACES, Check, quoted, sql_trim, sql_words, table
-from checks.texts import NL_EN_SQL, QUALITY_SQL, conversations, documents
-from clinspark import fixed_values as fixed
+from checks.base import Check, sql_trim, table
+from checks.texts import FIXED_CTE, NL_EN_SQL, QUALITY_SQL, conversations, documents
 from clinspark.functions.text import split_paragraphs
 from clinspark.operators import reports, sheets, speech
 from clinspark.operators.inference import safe_rows
@@ -16,9 +15,6 @@ from clinspark.plans.speech import log_table, transcribe_long, transcript_log
 from clinspark.plans.summarize import fact_requests, routed, summarize
 from clinspark.plans.translate import translate, translate_columns
 
-SP = SPACES
-
-
 # --- sheets --------------------------------------------------------------------------------------
 def _sheet(spark, folder):
     """Orders as a sheet with two text columns, some cells blank."""
@@ -310,7 +306,15 @@ FROM q JOIN documents d ON d.doc_id = q.doc_id WHERE text <> ''"""
 
 
 def fact_request_table(spark, folder):
-    return fact_requests(routed(documents(spark, folder)), "doc_id", "text")
+    asked = fact_requests(routed(documents(spark, folder)), "doc_id", "text")
+    return asked.select("doc_id", "language", "chunk_idx", "user", "max_tokens", "temperature")
+
+
+FACTS_SQL = f"""
+WITH RECURSIVE {FIXED_CTE}, q AS ({NL_EN_SQL})
+SELECT d.doc_id, language, chunk_idx, 'Part ' || (chunk_idx + 1) || ' of ' || parts || ':' || chr(10) || chr(10) || w.text AS "user",
+  1500 AS max_tokens, 0.1::DOUBLE AS temperature
+FROM documents d JOIN q ON q.doc_id = d.doc_id LEFT JOIN windows w ON w.doc_id = d.doc_id WHERE length(d.text) > 6000"""
 
 
 CHECKS = {
@@ -333,5 +337,5 @@ CHECKS = {
     "summarize_documents": Check(summarize_documents),
     "single_pass_summaries": Check(single_pass_summaries, SINGLE_SQL),
     "routed_documents": Check(routed_documents, ROUTED_SQL),
-    "fact_requests": Check(fact_request_table),
+    "fact_requests": Check(fact_request_table, FACTS_SQL),
 }

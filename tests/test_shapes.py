@@ -66,3 +66,10 @@ def test_plan_goes_through_files_once(spark):
 
 def test_chunking_is_arrow_batched(documents):
     assert "ArrowEvalPython" in plan_of(texts.chunk_text(documents.sparkSession, SMALL))
+
+
+def test_row_and_table_forms_agree(spark):
+    """The array form of document anonymizing and the join form give the same texts."""
+    rows = {r["doc_id"]: r["anonymized_text"] for r in anonymizing.anonymize_chunked(spark, SMALL).collect()}
+    tables = {r["doc_id"]: r["anonymized_text"] for r in anonymizing.anonymize_tables(spark, SMALL).collect()}
+    assert rows == tables and len(rows) == 200
