@@ -12,12 +12,14 @@ from checks.base import Check, table
 from clinspark import fixed_values as fixed
 from clinspark.functions import signals
 from clinspark.operators import filing, imaging
+from clinspark.session import spread
 
 MODALITIES = ("CT", "MR", "PT", "RTSTRUCT", "RTPLAN", "RTDOSE")
 
 
 def _lines(spark, folder):
     lines, orders, customers = (table(spark, folder, name) for name in ("lineitem", "orders", "customer"))
+    lines = spread(lines)
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         customers, F.col("o_custkey") == F.col("c_custkey")
     )
@@ -236,7 +238,7 @@ def inventory(spark, folder):
     )
     factor = F.when(customer % 2 == 0, 5.0).otherwise(0.2)
     size = F.when(customer % 9 == 0, 150000 + part % 100).otherwise(F.floor(F.col("l_extendedprice") * factor))
-    lines = table(spark, folder, "lineitem").join(
+    lines = spread(table(spark, folder, "lineitem")).join(
         table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     folder_name = F.concat(F.lit("c"), customer.cast("string"))
