@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -146,27 +149,41 @@ def is_quality_transcript(text: Column | str) -> Column:
     return ~is_invented_transcript(text)
 
 
+def _starts_with(name: Column, prefixes: tuple[str, ...]) -> Column:
+    return reduce(or_, [F.startswith(name, F.lit(prefix)) for prefix in prefixes])
+
+
 def looks_like_image(name: Column | str, size: Column | str) -> Column:
     """Ordered rules on the file name, then on the size."""
-    name, big = F.lower(as_column(name)), as_column(size) > fixed.MIN_IMAGE_BYTES
-    return (
-        F.when(name.rlike(r"\.(?:" + "|".join(fixed.IMAGE_EXTENSIONS) + r")\z"), True)
-        .when(~F.contains(name, F.lit(".")) & big, True)
-        .when(name.rlike("^(?:" + "|".join(fixed.IMAGE_NAME_PREFIXES) + ")"), True)
-        .when(F.substring_index(name, ".", 1).rlike(r"^[0-9]+\z") & big, True)
-        .when(name.rlike(r"\.(?:" + "|".join(fixed.OTHER_EXTENSIONS) + r")\z"), False)
-        .otherwise(big)
-    )
+    big = as_column(size) > fixed.MIN_IMAGE_BYTES
+
+    def rules(name: Column) -> Column:
+        dotted = F.contains(name, F.lit("."))
+        extension = F.substring_index(name, ".", -1)
+        return (
+            F.when(dotted & extension.isin(*fixed.IMAGE_EXTENSIONS), True)
+            .when(~dotted & big, True)
+            .when(_starts_with(name, fixed.IMAGE_NAME_PREFIXES), True)
+            .when(big & F.substring_index(name, ".", 1).rlike(r"^[0-9]+\z"), True)
+            .when(dotted & extension.isin(*fixed.OTHER_EXTENSIONS), False)
+            .otherwise(big)
+        )
+
+    # Bound once: a pushed-down filter would otherwise repeat whatever computes the name per rule.
+    return let(F.lower(as_column(name)), rules)
 
 
 def guess_modality(name: Column | str) -> Column:
     """The modality hinted at by the start of the file name, else NULL."""
-    name = F.lower(as_column(name))
-    guess = None
-    for modality, prefixes in fixed.MODALITY_PREFIXES:
-        matches = name.rlike("^(?:" + "|".join(prefixes) + ")")
-        guess = F.when(matches, modality) if guess is None else guess.when(matches, modality)
-    return guess
+
+    def rules(name: Column) -> Column:
+        guess = None
+        for modality, prefixes in fixed.MODALITY_PREFIXES:
+            matches = _starts_with(name, prefixes)
+            guess = F.when(matches, modality) if guess is None else guess.when(matches, modality)
+        return guess
+
+    return let(F.lower(as_column(name)), rules)
 
 
 def page_kind(text: Column | str) -> Column:

@@ -9,6 +9,7 @@ from clinspark import fixed_values as fixed
 from clinspark.functions.text import format_dicom_date, sanitize_path
 from clinspark.operators.imaging import exclude_modalities
 from clinspark.operators.ordering import ordinal_within
+from clinspark.session import cut_lineage
 
 STUDY = ["patient_id", "study_uid"]
 SERIES = [*STUDY, "series_uid"]
@@ -106,6 +107,8 @@ def series_folders(
     placed = labelled.join(primary_series(labelled), STUDY, "left").withColumn(
         "primary_folder", primary_folder
     )
+    # Read three times below; one row per series, so writing it is cheaper than joining it again.
+    placed = cut_lineage(placed)
     nested = F.col("primary").isNotNull() & F.col("modality").isin(*fixed.THERAPY_MODALITIES)
     below = F.concat(
         F.col("primary_folder"), F.lit("/"), F.col("modality"), F.lit("_"), F.col("label")

@@ -16,11 +16,13 @@ from clinspark.session import cut_lineage
 def directory_profile(files: DataFrame) -> DataFrame:
     """Per directory: candidates, exact median size, files of similar size, files per guessed
     imaging modality."""
-    candidates = files.filter(looks_like_image("name", "size"))
+    candidates = files.filter(looks_like_image("name", "size")).withColumn(
+        "_guess", guess_modality("name")
+    )
     sizes = candidates.groupBy("dir", "size").agg(
         F.count("*").alias("_n"),
         *[
-            F.count(F.when(guess_modality("name") == modality, True)).alias(f"_{modality}")
+            F.count(F.when(F.col("_guess") == modality, True)).alias(f"_{modality}")
             for modality in fixed.IMAGING_MODALITIES
         ],
     )
@@ -64,7 +66,10 @@ def classify_files(files: DataFrame, smart: bool = True) -> DataFrame:
             "series_group", F.lit(None).cast("string")
         )
     profile = directory_profile(files)
-    joined = files.join(profile, "dir", "left").withColumn("_image", image)
+    seen = files.withColumn("_image", image).withColumn(
+        "_guess", F.when(F.col("_image"), guess_modality("name"))
+    )
+    joined = seen.join(profile, "dir", "left")
     many = fixed.SERIES_MIN_FILES
     slices = (
         (F.col("candidates") >= many)
@@ -72,7 +77,7 @@ def classify_files(files: DataFrame, smart: bool = True) -> DataFrame:
         & F.col("median").between(fixed.SERIES_MEDIAN_MIN, fixed.SERIES_MEDIAN_MAX)
     )
     near = F.abs(F.col("size") - F.col("median")) < F.col("median") * fixed.SIMILAR_SIZE_RATIO
-    guess = guess_modality("name")
+    guess = F.col("_guess")
     group = F.when(
         slices, F.when(near, F.struct(F.lit("size").alias("by"), F.col("similar").alias("total")))
     )

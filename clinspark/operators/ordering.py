@@ -112,15 +112,15 @@ def exact_median(
 
     Values are first counted per 1024-wide bin; only the one or two bins that hold the middle rows
     are looked at value by value. No task ever holds all values of a key, unlike ``percentile``.
-    ``weight`` names a count column if the values are already grouped.
+    ``weight`` names a count column if there is one row per key and value already.
     """
-    number = F.count("*") if weight is None else F.sum(weight)
-    counts = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("bigint").alias("_value"))
-        .agg(number.alias("_n"))
-        .withColumn("_bin", F.shiftright("_value", 10))
-    )
+    number = F.col(value).cast("bigint").alias("_value")
+    known = df.filter(F.col(value).isNotNull())
+    if weight is None:
+        counts = known.groupBy(*keys, number).agg(F.count("*").alias("_n"))
+    else:
+        counts = known.select(*keys, number, F.col(weight).alias("_n"))
+    counts = counts.withColumn("_bin", F.shiftright("_value", 10))
     running = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
     everything = Window.partitionBy(*keys)
     bins = (

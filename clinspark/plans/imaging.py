@@ -35,10 +35,11 @@ def index_dicom(
 ) -> ImageIndex:
     """Inventory, class, read, infer, roll up.
 
-    The classed inventory and the headers that were read are checkpointed: both come from slow
-    storage calls and feed several tables.
+    The inventory, its classes and the headers that were read are checkpointed: listing and reading
+    are slow storage calls, and each of the three feeds several tables.
     """
-    classed = cut_lineage(classify_files(list_files(spark, root, max_files), smart))
+    inventory = cut_lineage(list_files(spark, root, max_files))
+    classed = cut_lineage(classify_files(inventory, smart))
     chosen = classed if max_files is None else limit_index(classed, max_files)
     to_read = chosen.filter("class IN ('parse', 'sample')")
     headers = cut_lineage(read_dicom_headers(to_read, partitions=partitions))
