@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from clinspark.llm.common import table, utf8
 from clinspark.llm.exact_dedup import exact_dedup, normalised
+from clinspark.llm.language_ppm import fit, held_out, predict
 from clinspark.llm.mixing import mix_sources, word_count
 from clinspark.llm.sharding import shard_records
+from clinspark.llm.simhash_tiles import simhash_groups
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -54,10 +56,23 @@ def op7_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op9_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = fit(docs.filter(~held_out()), "doc_id", "text", "lang")
+    return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).drop("text")
+
+
+def op10_simhash_tiles(spark: SparkSession, folder: str) -> DataFrame:
+    groups = simhash_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_rendezvous_shards": op7_rendezvous_shards,
+    "op9_language_ppm": op9_language_ppm,
+    "op10_simhash_tiles": op10_simhash_tiles,
 }
 
 ORACLES = {
