@@ -53,7 +53,9 @@ def _bits_for(classes: DataFrame) -> int:
     return bits
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False
+) -> DataFrame:
     """Adds ``keep_id``, ``group_size``, ``kept`` and ``full_hash`` to every row of ``docs``.
 
     Texts are equal if they are the same after replacing each run of white space by one space; the
@@ -67,7 +69,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Nulls and edges: a null text is the empty text; a null id counts as larger than every id; rows
     that repeat the smallest id with the same text are all kept (they are one document); an empty
     table gives an empty table. Input columns named like the added ones are replaced.
-    ``full_hash`` is null for rows that were told apart earlier.
+    ``full_hash`` is null for rows that were told apart earlier unless ``hash_all`` asks for it.
     """
     added = ("keep_id", "group_size", "kept", "full_hash")
     carried = [name for name in docs.columns if name not in added]
@@ -109,7 +111,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         own.alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
-        F.lit(None).cast("string").alias("full_hash"),
+        (full if hash_all else F.lit(None).cast("string")).alias("full_hash"),
     )
     hashed = surviving(everything).filter("_go").withColumn("full_hash", full).drop("_go")
     grouped = join_back(hashed, groups, "full_hash", "group_size", own, "inner").select(

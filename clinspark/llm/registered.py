@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinspark.llm.common import table, utf8
-from clinspark.llm.exact_dedup import exact_dedup, normalised
+from clinspark.llm.exact_dedup import exact_dedup
 from clinspark.llm.language_ppm import fit, held_out, predict
 from clinspark.llm.mixing import mix_sources, word_count
 from clinspark.llm.sharding import shard_records
@@ -28,13 +28,8 @@ def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    text_hash = F.sha2(F.encode(normalised("text"), "UTF-8"), 256)
-    return exact_dedup(docs).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        "kept",
-        F.coalesce("full_hash", text_hash).alias("text_sha256"),
+    return exact_dedup(docs, hash_all=True).select(
+        "doc_id", "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256")
     )
 
 
