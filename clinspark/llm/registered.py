@@ -11,6 +11,7 @@ from clinspark.llm.common import table, utf8
 from clinspark.llm.exact_dedup import exact_dedup
 from clinspark.llm.language_ppm import fit, held_out, predict
 from clinspark.llm.mixing import mix_sources, word_count
+from clinspark.llm.packing import pack_documents
 from clinspark.llm.sharding import shard_records
 from clinspark.llm.simhash_tiles import simhash_groups
 
@@ -33,6 +34,19 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str) -> str:
+    """Where an installed public tokenizer file is, on this machine as on every worker."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_pack_histogram(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    packed = pack_documents(docs, tokenizer_file("word_bpe_49k.json"), digest=True)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", word_count("text").alias("size"))
     mixed = mix_sources(quality_weight(docs, table(spark, folder, "labels")), F.col("_quality"))
@@ -64,6 +78,7 @@ def op10_simhash_tiles(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_pack_histogram": op5_pack_histogram,
     "op6_mix_sources": op6_mix_sources,
     "op7_rendezvous_shards": op7_rendezvous_shards,
     "op9_language_ppm": op9_language_ppm,
