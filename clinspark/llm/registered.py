@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from clinspark.llm.common import table, utf8
 from clinspark.llm.exact_dedup import exact_dedup
 from clinspark.llm.language_ppm import fit, held_out, predict
+from clinspark.llm.license_scan import TEMPLATES, license_scan
 from clinspark.llm.mixing import mix_sources, word_count
 from clinspark.llm.packing import pack_documents
 from clinspark.llm.sharding import shard_records
@@ -65,6 +66,10 @@ def op7_rendezvous_shards(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return license_scan(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op9_language_ppm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     model = fit(docs.filter(~held_out()), "doc_id", "text", "lang")
@@ -81,11 +86,54 @@ QUERIES: dict[str, Query] = {
     "op5_pack_histogram": op5_pack_histogram,
     "op6_mix_sources": op6_mix_sources,
     "op7_rendezvous_shards": op7_rendezvous_shards,
+    "op8_license_scan": op8_license_scan,
     "op9_language_ppm": op9_language_ppm,
     "op10_simhash_tiles": op10_simhash_tiles,
 }
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_TEMPLATE_ROWS = ", ".join(f"({n}, {_quoted(name)}, {_quoted(text)})" for n, (name, text) in enumerate(TEMPLATES))
+
 ORACLES = {
+    "op8_license_scan": r"""
+WITH parts AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines, text FROM documents WHERE text IS NOT NULL
+), units AS (
+  SELECT doc_id, 0 AS line_no, text AS unit FROM parts WHERE len(lines) > 1
+  UNION ALL
+  SELECT doc_id, unnest(range(1, len(lines) + 1))::INT, unnest(lines) FROM parts
+), t(template, license, unit) AS (VALUES """
+    + _TEMPLATE_ROWS
+    + r""")
+, plain AS (
+  SELECT doc_id, line_no, NULL::INT AS template, NULL AS license,
+         string_split(trim(regexp_replace(lower(unit), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM units
+  UNION ALL
+  SELECT NULL, NULL, template, license,
+         string_split(trim(regexp_replace(lower(unit), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') FROM t
+), sized AS (
+  SELECT *, greatest(len(w) - 1, 1) AS size FROM plain WHERE w[1] <> ''
+), short AS (
+  SELECT * FROM sized WHERE size <= 2 * (SELECT max(size) FROM sized WHERE template IS NOT NULL)
+), pairs AS (
+  SELECT doc_id, line_no, template, license, size,
+         list_sort(CASE WHEN len(w) < 2 THEN w
+                        ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS p
+  FROM short
+), grams AS (
+  SELECT doc_id, line_no, template, license, size,
+         list_transform(range(1, len(p) + 1), lambda i: p[i] || '#' || (i + 1 - list_position(p, p[i]))) AS g
+  FROM pairs
+), scored AS (
+  SELECT u.doc_id, u.line_no, t.template, t.license,
+         2.0 * len(list_intersect(u.g, t.g)) / (u.size + t.size) AS dice
+  FROM grams u JOIN grams t ON u.template IS NULL AND t.template IS NOT NULL AND u.size BETWEEN t.size / 2 AND t.size * 2
+)
+SELECT doc_id, line_no, template, license, dice FROM scored WHERE dice >= 0.9
+""",
     "op3_exact_dedup": r"""
 WITH d AS (
   SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS body FROM documents
