@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clinspark.llm.bit_sliced_topk import top_k
 from clinspark.llm.common import table, utf8
 from clinspark.llm.exact_dedup import exact_dedup
 from clinspark.llm.language_ppm import fit, held_out, predict
@@ -28,6 +29,10 @@ def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(known, "doc_id", "left").withColumn("_quality", weight).drop("_label")
 
 
+def op2_bit_sliced_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return exact_dedup(docs, hash_all=True).select(
@@ -82,6 +87,7 @@ def op10_simhash_tiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op2_bit_sliced_topk": op2_bit_sliced_topk,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_pack_histogram": op5_pack_histogram,
     "op6_mix_sources": op6_mix_sources,
@@ -98,6 +104,19 @@ def _quoted(text: str) -> str:
 _TEMPLATE_ROWS = ", ".join(f"({n}, {_quoted(name)}, {_quoted(text)})" for n, (name, text) in enumerate(TEMPLATES))
 
 ORACLES = {
+    "op2_bit_sliced_topk": r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(embedding) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+""",
     "op8_license_scan": r"""
 WITH parts AS (
   SELECT doc_id, string_split(text, chr(10)) AS lines, text FROM documents WHERE text IS NOT NULL
