@@ -110,7 +110,7 @@ def mix_sources(
         F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0)).cast("long").alias("_epochs"),
     )
     counted = totals.agg(F.max("_rows")).first()[0] or 0
-    ranges = max(8, -(-counted // ROWS_PER_PIECE) * 2)
+    ranges = max(64, -(-counted // ROWS_PER_PIECE) * 2)
     ranged = rows.withColumn(
         "_range", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("_key"))) * ranges), F.lit(ranges - 1)).cast("int")
     )

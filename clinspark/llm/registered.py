@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinspark.llm.bit_sliced_topk import top_k
-from clinspark.llm.common import table, utf8
+from clinspark.llm.common import staged, table, utf8
 from clinspark.llm.exact_dedup import exact_dedup
 from clinspark.llm.language_ppm import fit, held_out, predict
 from clinspark.llm.license_scan import TEMPLATES, license_scan
@@ -55,7 +55,8 @@ def op5_pack_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "source", word_count("text").alias("size"))
-    mixed = mix_sources(quality_weight(docs, table(spark, folder, "labels")), F.col("_quality"))
+    sized = staged(quality_weight(docs, table(spark, folder, "labels")), "mix-sizes")
+    mixed = mix_sources(sized, F.col("_quality"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
