@@ -21,7 +21,7 @@ def _bit(number: Column, bits: int) -> Column:
     return F.pmod(number, F.lit(bits).cast("long"))
 
 
-def _marks(classes: DataFrame, number: Column, bits: int) -> DataFrame:
+def class_marks(classes: DataFrame, number: Column, bits: int) -> DataFrame:
     """The classes with more than one row as bit masks: ``bits / WORD`` rows at most."""
     bit = _bit(number, bits)
     mask = F.expr(f"shiftleft(1L, cast(_place % {WORD} as int))")
@@ -34,7 +34,7 @@ def _marks(classes: DataFrame, number: Column, bits: int) -> DataFrame:
     )
 
 
-def _marked(df: DataFrame, marks: DataFrame, number: Column, bits: int, out: str) -> DataFrame:
+def with_mark(df: DataFrame, marks: DataFrame, number: Column, bits: int, out: str) -> DataFrame:
     """Flag the rows whose class is marked. The masks are bounded by ``bits``, so broadcast."""
     found = df.withColumn("_place", _bit(number, bits)).withColumn("_word", F.expr(f"_place div {WORD}"))
     hit = F.expr(f"(shiftright(_mask, cast(_place % {WORD} as int)) & 1) = 1")
@@ -45,7 +45,7 @@ def _marked(df: DataFrame, marks: DataFrame, number: Column, bits: int, out: str
     )
 
 
-def _bits_for(classes: DataFrame) -> int:
+def bits_for(classes: DataFrame) -> int:
     several = classes.filter("_rows > 1").count()
     bits = MIN_BITS
     while bits < MAX_BITS and bits < 8 * several:
@@ -80,20 +80,20 @@ def exact_dedup(
 
     sizes = staged(base.select(length.alias("_length"), prefix.alias("_prefix")), "dedup-sizes")
     lengths = staged(sizes.groupBy("_length").agg(F.count("*").alias("_rows")), "dedup-lengths")
-    bits = _bits_for(lengths)
-    by_length = _marks(lengths, F.col("_length"), bits)
+    bits = bits_for(lengths)
+    by_length = class_marks(lengths, F.col("_length"), bits)
     prefixes = (
-        _marked(sizes, by_length, F.col("_length"), bits, "_go")
+        with_mark(sizes, by_length, F.col("_length"), bits, "_go")
         .filter("_go")
         .groupBy("_length", "_prefix")
         .agg(F.count("*").alias("_rows"))
     )
     prefixes = staged(prefixes, "dedup-prefixes")
-    bits = _bits_for(prefixes)
-    by_prefix = staged(_marks(prefixes, F.col("_prefix"), bits), "dedup-marks")
+    bits = bits_for(prefixes)
+    by_prefix = staged(class_marks(prefixes, F.col("_prefix"), bits), "dedup-marks")
 
     def surviving(columns: list[Column]) -> DataFrame:
-        return _marked(base.select(*columns), by_prefix, prefix, bits, "_go")
+        return with_mark(base.select(*columns), by_prefix, prefix, bits, "_go")
 
     full = F.sha2(F.encode(text, "UTF-8"), 256)
     everything = [F.col(name) for name in carried]

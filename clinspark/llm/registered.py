@@ -16,6 +16,7 @@ from clinspark.llm.mixing import mix_sources, word_count
 from clinspark.llm.packing import pack_documents
 from clinspark.llm.sharding import shard_records
 from clinspark.llm.simhash_tiles import simhash_groups
+from clinspark.llm.warc_index import capture_histories
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +30,15 @@ def quality_weight(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.join(known, "doc_id", "left").withColumn("_quality", weight).drop("_label")
 
 
+def op1_warc_index_merge(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    # The table has no capture time: one second per page from the start of 2024.
+    captured = F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod("page_id", F.lit(100_000_000)))
+    return capture_histories(pages, captured).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op2_bit_sliced_topk(spark: SparkSession, folder: str) -> DataFrame:
     return top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -88,6 +98,7 @@ def op10_simhash_tiles(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_warc_index_merge": op1_warc_index_merge,
     "op2_bit_sliced_topk": op2_bit_sliced_topk,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_pack_histogram": op5_pack_histogram,
@@ -104,7 +115,26 @@ def _quoted(text: str) -> str:
 
 _TEMPLATE_ROWS = ", ".join(f"({n}, {_quoted(name)}, {_quoted(text)})" for n, (name, text) in enumerate(TEMPLATES))
 
+# Four base-32 digits for each five hexadecimal ones.
+_BASE32 = " || ".join(
+    f"'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || hash[{5 * at + 1}:{5 * at + 5}])::BIGINT >> {shift}) & 31) + 1]"
+    for at in range(8)
+    for shift in (15, 10, 5, 0)
+)
+
 ORACLES = {
+    "op1_warc_index_merge": f"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hash
+  FROM pages
+), g AS (
+  SELECT *, max(page_id) OVER (PARTITION BY hash) AS first FROM p
+)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM g
+""",
     "op2_bit_sliced_topk": r"""
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
