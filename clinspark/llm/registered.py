@@ -14,6 +14,7 @@ from clinspark.llm.language_ppm import fit, held_out, predict
 from clinspark.llm.license_scan import TEMPLATES, license_scan
 from clinspark.llm.mixing import mix_sources, word_count
 from clinspark.llm.packing import pack_documents
+from clinspark.llm.repeated_windows import remove_repeats
 from clinspark.llm.sharding import shard_records
 from clinspark.llm.simhash_tiles import simhash_groups
 from clinspark.llm.warc_index import capture_histories
@@ -50,6 +51,17 @@ def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_repeated_windows(spark: SparkSession, folder: str) -> DataFrame:
+    cleaned = remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return cleaned.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def tokenizer_file(name: str) -> str:
     """Where an installed public tokenizer file is, on this machine as on every worker."""
     import public_tokenizers
@@ -101,6 +113,7 @@ QUERIES: dict[str, Query] = {
     "op1_warc_index_merge": op1_warc_index_merge,
     "op2_bit_sliced_topk": op2_bit_sliced_topk,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_repeated_windows": op4_repeated_windows,
     "op5_pack_histogram": op5_pack_histogram,
     "op6_mix_sources": op6_mix_sources,
     "op7_rendezvous_shards": op7_rendezvous_shards,
@@ -191,6 +204,33 @@ WITH d AS (
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = min(doc_id) OVER w AS kept, sha256(body) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY body)
+""",
+    "op4_repeated_windows": """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), w AS (
+  SELECT doc_id, s, h[2 * s + 1:2 * s + 200] AS win FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM d WHERE n >= 100)
+), later AS (
+  SELECT doc_id, s FROM w QUALIFY row_number() OVER (PARTITION BY win ORDER BY doc_id, s) > 1
+), edges AS (
+  SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM later
+), runs AS (
+  SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run
+  FROM edges
+), spans AS (
+  SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM runs GROUP BY ALL
+), gaps AS (
+  SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b FROM spans
+  UNION ALL
+  SELECT doc_id, coalesce(max(b), 0), any_value(n) FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(h[2 * a + 1:2 * b], '' ORDER BY a) AS h FROM gaps JOIN d USING (doc_id) GROUP BY doc_id
+), counted AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept.h, ''))) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN counted USING (doc_id)
 """,
     "op6_mix_sources": r"""
 WITH RECURSIVE l AS (
