@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clinspark.llm.common import staged
@@ -12,39 +12,29 @@ def components(links: DataFrame) -> DataFrame:
     """(``node``, ``component``) for every node of the links (``left``, ``right``); the component is
     its least node.
 
-    Each round takes the least label of the neighbours and then the label of that label, so labels
-    travel along paths of doubling length. Both inputs of every join are stored tables behind a plain
-    exchange, which lets the adaptive skew join split a node with very many links. Rounds go on until
-    nothing changes; only one number per round reaches the driver.
+    In each round a node takes the least of its own label, its neighbours' labels and its label's
+    label, so labels travel along paths of doubling length. Inputs of the joins are stored tables
+    behind a plain exchange, which lets the adaptive skew join split a node with very many links, and
+    minima are combined before they are shuffled. A round is one job; it goes on until a round changes
+    nothing, and only that number of changes reaches the driver.
     """
     pairs = links.select("left", "right").filter("left <> right")
-    edges = staged(
-        pairs.union(pairs.select(F.col("right").alias("left"), F.col("left").alias("right"))).distinct(), "links"
-    )
+    both = pairs.union(pairs.select(F.col("right").alias("left"), F.col("left").alias("right")))
+    edges = staged(both.distinct(), "links")
     labels = staged(
-        edges.groupBy(F.col("left").alias("node")).agg(
-            F.least(F.min("right"), F.first("left")).alias("component")
-        ),
+        edges.groupBy(F.col("left").alias("node")).agg(F.least(F.min("right"), F.first("left")).alias("component")),
         "labels",
     )
-    while True:
-        near = (
-            edges.join(labels, edges["right"] == labels["node"])
-            .groupBy(F.col("left").alias("node"))
-            .agg(F.min("component").alias("_near"))
-        )
-        lower = staged(
-            labels.join(near, "node").select("node", F.least("component", "_near").alias("component")), "labels"
-        )
-        ahead = lower.select(F.col("node").alias("_at"), F.col("component").alias("_further"))
-        jumped = staged(
-            lower.join(ahead, lower["component"] == ahead["_at"]).select(
-                "node", F.least("component", "_further").alias("component")
-            ),
-            "labels",
-        )
-        old = labels.select("node", F.col("component").alias("_old"))
-        changed = jumped.join(old, "node").filter("component <> _old").limit(1).count()
-        labels = jumped
-        if not changed:
-            return labels
+    changed = 1
+    while changed:
+        of_label = labels.select(F.col("node").alias("_at"), F.col("component").alias("_said"))
+        own = labels.select("node", F.col("component").alias("_said"), F.col("component").alias("_old"))
+        none = F.lit(None).cast("long").alias("_old")
+        near = edges.join(of_label, edges["right"] == of_label["_at"]).select(F.col("left").alias("node"), "_said", none)
+        ahead = labels.join(of_label, labels["component"] == of_label["_at"]).select("node", "_said", none)
+        lower = own.union(near).union(ahead).groupBy("node").agg(F.min("_said").alias("component"), F.max("_old").alias("_old"))
+        seen = Observation()
+        watched = lower.observe(seen, F.count(F.when(F.col("component") < F.col("_old"), 1)).alias("changed"))
+        labels = staged(watched.select("node", "component"), "labels")
+        changed = seen.get["changed"]
+    return labels

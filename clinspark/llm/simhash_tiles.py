@@ -19,15 +19,15 @@ SHINGLES_AT_A_TIME = 65_536
 _LOWER = bytes(byte + 32 if 65 <= byte <= 90 else byte for byte in range(256))
 
 
-def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
-    """64-bit SimHash of a whole text: a bit is 1 if it is set in over half of the shingle hashes.
+def shingle_hashes(text: str | None, width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """XXH64 of every shingle of a whole text, in arrays of bounded size.
 
     A-Z are lower-cased, words are runs of non-space characters, shingles are ``width`` words joined
-    by single spaces (all words if there are fewer), repeats included. No word: 0.
+    by single spaces (all words if there are fewer), repeats included. No word: no shingle.
     """
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(sizes + 1) - 1
@@ -35,13 +35,20 @@ def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
     last = min(width, len(words)) - 1
     starts, ends = starts[: len(words) - last], ends[last:]
     hashed = xxhash.xxh64_intdigest
-    counts = np.zeros(64, dtype=np.int64)
     for at in range(0, len(starts), SHINGLES_AT_A_TIME):
         part = slice(at, at + SHINGLES_AT_A_TIME)
         values = [hashed(joined[a:b], seed) for a, b in zip(starts[part].tolist(), ends[part].tolist())]
-        octets = np.array(values, dtype="<u8").view(np.uint8).reshape(-1, 8)
+        yield np.array(values, dtype="<u8")
+
+
+def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
+    """64-bit SimHash of a whole text: a bit is 1 if it is set in over half of the shingle hashes."""
+    counts, total = np.zeros(64, dtype=np.int64), 0
+    for hashes in shingle_hashes(text, width, seed):
+        octets = hashes.view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(starts), bitorder="little").view("<u8")[0])
+        total += len(hashes)
+    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -92,45 +99,34 @@ def near_links(marks: DataFrame, radius: int) -> DataFrame:
     tiles of about ``TILE`` fingerprints. Each pair of remaining tiles is compared once. The only
     thing the driver sees is the number of fingerprints per cell, 33 x 33 numbers.
     """
+    spark = marks.sparkSession
     low, high = _halves("fingerprint")
     celled = marks.withColumn("cell", (low * 33 + high).cast("int"))
     counts = {row["cell"]: row["count"] for row in celled.groupBy("cell").count().collect()}
-    if not counts:
-        return marks.select(F.col("fingerprint").alias("left"), F.col("fingerprint").alias("right"))
     parts = {cell: -(-count // TILE) for cell, count in counts.items()}
-    of_cell = F.create_map(*[F.lit(value) for pair in parts.items() for value in pair])
+    cells = spark.createDataFrame(list(parts.items()), "cell int, parts int")
+    # For each cell the cells not before it within reach, each with its number of tiles.
+    met = [
+        (cell, other, parts[other])
+        for cell in parts
+        for other in parts
+        if other >= cell and abs(other // 33 - cell // 33) + abs(other % 33 - cell % 33) <= radius
+    ]
+    reach = spark.createDataFrame(met, "cell int, to_cell int, to_parts int")
     tiles = (
-        celled.withColumn("tile", F.pmod(F.xxhash64("fingerprint"), of_cell[F.col("cell")]).cast("int"))
+        celled.join(F.broadcast(cells), "cell")
+        .withColumn("tile", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
         .groupBy("cell", "tile")
         .agg(F.collect_list("fingerprint").alias("marks"))
     )
     tiles = staged(tiles, "simhash-tiles")
-
-    # For each cell the cells not before it within reach, each with its number of tiles.
-    reach = {
-        cell: [
-            (other, parts[other])
-            for other in sorted(parts)
-            if other >= cell and abs(other // 33 - cell // 33) + abs(other % 33 - cell % 33) <= radius
-        ]
-        for cell in parts
-    }
-    met = F.create_map(
-        *[
-            value
-            for cell, others in reach.items()
-            for value in (F.lit(cell), F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(n).alias("parts")) for c, n in others]))
-        ]
-    )
     sources = (
-        tiles.select("cell", "tile", F.col("marks").alias("sources"), F.explode(met[F.col("cell")]).alias("to"))
-        .select("cell", "tile", "sources", F.col("to.cell").alias("to_cell"), F.explode(F.sequence(F.lit(0), F.col("to.parts") - 1)).alias("to_tile"))
+        tiles.join(F.broadcast(reach), "cell")
+        .select("cell", "tile", F.col("marks").alias("sources"), "to_cell", F.explode(F.sequence(F.lit(0), F.col("to_parts") - 1)).alias("to_tile"))
         .filter("to_cell > cell or to_tile >= tile")
     )
-    meeting = sources.select("to_cell", "to_tile", ((F.col("cell") == F.col("to_cell")) & (F.col("tile") == F.col("to_tile"))).alias("same"), "sources").join(
-        tiles.select(F.col("cell").alias("to_cell"), F.col("tile").alias("to_tile"), F.col("marks").alias("targets")),
-        ["to_cell", "to_tile"],
-    )
+    targets = tiles.select(F.col("cell").alias("to_cell"), F.col("tile").alias("to_tile"), F.col("marks").alias("targets"))
+    meeting = sources.join(targets, ["to_cell", "to_tile"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,3 +171,95 @@ def simhash_groups(
     return join_back(rows, named, "fingerprint", "_rows", id_col, "inner").select(
         id_col, "fingerprint", "component_id"
     )
+
+
+def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+    """``rows`` with ``_set``, the sorted different shingle hashes, in place of ``_text``."""
+    carried = [name for name in rows.columns if name != "_text"]
+    place = rows.columns.index("_text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype="<u8")
+        for batch in batches:
+            for at in range(batch.num_rows):
+                text = batch.column(place)[at].as_py()
+                marks = np.unique(np.concatenate([none, *shingle_hashes(text, width)])).view(np.int64)
+                kept = [batch.column(name).slice(at, 1) for name in carried]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([marks], pa.list_(pa.int64()))], [*carried, "_set"])
+
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.select(*carried).dtypes) + ", _set array<long>"
+    return rows.mapInArrow(run, schema)
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    radius: int = 8,
+    similarity: float = 0.8,
+) -> DataFrame:
+    """(id, ``keep_id``) of the documents that have a near duplicate with another id, ids not null.
+
+    Candidates are the components of fingerprints within ``radius`` bits. An exact check follows: in
+    each component the document whose fingerprint is nearest to the component's bitwise majority leads;
+    documents whose sets of ``width``-word shingles have at least ``similarity`` in common with the
+    leader's (Jaccard) form its group, the smallest id of a group stays. Documents that do not agree
+    with the leader form the next round of their component, until none is left. Each document is
+    compared with one leader per round, never with all others of its component, and leaders reach hot
+    components through the salted look-up.
+
+    Copies are found as well (similarity 1). Texts without words have similarity 1 to each other.
+    Rows that repeat an id are one document, represented by its first text in text order.
+    """
+    rows = docs.filter(F.col(id_col).isNotNull())
+    groups = simhash_groups(rows, id_col, text_col, width, radius)
+    several = staged(
+        groups.groupBy("component_id").agg(F.count("*").alias("_rows"), F.min(id_col).alias("_a"), F.max(id_col).alias("_b"))
+        .filter("_a <> _b")
+        .select("component_id", "_rows"),
+        "near-several",
+    )
+    members = staged(
+        join_back(groups.distinct(), several, "component_id", "_rows", id_col, "inner").drop("_rows"), "near-members"
+    )
+    texts = rows.select(F.col(id_col), F.col(text_col).alias("_text")).join(
+        members.groupBy(id_col).agg(F.min("component_id").alias("_component"), F.min("fingerprint").alias("_mark")), id_col
+    )
+    one = texts.groupBy(id_col).agg(
+        F.min("_component").alias("_component"), F.min("_mark").alias("_mark"), F.min("_text").alias("_text")
+    )
+    left = staged(_shingle_sets(one, width), "near-sets")
+    bits = [F.expr(f"sum(shiftrightunsigned(_mark, {bit}) & 1) as _{bit}") for bit in range(64)]
+    majority = F.expr(" | ".join(f"if(2 * _{bit} > _rows, shiftleft(1L, {bit}), 0L)" for bit in range(64)))
+    answers: DataFrame | None = None
+    while not left.isEmpty():
+        centres = staged(
+            left.groupBy("_component").agg(F.count("*").alias("_rows"), *bits).select("_component", "_rows", majority.alias("_centre")),
+            "near-centres",
+        )
+        distance = F.bit_count(F.col("_mark").bitwiseXOR(F.col("_centre")))
+        leaders = (
+            join_back(left.select("_component", id_col, "_mark"), centres, "_component", "_rows", id_col, "inner")
+            .groupBy("_component")
+            .agg(F.min(F.struct(distance.alias("far"), F.col(id_col).alias("id"))).alias("_best"), F.first("_rows").alias("_rows"))
+            .select("_component", "_rows", F.col("_best.id").alias("_leader"))
+        )
+        sets = left.select(F.col(id_col).alias("_leader"), F.col("_set").alias("_led"))
+        leaders = staged(leaders.join(sets, "_leader"), "near-leaders")
+        shared = F.size(F.array_intersect("_set", "_led"))
+        union = F.size("_set") + F.size("_led") - shared
+        compared = staged(
+            join_back(left, leaders, "_component", "_rows", id_col, "inner").withColumn(
+                "_agrees", (union == 0) | (shared >= F.lit(similarity) * union)
+            ).drop("_led", "_rows"),
+            "near-compared",
+        )
+        agreed = compared.filter("_agrees").select(id_col, "_leader")
+        answers = agreed if answers is None else answers.union(agreed)
+        left = compared.filter("not _agrees").select(left.columns)
+    if answers is None:
+        return rows.select(id_col, F.col(id_col).alias("keep_id")).limit(0)
+    answers = staged(answers, "near-answers")
+    kept = staged(answers.groupBy("_leader").agg(F.min(id_col).alias("keep_id"), F.count("*").alias("_rows")).filter("_rows > 1"), "near-kept")
+    return join_back(answers, kept, "_leader", "_rows", id_col, "inner").select(id_col, "keep_id")
