@@ -43,6 +43,20 @@ def utf8(text: str) -> Column:
     return F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
 
 
+class Hidden:
+    """Columns of a caller under names of our own, so that no name of theirs can clash with ours."""
+
+    def __init__(self, df: DataFrame, added: tuple[str, ...]):
+        self.names = [name for name in df.columns if name not in added]
+        self.own = {name: f"_c{place}" for place, name in enumerate(self.names)}
+
+    def columns(self) -> list[Column]:
+        return [F.col(f"`{name}`").alias(own) for name, own in self.own.items()]
+
+    def back(self) -> list[Column]:
+        return [F.col(own).alias(name) for name, own in self.own.items()]
+
+
 def hot_keys(facts: DataFrame, key: str, count: str) -> list:
     """The keys that hold more than ``1/HOT_SHARE`` of the rows: fewer than ``HOT_SHARE`` values."""
     total = facts.agg(F.sum(count)).first()[0] or 0

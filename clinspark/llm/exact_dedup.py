@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import SPACES, join_back, staged
+from clinspark.llm.common import SPACES, Hidden, join_back, staged
 
 PREFIX_CHARS = 64
 # One bit per class of a refinement step; 2**26 bits are at most 17 MB of (word, mask) rows.
@@ -71,12 +71,12 @@ def exact_dedup(
     table gives an empty table. Input columns named like the added ones are replaced.
     ``full_hash`` is null for rows that were told apart earlier unless ``hash_all`` asks for it.
     """
-    added = ("keep_id", "group_size", "kept", "full_hash")
-    carried = [name for name in docs.columns if name not in added]
-    text = normalised(text_col)
+    hidden = Hidden(docs, ("keep_id", "group_size", "kept", "full_hash"))
+    carried = list(hidden.own.values())
+    base = docs.select(*hidden.columns())
+    own, text = F.col(hidden.own[id_col]), normalised(hidden.own[text_col])
     length = F.length(text).cast("long")
     prefix = F.xxhash64(length, F.substring(text, 1, PREFIX_CHARS))
-    base = docs.select(*carried)
 
     sizes = staged(base.select(length.alias("_length"), prefix.alias("_prefix")), "dedup-sizes")
     lengths = staged(sizes.groupBy("_length").agg(F.count("*").alias("_rows")), "dedup-lengths")
@@ -91,34 +91,20 @@ def exact_dedup(
     prefixes = staged(prefixes, "dedup-prefixes")
     bits = bits_for(prefixes)
     by_prefix = staged(class_marks(prefixes, F.col("_prefix"), bits), "dedup-marks")
-
-    def surviving(columns: list[Column]) -> DataFrame:
-        return with_mark(base.select(*columns), by_prefix, prefix, bits, "_go")
+    rows = with_mark(base, by_prefix, prefix, bits, "_go")
 
     full = F.sha2(F.encode(text, "UTF-8"), 256)
-    everything = [F.col(name) for name in carried]
-    groups = (
-        surviving([F.col(id_col), F.col(text_col)])
-        .filter("_go")
-        .select(F.col(id_col), full.alias("full_hash"))
-        .groupBy("full_hash")
-        .agg(F.min(id_col).alias("keep_id"), F.count("*").alias("group_size"))
-    )
+    hashed = rows.filter("_go").withColumn("full_hash", full).drop("_go")
+    groups = hashed.groupBy("full_hash").agg(F.min(own).alias("keep_id"), F.count("*").alias("group_size"))
     groups = staged(groups, "dedup-groups")
-    own = F.col(id_col)
-    alone = surviving(everything).filter("not _go").select(
+    alone = rows.filter("not _go").select(
         *carried,
         own.alias("keep_id"),
         F.lit(1).cast("long").alias("group_size"),
         F.lit(True).alias("kept"),
         (full if hash_all else F.lit(None).cast("string")).alias("full_hash"),
     )
-    hashed = surviving(everything).filter("_go").withColumn("full_hash", full).drop("_go")
     grouped = join_back(hashed, groups, "full_hash", "group_size", own, "inner").select(
-        *carried,
-        "keep_id",
-        "group_size",
-        own.eqNullSafe(F.col("keep_id")).alias("kept"),
-        "full_hash",
+        *carried, "keep_id", "group_size", own.eqNullSafe(F.col("keep_id")).alias("kept"), "full_hash"
     )
-    return alone.unionByName(grouped)
+    return alone.unionByName(grouped).select(*hidden.back(), "keep_id", "group_size", "kept", "full_hash")

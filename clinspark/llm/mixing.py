@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import ROWS_PER_PIECE, SPACES, staged
+from clinspark.llm.common import ROWS_PER_PIECE, SPACES, Hidden, staged
 
 WEIGHTS = (3.0, 1.0, 2.0)
 TOTAL_SHARE = 1.5
@@ -89,16 +89,15 @@ def mix_sources(
     id and size are alike, and which of them is taken makes no difference. A source without words
     has target 0. Columns named like the added ones are replaced.
     """
-    added = ("source_size", "target", "copies", "taken")
-    carried = [name for name in docs.columns if name not in added]
+    hidden = Hidden(docs, ("source_size", "target", "copies", "taken"))
     sure = F.when(quality > 0, quality).otherwise(F.lit(1.0)).cast("double")
     rows = docs.select(
-        *carried,
+        *hidden.columns(),
         F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"),
         F.struct(F.col(source).isNull().alias("none"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("name")).alias("_source"),
         (-F.log(uniform(F.col(id_col))) / sure).alias("_key"),
     )
-    totals = rows.groupBy(F.col(source).alias("_named"), "_source").agg(
+    totals = rows.groupBy(F.col(hidden.own[source]).alias("_named"), "_source").agg(
         F.sum("_size").alias("size"), F.count("*").alias("_rows")
     )
     totals = staged(totals, "mix-totals")
@@ -121,7 +120,7 @@ def mix_sources(
         .select("_source", "_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_shift"))
         .join(plan, "_source")
     )
-    within = Window.partitionBy("_source", "_range").orderBy("_key", id_col, "_size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_source", "_range").orderBy("_key", hidden.own[id_col], "_size").rowsBetween(Window.unboundedPreceding, -1)
     summed = (
         ranged.withColumn("_before", F.coalesce(F.sum("_size").over(within), F.lit(0)))
         .join(shifts, ["_source", "_range"])
@@ -130,5 +129,5 @@ def mix_sources(
     middle = F.col("_shift") + F.col("_before") + F.col("_size") / F.lit(2.0)
     copies = (F.col("_epochs") + F.when((F.col("_size") > 0) & (middle <= F.col("_rest")), 1).otherwise(0)).cast("long")
     return summed.withColumn("copies", copies).select(
-        *carried, "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("_size")).alias("taken")
+        *hidden.back(), "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("_size")).alias("taken")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import gapless
+from clinspark.llm.common import Hidden, gapless
 
 
 def _score(key: Column, shard: int, weight: float) -> Column:
@@ -46,10 +46,12 @@ def shard_records(
     Input columns named like the added ones are replaced; an empty table gives an empty table.
     """
     weights = weights or [1.0] * 8
-    carried = [name for name in docs.columns if name not in ("shard", "grown_shard", "slot")]
+    hidden = Hidden(docs, ("shard", "grown_shard", "slot"))
     placed = docs.select(
-        *carried,
+        *hidden.columns(),
         rendezvous_shard(F.col(key), weights).cast("int").alias("shard"),
         rendezvous_shard(F.col(key), [*weights, 1.0]).cast("int").alias("grown_shard"),
     )
-    return gapless(placed, ["shard"], order or [key], "slot", docs.select(key).count())
+    places = [hidden.own[name] for name in order or [key]]
+    slots = gapless(placed, ["shard"], places, "slot", docs.select(key).count())
+    return slots.select(*hidden.back(), "shard", "grown_shard", "slot")
