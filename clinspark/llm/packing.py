@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -11,45 +13,71 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import gapless, staged
+from clinspark.llm.common import Hidden, gapless, staged
 
 SEQUENCE_TOKENS = 4096
 END_ID = 2
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000  # per generation and worker process
 # Characters for which lower-casing and composing a text is the same in Python as in the tokenizer.
 _PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-įı-ſ]*")
+_CONTROLS = re.compile("[\x1c-\x1f]")
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class WordIds(dict):
+    """Ids of words as bytes, in two generations: when the young one is full it becomes the old one, and
+    words still in use move over, so memory is bounded and rare words fade out."""
+
+    def __init__(self, tokenizer, size: int):
+        super().__init__()
+        self.tokenizer, self.size, self.old = tokenizer, size, {}
+
+    def encoded(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            core = word.strip(_PUNCTUATION)
+            if word.isascii() and core.isalpha() and "'" not in word:
+                if core == word:
+                    tokens = self.tokenizer.model.tokenize(word)
+                    ids = array("I", [token.id for token in tokens]).tobytes()
+                else:  # marks around letters are pieces of their own
+                    before, _, after = word.partition(core)
+                    ids = b"".join([self[piece] for piece in (before, core, after) if piece])
+            else:
+                ids = self.encoded(word)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
 
 def word_encoder(path: str) -> Callable[[str], bytes]:
     """Text to little-endian unsigned 32-bit ids with the tokenizer file at ``path``.
 
     The tokenizer drops white space and encodes what lies between on its own, so ids are kept per
-    word (a bounded store). Texts with characters outside ``_PLAIN``, where its Unicode rules could
-    differ from Python's, are given to it whole.
+    word. Texts with characters outside ``_PLAIN``, where its Unicode rules could differ from Python's,
+    are given to it whole. A worker process keeps its encoder from task to task.
     """
-    from tokenizers import Tokenizer
+    kept = sys.__dict__.setdefault("_word_encoders", {})
+    if path not in kept:
+        from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-
-    def encoded(text: str) -> bytes:
-        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    class Words(dict):
-        def __missing__(self, word: str) -> bytes:
-            if len(self) >= CACHED_WORDS:
-                self.clear()
-            self[word] = ids = encoded(word)
-            return ids
-
-    words = Words()
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        kept[path] = WordIds(tokenizer, CACHED_WORDS)
+    words = kept[path]
 
     def encode(text: str) -> bytes:
-        if _PLAIN.fullmatch(text):
+        if text.isascii() and not _CONTROLS.search(text) or _PLAIN.fullmatch(text):
             return b"".join([words[word] for word in text.lower().split()])
-        return encoded(text)
+        return words.encoded(text)
 
     return encode
 
@@ -133,25 +161,26 @@ def pack(pieces: DataFrame, order: list[str], most: int = SEQUENCE_TOKENS) -> Da
     apart; equal pieces may swap places. Columns named like the added ones are replaced.
     """
     spark = pieces.sparkSession
-    carried = [name for name in pieces.columns if name not in ("sequence_id", "offset")]
-    rows = pieces.select(*carried)
-    histogram = {row["length"]: row["count"] for row in rows.groupBy("length").count().collect()}
+    hidden = Hidden(pieces, ("sequence_id", "offset"))
+    length, order = hidden.own["length"], [hidden.own[name] for name in order]
+    rows = pieces.select(*hidden.columns())
+    histogram = {row[0]: row[1] for row in rows.groupBy(length).count().collect()}
     if not histogram:
-        return rows.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
+        return pieces.select(*hidden.names, F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     served = dict.fromkeys(histogram, 0)
     places, sequence = [], 0
     for pattern, packs in sorted(shortest_pack_first(histogram, most).items(), reverse=True):
         offset = 0
-        for length in pattern:
-            places.append((length, served[length], served[length] + packs, sequence, offset))
-            served[length] += packs
-            offset += length
+        for piece in pattern:
+            places.append((piece, served[piece], served[piece] + packs, sequence, offset))
+            served[piece] += packs
+            offset += piece
         sequence += packs
     ranges = spark.createDataFrame(places, "_length long, _from long, _to long, _sequence long, offset long")
-    ranked = gapless(rows, ["length"], order, "_rank", sum(histogram.values()))
-    here = (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
+    ranked = gapless(rows, [length], order, "_rank", sum(histogram.values()))
+    here = (F.col(length) == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     return ranked.join(F.broadcast(ranges), here).select(
-        *carried, (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset"
+        *hidden.back(), (F.col("_sequence") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset"
     )
 
 
