@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import join_back, staged
+from clinspark.llm.common import SALTS, join_back, staged
 from clinspark.llm.components import components
 
 TILE = 16_384
-ROWS_AT_A_TIME = 32
+LEFT_AT_A_TIME, RIGHT_AT_A_TIME = 64, 2_048  # comparisons whose working set stays in a core's cache
 SHINGLES_AT_A_TIME = 65_536
+LEADERS = 16  # documents of a component that all others of it are compared with, per round
+LOCAL_SHINGLES = 2_000_000  # a component with more shingle hashes is worked on by several tasks
+LANES, WIDE_RADIUS = 4, 52  # fingerprints of 256 bits for the verified near-duplicate search
 _LOWER = bytes(byte + 32 if 65 <= byte <= 90 else byte for byte in range(256))
 
 
@@ -41,14 +46,26 @@ def shingle_hashes(text: str | None, width: int, seed: int = 42) -> Iterator[np.
         yield np.array(values, dtype="<u8")
 
 
-def fingerprint(text: str | None, width: int, seed: int = 42) -> int:
-    """64-bit SimHash of a whole text: a bit is 1 if it is set in over half of the shingle hashes."""
-    counts, total = np.zeros(64, dtype=np.int64), 0
+def _spread(hashes: np.ndarray, lane: int) -> np.ndarray:
+    """Further 64 hash bits of shingles for ``lane`` > 0 (the finalizer of SplitMix64)."""
+    if not lane:
+        return hashes
+    out = hashes + np.uint64(0x9E3779B97F4A7C15 * lane % 2**64)
+    out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return out ^ (out >> np.uint64(31))
+
+
+def fingerprint(text: str | None, width: int, lanes: int = 1, seed: int = 42) -> np.ndarray:
+    """SimHash of a whole text, ``lanes`` times 64 bits: a bit is 1 if it is set in over half of the
+    shingle hashes."""
+    counts, total = np.zeros((lanes, 64), dtype=np.int64), 0
     for hashes in shingle_hashes(text, width, seed):
-        octets = hashes.view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        for lane in range(lanes):
+            octets = _spread(hashes, lane).view(np.uint8).reshape(-1, 8)
+            counts[lane] += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         total += len(hashes)
-    return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
+    return np.packbits(2 * counts > total, axis=1, bitorder="little").view("<u8")[:, 0]
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -57,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [fingerprint(text.as_py(), width) for text in batch.column("text")]
+            values = [fingerprint(text.as_py(), width)[0] for text in batch.column("text")]
             marks = np.array(values, dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(marks)], ["id", "fingerprint"])
 
@@ -66,80 +83,102 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int) -> Dat
 
 
 def linked_in_tile(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what the pairs within ``radius`` bits connect, fewer than there are nodes.
+    """Positions in ``left`` then ``right`` (both (n, lanes)) whose links connect what the pairs within
+    ``radius`` bits connect, fewer than there are positions.
 
-    All pairs are compared; a group of m alike fingerprints then needs m - 1 links, not m * m.
+    All pairs are compared; a group of m alike fingerprints then needs m - 1 links, not m * m. The
+    first two lanes rule out most pairs, the others are looked at for the rest.
     """
-    nodes = np.concatenate([left, right])
-    label = np.arange(len(nodes))
-    for at in range(0, len(left), ROWS_AT_A_TIME):
-        differ = np.bitwise_count(left[at : at + ROWS_AT_A_TIME, None] ^ right[None, :])
-        near = differ <= radius
-        for row in np.flatnonzero(near.any(axis=1)):
-            met = np.flatnonzero(near[row]) + len(left)
-            classes = np.unique(np.append(label[met], label[at + row]))
-            if len(classes) > 1:
-                label[np.isin(label, classes)] = classes[0]
-    moved = np.flatnonzero(label != np.arange(len(nodes)))
-    return nodes[moved], nodes[label[moved]]
-
-
-def _halves(mark: str) -> tuple:
-    low = F.bit_count(F.col(mark).bitwiseAND(F.lit(0xFFFFFFFF)))
-    high = F.bit_count(F.shiftrightunsigned(F.col(mark), 32))
-    return low, high
-
-
-def near_links(marks: DataFrame, radius: int) -> DataFrame:
-    """Links (``left``, ``right``) whose components are those of "at most ``radius`` bits differ".
-
-    ``marks`` holds distinct fingerprints. They are sorted into cells by the population counts of
-    their two halves; a change of one bit changes one of the two counts by one, so cells whose counts
-    differ by more than ``radius`` in sum hold no pair and their tiles never meet. A cell is dealt to
-    tiles of about ``TILE`` fingerprints. Each pair of remaining tiles is compared once. The only
-    thing the driver sees is the number of fingerprints per cell, 33 x 33 numbers.
+    label = np.arange(len(left) + len(right))
+    lanes = [(left[:, lane].copy(), right[:, lane].copy()) for lane in range(left.shape[1])]
+    for top in range(0, len(left), LEFT_AT_A_TIME):
+        for at in range(0, len(right), RIGHT_AT_A_TIME):
+            rows, columns = slice(top, top + LEFT_AT_A_TIME), slice(at, at + RIGHT_AT_A_TIME)
+            differ = np.bitwise_count(lanes[0][0][rows, None] ^ lanes[0][1][None, columns])
+            for one, two in lanes[1:2]:
+                differ += np.bitwise_count(one[rows, None] ^ two[None, columns])
+            near = differ <= radius
+            if not near.any():
+                continue
+            i, j = np.nonzero(near)
+            bits = differ[i, j].astype(np.int64)
+            i, j = i + top, j + at
+            for one, two in lanes[2:]:
+                bits += np.bitwise_count(one[i] ^ two[j])
+            i, j = i[bits <= radius], j[bits <= radius] + len(left)
+            heads = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else i
+            for head, tail in zip(heads, np.append(heads[1:], len(i))):
+                classes = np.unique(np.append(label[j[head:tail]], label[i[head]]))
+                if len(classes) > 1:
+                    label[np.isin(label, classes)] = classes[0]
+    moved = np.flatnonzero(label != np.arange(len(label)))
+    return moved, label[moved]
+
+
+def tile_links(marks: DataFrame, met: list[tuple[int, int]], counts: dict[int, int], lanes: int, radius: int, tile: int) -> DataFrame:
+    """Links (``left``, ``right``) between nodes that connect what fingerprints within ``radius`` bits
+    connect.
+
+    ``marks`` are (``node`` long, ``mark`` binary, ``cell`` int) with different marks; ``met`` are the
+    pairs of cells (first <= second) that can hold such fingerprints, ``counts`` the nodes per cell.
+    Cells are dealt to tiles of about ``tile`` nodes, and each pair of tiles of meeting cells is
+    compared once, in a task of its own size.
     """
     spark = marks.sparkSession
-    low, high = _halves("fingerprint")
-    celled = marks.withColumn("cell", (low * 33 + high).cast("int"))
-    counts = {row["cell"]: row["count"] for row in celled.groupBy("cell").count().collect()}
-    parts = {cell: -(-count // TILE) for cell, count in counts.items()}
+    parts = {cell: -(-count // tile) for cell, count in counts.items()}
     cells = spark.createDataFrame(list(parts.items()), "cell int, parts int")
-    # For each cell the cells not before it within reach, each with its number of tiles.
-    met = [
-        (cell, other, parts[other])
-        for cell in parts
-        for other in parts
-        if other >= cell and abs(other // 33 - cell // 33) + abs(other % 33 - cell % 33) <= radius
-    ]
-    reach = spark.createDataFrame(met, "cell int, to_cell int, to_parts int")
+    reach = spark.createDataFrame([(one, two, parts[two]) for one, two in met], "cell int, to_cell int, to_parts int")
     tiles = (
-        celled.join(F.broadcast(cells), "cell")
-        .withColumn("tile", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
+        marks.join(F.broadcast(cells), "cell")
+        .withColumn("tile", F.pmod(F.xxhash64("mark"), F.col("parts")).cast("int"))
         .groupBy("cell", "tile")
-        .agg(F.collect_list("fingerprint").alias("marks"))
+        .agg(F.collect_list(F.struct("node", "mark")).alias("members"))
     )
     tiles = staged(tiles, "simhash-tiles")
     sources = (
         tiles.join(F.broadcast(reach), "cell")
-        .select("cell", "tile", F.col("marks").alias("sources"), "to_cell", F.explode(F.sequence(F.lit(0), F.col("to_parts") - 1)).alias("to_tile"))
+        .select("cell", "tile", F.col("members").alias("sources"), "to_cell", F.explode(F.sequence(F.lit(0), F.col("to_parts") - 1)).alias("to_tile"))
         .filter("to_cell > cell or to_tile >= tile")
     )
-    targets = tiles.select(F.col("cell").alias("to_cell"), F.col("tile").alias("to_tile"), F.col("marks").alias("targets"))
-    meeting = sources.join(targets, ["to_cell", "to_tile"])
+    targets = tiles.select(F.col("cell").alias("to_cell"), F.col("tile").alias("to_tile"), F.col("members").alias("targets"))
+
+    def bits(members: pa.StructArray) -> np.ndarray:
+        blob = b"".join(members.field("mark").to_pylist())
+        return np.frombuffer(blob, dtype=">u8").astype(np.uint64).reshape(-1, lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for source, target in zip(batch.column("sources"), batch.column("targets")):
-                left = np.asarray(source.values, dtype=np.int64).view(np.uint64)
-                right = np.asarray(target.values, dtype=np.int64).view(np.uint64)
-                a, b = linked_in_tile(left, right, radius)
-                keep = a != b
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[keep].view(np.int64)), pa.array(b[keep].view(np.int64))], ["left", "right"]
-                )
+                one, two = source.values, target.values
+                a, b = linked_in_tile(bits(one), bits(two), radius)
+                nodes = np.concatenate([one.field("node").to_numpy(), two.field("node").to_numpy()])
+                keep = nodes[a] != nodes[b]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[a][keep]), pa.array(nodes[b][keep])], ["left", "right"])
+
+    meeting = sources.join(targets, ["to_cell", "to_tile"]).select("sources", "targets")
+    return meeting.mapInArrow(run, "left long, right long")
 
-    return meeting.select("sources", "targets").mapInArrow(run, "left long, right long")
+
+def near_links(marks: DataFrame, radius: int) -> DataFrame:
+    """Links (``left``, ``right``) whose components are those of "at most ``radius`` bits differ".
+
+    ``marks`` holds different 64-bit fingerprints. They are sorted into cells by the population counts
+    of their two halves; a change of one bit changes one of the two counts by one, so cells whose
+    counts differ by more than ``radius`` in sum hold no pair and their tiles never meet. The driver
+    sees the number of fingerprints per cell, 33 x 33 numbers.
+    """
+    low = F.bit_count(F.col("fingerprint").bitwiseAND(F.lit(0xFFFFFFFF)))
+    high = F.bit_count(F.shiftrightunsigned("fingerprint", 32))
+    mark = F.unhex(F.lpad(F.hex("fingerprint"), 16, "0"))
+    celled = marks.select(F.col("fingerprint").alias("node"), mark.alias("mark"), (low * 33 + high).cast("int").alias("cell"))
+    counts = {row["cell"]: row["count"] for row in celled.groupBy("cell").count().collect()}
+    met = [
+        (one, two)
+        for one in counts
+        for two in counts
+        if two >= one and abs(two // 33 - one // 33) + abs(two % 33 - one % 33) <= radius
+    ]
+    return tile_links(celled, met, counts, 1, radius, TILE)
 
 
 def simhash_groups(
@@ -173,7 +212,7 @@ def simhash_groups(
     )
 
 
-def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
+def _sets(rows: DataFrame, width: int) -> DataFrame:
     """``rows`` with ``_set``, the sorted different shingle hashes, in place of ``_text``."""
     carried = [name for name in rows.columns if name != "_text"]
     place = rows.columns.index("_text")
@@ -191,75 +230,161 @@ def _shingle_sets(rows: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _wide_marks(rows: DataFrame, width: int) -> DataFrame:
+    """(``id``, ``mark``, ``size``): fingerprints of ``LANES`` x 64 bits and numbers of different shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, dtype="<u8")
+        for batch in batches:
+            marks, sizes = [], []
+            for text in batch.column("text").to_pylist():
+                marks.append(fingerprint(text, width, LANES).astype(">u8").tobytes())
+                sizes.append(len(np.unique(np.concatenate([none, *shingle_hashes(text, width)]))))
+            columns = [batch.column("id"), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "size"])
+
+    return rows.select("id", "text").mapInArrow(run, "id long, mark binary, size long")
+
+
+def _one_round(left: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """A round over components of any size: links (id, leader), and the documents that have none."""
+    lanes = ("_mark", "_mark2")
+    bits = [F.expr(f"sum(shiftrightunsigned({lane}, {bit}) & 1) as {lane}_{bit}") for lane in lanes for bit in range(64)]
+    majority = [
+        F.expr(" | ".join(f"if(2 * {lane}_{bit} > _rows, shiftleft(1L, {bit}), 0L)" for bit in range(64))).alias(f"_centre{lane}")
+        for lane in lanes
+    ]
+    centres = left.groupBy("_component").agg(F.count("*").alias("_rows"), *bits)
+    centres = staged(centres.select("_component", "_rows", *majority), "near-centres")
+    distance = sum(F.bit_count(F.col(lane).bitwiseXOR(F.col(f"_centre{lane}"))) for lane in lanes)
+    placed = join_back(left, centres, "_component", "_rows", "id", "inner").withColumn("_far", distance)
+    # The nearest of each slice of a component, then the nearest of those: no task sorts a component.
+    sliced = Window.partitionBy("_component", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy("_far", "id")
+    whole = Window.partitionBy("_component").orderBy("_far", "id")
+    nearest = placed.withColumn("_place", F.row_number().over(sliced)).filter(F.col("_place") <= LEADERS)
+    nearest = nearest.withColumn("_place", F.row_number().over(whole)).filter(F.col("_place") <= LEADERS)
+    led_by = nearest.groupBy("_component").agg(
+        F.collect_list(F.struct(F.col("id").alias("leader"), F.col("_set").alias("set"))).alias("_leaders"), F.first("_rows").alias("_rows")
+    )
+    led_by = staged(led_by, "near-leaders")
+
+    def agrees(leader: Column) -> Column:
+        shared = F.size(F.array_intersect(F.col("_set"), leader["set"]))
+        union = F.size("_set") + F.size(leader["set"]) - shared
+        return (union == 0) | (shared >= F.lit(similarity) * union)
+
+    met = F.transform(F.filter("_leaders", agrees), lambda leader: leader["leader"])
+    compared = join_back(left, led_by, "_component", "_rows", "id", "inner").withColumn("_met", met)
+    compared = staged(compared.drop("_leaders", "_rows"), "near-compared")
+    links = compared.select("id", F.explode("_met").alias("leader"))
+    return links, compared.filter(F.size("_met") == 0).select(left.columns)
+
+
+def led(ids: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """The links (id, leader) of all rounds of one component."""
+    links: list[tuple[int, int]] = []
+    left = np.arange(len(ids))
+    while len(left):
+        octets = np.ascontiguousarray(marks[left], dtype="<u8").view(np.uint8)
+        counts = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        centre = np.packbits(2 * counts > len(left), bitorder="little").view("<u8")
+        far = np.bitwise_count(marks[left] ^ centre).sum(axis=1, dtype=np.int64)
+        leaders = left[np.lexsort((ids[left], far))[:LEADERS]]
+        alone = []
+        for at in left:
+            met = []
+            for leader in leaders:
+                shared = len(np.intersect1d(sets[at], sets[leader], assume_unique=True))
+                union = len(sets[at]) + len(sets[leader]) - shared
+                if not union or shared >= similarity * union:
+                    met.append((int(ids[at]), int(ids[leader])))
+            links += met
+            if not met:
+                alone.append(at)
+        left = np.array(alone, dtype=np.int64)
+    return links
+
+
+def _led_locally(similarity: float):
+    def run(group: pa.Table) -> pa.Table:
+        ids = group["id"].to_numpy()
+        marks = np.stack([group[lane].to_numpy().view(np.uint64) for lane in ("_mark", "_mark2")], axis=1)
+        sets = [np.array(chunk.values) for part in group["_set"].chunks for chunk in part]
+        links = led(ids, marks, sets, similarity)
+        columns = [pa.array([link[at] for link in links], pa.int64()) for at in (0, 1)]
+        return pa.Table.from_arrays(columns, ["id", "leader"])
+
+    return run
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     width: int = 5,
-    radius: int = 8,
     similarity: float = 0.8,
+    radius: int = WIDE_RADIUS,
 ) -> DataFrame:
-    """(id, ``keep_id``) of the documents that have a near duplicate with another id, ids not null.
-
-    Candidates are the components of fingerprints within ``radius`` bits. An exact check follows: in
-    each component the document whose fingerprint is nearest to the component's bitwise majority leads;
-    documents whose sets of ``width``-word shingles have at least ``similarity`` in common with the
-    leader's (Jaccard) form its group, the smallest id of a group stays. Documents that do not agree
-    with the leader form the next round of their component, until none is left. Each document is
-    compared with one leader per round, never with all others of its component, and leaders reach hot
-    components through the salted look-up.
-
-    Copies are found as well (similarity 1). Texts without words have similarity 1 to each other.
-    Rows that repeat an id are one document, represented by its first text in text order.
+    """(id, ``keep_id``) of the documents that share a group with another id; ids are longs.
+
+    Candidates are components of 256-bit fingerprints within ``radius`` bits, compared in tiles. Texts
+    of Jaccard similarity 0.8 differ in about 39 +- 6 of 256 bits, unrelated ones in 128 +- 8, so
+    nearly all pairs wanted are candidates and hardly any others. Sizes of the shingle sets of such a
+    pair differ by a factor of at most ``1 / similarity``, so texts are sorted into cells of that width
+    and only neighbouring cells meet.
+
+    An exact check follows: in each component the ``LEADERS`` documents whose fingerprints (their first
+    128 bits) are nearest to the bitwise majority lead, the texts that the others are variants of. A
+    document is linked with each leader whose set of ``width``-word shingles has a Jaccard similarity of
+    at least ``similarity`` with its own; linked documents are a group and its smallest id stays.
+    Documents that agree with no leader form the next round of their component, until none is left. In
+    a component of up to ``LEADERS`` documents this compares all of them with each other; in a larger
+    one a document meets ``LEADERS`` others per round, never all. Components whose sets hold up to
+    ``LOCAL_SHINGLES`` hashes go through their rounds in one task; larger ones round by round as joins,
+    in which leaders reach hot components through the salted look-up. Both ways have the same rule and
+    result.
+
+    Copies are found as well. Texts without words are alike. Rows with a null id are left out; rows
+    that repeat an id are one document with the least of its texts; an empty table gives an empty one.
     """
-    rows = docs.filter(F.col(id_col).isNotNull())
-    groups = simhash_groups(rows, id_col, text_col, width, radius)
-    several = staged(
-        groups.groupBy("component_id").agg(F.count("*").alias("_rows"), F.min(id_col).alias("_a"), F.max(id_col).alias("_b"))
-        .filter("_a <> _b")
-        .select("component_id", "_rows"),
-        "near-several",
-    )
-    members = staged(
-        join_back(groups.distinct(), several, "component_id", "_rows", id_col, "inner").drop("_rows"), "near-members"
-    )
-    texts = rows.select(F.col(id_col), F.col(text_col).alias("_text")).join(
-        members.groupBy(id_col).agg(F.min("component_id").alias("_component"), F.min("fingerprint").alias("_mark")), id_col
-    )
-    one = texts.groupBy(id_col).agg(
-        F.min("_component").alias("_component"), F.min("_mark").alias("_mark"), F.min("_text").alias("_text")
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    marks = staged(_wide_marks(rows, width), "near-marks")
+    band = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-math.log(similarity)) + 1e-9).cast("int")
+    nodes = marks.groupBy("mark").agg(F.min("id").alias("node"), F.min("size").alias("size"), F.count("*").alias("_rows"))
+    # Another fingerprint may have the same least id if rows repeat it: such nodes are one.
+    nodes = staged(nodes.withColumn("cell", F.when(F.col("size") == 0, -1).otherwise(band)), "near-nodes")
+    counts = {row["cell"]: row["count"] for row in nodes.groupBy("cell").count().collect()}
+    met = [(one, two) for one in counts for two in (one, one + 1) if two in counts and one >= 0] + [(-1, -1)] * (-1 in counts)
+    links = tile_links(nodes.select("node", "mark", "cell"), met, counts, LANES, radius, TILE // LANES)
+    linked = components(links)
+    several = (
+        nodes.join(linked, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+        .select("mark", "component", "_rows")
     )
-    left = staged(_shingle_sets(one, width), "near-sets")
-    bits = [F.expr(f"sum(shiftrightunsigned(_mark, {bit}) & 1) as _{bit}") for bit in range(64)]
-    majority = F.expr(" | ".join(f"if(2 * _{bit} > _rows, shiftleft(1L, {bit}), 0L)" for bit in range(64)))
-    answers: DataFrame | None = None
+    sizes = several.groupBy("component").agg(F.sum("_rows").alias("_all")).filter("_all > 1")
+    known = staged(several.join(sizes, "component").select("mark", "component", "_rows"), "near-known")
+    members = join_back(marks.select("id", "mark"), known, "mark", "_rows", "id", "inner")
+    mine = members.groupBy("id").agg(F.min("component").alias("_component"), F.min(F.hex("mark")).alias("_hex"))
+    lanes = [F.conv(F.substring("_hex", at, 16), 16, -10).cast("long") for at in (1, 17)]
+    one = rows.join(mine, "id").groupBy("id", "_component", "_hex").agg(F.min("text").alias("_text"))
+    one = one.select("id", "_component", lanes[0].alias("_mark"), lanes[1].alias("_mark2"), "_text")
+    left = staged(_sets(one, width), "near-sets")
+    answers: list[DataFrame] = []
     while not left.isEmpty():
-        centres = staged(
-            left.groupBy("_component").agg(F.count("*").alias("_rows"), *bits).select("_component", "_rows", majority.alias("_centre")),
-            "near-centres",
-        )
-        distance = F.bit_count(F.col("_mark").bitwiseXOR(F.col("_centre")))
-        leaders = (
-            join_back(left.select("_component", id_col, "_mark"), centres, "_component", "_rows", id_col, "inner")
-            .groupBy("_component")
-            .agg(F.min(F.struct(distance.alias("far"), F.col(id_col).alias("id"))).alias("_best"), F.first("_rows").alias("_rows"))
-            .select("_component", "_rows", F.col("_best.id").alias("_leader"))
-        )
-        sets = left.select(F.col(id_col).alias("_leader"), F.col("_set").alias("_led"))
-        leaders = staged(leaders.join(sets, "_leader"), "near-leaders")
-        shared = F.size(F.array_intersect("_set", "_led"))
-        union = F.size("_set") + F.size("_led") - shared
-        compared = staged(
-            join_back(left, leaders, "_component", "_rows", id_col, "inner").withColumn(
-                "_agrees", (union == 0) | (shared >= F.lit(similarity) * union)
-            ).drop("_led", "_rows"),
-            "near-compared",
-        )
-        agreed = compared.filter("_agrees").select(id_col, "_leader")
-        answers = agreed if answers is None else answers.union(agreed)
-        left = compared.filter("not _agrees").select(left.columns)
-    if answers is None:
-        return rows.select(id_col, F.col(id_col).alias("keep_id")).limit(0)
-    answers = staged(answers, "near-answers")
-    kept = staged(answers.groupBy("_leader").agg(F.min(id_col).alias("keep_id"), F.count("*").alias("_rows")).filter("_rows > 1"), "near-kept")
-    return join_back(answers, kept, "_leader", "_rows", id_col, "inner").select(id_col, "keep_id")
+        sizes = left.groupBy("_component").agg(F.count("*").alias("_rows"), F.sum(F.size("_set") + 1).alias("_weight"))
+        sizes = staged(sizes, "near-sizes")
+        small = sizes.filter(F.col("_weight") <= LOCAL_SHINGLES)
+        here = join_back(left, small, "_component", "_rows", "id", "left_semi")
+        local = here.groupBy("_component").applyInArrow(_led_locally(similarity), "id long, leader long")
+        answers.append(staged(local, "near-local"))
+        large = staged(sizes.filter(F.col("_weight") > LOCAL_SHINGLES), "near-large")
+        if large.isEmpty():
+            break
+        left = staged(join_back(left, large.select("_component", "_rows"), "_component", "_rows", "id", "left_semi"), "near-left")
+        links, left = _one_round(left, similarity)
+        answers.append(links)
+    if not answers:
+        return rows.select(F.col("id").alias(id_col), F.col("id").alias("keep_id")).limit(0)
+    links = reduce(DataFrame.union, answers).select(F.col("id").alias("left"), F.col("leader").alias("right"))
+    return components(links).select(F.col("node").alias(id_col), F.col("component").alias("keep_id"))
