@@ -114,7 +114,7 @@ def detect_language_nl_en(spark, folder):
 
 
 NL_EN_SQL = f"""
-WITH s AS (SELECT doc_id, lower(substr(text, 1, 2000)) AS t FROM documents),
+WITH s AS (SELECT doc_id, lower(text) AS t FROM documents),
 c AS (SELECT doc_id, t,
   len(regexp_extract_all(t, '\\b(?:{sql_words(fixed.DUTCH_WORDS)})\\b'))
     + 2 * len(regexp_extract_all(t, '\\bwordt\\b')) AS nl,
@@ -139,7 +139,7 @@ def _five_counts() -> str:
 
 
 FIVE_SQL = f"""
-WITH s AS (SELECT doc_id, length(text) AS n, lower(substr(text, 1, 4000)) AS t FROM documents),
+WITH s AS (SELECT doc_id, length(text) AS n, lower(text) AS t FROM documents),
 c AS (SELECT doc_id, n, {_five_counts()} FROM s),
 b AS (SELECT *, greatest(eng, nld, deu, fra, spa) AS top,
   CASE greatest(eng, nld, deu, fra, spa) WHEN eng THEN 'eng' WHEN nld THEN 'nld' WHEN deu THEN 'deu'
@@ -458,31 +458,24 @@ def summary_prompts(spark, folder):
         "m", prompts.merge_prompt("text", "language", None)
     ).withColumn("f", prompts.fact_prompt("text", F.col("doc_id") % 3, F.lit(3), "language"))
     return ready.select(
-        "doc_id", F.length("p.system").alias("system_chars"), F.col("p.user").alias("summary_user"),
+        "doc_id", F.col("p.system").alias("summary_system"), F.col("p.user").alias("summary_user"),
         F.col("m.user").alias("merge_user"), F.col("m.truncated").alias("truncated"),
         F.col("f.user").alias("fact_user"),
     )
 
 
 SUMMARY_PROMPT_SQL = """
-SELECT doc_id, {chars} AS system_chars, 'Document to report on:' || chr(10) || chr(10) || text AS summary_user,
-  CASE WHEN length(text) > 3500 THEN 'Collected facts (condensed):' || chr(10) || chr(10) || substr(text, 1, 3500)
-    ELSE 'Collected facts:' || chr(10) || chr(10) || text END AS merge_user,
-  length(text) > 3500 AS truncated,
+SELECT doc_id, concat_ws(chr(10) || chr(10), 'You summarise clinical documents.',
+    'Write everything, headings included, in Dutch.',
+    'Use these sections and mark each heading with ##. Use short bullet points. State nothing that the text does not state; say so when a section has no content. Give the report only.',
+    '## Subjective' || chr(10) || 'What the text states on this subject.', '## Objective' || chr(10) || 'What the text states on this subject.',
+    '## Assessment' || chr(10) || 'What the text states on this subject.', '## Plan' || chr(10) || 'What the text states on this subject.') AS summary_system,
+  'Document to report on:' || chr(10) || chr(10) || text AS summary_user,
+  'Collected facts:' || chr(10) || chr(10) || text AS merge_user, false AS truncated,
   'Part ' || (doc_id % 3 + 1) || ' of 3:' || chr(10) || chr(10) || text AS fact_user
 FROM documents"""
 
 
-def _soap_chars() -> int:
-    rules = (
-        "Use these sections and mark each heading with ##. Use short bullet points. State nothing "
-        "that the text does not state; say so when a section has no content. Give the report only."
-    )
-    outline = "\n\n".join(f"## {s.title}\n{s.hints}" for s in prompts.TEMPLATES["soap"].sections)
-    task = "You summarise clinical documents."
-    return len("\n\n".join([task, "Write everything, headings included, in Dutch.", rules, outline]))
-
-
 def detection_prompts(spark, folder):
     turns = conversations(spark, folder).withColumn(
         "entities", F.array(F.struct(F.col("role").alias("entity"), F.lit("PERSON").alias("type")),
@@ -547,7 +540,7 @@ FIXED_CTE = f"""starts AS (SELECT doc_id, text, CAST(0 AS BIGINT) AS st FROM doc
   UNION ALL SELECT doc_id, text, CASE WHEN {_LAST} > 1500 THEN st + {_LAST} + 1 ELSE st + 3000 END - 200 FROM starts WHERE st + 3000 < length(text)),
 ends AS (SELECT doc_id, st, {sql_trim(f"substr(text, st + 1, CASE WHEN st + 3000 >= length(text) THEN 3000 WHEN {_LAST} > 1500 THEN {_LAST} + 1 ELSE 3000 END)")} AS piece FROM starts),
 windows AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY st) - 1 AS INTEGER) AS chunk_idx, piece AS text,
-  count(*) OVER (PARTITION BY doc_id) AS parts FROM ends WHERE length(piece) > 50)"""
+  count(*) OVER (PARTITION BY doc_id) AS parts FROM ends WHERE length(piece) > 0)"""
 CHUNK_FIXED_SQL = f"WITH RECURSIVE {FIXED_CTE} SELECT doc_id, chunk_idx, text FROM windows"
 
 
@@ -595,7 +588,7 @@ CHECKS = {
     "parse_entity_json": Check(parse_entities, PARSE_ENTITY_SQL),
     "parse_reject_json": Check(parse_rejects, PARSE_REJECT_SQL),
     "surface_from_span": Check(surface_from_span, SURFACE_SQL),
-    "summary_prompts": Check(summary_prompts, SUMMARY_PROMPT_SQL.format(chars=_soap_chars())),
+    "summary_prompts": Check(summary_prompts, SUMMARY_PROMPT_SQL),
     "detection_prompts": Check(detection_prompts, DETECTION_PROMPT_SQL),
     "rms_and_silence": Check(rms, RMS_SQL),
     "resample_16k": Check(resample, RESAMPLE_SQL),

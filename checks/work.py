@@ -12,7 +12,7 @@ from clinspark.functions.text import split_paragraphs
 from clinspark.operators import reports, sheets, speech
 from clinspark.operators.inference import safe_rows
 from clinspark.plans.speech import log_table, transcribe_long, transcript_log
-from clinspark.plans.summarize import fact_requests, routed, summarize
+from clinspark.plans.summarize import fact_groups, fact_requests, routed, summarize
 from clinspark.plans.translate import translate, translate_columns
 
 # --- sheets --------------------------------------------------------------------------------------
@@ -286,6 +286,53 @@ def summarize_documents(spark, folder):
     return summarize(documents(spark, folder), safe_rows(_brief))
 
 
+SUMMARIZE_SQL = f"""
+WITH RECURSIVE {FIXED_CTE},
+long AS (SELECT doc_id, string_agg(length('Part ' || (chunk_idx + 1) || ' of ' || parts || ':' || chr(10) || chr(10) || text) || ' chars',
+    chr(10) || chr(10) ORDER BY chunk_idx) AS facts FROM windows GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN length(d.text) <= 6000 THEN 'single' ELSE 'multi' END AS route, false AS truncated,
+  CASE WHEN length(d.text) <= 6000 THEN length(d.text) + 24 ELSE length(facts) + length('Collected facts:' || chr(10) || chr(10)) END || ' chars' AS summary,
+  NULL::VARCHAR AS error
+FROM documents d LEFT JOIN long USING (doc_id) WHERE {sql_trim("coalesce(d.text, '')")} <> ''"""
+
+
+def summary_failures(spark, folder):
+    """A model that fails on every second part and on the single request of every fifth document."""
+
+    def model(row):
+        if row["user"].startswith("Part 2 of"):
+            raise ValueError("part")
+        if row["user"].startswith("Document") and row["doc_id"] % 5 == 0:
+            raise ValueError("whole")
+        return "fine"
+
+    return summarize(documents(spark, folder), safe_rows(model)).select("doc_id", "route", "summary", "error")
+
+
+SUMMARY_FAILURES_SQL = f"""
+SELECT doc_id, CASE WHEN length(text) <= 6000 THEN 'single' ELSE 'multi' END AS route,
+  CASE WHEN length(text) > 6000 OR doc_id % 5 <> 0 THEN 'fine' END AS summary,
+  CASE WHEN length(text) > 6000 THEN 'part 2: ValueError: part' WHEN doc_id % 5 = 0 THEN 'ValueError: whole' END AS error
+FROM documents WHERE {sql_trim("coalesce(text, '')")} <> ''"""
+
+
+def merge_rounds(spark, folder):
+    """One round of merging with the windows of long documents as their facts."""
+    asked = fact_requests(routed(documents(spark, folder)), "doc_id", "text")
+    facts = asked.select("doc_id", "language", "chunk_idx", F.col("user").alias("fact"), F.lit(None).cast("string").alias("part_error"))
+    groups = fact_groups(facts, "doc_id", 3500)
+    return groups.select("doc_id", F.col("chunk_idx").cast("bigint").alias("chunk_idx"), "groups", "facts")
+
+
+MERGE_ROUNDS_SQL = f"""
+WITH RECURSIVE {FIXED_CTE},
+f AS (SELECT w.doc_id, w.chunk_idx, 'Part ' || (w.chunk_idx + 1) || ' of ' || parts || ':' || chr(10) || chr(10) || w.text AS fact
+  FROM windows w JOIN documents d ON d.doc_id = w.doc_id WHERE length(d.text) > 6000),
+p AS (SELECT *, coalesce(sum(length(fact) + 2) OVER (PARTITION BY doc_id ORDER BY chunk_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f),
+g AS (SELECT doc_id, least(CAST(floor(before / 3500) AS BIGINT), chunk_idx // 2) AS g, string_agg(fact, chr(10) || chr(10) ORDER BY chunk_idx) AS facts FROM p GROUP BY ALL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS chunk_idx, count(*) OVER (PARTITION BY doc_id) AS groups, facts FROM g"""
+
+
 def single_pass_summaries(spark, folder):
     """Documents that fit one prompt: the model reports the length of its prompt."""
     done = summarize(documents(spark, folder), safe_rows(_brief))
@@ -334,7 +381,9 @@ CHECKS = {
     "translate_paragraphs": Check(translate_paragraphs, TRANSLATE_PARAGRAPHS_SQL),
     "translation_failures": Check(translation_failures, FAILURES_SQL),
     "translate_sheet": Check(translate_sheet, TRANSLATE_SHEET_SQL),
-    "summarize_documents": Check(summarize_documents),
+    "summarize_documents": Check(summarize_documents, SUMMARIZE_SQL),
+    "summary_failures": Check(summary_failures, SUMMARY_FAILURES_SQL),
+    "merge_rounds": Check(merge_rounds, MERGE_ROUNDS_SQL),
     "single_pass_summaries": Check(single_pass_summaries, SINGLE_SQL),
     "routed_documents": Check(routed_documents, ROUTED_SQL),
     "fact_requests": Check(fact_request_table, FACTS_SQL),

@@ -8,7 +8,8 @@ chunker is a plain SQL expression.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,99 +18,174 @@ from pyspark.sql import functions as F
 from clinspark.fixed_values import CHUNK_DEFAULT, CHUNK_SENTENCES, CHUNK_SUMMARY, SPACE_CHARS
 from clinspark.functions.text import as_column, split_sentences
 
-_SENTENCE_MARKS = (". ", "! ", "? ", "; ")
-_SUMMARY_MARKS = (".\n", ". ", "?\n", "? ")
+_SENTENCE_MARK = re.compile("[.!?;] ")
+_SUMMARY_MARK = re.compile("[.?][\\n ]")
 _LINE_BREAKS = re.compile("\n+")
 
+Span = tuple[int, int]
+
+
+class Breaks:
+    """Offsets of one kind of break in a text, found once and searched by bisection."""
+
+    def __init__(self, places: Iterable[int]):
+        self.places = list(places)
+
+    @classmethod
+    def of(cls, pattern: re.Pattern, text: str) -> Breaks:
+        return cls(match.start() for match in pattern.finditer(text))
+
+    def first(self, low: int, high: int) -> int | None:
+        """The least offset in ``low <= offset < high``."""
+        at = bisect_left(self.places, low)
+        return self.places[at] if at < len(self.places) and self.places[at] < high else None
+
+    def last(self, low: int, high: int) -> int | None:
+        """The greatest offset in ``low <= offset < high``."""
+        at = bisect_left(self.places, high) - 1
+        return self.places[at] if at >= 0 and self.places[at] >= low else None
+
+
+class Outline:
+    """A text and where it can be cut. All rules below work on offsets; text is sliced at the end."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.sentences = Breaks.of(_SENTENCE_MARK, text)
+        self.spaces = Breaks.of(re.compile(" "), text)
+
+    def trimmed(self, start: int, end: int) -> Span:
+        while start < end and self.text[start] in SPACE_CHARS:
+            start += 1
+        while end > start and self.text[end - 1] in SPACE_CHARS:
+            end -= 1
+        return start, end
+
+    def paragraphs(self) -> Iterator[Span]:
+        """What lies between runs of line breaks, without blank ones."""
+        edges = [0, *(edge for run in _LINE_BREAKS.finditer(self.text) for edge in run.span()), len(self.text)]
+        for start, end in zip(edges[::2], edges[1::2]):
+            inner = self.trimmed(start, end)
+            if inner[0] < inner[1]:
+                yield start, end
+
+    def pieces(self, start: int, end: int, size: int, overlap: int) -> Iterator[Span]:
+        """Spans of at most ``size`` characters of a paragraph that is longer.
+
+        The cut is the last space within reach or the end of the last sentence, if that lies beyond
+        45 % of the size; a cut below 35 % is no use, then the piece is cut at its full size. The next
+        piece repeats the overlap, at most a fifth of the size.
+        """
+        start, end = self.trimmed(start, end)
+        while end - start > size:
+            reach = start + size
+            space, sentence = self.spaces.last(start, reach + 1), self.sentences.last(start, reach)
+            candidates = [-1 if space is None else space - start]
+            if sentence is not None and sentence - start > 0.45 * size:
+                candidates.append(sentence - start + 1)
+            cut = max(candidates)
+            cut = size if cut < 0.35 * size else cut
+            yield self.trimmed(start, start + cut)
+            start, _ = self.trimmed(start + cut - min(overlap, size // 5, cut - 1), end)
+        if start < end:
+            yield start, end
+
+    def context(self, chunk: list[Span], overlap: int) -> list[Span]:
+        """The end of a finished chunk that the next chunk repeats; spans are joined by line breaks.
+
+        It begins after the last sentence of the tail, else after its last line break, if that lies
+        beyond 35 % of the overlap, else after its first space, else it is the whole tail.
+        """
+        if overlap <= 0 or joined_length(chunk) <= overlap:
+            return []
+        tail: list[Span] = []
+        room = overlap
+        for start, end in reversed(chunk):
+            begin = max(start, end - room)
+            tail.append((begin, end))
+            room -= end - begin + 1
+            if room < 0:
+                break
+        tail.reverse()
+        places = [overlap - joined_length(tail[at:]) for at in range(len(tail))]
+        early = 0.35 * overlap
+        marks = [self.sentences.last(start, end - 1) for start, end in tail]
+        ends = [place + mark - span[0] for place, mark, span in zip(places, marks, tail) if mark is not None]
+        lines = [place - 1 for place in places if place > 0]
+        gaps = [self.spaces.first(start, end) for start, end in tail]
+        first = next((place + gap - span[0] for place, gap, span in zip(places, gaps, tail) if gap is not None), 0)
+        turn = next((found[-1] for found in (ends, lines) if found and found[-1] > early), first)
+        begin = turn + 1 if turn > 0 else 0
+        kept = [(max(span[0], span[0] + begin - place), span[1]) for place, span in zip(places, tail)]
+        return self.outer_trimmed([span for span in kept if span[0] <= span[1]])
+
+    def outer_trimmed(self, chunk: list[Span]) -> list[Span]:
+        """A chunk without white space at its two ends."""
+        chunk = list(chunk)
+        while chunk:
+            chunk[0] = (self.trimmed(*chunk[0])[0], chunk[0][1])
+            if chunk[0][0] < chunk[0][1]:
+                break
+            chunk.pop(0)
+        while chunk:
+            chunk[-1] = (chunk[-1][0], self.trimmed(*chunk[-1])[1])
+            if chunk[-1][0] < chunk[-1][1]:
+                break
+            chunk.pop()
+        return chunk
 
-def _trim(text: str) -> str:
-    return text.strip(SPACE_CHARS)
-
-
-def _last_mark(text: str, marks: tuple[str, ...]) -> int:
-    return max(text.rfind(mark) for mark in marks)
+    def sliced(self, chunk: list[Span]) -> str:
+        return "\n".join(self.text[start:end] for start, end in chunk)
 
 
-def carried_context(chunk: str, overlap: int) -> str:
-    """The end of a finished chunk that the next chunk repeats, cut at a natural break."""
-    if overlap <= 0 or len(chunk) <= overlap:
-        return ""
-    tail = chunk[-overlap:]
-    early = 0.35 * overlap
-    sentence, line = _last_mark(tail, _SENTENCE_MARKS), tail.rfind("\n")
-    break_at = next((place for place in (sentence, line) if place > early), tail.find(" "))
-    return _trim(tail[break_at + 1 :] if break_at > 0 else tail)
+def joined_length(chunk: list[Span]) -> int:
+    return sum(end - start for start, end in chunk) + max(len(chunk) - 1, 0)
 
 
-def cut_long_paragraph(paragraph: str, size: int, overlap: int) -> Iterator[str]:
-    """Pieces of a paragraph that alone exceeds the chunk size."""
-    rest = _trim(paragraph)
-    while len(rest) > size:
-        view = rest[: size + 1]
-        sentence = _last_mark(view, _SENTENCE_MARKS)
-        breaks = [view.rfind("\n"), view.rfind(" ")]
-        if sentence > 0.45 * size:
-            breaks.append(sentence + 1)
-        cut = max(breaks)
-        if cut < 0.35 * size:
-            cut = size
-        yield _trim(rest[:cut])
-        step_back = min(overlap, size // 5, max(0, cut - 1))
-        rest = _trim(rest[cut - step_back :])
-    if rest:
-        yield rest
+def chunk_spans(outline: Outline, size: int, overlap: int) -> list[list[Span]]:
+    """Chunks of about ``size`` characters as lists of spans.
 
+    Paragraphs are taken in as long as they fit. A paragraph that does not fit starts a new chunk
+    after the context of the one before; one that is longer than a chunk stands alone, in pieces.
+    """
+    done: list[list[Span]] = []
+    held: list[Span] = []
+    for start, end in outline.paragraphs():
+        alone = end - start > size
+        if alone or (held and joined_length(held) + 1 + end - start > size):
+            done.append(outline.outer_trimmed(held))
+            held = [] if alone else outline.context(done[-1], overlap)
+        if alone:
+            done += [[piece] for piece in outline.pieces(start, end, size, overlap)]
+        else:
+            held.append((start, end))
+    done.append(outline.outer_trimmed(held))
+    return [chunk for chunk in done if chunk]
 
-class _OpenChunk:
-    """Paragraphs of the chunk being filled and the length of their joined text."""
 
-    def __init__(self) -> None:
-        self.parts: list[str] = []
-        self.length = 0
+def chunks_of(text: str, size: int, overlap: int) -> list[str]:
+    """Paragraphs packed into chunks; a text without any is its own chunk."""
+    outline = Outline(text)
+    return [outline.sliced(chunk) for chunk in chunk_spans(outline, size, overlap)] or [text]
 
-    def add(self, part: str) -> None:
-        self.length += len(part) + bool(self.parts)
-        self.parts.append(part)
 
-    def close(self) -> str:
-        chunk = _trim("\n".join(self.parts))
-        self.__init__()
-        return chunk
+def window_spans(outline: Outline, size: int, overlap: int) -> Iterator[Span]:
+    """Fixed windows that end at a sentence if one ends in their second half."""
+    marks = Breaks.of(_SUMMARY_MARK, outline.text)
+    start, total = 0, len(outline.text)
+    while start < total:
+        end = min(start + size, total)
+        mark = marks.last(start, end - 1) if end < total else None
+        if mark is not None and mark - start > size / 2:
+            end = mark + 1
+        yield outline.trimmed(start, end)
+        start = total if end == total else max(end - overlap, 0)
 
 
-def chunks_of(text: str, size: int, overlap: int) -> list[str]:
-    """Paragraphs packed into chunks of about ``size`` characters."""
-    done: list[str] = []
-    current = _OpenChunk()
-    for paragraph in filter(_trim, _LINE_BREAKS.split(text)):
-        if len(paragraph) > size:
-            done.append(current.close())
-            done += cut_long_paragraph(paragraph, size, overlap)
-            continue
-        if current.parts and current.length + 1 + len(paragraph) > size:
-            done.append(current.close())
-            context = carried_context(done[-1], overlap)
-            if context:
-                current.add(context)
-        current.add(paragraph)
-    done.append(current.close())
-    return [chunk for chunk in done if chunk] or [text]
-
-
-def windows_of(text: str, size: int, overlap: int, minimum: int = 50) -> list[str]:
-    """Fixed windows that end at a sentence when one ends in their second half."""
-    pieces: list[str] = []
-    start = 0
-    while start < len(text):
-        end = min(start + size, len(text))
-        mark = _last_mark(text[start:end], _SUMMARY_MARKS) if end < len(text) else -1
-        if mark > size / 2:
-            end = start + mark + 1
-        pieces.append(_trim(text[start:end]))
-        if end >= len(text):
-            break
-        start = max(end - overlap, 0)
-    return [piece for piece in pieces if len(piece) > minimum]
+def windows_of(text: str, size: int, overlap: int, minimum: int = 0) -> list[str]:
+    """The windows that have more than ``minimum`` characters. By default nothing is dropped."""
+    outline = Outline(text)
+    return [text[start:end] for start, end in window_spans(outline, size, overlap) if end - start > minimum]
 
 
 def chunk_text(
@@ -125,13 +201,17 @@ def chunk_text(
 
 
 def chunk_fixed(
-    text: Column | str, size: int = CHUNK_SUMMARY[0], overlap: int = CHUNK_SUMMARY[1]
+    text: Column | str,
+    size: int = CHUNK_SUMMARY[0],
+    overlap: int = CHUNK_SUMMARY[1],
+    minimum: int = 0,
 ) -> Column:
-    """Array of fixed windows; pieces of 50 characters or fewer are dropped."""
+    """Array of fixed windows. ``minimum`` drops windows of so many characters or fewer; by default
+    every character of the text is in a window."""
 
     @F.pandas_udf("array<string>")
     def chunked(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda text: windows_of(text, size, overlap), na_action="ignore")
+        return texts.map(lambda text: windows_of(text, size, overlap, minimum), na_action="ignore")
 
     return chunked(as_column(text))
 

@@ -43,13 +43,17 @@ def _accented_score(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(add, counts) if counts else F.lit(0)
 
 
-def detect_language_nl_en(text: Column | str) -> Column:
+def _sample(text: Column, chars: int | None) -> Column:
+    return F.lower(text if chars is None else F.substring(text, 1, chars))
+
+
+def detect_language_nl_en(text: Column | str, sample_chars: int | None = None) -> Column:
     """``Dutch``, ``English`` or the neutral phrase used in prompts.
 
-    The rule is defined on the first 2000 characters of a document; that is the definition of the
-    result, not a shortcut.
+    Judges the whole text, or its first ``sample_chars`` characters (``LANGUAGE_SAMPLE_NL_EN`` is a
+    usual choice where texts are very long).
     """
-    sample = F.lower(F.substring(as_column(text), 1, fixed.LANGUAGE_SAMPLE_NL_EN))
+    sample = _sample(as_column(text), sample_chars)
     margin = F.lit(fixed.LANGUAGE_MARGIN_NL_EN)
 
     def scores(tokens: Column) -> Column:
@@ -70,13 +74,14 @@ def detect_language_nl_en(text: Column | str) -> Column:
     return let(let(_tokens(sample), scores), verdict)
 
 
-def detect_language_five(text: Column | str) -> Column:
+def detect_language_five(text: Column | str, sample_chars: int | None = None) -> Column:
     """``eng``, ``nld``, ``deu``, ``fra``, ``spa``, or NULL if there is too little evidence.
 
-    Defined on the first 4000 characters; texts under 40 characters have no language.
+    Judges the whole text, or its first ``sample_chars`` characters (``LANGUAGE_SAMPLE_FIVE`` is a
+    usual choice); texts under 40 characters have no language.
     """
     text = as_column(text)
-    sample = F.lower(F.substring(text, 1, fixed.LANGUAGE_SAMPLE_FIVE))
+    sample = _sample(text, sample_chars)
     codes = list(fixed.FIVE_LANGUAGE_WORDS)
 
     def scores(tokens: Column) -> Column:
