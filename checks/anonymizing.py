@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.base import Check, table
 from checks.detections import RULE_CTE
 from checks.texts import conversations, documents
+from clinspark.operators.inference import safe_rows
 from clinspark.operators.rewriting import apply_global_mapping, apply_scoped_mapping
 from clinspark.plans import anonymize as plan
 
@@ -61,6 +62,22 @@ def anonymize_tables(spark, folder):
     return plan.anonymize(documents(spark, folder)).texts.select("doc_id", "anonymized_text")
 
 
+def anonymize_failures(spark, folder):
+    """Two passes with a model that is down for every seventh document: those texts are withheld."""
+
+    def model(row):
+        if row["doc_id"] % 7 == 0:
+            raise RuntimeError("down")
+        return "[]"
+
+    done = plan.anonymize(documents(spark, folder), passes=("ner", "llm"), model_fn=safe_rows(model))
+    return done.texts.select("doc_id", F.col("anonymized_text").isNull().alias("withheld"), "error")
+
+
+ANONYMIZE_FAILURES_SQL = """
+SELECT doc_id, doc_id % 7 = 0 AS withheld, CASE WHEN doc_id % 7 = 0 THEN 'discover: RuntimeError: down' END AS error
+FROM documents"""
+
 WHOLE = (10**9, 0)
 GLOBAL_CTE = f"""{RULE_CTE}, firsts AS (SELECT doc_id, pos, entity, type FROM typed
   QUALIFY row_number() OVER (PARTITION BY lower(entity) ORDER BY doc_id, pos) = 1),
@@ -142,6 +159,7 @@ CHECKS = {
     "document_mapping": Check(document_mapping, DOCUMENT_MAPPING_SQL),
     "anonymize_chunked": Check(anonymize_chunked),
     "anonymize_tables": Check(anonymize_tables),
+    "anonymize_failures": Check(anonymize_failures, ANONYMIZE_FAILURES_SQL),
     "anonymize_global": Check(anonymize_global, ANONYMIZE_GLOBAL_SQL),
     "anonymize_table": Check(anonymize_table, ANONYMIZE_TABLE_SQL),
     "apply_scoped_mapping": Check(apply_scoped, APPLY_SCOPED_SQL),

@@ -73,13 +73,21 @@ class Detector:
     """A span detector: a batch function, the label table of its model and a score threshold.
 
     ``detect`` gets batches with the columns of the chunk table and yields rows of (keys, ``pos``,
-    ``raw_type``, ``word``, ``start``, ``end``, ``score``).
+    ``raw_type``, ``word``, ``start``, ``end``, ``score``). ``filter_garbage`` drops obvious nonsense
+    before review, as zero-shot detectors need it.
     """
 
-    def __init__(self, detect: ModelFn, model_id: str, threshold: float | None = None):
+    def __init__(
+        self,
+        detect: ModelFn,
+        model_id: str,
+        threshold: float | None = None,
+        filter_garbage: bool = False,
+    ):
         self.detect = detect
         self.model_id = model_id
         self.threshold = threshold
+        self.filter_garbage = filter_garbage
 
     def spans(self, chunks: DataFrame, keys: list[str]) -> DataFrame:
         schema = with_columns(chunks.select(*keys), **SPAN_COLUMNS)

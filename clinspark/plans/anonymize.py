@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ from clinspark.operators.detection import (
     rule_matches,
     rule_type,
 )
-from clinspark.operators.inference import Detector, ModelFn, reviewed
+from clinspark.operators.inference import Detector, ModelFn, failures, reviewed
 from clinspark.operators.mapping import (
     first_sightings,
     mint_replacements,
@@ -118,10 +119,14 @@ def anonymize_rows(
 # --- tables: any detector, any scope -------------------------------------------------------------
 @dataclass(frozen=True)
 class Anonymized:
+    """``failures`` has a row (keys, chunk_idx, pass, error) for each request that failed, None if no
+    model was asked."""
+
     texts: DataFrame
     mapping: DataFrame
     detections: DataFrame
     label: str
+    failures: DataFrame | None = None
 
 
 def detect_first_pass(
@@ -138,7 +143,7 @@ def detect_first_pass(
             *place, "pos", surface.alias("entity"), "type", "score"
         )
         found = found.filter(is_valid_span("entity", "type", "score", detector.threshold))
-    if filter_garbage:
+    if filter_garbage or (detector is not None and detector.filter_garbage):
         found = found.filter(~is_obvious_garbage("entity", "type"))
     return dedupe_entities(found, place, ["pos"])
 
@@ -154,26 +159,36 @@ def _requests(df: DataFrame, prompt: Column, keys: list[str]) -> DataFrame:
     )
 
 
+def _failed(answered: DataFrame, place: list[str], name: str) -> DataFrame:
+    return failures(answered).select(*place, F.lit(name).alias("pass"), "error")
+
+
 def review_detections(
     detections: DataFrame, chunks: DataFrame, keys: list[str], model_fn: ModelFn
-) -> tuple[DataFrame, DataFrame]:
-    """``(kept, removed)`` after a model has named the false positives of each chunk."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(kept, removed, failed)`` after a model has named the false positives of each chunk. A failed
+    review removes nothing."""
     place = [*keys, "chunk_idx"]
     listed = detections.groupBy(*place).agg(
         F.sort_array(F.collect_list(F.struct("pos", "entity", "type"))).alias("_entities")
     )
     prompt = validation_prompt("text", "_entities")
     requests = _requests(chunks.join(listed, place), prompt, place)
-    replies = reviewed(requests, model_fn)
+    replies = cut_lineage(reviewed(requests, model_fn).select(*place, "reply", "error"))
     rejects = replies.select(*place, F.explode(parse_reject_json("reply")).alias("entity"))
-    return reject_false_positives(detections, cut_lineage(rejects), place, ["pos"])
+    kept, removed = reject_false_positives(detections, rejects, place, ["pos"])
+    return kept, removed, _failed(replies, place, "review")
 
 
-def detect_second_pass(chunks: DataFrame, keys: list[str], model_fn: ModelFn) -> DataFrame:
-    """Entities a language model lists per chunk."""
+def detect_second_pass(
+    chunks: DataFrame, keys: list[str], model_fn: ModelFn
+) -> tuple[DataFrame, DataFrame]:
+    """``(found, failed)``: entities a language model lists per chunk, and the chunks it could not
+    read."""
     place = [*keys, "chunk_idx"]
-    replies = reviewed(_requests(chunks, detection_prompt("text"), place), model_fn)
-    return replies.select(
+    asked = _requests(chunks, detection_prompt("text"), place)
+    replies = cut_lineage(reviewed(asked, model_fn).select(*place, "reply", "error"))
+    found = replies.select(
         *place, F.posexplode(parse_entity_json("reply")).alias("pos", "item")
     ).select(
         *place,
@@ -182,6 +197,15 @@ def detect_second_pass(chunks: DataFrame, keys: list[str], model_fn: ModelFn) ->
         F.col("item.type").alias("type"),
         F.lit(1.0).alias("score"),
     )
+    return found, _failed(replies, place, "discover")
+
+
+def withheld(texts: DataFrame, failed: DataFrame, keys: list[str], out: str = "anonymized_text") -> DataFrame:
+    """``texts`` with ``error``; ``out`` is NULL where a request of the text failed, since what that
+    request would have found is still in it."""
+    said = failed.groupBy(*keys).agg(F.min(F.concat("pass", F.lit(": "), "error")).alias("error"))
+    joined = texts.join(said, keys, "left")
+    return joined.withColumn(out, F.when(F.col("error").isNull(), F.col(out)))
 
 
 def extend_mapping(
@@ -229,6 +253,8 @@ def anonymize(
     mapping: DataFrame | None = None,
     chunk_size: tuple[int, int] = fixed.CHUNK_DEFAULT,
     label: str | None = None,
+    filter_garbage: bool = False,
+    release_failed: bool = False,
 ) -> Anonymized:
     """Detect, review, discover, number and rewrite.
 
@@ -236,6 +262,8 @@ def anonymize(
     next begins and ends in a checkpoint, so a model is loaded once per worker and pass and is never
     run again by a later action or after a lost executor. ``scope`` is ``document`` (own numbers per
     document) or ``global`` (one mapping for all). Rewriting uses the whole text, not the chunks.
+    ``filter_garbage`` drops obvious nonsense of zero-shot detectors. A text of which a model request
+    failed is withheld (``anonymized_text`` NULL, ``error`` set) unless ``release_failed``.
     """
     keys = [key]
     chunks = explode_chunks(docs, chunk_text(text, *chunk_size), keys)
@@ -244,14 +272,17 @@ def anonymize(
         chunks = cut_lineage(chunks.repartition(key, "chunk_idx"))
     empty = None
     kept = removed = second = empty
+    failed: list[DataFrame] = []
     if "ner" in passes:
-        kept = detect_first_pass(chunks, keys, detector)
+        kept = detect_first_pass(chunks, keys, detector, filter_garbage)
         if detector is not None:
             kept = cut_lineage(kept)
         if "llm" in passes:
-            kept, removed = review_detections(kept, chunks, keys, model_fn)
+            kept, removed, missed = review_detections(kept, chunks, keys, model_fn)
+            failed.append(missed)
     if "llm" in passes:
-        second = cut_lineage(detect_second_pass(chunks, keys, model_fn))
+        second, missed = detect_second_pass(chunks, keys, model_fn)
+        failed.append(missed)
     if kept is not None and second is not None:
         found = combine_detections(kept, second)
     else:
@@ -273,7 +304,10 @@ def anonymize(
     if removed is not None:
         gone = removed.withColumn("phase", F.lit(1)).withColumn("source", F.lit("first"))
         detections = detections.unionByName(gone.withColumn("status", F.lit("removed")))
-    return Anonymized(texts, extended, detections, label or "+".join(passes))
+    missing = reduce(DataFrame.unionByName, failed) if failed else None
+    if missing is not None and not release_failed:
+        texts = withheld(texts, missing, keys)
+    return Anonymized(texts, extended, detections, label or "+".join(passes), missing)
 
 
 def anonymize_table(

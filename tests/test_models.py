@@ -61,12 +61,32 @@ def test_review_removes_plain_words(spark):
     assert [r["status"] for r in result.detections.collect()] == ["removed"]
 
 
-def test_failing_model_keeps_everything(spark, docs):
+def test_failing_model_releases_nothing(spark, docs):
     def broken(row):
         raise RuntimeError("no memory")
 
-    result = anonymize(docs, passes=("ner", "llm"), detector=Detector(token_model, "multilingual_pii"), model_fn=safe_rows(broken))
-    assert {r["entity"] for r in result.mapping.collect()} == {"Jan Smit", "huisarts"}
+    detector = Detector(token_model, "multilingual_pii")
+    for passes in (("ner", "llm"), ("llm",)):
+        result = anonymize(docs, passes=passes, detector=detector, model_fn=safe_rows(broken))
+        rows = {r["doc_id"]: (r["anonymized_text"], r["error"]) for r in result.texts.collect()}
+        assert rows == {1: (None, "discover: RuntimeError: no memory"), 2: (None, "discover: RuntimeError: no memory")}
+        failed = {(r["doc_id"], r["pass"]) for r in result.failures.collect()}
+        assert failed == {(1, "discover"), (2, "discover")} | ({(1, "review")} if "ner" in passes else set())
+    kept = anonymize(docs, passes=("ner", "llm"), detector=detector, model_fn=safe_rows(broken), release_failed=True)
+    assert {r["entity"] for r in kept.mapping.collect()} == {"Jan Smit", "huisarts"}
+    assert {r["doc_id"] for r in kept.texts.filter("anonymized_text is not null").collect()} == {1, 2}
+
+
+def test_only_failed_documents_are_withheld(spark, docs):
+    def half(row):
+        if row["doc_id"] == 2:
+            raise RuntimeError("late")
+        return reviewer(row)
+
+    result = anonymize(docs, passes=("ner", "llm"), detector=Detector(token_model, "multilingual_pii"), model_fn=safe_rows(half))
+    rows = {r["doc_id"]: r for r in result.texts.collect()}
+    assert rows[2]["anonymized_text"] is None and rows[2]["error"]
+    assert rows[1]["anonymized_text"].startswith("gesprek: [PERSON_1]") and rows[1]["error"] is None
 
 
 def test_fallback():
@@ -113,6 +133,39 @@ def test_summaries_of_long_documents_keep_part_order(spark):
     assert rows[1]["summary"].endswith("kort") and rows[1]["route"] == "single"
 
 
+def test_failed_parts_are_named(spark):
+    long_text = " ".join(f"zin {i} is hier." for i in range(900))
+    docs = spark.createDataFrame([(1, "kort"), (2, long_text), (3, " \n")], "doc_id long, text string")
+
+    def model(row):
+        if row["user"].startswith("Part 2"):
+            raise RuntimeError("stuck")
+        return "fact" if row["user"].startswith("Part") else row["user"]
+
+    rows = {r["doc_id"]: r for r in summarize(docs, safe_rows(model)).collect()}
+    assert set(rows) == {1, 2}
+    assert rows[2]["error"] == "part 2: RuntimeError: stuck" and rows[2]["summary"]
+    assert rows[1]["error"] is None
+
+
+def test_facts_are_merged_in_rounds(spark):
+    """Facts of 1000 characters do not fit one request of 3500: they are condensed until they do."""
+    text = " ".join(f"zin {i} is hier." for i in range(3000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+
+    def model(row):
+        if row["user"].startswith("Part"):
+            return re.match(r"Part (\d+)", row["user"])[0] + "." * 990
+        if row["user"].startswith("Lists"):
+            return " ".join(re.findall(r"Part \d+", row["user"]))
+        return row["user"]
+
+    done = summarize(docs, safe_rows(model)).first()
+    parts = [int(x) for x in re.findall(r"Part (\d+)", done["summary"])]
+    assert parts == list(range(1, len(parts) + 1)) and len(parts) > 8
+    assert not done["truncated"] and done["error"] is None
+
+
 def test_translation_counts_and_failures(spark):
     calls = spark.sparkContext.accumulator(0)
 
