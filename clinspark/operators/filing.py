@@ -187,6 +187,7 @@ def copy_batches(plan: DataFrame, batch: int = fixed.COPY_BATCH) -> DataFrame:
 def copy_summary(log: DataFrame) -> DataFrame:
     return log.agg(
         F.count(F.when(F.col("status") == "copied", True)).cast("bigint").alias("copied"),
+        F.count(F.when(F.col("status") == "kept", True)).cast("bigint").alias("kept"),
         F.count(F.when(F.col("status") == "error", True)).cast("bigint").alias("errors"),
         F.count("*").cast("bigint").alias("total"),
     )

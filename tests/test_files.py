@@ -133,9 +133,14 @@ def test_index_of_a_folder(spark, archive):
 def test_copy(spark, archive, tmp_path):
     plan = sort_plan(index_dicom(spark, str(archive)).tables)
     log = execute_copy(plan, str(archive), str(tmp_path / "out"))
-    assert copy_summary(log).first().asDict() == {"copied": 13, "errors": 0, "total": 13}
+    assert copy_summary(log).first().asDict() == {"copied": 13, "kept": 0, "errors": 0, "total": 13}
     target = tmp_path / "out" / "P1" / "2024-01-02_Thorax_Abd" / "CT_Axial"
     assert (target / "CT00.dcm").exists() and (target / "RTPLAN_Plan_A" / "rp1.dcm").exists()
+    # Again: everything is in place. Another content of the same size is replaced.
+    (target / "CT00.dcm").write_bytes(bytes(len((target / "CT00.dcm").read_bytes())))
+    again = execute_copy(plan, str(archive), (tmp_path / "out").as_uri())
+    assert copy_summary(again).first().asDict() == {"copied": 1, "kept": 12, "errors": 0, "total": 13}
+    assert any((target / "CT00.dcm").read_bytes())
     missing = spark.createDataFrame([("nowhere.dcm", "x/y.dcm"), ("b/readme.txt", "x/z.txt")], "src string, dst string")
     log = execute_copy(missing, str(archive), str(tmp_path / "out2"))
     assert {r["status"] for r in log.collect()} == {"copied", "error"}
