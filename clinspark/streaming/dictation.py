@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,44 +17,93 @@ ENTRIES = (
 
 
 class EntryPairing(StatefulProcessor):
-    """An open start per session and the number of entries so far."""
+    """Events wait in state until the watermark has passed them and are paired in event-time order.
+
+    Next to the waiting events a session keeps an open start, the number of entries so far and its last
+    event time; it is forgotten ``idle_ms`` after that.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("entry", "open_ts timestamp, nr long")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ts timestamp, kind string")
+        self.state = handle.getValueState("entry", "open_ts timestamp, nr long, last_ms long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("ts", kind="stable")
-        opened, number = self.state.get() if self.state.exists() else (None, 0)
+        opened, number, last = self.state.get() if self.state.exists() else (None, 0, 0)
+        for frame in rows:
+            events = [(_utc(event.ts.to_pydatetime()), event.kind) for event in frame.itertuples()]
+            self.waiting.appendList(events)
+            for ts, _ in events:
+                moment = _millis(ts)
+                # Timers fire once the watermark is past them; one for the pair, one for the end.
+                self.handle.registerTimer(moment + 1)
+                self.handle.registerTimer(moment + self.idle_ms)
+                last = max(last, moment)
+        self.state.update((opened, number, last))
+        yield _entries([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        moment = expiredTimerInfo.getExpiryTimeInMs()
+        opened, number, last = self.state.get() if self.state.exists() else (None, 0, 0)
+        events = sorted(((_utc(ts), kind) for ts, kind in self.waiting.get()), key=lambda event: event[0])
+        opened = _utc(opened) if opened else None
+        due = [event for event in events if _millis(event[0]) < moment]
         out = []
-        for event in events.itertuples():
-            if event.kind == "start" and opened is None:
-                opened = event.ts.to_pydatetime()
-            elif event.kind == "stop" and opened is not None:
+        for ts, kind in due:
+            if kind == "start" and opened is None:
+                opened = ts
+            elif kind == "stop" and opened is not None:
                 number += 1
-                ended = event.ts.to_pydatetime()
-                seconds = round((ended - opened).total_seconds(), 1)
-                out.append((key[0], number, opened, ended, seconds))
+                out.append((key[0], number, opened, ts, round((ts - opened).total_seconds(), 1)))
                 opened = None
-        self.state.update((opened, number))
-        yield pd.DataFrame(
-            out, columns=["session_id", "nr", "start_ts", "end_ts", "duration_s"]
-        ).astype({"start_ts": "datetime64[us]", "end_ts": "datetime64[us]"})
+        later = events[len(due) :]
+        if not later and moment >= last + self.idle_ms:
+            self.waiting.clear()
+            self.state.clear()
+        else:
+            if due:
+                self.waiting.clear()
+                if later:
+                    self.waiting.put(later)
+            self.state.update((opened, number, last))
+        yield _entries(out)
 
     def close(self) -> None:
         pass
 
 
-def dictation_stream(events: DataFrame, lateness: str = "10 minutes") -> DataFrame:
+def _utc(ts: dt.datetime) -> dt.datetime:
+    """The moment without a zone, in UTC, as the columns of pandas hold it."""
+    return ts.astimezone(dt.timezone.utc).replace(tzinfo=None) if ts.tzinfo else ts
+
+
+def _millis(ts: dt.datetime) -> int:
+    return math.ceil(ts.replace(tzinfo=dt.timezone.utc).timestamp() * 1000)
+
+
+def _entries(rows: list[tuple]) -> pd.DataFrame:
+    columns = ["session_id", "nr", "start_ts", "end_ts", "duration_s"]
+    return pd.DataFrame(rows, columns=columns).astype({"start_ts": "datetime64[us]", "end_ts": "datetime64[us]"})
+
+
+def dictation_stream(
+    events: DataFrame, lateness: str = "10 minutes", idle_ms: int = 12 * 60 * 60 * 1000
+) -> DataFrame:
     """Numbered entries of a stream of (session_id, ts, kind) with kind start or stop.
 
-    A second start before a stop is ignored, as is a stop without a start. Events later than
-    ``lateness`` are dropped; Spark counts them in the query's progress as
-    ``numRowsDroppedByWatermark``.
+    Events are paired in the order of their times, whatever batch they come in: an event waits until
+    the watermark (``lateness`` behind the latest event) has passed it. A second start before a stop is
+    ignored, as is a stop without a start. Events later than ``lateness`` are dropped; Spark counts
+    them in the query's progress as ``numRowsDroppedByWatermark``. A session without events for
+    ``idle_ms`` is forgotten and would be numbered from 1 again.
     """
     return (
         events.withWatermark("ts", lateness)
         .groupBy("session_id")
         .transformWithStateInPandas(
-            EntryPairing(), StructType.fromDDL(ENTRIES), "append", "EventTime"
+            EntryPairing(idle_ms), StructType.fromDDL(ENTRIES), "append", "EventTime"
         )
     )

@@ -10,39 +10,59 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from clinspark import fixed_values as fixed
+from clinspark.functions.chunking import chunk_text, explode_chunks
 from clinspark.functions.text import entity_key, trim_spaces
 from clinspark.operators.detection import rule_detect, rule_matches, rule_type
+from clinspark.operators.inference import Detector
 from clinspark.operators.rewriting import anonymize_text, apply_global_mapping
-from clinspark.plans.anonymize import extend_mapping
+from clinspark.plans.anonymize import detect_first_pass, extend_mapping
+from clinspark.session import cut_lineage
 
 MAPPING = "entity string, type string, replacement string, seq bigint"
 
 
 def known_mapping(spark: SparkSession, path: str, before_batch: int) -> DataFrame:
-    """The mapping rows written by batches before ``before_batch``."""
-    try:
-        rows = spark.read.schema(MAPPING + ", batch bigint").parquet(path)
-    except Exception:  # noqa: BLE001 - no batch has written yet
+    """The mapping rows written by batches before ``before_batch``.
+
+    Only a folder that is not there means that no batch has written yet; any other trouble with it is
+    an error, since numbering would start again and tags would collide.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(place) or not files.listStatus(place):
         return spark.createDataFrame([], MAPPING)
+    rows = spark.read.schema(MAPPING + ", batch bigint").parquet(path)
     return rows.filter(F.col("batch") < before_batch).drop("batch")
 
 
 def anonymize_stream(
-    docs: DataFrame, mapping_path: str, output_path: str, checkpoint: str, key: str = "doc_id"
+    docs: DataFrame,
+    mapping_path: str,
+    output_path: str,
+    checkpoint: str,
+    key: str = "doc_id",
+    detector: Detector | None = None,
+    chunk_size: tuple[int, int] = fixed.CHUNK_DEFAULT,
 ):
     """A stream writer that anonymizes documents with one mapping that only grows.
 
-    Each batch reads the mapping of earlier batches, numbers its new entities after them, and writes
-    its own rows to the folder of its batch id, replacing what an interrupted run of the same batch
-    left there. Running a batch twice therefore changes nothing. Start the returned writer with the
-    trigger of your choice.
+    Entities are found by ``detector`` (chunk by chunk) or by the rules. Each batch is detected once,
+    reads the mapping of earlier batches, numbers its new entities after them, and writes its own rows
+    to the folder of its batch id, replacing what an interrupted run of the same batch left there.
+    Running a batch twice therefore changes nothing. Start the returned writer with the trigger of
+    your choice.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         known = known_mapping(spark, mapping_path, batch_id)
-        found = rule_detect(batch, [key])
-        extended = extend_mapping(found, [], [key, "pos"], known)
+        if detector is None:
+            found, order = rule_detect(batch, [key]), [key, "pos"]
+        else:
+            chunks = cut_lineage(explode_chunks(batch, chunk_text("text", *chunk_size), [key]))
+            found, order = detect_first_pass(chunks, [key], detector), [key, "chunk_idx", "pos"]
+        extended = extend_mapping(cut_lineage(found), [], order, known)
         fresh = extended.join(
             known.select(entity_key("entity").alias("_key")),
             entity_key("entity") == F.col("_key"),
@@ -69,18 +89,23 @@ class SessionMapping(StatefulProcessor):
         )
         self.counters = handle.getMapState("counters", "type string", "last long", self.ttl_ms)
 
+    def _last(self, kind: str) -> int:
+        return self.counters.getValue((kind,))[0] if self.counters.containsKey((kind,)) else 0
+
     def _replacement(self, entity: str, kind: str) -> tuple[str, int]:
         name = (entity.lower(),)
+        last, every = self._last(kind), self._last("")
         if self.entries.containsKey(name):
             kind, replacement, seq = self.entries.getValue(name)
+            last = self._last(kind)
         else:
-            last = self.counters.getValue((kind,))[0] if self.counters.containsKey((kind,)) else 0
-            every = self.counters.getValue(("",))[0] if self.counters.containsKey(("",)) else 0
-            replacement, seq = f"[{kind}_{last + 1}]", every + 1
-            self.counters.updateValue((kind,), (last + 1,))
-            self.counters.updateValue(("",), (seq,))
-        # Writing again renews the time to live.
+            last, every = last + 1, every + 1
+            replacement, seq = f"[{kind}_{last}]", every
+        # Writing again renews the time to live, of the entry as of its counters: a counter never goes
+        # before the entries it has numbered, so no tag is given twice.
         self.entries.updateValue(name, (kind, replacement, seq))
+        self.counters.updateValue((kind,), (last,))
+        self.counters.updateValue(("",), (every,))
         return replacement, seq
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
