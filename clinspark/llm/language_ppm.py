@@ -16,7 +16,7 @@ FIT_DOCS = 1_500  # the model is fitted on about so many labelled documents per
 MAX_GRAMS = 2**20  # most frequent (language, context, symbol) counts of that sample
 MAX_CELLS = 2**23  # contexts x symbols x languages of the frozen table, 4 bytes each
 SYMBOLS = 128  # the most frequent bytes have a symbol of their own, the rest share one
-BYTES_AT_A_TIME = 1 << 21
+BYTES_AT_A_TIME = 1 << 19
 UNKNOWN = "und"
 _PAD = b"\n" * ORDER
 _LOWER = bytes(byte + 32 if 65 <= byte <= 90 else byte for byte in range(256))

@@ -17,7 +17,7 @@ from clinspark.llm.common import Hidden, gapless, staged
 
 SEQUENCE_TOKENS = 4096
 END_ID = 2
-CACHED_WORDS = 500_000  # per generation and worker process
+CACHED_WORDS = 250_000  # per generation and worker process
 # Characters for which lower-casing and composing a text is the same in Python as in the tokenizer.
 _PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-įı-ſ]*")
 _CONTROLS = re.compile("[\x1c-\x1f]")
