@@ -124,7 +124,7 @@ WITH {FILES_CTE} SELECT (SELECT count(*) FROM series) AS series, (SELECT count(*
 
 
 def scan_summary(spark, folder):
-    classed = imaging.classify_files(inventory(spark, folder))
+    classed = imaging.classify_files(inventory(spark, folder), smart=True)
     info = imaging.scan_info(index(spark, folder), classed)
     return imaging.scan_summary(info, "archive", "2024-01-01T00:00:00.000Z", 1.25)
 
@@ -286,7 +286,7 @@ WITH {INVENTORY_CTE} SELECT dir, n AS candidates, CAST(m AS DOUBLE) AS median, n
 
 
 def classify_files(spark, folder):
-    return imaging.classify_files(inventory(spark, folder)).select("path", "class", "series_group")
+    return imaging.classify_files(inventory(spark, folder), smart=True).select("path", "class", "series_group")
 
 
 CLASS_CTE = f"""{INVENTORY_CTE},
@@ -315,7 +315,7 @@ def _sample_headers(classed):
 
 
 def infer_from_sample(spark, folder):
-    classed = imaging.classify_files(inventory(spark, folder))
+    classed = imaging.classify_files(inventory(spark, folder), smart=True)
     inferred, uninferred = imaging.infer_from_sample(
         classed.filter("class = 'rest'").select("path", "size", "series_group"), _sample_headers(classed)
     )
@@ -336,7 +336,7 @@ FROM classed LEFT JOIN model USING (series_group) WHERE class = 'rest'"""
 
 def limit_index(spark, folder):
     """Test mode keeps the first 500 files: parsed ones, then samples, then the rest."""
-    return imaging.limit_index(imaging.classify_files(inventory(spark, folder)), 500).select("path", "class")
+    return imaging.limit_index(imaging.classify_files(inventory(spark, folder), smart=True), 500).select("path", "class")
 
 
 LIMIT_SQL = f"""

@@ -51,7 +51,7 @@ def is_sample_position(index: Column, total: Column, samples: int) -> Column:
     return F.when(total <= samples, F.lit(True)).otherwise(spaced)
 
 
-def classify_files(files: DataFrame, smart: bool = True) -> DataFrame:
+def classify_files(files: DataFrame, smart: bool = False) -> DataFrame:
     """``files`` plus ``class`` (parse, sample, rest, skip) and ``series_group``.
 
     Without ``smart`` every candidate is parsed. With it, a directory of at least ten candidates of

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clinspark.session import cut_lineage
+
 ROWS_PER_RANGE_SAMPLED = 64
-RANGE_LIMITS = (64, 512)
+MIN_RANGES = 64
 
 
 def _literal(value: object, data_type: T.DataType) -> Column:
@@ -27,14 +29,13 @@ def _range_number(key: Column, bounds: list[Column]) -> Column:
 
 
 def _sample_bounds(df: DataFrame, names: list[str], ranges: int, sample: int) -> list[Column]:
-    """Up to ``ranges - 1`` range bounds of the sort key, or none if the table is small.
+    """Up to ``ranges - 1`` range bounds of the sort key, fewer for a table that needs fewer ranges.
 
     The sample is the ``sample`` rows with the smallest hash, so it is the same on every run and at
     most ``sample`` keys reach the driver.
     """
     rows = df.select(*names).orderBy(F.xxhash64(*names)).limit(sample).collect()
-    if len(rows) < sample:
-        return []
+    ranges = min(ranges, max(len(rows) // ROWS_PER_RANGE_SAMPLED, 1))
     types = [df.schema[name].dataType for name in names]
 
     def sortable(row: tuple) -> tuple:
@@ -60,6 +61,7 @@ def ordinal_within(
     """``row_number`` per ``keys`` in ``order`` (which must be unique per key), without ever putting
     a whole key into one task.
 
+    The input is stored first: it is read for the sample, the shifts and the numbers, and computed once.
     A plain window over a hot key sorts that key in one task. Here the rows are cut into ranges of
     (keys, order), numbered within each range, and shifted by the number of earlier rows of the same
     key. Range bounds are literals taken from a fixed-size hash sample; the shifts are one row per
@@ -68,12 +70,10 @@ def ordinal_within(
     names = [*keys, *order]
     if ranges is None:
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = min(max(partitions, RANGE_LIMITS[0]), RANGE_LIMITS[1])
+        ranges = max(partitions, MIN_RANGES)
     sample = sample or ranges * ROWS_PER_RANGE_SAMPLED
+    df = cut_lineage(df)
     bounds = _sample_bounds(df, names, ranges, sample)
-    if not bounds:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(window).cast("bigint"))
     ranged = df.withColumn("_range", _range_number(F.struct(*names), bounds))
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1

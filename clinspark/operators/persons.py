@@ -160,12 +160,12 @@ def namesake_links(persons: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def connected_components(links: DataFrame, keys: list[str], max_rounds: int = 40) -> DataFrame:
+def connected_components(links: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ``node``, ``component``) of the nodes that have links; the component is its least node.
 
     Alternates large-star and small-star steps (Kiveris et al., "Connected Components in MapReduce
     and Beyond", 2014), which need a logarithmic number of rounds and never gather a component in one
-    place. Every round is checkpointed so that the plan does not grow and lost executors do not
+    place. Every round is stored so that the plan does not grow and lost executors do not
     replay earlier rounds.
     """
 
@@ -203,14 +203,12 @@ def connected_components(links: DataFrame, keys: list[str], max_rounds: int = 40
         .distinct()
     )
     before = state(edges)
-    for _ in range(max_rounds):
+    while True:
         edges = cut_lineage(small_star(large_star(edges)))
         after = state(edges)
         if after == before:
             break
         before = after
-    else:
-        raise RuntimeError("components did not settle")
     members = edges.select(*keys, F.col("u").alias("node"), F.col("v").alias("component"))
     heads = edges.select(*keys, F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.union(heads)

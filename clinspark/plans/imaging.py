@@ -29,7 +29,7 @@ class ImageIndex:
 def index_dicom(
     spark: SparkSession,
     root: str,
-    smart: bool = True,
+    smart: bool = False,
     max_files: int | None = None,
     partitions: int | None = None,
 ) -> ImageIndex:

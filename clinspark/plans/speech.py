@@ -28,7 +28,7 @@ def log_table(entries: DataFrame) -> DataFrame:
     )
 
 
-def transcript_log(entries: DataFrame, model_fn: ModelFn, numbered: bool = True) -> DataFrame:
+def transcript_log(entries: DataFrame, model_fn: ModelFn) -> DataFrame:
     """The dictation log of recorded entries (``sample_rate``, ``pcm``). Silent entries never reach
     the model."""
     ready = entries.withColumn("pcm", resample("pcm", "sample_rate")).withColumn(

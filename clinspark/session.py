@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -61,6 +63,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back from there."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet below the checkpoint folder and read it back.
+
+    The plan starts anew from a table that outlives lost executors, has statistics for the optimizer
+    and can be read column by column. It is removed when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    void = {name: F.col(f"`{name}`").cast("string") for name, kind in df.dtypes if kind == "void"}
+    written = df.withColumns(void) if void else df
+    written.write.parquet(path)
+    return spark.read.schema(written.schema).parquet(path)

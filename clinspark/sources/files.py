@@ -41,12 +41,15 @@ def list_files(spark: SparkSession, root: str, max_files: int | None = None) ->
     return files if max_files is None else files.orderBy("path").limit(max_files)
 
 
-def upload_problem(name: Column | str, size: Column | str, purpose: str) -> Column:
-    """Why a file is refused for a purpose (``docx``, ``audio``, ``anonymize``, ``pdf``), or NULL."""
+def upload_problem(
+    name: Column | str, size: Column | str, purpose: str, max_bytes: int | None = fixed.MAX_DOCX_BYTES
+) -> Column:
+    """Why a file is refused for a purpose (``docx``, ``audio``, ``anonymize``, ``pdf``), or NULL.
+    ``max_bytes`` holds for docx; None lets any size in."""
     extension, size = file_extension(name), as_column(size)
     if purpose == "docx":
         return F.when(extension != "docx", "invalid file type").when(
-            size > fixed.MAX_DOCX_BYTES, "file is too large"
+            F.lit(False) if max_bytes is None else size > max_bytes, "file is too large"
         )
     allowed = {
         "audio": fixed.AUDIO_EXTENSIONS,

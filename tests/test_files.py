@@ -114,7 +114,7 @@ def test_inventory_reads_no_content(spark, archive):
 
 
 def test_index_of_a_folder(spark, archive):
-    result = index_dicom(spark, str(archive), partitions=2)
+    result = index_dicom(spark, str(archive), smart=True, partitions=2)
     classes = {r["class"]: r["n"] for r in result.classed.groupBy("class").agg(F.count("*").alias("n")).collect()}
     assert classes == {"sample": 3, "rest": 9, "parse": 3, "skip": 1}
     errors = {r["path"]: r["parse_error"] for r in result.headers.filter("parse_error IS NOT NULL").collect()}
@@ -131,7 +131,7 @@ def test_index_of_a_folder(spark, archive):
 
 
 def test_copy(spark, archive, tmp_path):
-    plan = sort_plan(index_dicom(spark, str(archive)).tables)
+    plan = sort_plan(index_dicom(spark, str(archive), smart=True).tables)
     log = execute_copy(plan, str(archive), str(tmp_path / "out"))
     assert copy_summary(log).first().asDict() == {"copied": 13, "kept": 0, "errors": 0, "total": 13}
     target = tmp_path / "out" / "P1" / "2024-01-02_Thorax_Abd" / "CT_Axial"
