@@ -18,6 +18,7 @@ of bounded size; texts are stored once and never shuffled.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +28,14 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import new_folder, staged
+from clinspark.llm.common import new_folder
 
 WINDOW = 100
 GRAM = 32
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 POSITION_BITS = 23
 PART_BYTES = 64 << 20
-BUCKET_RECORDS = 1_000_000
+BUCKET_BYTES = 16 << 20  # of text per bucket of hash values
 MIN_BUCKETS = 64
 _MIXED = np.uint64(0)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -203,6 +204,40 @@ def _table(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
+def packed_spots(spots: np.ndarray, owner: np.ndarray) -> bytes:
+    """Places and their documents' ids in few bytes: steps from place to place are small, and a document
+    has many places."""
+    at = spots["row"].astype(np.int64) << 40 | spots["start"]
+    steps = np.diff(at, prepend=np.int64(0)).view(np.uint8).reshape(-1, 8).T
+    rows, first = np.unique(spots["row"], return_index=True)
+    data = steps.tobytes() + spots["length"].tobytes() + rows.tobytes() + owner[first].tobytes()
+    return np.array([len(spots), len(rows)], dtype="<u4").tobytes() + zlib.compress(data, 1)
+
+
+def unpacked_spots(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    count, rows = np.frombuffer(blob[:8], dtype="<u4").astype(int)
+    data = zlib.decompress(blob[8:])
+    steps = np.frombuffer(data[: 8 * count], dtype=np.uint8).reshape(8, count)
+    at = np.cumsum(np.ascontiguousarray(steps.T).view(np.int64)[:, 0])
+    spots = np.zeros(count, dtype=_SPOT)
+    spots["row"], spots["start"] = at >> 40, at & ((1 << 40) - 1)
+    spots["length"] = np.frombuffer(data[8 * count : 12 * count], dtype="<u4")
+    known = np.frombuffer(data[12 * count : 12 * count + 4 * rows], dtype="<u4")
+    ids = np.frombuffer(data[12 * count + 4 * rows :], dtype="<i8")
+    return spots, ids[np.searchsorted(known, spots["row"])]
+
+
+def merged_spots(spots: np.ndarray) -> bytes:
+    """The same bytes covered by as few places as can be."""
+    found = removed_spans(spots)
+    out = np.zeros(sum(map(len, found.values())), dtype=_SPOT)
+    if len(out):
+        runs = np.concatenate(list(found.values()))
+        out["row"] = np.repeat(np.array(list(found), dtype=np.int64), [len(x) for x in found.values()])
+        out["start"], out["length"] = runs[:, 0], runs[:, 1] - runs[:, 0]
+    return out.tobytes()
+
+
 def removed_spans(spots: np.ndarray) -> dict[int, np.ndarray]:
     """Row -> maximal runs (start, end) of the bytes that the spots cover."""
     spots = spots[np.lexsort((spots["start"], spots["row"]))]
@@ -256,12 +291,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = listed.mapInArrow(groups, "path string, part_group int, size long").collect()
     where = sorted((row["path"], row["part_group"]) for row in found)
     size = sum(row["size"] for row in found)
-    result = f"id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
+    result = "id long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept binary"
     if not where:
         return spark.createDataFrame([], result).withColumnRenamed("id", id_col)
     parts = spark.sparkContext.broadcast(where)
     tasks = len(where)
-    buckets = max(MIN_BUCKETS, -(-size * 2 // (window - GRAM + 2)) // BUCKET_RECORDS)
+    buckets = max(MIN_BUCKETS, size // BUCKET_BYTES)
     every_part = spark.range(0, tasks, 1, tasks).select(F.col("id").cast("int").alias("part"))
 
     def first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,12 +336,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     silent = every_part.select("part", F.lit(b"").alias("grams"), F.lit(b"").alias("mixed"))
 
-    record_names = ["part", "told", "high", "low", "ids", "spots"]
-    record_types = [pa.int32(), pa.bool_(), *[pa.binary()] * 4]
+    record_names = ["bucket", "part", "high", "low", "spots"]
+    record_types = [pa.int32(), pa.int32(), *[pa.binary()] * 3]
 
     def suffixes(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        """Records of the suffixes whose anchor occurs again: first of their key in the batch or, as
-        settled (``told``), later ones."""
+        """Records of the suffixes whose anchor occurs again, by bucket. Those that are not the first of
+        their key in the batch are settled already: their places go to a bucket of the part's own."""
         part = group["part"][0].as_py()
         heard, kind = _joined(group["grams"], "<u8"), _joined(group["mixed"], np.uint8)
         order = np.argsort(heard, kind="stable")
@@ -340,54 +375,41 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             spots["length"] = np.concatenate([whole["last"] - whole["first"], np.zeros(len(each), dtype=np.int64)]) + window
             owner = ids[np.searchsorted(batch.starts, at, side="right") - 1]
             later = later_members(high, low, owner, spots["start"])
-            for told, mine in ((True, later), (False, ~later)):
-                blobs = [b"", b"", b""] if told else [x[mine].tobytes() for x in (high, low, owner)]
-                yield _table([(part, told, *blobs, spots[mine].tobytes())], record_names, record_types)
+            first = ~later
+            high, low, owner, told, spots = high[first], low[first].astype("<u2"), owner[first], spots[later], spots[first]
+            order, starts = _runs((high % np.uint64(buckets)).astype(np.int32))
+            rows = []
+            for start, end in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist()):
+                mine = order[start:end]
+                place = packed_spots(spots[mine], owner[mine])
+                rows.append((int(high[mine[0]] % np.uint64(buckets)), part, high[mine].tobytes(), low[mine].tobytes(), place))
+            rows.append((buckets + part, part, b"", b"", merged_spots(told)))
+            yield _table(rows, record_names, record_types)
 
     def per_part(rows: DataFrame) -> DataFrame:
         """One group per part, in as many tasks as there are parts, however small the rows are."""
         return rows.repartition(tasks, "part").groupBy("part")
 
-    records = staged(
-        per_part(answers.unionByName(silent)).applyInArrow(
-            _whole_groups(suffixes, record_names, record_types),
-            "part int, told boolean, high binary, low binary, ids binary, spots binary",
-        ),
-        "repeats-records",
+    records = per_part(answers.unionByName(silent)).applyInArrow(
+        _whole_groups(suffixes, record_names, record_types),
+        "bucket int, part int, high binary, low binary, spots binary",
     )
-    count = records.filter("not told").agg(F.sum(F.length("high"))).first()[0] or 0
-    wide = max(MIN_BUCKETS, count // 8 // BUCKET_RECORDS)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["bucket", "part", "high", "low", "ids", "spots"]
-        types = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        for batch in batches:
-            for at in range(batch.num_rows):
-                row = {name: batch.column(name)[at].as_py() for name in ("part", "high", "low", "ids", "spots")}
-                high, low = np.frombuffer(row["high"], "<u8"), np.frombuffer(row["low"], "<u8")
-                bucket = (high % np.uint64(wide)).astype(np.int32)
-                columns = (high, low, np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["spots"], _SPOT))
-                yield _table([(number, row["part"], *blobs) for number, blobs in _blobs(bucket, *columns)], names, types)
 
     def repeats(group: pa.Table) -> pa.Table:
         """The places of records that are not the first of their key."""
-        spots = _joined(group["spots"], _SPOT)
-        sizes = [len(blob) // 8 for blob in group["high"].to_pylist()]
-        part = np.repeat(np.array(group["part"].to_pylist(), dtype=np.int32), sizes)
-        later = later_members(
-            _joined(group["high"], "<u8"), _joined(group["low"], "<u8"), _joined(group["ids"], "<i8"), spots["start"]
-        )
-        rows = [(number, *blobs) for number, blobs in _blobs(part[later], spots[later])]
+        if group["bucket"][0].as_py() >= buckets:
+            return group.select(["part", "spots"])
+        known = [unpacked_spots(blob) for blob in group["spots"].to_pylist()]
+        spots, ids = (np.concatenate([pair[at] for pair in known]) for at in (0, 1))
+        part = np.repeat(np.array(group["part"].to_pylist(), dtype=np.int32), [len(pair[0]) for pair in known])
+        later = later_members(_joined(group["high"], "<u8"), _joined(group["low"], "<u2"), ids, spots["start"])
+        spots, part = spots[later], part[later]
+        rows = [(int(number), merged_spots(spots[part == number])) for number in np.unique(part)]
         return pa.Table.from_batches([_table(rows, ["part", "spots"], [pa.int32(), pa.binary()])])
 
     later = (
-        records.filter("not told")
-        .mapInArrow(deal, "bucket int, part int, high binary, low binary, ids binary, spots binary")
-        .repartition(wide, "bucket")
-        .groupBy("bucket")
-        .applyInArrow(repeats, "part int, spots binary")
+        records.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(repeats, "part int, spots binary")
     )
-    settled = records.filter("told").select("part", "spots")
     unmarked = every_part.select("part", F.lit(b"").alias("spots"))
     out_names = ["id", "n_bytes", "n_removed", "spans", "kept"]
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -412,7 +434,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows, held = [], 0
         yield _table(rows, out_names, out_types)
 
-    marked = later.unionByName(settled).unionByName(unmarked)
+    marked = later.unionByName(unmarked)
     return per_part(marked).applyInArrow(_whole_groups(cut, out_names, out_types), result).withColumnRenamed("id", id_col)
 
 
