@@ -68,14 +68,15 @@ USER_CTE = f"""{WORDS_CTE}, said AS (SELECT w.*, role = 'user' AS user_turn FROM
 u AS (SELECT * FROM said WHERE user_turn QUALIFY row_number() OVER (PARTITION BY conv_id, lower(entity) ORDER BY turn, pos) = 1),
 um AS (SELECT conv_id, entity, type, row_number() OVER (PARTITION BY conv_id, type ORDER BY turn, pos) AS n,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS seq FROM u)"""
-EXTENDED_SQL = f"""
-WITH {USER_CTE},
+EXTENDED_CTE = f"""{USER_CTE},
 a AS (SELECT * FROM said s WHERE NOT user_turn AND NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = s.conv_id AND lower(u.entity) = lower(s.entity))
   QUALIFY row_number() OVER (PARTITION BY conv_id, lower(entity) ORDER BY turn, pos) = 1),
 am AS (SELECT conv_id, entity, type, row_number() OVER (PARTITION BY conv_id, type ORDER BY turn, pos)
     + coalesce((SELECT max(n) FROM um WHERE um.conv_id = a.conv_id AND um.type = a.type), 0) AS n,
-  row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) + coalesce((SELECT max(seq) FROM um WHERE um.conv_id = a.conv_id), 0) AS seq FROM a)
-SELECT conv_id, entity, type, '[' || type || '_' || n || ']' AS replacement, CAST(seq AS BIGINT) AS seq FROM (SELECT * FROM um UNION ALL SELECT * FROM am)"""
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) + coalesce((SELECT max(seq) FROM um WHERE um.conv_id = a.conv_id), 0) AS seq FROM a),
+every AS (SELECT * FROM um UNION ALL SELECT * FROM am)"""
+EXTENDED_SQL = f"""
+WITH {EXTENDED_CTE} SELECT conv_id, entity, type, '[' || type || '_' || n || ']' AS replacement, CAST(seq AS BIGINT) AS seq FROM every"""
 
 
 def new_entities(spark, folder):
@@ -89,10 +90,10 @@ WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = w.conv_id AND lower(u.entity
 
 
 def rebuild_counters(spark, folder):
-    return mappings.rebuild_counters(_user_mapping(spark, folder), ["conv_id"])
+    return mappings.rebuild_counters(extended_mapping(spark, folder), ["conv_id"])
 
 
-COUNTERS_SQL = f"WITH {USER_CTE} SELECT conv_id, type, max(n) AS last_number FROM um GROUP BY ALL"
+COUNTERS_SQL = f"WITH {EXTENDED_CTE} SELECT conv_id, type, max(n) AS last_number FROM every GROUP BY ALL"
 
 
 # --- table form ----------------------------------------------------------------------------------
@@ -153,7 +154,7 @@ WITH {SHEET_CTE} SELECT replacement, arg_min(type, seq) AS type, count(*) AS ent
 
 
 def longest_first_entries(spark, folder):
-    entries = _user_mapping(spark, folder).groupBy("conv_id").agg(
+    entries = extended_mapping(spark, folder).groupBy("conv_id").agg(
         F.collect_list(F.struct("entity", "replacement", "seq")).alias("entries")
     )
     return entries.select(
@@ -162,7 +163,7 @@ def longest_first_entries(spark, folder):
 
 
 LONGEST_SQL = f"""
-WITH {USER_CTE} SELECT conv_id, string_agg(entity, ' ' ORDER BY length(entity) DESC, seq) AS ordered FROM um GROUP BY conv_id"""
+WITH {EXTENDED_CTE} SELECT conv_id, string_agg(entity, ' ' ORDER BY length(entity) DESC, seq) AS ordered FROM every GROUP BY conv_id"""
 
 
 # --- edits ---------------------------------------------------------------------------------------

@@ -334,9 +334,10 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1 AS chunk_i
 
 
 def single_pass_summaries(spark, folder):
-    """Documents that fit one prompt: the model reports the length of its prompt."""
-    done = summarize(documents(spark, folder), safe_rows(_brief))
-    return done.filter("route = 'single'").select("doc_id", "summary", "truncated")
+    """Documents that fit one prompt: the model reports the length of its prompt. The route is chosen
+    before any model runs, so long documents cost nothing here."""
+    short = documents(spark, folder).filter(F.length("text") <= 6000)
+    return summarize(short, safe_rows(_brief)).select("doc_id", "summary", "truncated")
 
 
 SINGLE_SQL = """
