@@ -68,6 +68,17 @@ USER_CTE = f"""{WORDS_CTE}, said AS (SELECT w.*, role = 'user' AS user_turn FROM
 u AS (SELECT * FROM said WHERE user_turn QUALIFY row_number() OVER (PARTITION BY conv_id, lower(entity) ORDER BY turn, pos) = 1),
 um AS (SELECT conv_id, entity, type, row_number() OVER (PARTITION BY conv_id, type ORDER BY turn, pos) AS n,
   row_number() OVER (PARTITION BY conv_id ORDER BY turn, pos) AS seq FROM u)"""
+def renumber_global(spark, folder):
+    """A shared mapping without numbers is numbered by the first places of its entities."""
+    order = ["conv_id", "turn", "pos"]
+    words = _words(spark, folder)
+    known = mappings.first_sightings(words, [], order).select(
+        "entity", "type", F.concat(F.lit("["), "type", F.lit("_"), F.lower("entity"), F.lit("]")).alias("replacement"),
+        F.lit(0).cast("bigint").alias("seq"),
+    )
+    return mappings.renumber_shared(known, words, order).select("entity", "type", "replacement")
+
+
 EXTENDED_CTE = f"""{USER_CTE},
 a AS (SELECT * FROM said s WHERE NOT user_turn AND NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = s.conv_id AND lower(u.entity) = lower(s.entity))
   QUALIFY row_number() OVER (PARTITION BY conv_id, lower(entity) ORDER BY turn, pos) = 1),
@@ -267,6 +278,7 @@ CHECKS = {
     "mint_replacements_global": Check(mint_global, MINT_GLOBAL_SQL),
     "new_entities": Check(new_entities, NEW_SQL),
     "extend_mapping": Check(extended_mapping, EXTENDED_SQL),
+    "renumber_global": Check(renumber_global, MINT_GLOBAL_SQL),
     "rebuild_counters": Check(rebuild_counters, COUNTERS_SQL),
     "mapping_from_table": Check(mapping_from_table, FROM_TABLE_SQL),
     "mapping_table": Check(mapping_table, MAPPING_TABLE_SQL),

@@ -221,7 +221,10 @@ def renumber(
     mapping: DataFrame, texts: DataFrame, keys: list[str], text: str = "text"
 ) -> DataFrame:
     """Contiguous numbers per scope and type, in order of first (case-sensitive) occurrence in the
-    scope's text. Entries that share a replacement keep sharing one; absent groups come last."""
+    scope's text. Entries that share a replacement keep sharing one; absent groups come last. A mapping
+    that all texts share goes through ``renumber_shared``, which needs no text."""
+    if not keys:
+        raise ValueError("renumber needs a scope; see renumber_shared")
     never = F.lit(2**62)
     located = mapping.join(texts.select(*keys, text), keys, "left").withColumn(
         "_at", F.coalesce(F.nullif(F.instr(F.col(text), F.col("entity")), F.lit(0)).cast("bigint"), never)
@@ -240,6 +243,36 @@ def renumber(
     )
 
 
+def renumber_shared(mapping: DataFrame, detections: DataFrame, order: list[str]) -> DataFrame:
+    """Contiguous numbers per type in a mapping that all texts share, in the order in which ``detections``
+    (entity and ``order`` columns) first name an entity, whatever its case.
+
+    Entries that share a replacement keep sharing one; entries that no detection names come last. No text
+    is read and nothing is joined into one: first places are minima that combine before the shuffle.
+    """
+    first = detections.groupBy(entity_key("entity").alias("_key")).agg(
+        F.min(F.struct(*order)).alias("_first")
+    )
+    located = mapping.withColumn("_key", entity_key("entity")).join(first, "_key", "left")
+    groups = located.groupBy("replacement").agg(
+        F.min_by("type", "seq").alias("type"),
+        F.min("_first").alias("_first"),
+        F.min("seq").alias("_seq"),
+    )
+    places = [F.col(f"_first.{name}").alias(f"_at{number}") for number, name in enumerate(order)]
+    placed = groups.select(
+        "replacement", "type", F.col("_first").isNull().alias("_absent"), *places, "_seq"
+    )
+    by = ["_absent", *[f"_at{number}" for number in range(len(order))], "_seq"]
+    numbered = ordinal_within(placed, ["type"], by, "number")
+    new_tags = numbered.select("replacement", tag("type", "number").alias("_new"))
+    return (
+        mapping.join(new_tags, "replacement")
+        .withColumn("replacement", F.col("_new"))
+        .select(*mapping.columns)
+    )
+
+
 def mapping_table(mapping: DataFrame) -> DataFrame:
     """Entity, Type, Replacement; ordered by type."""
     return mapping.select(
