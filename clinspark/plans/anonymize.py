@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,7 +13,7 @@ from clinspark.functions.chunking import chunk_text, explode_chunks
 from clinspark.functions.prompts import DETECTION_LIMITS, detection_prompt, validation_prompt
 from clinspark.functions.replies import parse_entity_json, parse_reject_json, surface_from_span
 from clinspark.functions.signals import is_obvious_garbage, is_valid_span
-from clinspark.functions.text import as_column, entity_key, let, trim_spaces
+from clinspark.functions.text import entity_key, let, trim_spaces
 from clinspark.operators.detection import (
     combine_detections,
     dedupe_entities,
