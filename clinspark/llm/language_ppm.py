@@ -14,9 +14,10 @@ from pyspark.sql import types as T
 ORDER = 3
 FIT_DOCS = 1_500  # the model is fitted on about so many labelled documents per language
 MAX_GRAMS = 2**20  # most frequent (language, context, symbol) counts of that sample
-MAX_CELLS = 2**23  # contexts x symbols x languages of the frozen table, 4 bytes each
+MAX_CELLS = 2**22  # contexts x symbols x languages of the frozen table, 4 bytes each
 SYMBOLS = 128  # the most frequent bytes have a symbol of their own, the rest share one
 BYTES_AT_A_TIME = 1 << 19
+ROWS_AT_A_TIME = 1_000
 UNKNOWN = "und"
 _PAD = b"\n" * ORDER
 _LOWER = bytes(byte + 32 if 65 <= byte <= 90 else byte for byte in range(256))
@@ -209,7 +210,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = shared.value
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_A_TIME) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_A_TIME)):
             texts = batch.column(place).to_pylist()
             bits = code_lengths([text or "" for text in texts], frozen)
             said = [_judge(text, row, frozen.languages) for text, row in zip(texts, bits)]

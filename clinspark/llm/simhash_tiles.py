@@ -237,7 +237,8 @@ def _wide_marks(rows: DataFrame, width: int) -> DataFrame:
         none = np.zeros(0, dtype="<u8")
         for batch in batches:
             marks, sizes = [], []
-            for text in batch.column("text").to_pylist():
+            for value in batch.column("text"):
+                text = value.as_py()
                 marks.append(fingerprint(text, width, LANES).astype(">u8").tobytes())
                 sizes.append(len(np.unique(np.concatenate([none, *shingle_hashes(text, width)]))))
             columns = [batch.column("id"), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64())]
