@@ -228,14 +228,14 @@ def unpacked_spots(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def merged_spots(spots: np.ndarray) -> bytes:
-    """The same bytes covered by as few places as can be."""
+    """The same bytes covered by as few places as can be, compressed."""
     found = removed_spans(spots)
     out = np.zeros(sum(map(len, found.values())), dtype=_SPOT)
     if len(out):
         runs = np.concatenate(list(found.values()))
         out["row"] = np.repeat(np.array(list(found), dtype=np.int64), [len(x) for x in found.values()])
         out["start"], out["length"] = runs[:, 0], runs[:, 1] - runs[:, 0]
-    return out.tobytes()
+    return zlib.compress(out.tobytes(), 1)
 
 
 def removed_spans(spots: np.ndarray) -> dict[int, np.ndarray]:
@@ -417,7 +417,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(group: pa.Table) -> Iterator[pa.RecordBatch]:
         part = group["part"][0].as_py()
-        spans = removed_spans(_joined(group["spots"], _SPOT))
+        told = [zlib.decompress(blob) for blob in group["spots"].to_pylist() if blob]
+        spans = removed_spans(np.frombuffer(b"".join(told), dtype=_SPOT))
         rows, held = [], 0
         for row, number, data in part_rows(*parts.value[part]):
             gone = spans.get(row)
