@@ -20,6 +20,7 @@ LEFT_AT_A_TIME, RIGHT_AT_A_TIME = 64, 2_048  # comparisons whose working set sta
 SHINGLES_AT_A_TIME = 65_536
 LEADERS = 16  # documents of a component that all others of it are compared with, per round
 LOCAL_SHINGLES = 2_000_000  # a component with more shingle hashes is worked on by several tasks
+BLOCK_SHINGLES = 250_000  # of such a component, blocks of about so many meet each other
 LANES, WIDE_RADIUS = 4, 52  # fingerprints of 256 bits for the verified near-duplicate search
 _LOWER = bytes(byte + 32 if 65 <= byte <= 90 else byte for byte in range(256))
 
@@ -281,6 +282,66 @@ def _one_round(left: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     return links, compared.filter(F.size("_met") == 0).select(left.columns)
 
 
+def crossing(
+    ids: np.ndarray, classes: np.ndarray, sets: list[np.ndarray], similarity: float, sides: np.ndarray | None = None
+) -> list[tuple[int, int]]:
+    """Links that, with the classes already known, connect what all pairs of at least ``similarity`` connect
+    (of documents on different ``sides``, if they are given).
+
+    Sets of that similarity share one of the first ``size - ceil(similarity * size) + 1`` shingles in
+    any common order; rare ones first leaves few pairs. Only pairs of different classes are counted.
+    """
+    label = np.unique(classes, return_inverse=True)[1]
+    if len(ids) < 2 or label.max() == 0:
+        return []
+    sizes = np.array([len(one) for one in sets])
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((token, often[token], owner))
+    owner, token = owner[order], token[order]
+    firsts = np.cumsum(sizes) - sizes
+    ahead = np.arange(len(owner)) - firsts[owner] < (sizes - np.ceil(similarity * sizes - 1e-9) + 1)[owner]
+
+    def postings(who: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return who[np.argsort(what, kind="stable")], np.searchsorted(np.sort(what), np.arange(len(often) + 1))
+
+    every, every_at = postings(owner, token)
+    front, front_at = postings(owner[ahead], token[ahead])
+    links: list[tuple[int, int]] = []
+    for at in range(len(ids)):
+        mine = slice(firsts[at], firsts[at] + sizes[at])
+        lead = token[mine][ahead[mine]]
+        met = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(front[front_at[t] : front_at[t + 1]] for t in lead)]))
+        met = met[(met < at) & (label[met] != label[at])]
+        if sides is not None:
+            met = met[sides[met] != sides[at]]
+        if not len(met):
+            continue
+        shared = np.bincount(np.concatenate([every[every_at[t] : every_at[t + 1]] for t in token[mine]]), minlength=len(ids))[met]
+        for other in met[shared >= similarity * (sizes[met] + sizes[at] - shared)]:
+            if label[other] != label[at]:
+                links.append((int(ids[at]), int(ids[other])))
+                label[label == label[other]] = label[at]
+    # Sets without a shingle are alike.
+    empty = np.flatnonzero(sizes == 0)
+    return links + [(int(ids[at]), int(ids[empty[0]])) for at in empty[1:]]
+
+
+def _classes(ids: np.ndarray, links: list[tuple[int, int]]) -> np.ndarray:
+    place = {one: at for at, one in enumerate(ids.tolist())}
+    parent = list(range(len(ids)))
+
+    def root(at: int) -> int:
+        while parent[at] != at:
+            parent[at] = parent[parent[at]]
+            at = parent[at]
+        return at
+
+    for one, two in links:
+        parent[root(place[one])] = root(place[two])
+    return np.array([root(at) for at in range(len(ids))], dtype=np.int64)
+
+
 def led(ids: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
     """The links (id, leader) of all rounds of one component."""
     links: list[tuple[int, int]] = []
@@ -312,12 +373,61 @@ def _led_locally(similarity: float):
         marks = np.stack([group[lane].to_numpy().view(np.uint64) for lane in ("_mark", "_mark2")], axis=1)
         sets = [np.array(chunk.values) for part in group["_set"].chunks for chunk in part]
         links = led(ids, marks, sets, similarity)
+        links += crossing(ids, _classes(ids, links), sets, similarity)
         columns = [pa.array([link[at] for link in links], pa.int64()) for at in (0, 1)]
         return pa.Table.from_arrays(columns, ["id", "leader"])
 
     return run
 
 
+def _block_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Links (id, leader) that are missing between the classes of large components.
+
+    ``members`` are (``id``, ``_component``, ``_class``, ``_set``). Classes of over ``BLOCK_SHINGLES``
+    hashes are cut into blocks of their own, the others of a component share blocks; every two blocks
+    of a component meet in a task, but for those of one class.
+    """
+    weight = F.size("_set") + 1
+    weights = members.groupBy("_component", "_class").agg(F.sum(weight).alias("_weight"), F.count("*").alias("_rows"))
+    open_ones = weights.groupBy("_component").agg(F.count("*").alias("_n")).filter("_n > 1").select("_component")
+    weights = weights.join(open_ones, "_component")
+    weights = weights.withColumn("_own", F.when(F.col("_weight") > BLOCK_SHINGLES, F.col("_class")))
+    cuts = weights.groupBy("_component", "_own").agg(F.ceil(F.sum("_weight") / F.lit(BLOCK_SHINGLES)).cast("int").alias("_parts"))
+    cuts = cuts.withColumnRenamed("_component", "_at").withColumnRenamed("_own", "_as")
+    same = (F.col("_component") == F.col("_at")) & F.col("_own").eqNullSafe(F.col("_as"))
+    known = weights.join(cuts, same).select("_class", F.col("_component").alias("_whole"), "_own", "_parts", "_rows")
+    known = staged(known, "near-classes")
+    blocks = (
+        join_back(members.select("id", "_class", "_set"), known, "_class", "_rows", "id", "inner")
+        .withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+        .groupBy("_whole", "_own", "_part")
+        .agg(F.collect_list(F.struct("id", "_class", "_set")).alias("members"))
+        .withColumn("block", F.monotonically_increasing_id())
+    )
+    blocks = staged(blocks, "near-blocks")
+    keys = blocks.select("block", "_whole", "_own")
+    other = keys.select(F.col("block").alias("to"), F.col("_whole").alias("_to_whole"), F.col("_own").alias("_to_own"))
+    pairs = keys.join(other, (F.col("_whole") == F.col("_to_whole")) & (F.col("block") <= F.col("to"))).filter(
+        "_own is null or _to_own is null or _own <> _to_own"
+    )
+    sources = blocks.select("block", F.col("members").alias("sources"))
+    targets = blocks.select(F.col("block").alias("to"), F.col("members").alias("targets"))
+    meeting = pairs.select("block", "to").join(sources, "block").join(targets, "to").select("block", "to", "sources", "targets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, to, source, target in zip(*batch.columns):
+                held = [source.values] if block.as_py() == to.as_py() else [source.values, target.values]
+                ids, classes = (np.concatenate([part.field(name).to_numpy() for part in held]) for name in ("id", "_class"))
+                sets = [np.array(one.values) for part in held for one in part.field("_set")]
+                sides = np.repeat(np.arange(2), [len(part) for part in held]) if len(held) > 1 else None
+                links = crossing(ids, classes, sets, similarity, sides)
+                columns = [pa.array([link[at] for link in links], pa.int64()) for at in (0, 1)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "leader"])
+
+    return meeting.mapInArrow(run, "id long, leader long")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -338,12 +448,12 @@ def near_duplicates(
     128 bits) are nearest to the bitwise majority lead, the texts that the others are variants of. A
     document is linked with each leader whose set of ``width``-word shingles has a Jaccard similarity of
     at least ``similarity`` with its own; linked documents are a group and its smallest id stays.
-    Documents that agree with no leader form the next round of their component, until none is left. In
-    a component of up to ``LEADERS`` documents this compares all of them with each other; in a larger
-    one a document meets ``LEADERS`` others per round, never all. Components whose sets hold up to
-    ``LOCAL_SHINGLES`` hashes go through their rounds in one task; larger ones round by round as joins,
-    in which leaders reach hot components through the salted look-up. Both ways have the same rule and
-    result.
+    Documents that agree with no leader form the next round of their component, until none is left. The
+    rounds only save work: afterwards all pairs between documents that are not yet connected are
+    verified by prefix filtering (``crossing``), so a component's groups are those of all its pairs,
+    whatever its size. Components whose sets hold up to ``LOCAL_SHINGLES`` hashes are worked on in one
+    task; larger ones go round by round as joins, in which leaders reach hot components through the
+    salted look-up, and then in pairs of blocks. Both ways have the same result.
 
     Copies are found as well. Texts without words are alike. Rows with a null id are left out; rows
     that repeat an id are one document with the least of its texts; an empty table gives an empty one.
@@ -372,6 +482,7 @@ def near_duplicates(
     one = one.select("id", "_component", lanes[0].alias("_mark"), lanes[1].alias("_mark2"), "_text")
     left = staged(_sets(one, width), "near-sets")
     answers: list[DataFrame] = []
+    whole: DataFrame | None = None
     while not left.isEmpty():
         sizes = left.groupBy("_component").agg(F.count("*").alias("_rows"), F.sum(F.size("_set") + 1).alias("_weight"))
         sizes = staged(sizes, "near-sizes")
@@ -383,9 +494,15 @@ def near_duplicates(
         if large.isEmpty():
             break
         left = staged(join_back(left, large.select("_component", "_rows"), "_component", "_rows", "id", "left_semi"), "near-left")
+        whole = left if whole is None else whole
         links, left = _one_round(left, similarity)
         answers.append(links)
     if not answers:
         return rows.select(F.col("id").alias(id_col), F.col("id").alias("keep_id")).limit(0)
     links = reduce(DataFrame.union, answers).select(F.col("id").alias("left"), F.col("leader").alias("right"))
+    if whole is not None:
+        classes = components(links).select(F.col("node").alias("id"), F.col("component").alias("_class"))
+        members = whole.join(classes, "id", "left").withColumn("_class", F.coalesce("_class", "id"))
+        missing = _block_links(staged(members.select("id", "_component", "_class", "_set"), "near-members"), similarity)
+        links = links.union(missing.select(F.col("id").alias("left"), F.col("leader").alias("right")))
     return components(links).select(F.col("node").alias(id_col), F.col("component").alias("keep_id"))

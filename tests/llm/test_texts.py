@@ -350,3 +350,26 @@ def test_language_accuracy(spark):
     model = fit(docs.filter(~held_out()), "doc_id", "text", "lang")
     said = predict(docs.filter(held_out()), model)
     assert said.filter("lang_pred = lang").count() / said.count() > 0.99
+
+
+def sliding(rng, count, width=104, step=8):
+    """Versions of which only neighbours reach a similarity of 0.8."""
+    text = words(rng, width + step * count).split()
+    return [" ".join(text[at * step : at * step + width]) for at in range(count)]
+
+
+@pytest.mark.parametrize("local", [0, 2_000_000])
+def test_near_duplicates_of_large_components(spark, monkeypatch, local):
+    monkeypatch.setattr(simhash_tiles, "LOCAL_SHINGLES", local)
+    monkeypatch.setattr(simhash_tiles, "BLOCK_SHINGLES", 1_000)
+    rng = random.Random(21)
+    texts = sliding(rng, 40) + list(variants(rng, words(rng, 150), 45, 6))
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    pairs = [(a, b) for a, b in combinations(range(len(texts)), 2) if jaccard(texts[a], texts[b]) >= 0.8]
+    assert not any(b - a > 1 for a, b in pairs if b < 40)
+    root = closed(ids, [(ids[a], ids[b]) for a, b in pairs])
+    rows = [(i, text, None, None, None) for i, text in zip(ids, texts)]
+    got = {r["doc_id"]: r["keep_id"] for r in near_duplicates(frame(spark, rows)).collect()}
+    shared = Counter(root.values())
+    assert got == {i: top for i, top in root.items() if shared[top] > 1}
