@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -60,8 +60,17 @@ def _spread(hashes: np.ndarray, lane: int) -> np.ndarray:
 def fingerprint(text: str | None, width: int, lanes: int = 1, seed: int = 42) -> np.ndarray:
     """SimHash of a whole text, ``lanes`` times 64 bits: a bit is 1 if it is set in over half of the
     shingle hashes."""
+    return _majority(shingle_hashes(text, width, seed), lanes)
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The sorted different shingle hashes of a whole text."""
+    return np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *shingle_hashes(text, width)]))
+
+
+def _majority(parts: Iterable[np.ndarray], lanes: int) -> np.ndarray:
     counts, total = np.zeros((lanes, 64), dtype=np.int64), 0
-    for hashes in shingle_hashes(text, width, seed):
+    for hashes in parts:
         for lane in range(lanes):
             octets = _spread(hashes, lane).view(np.uint8).reshape(-1, 8)
             counts[lane] += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -219,11 +228,9 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
     place = rows.columns.index("_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, dtype="<u8")
         for batch in batches:
             for at in range(batch.num_rows):
-                text = batch.column(place)[at].as_py()
-                marks = np.unique(np.concatenate([none, *shingle_hashes(text, width)])).view(np.int64)
+                marks = shingle_set(batch.column(place)[at].as_py(), width).view(np.int64)
                 kept = [batch.column(name).slice(at, 1) for name in carried]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array([marks], pa.list_(pa.int64()))], [*carried, "_set"])
 
@@ -232,16 +239,15 @@ def _sets(rows: DataFrame, width: int) -> DataFrame:
 
 
 def _wide_marks(rows: DataFrame, width: int) -> DataFrame:
-    """(``id``, ``mark``, ``size``): fingerprints of ``LANES`` x 64 bits and numbers of different shingles."""
+    """(``id``, ``mark``, ``size``): fingerprints of ``LANES`` x 64 bits over the different shingles, and their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, dtype="<u8")
         for batch in batches:
             marks, sizes = [], []
             for value in batch.column("text"):
-                text = value.as_py()
-                marks.append(fingerprint(text, width, LANES).astype(">u8").tobytes())
-                sizes.append(len(np.unique(np.concatenate([none, *shingle_hashes(text, width)]))))
+                different = shingle_set(value.as_py(), width)
+                marks.append(_majority([different], LANES).astype(">u8").tobytes())
+                sizes.append(len(different))
             columns = [batch.column("id"), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "size"])
 

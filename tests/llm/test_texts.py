@@ -373,3 +373,15 @@ def test_near_duplicates_of_large_components(spark, monkeypatch, local):
     got = {r["doc_id"]: r["keep_id"] for r in near_duplicates(frame(spark, rows)).collect()}
     shared = Counter(root.values())
     assert got == {i: top for i, top in root.items() if shared[top] > 1}
+
+
+def test_near_duplicates_with_repeated_lines(spark):
+    rng = random.Random(31)
+    rows = []
+    for group in range(4):
+        text, line = words(rng, 300), words(rng, 8)
+        texts = [" ".join([text, *[line] * times]) for times in (3, 20, 50, 200)]
+        assert all(jaccard(texts[0], other) == 1.0 for other in texts)
+        rows += [(group * 10 + n, other, None, None, None) for n, other in enumerate(texts)]
+    got = {r["doc_id"]: r["keep_id"] for r in near_duplicates(frame(spark, rows)).collect()}
+    assert got == {row[0]: row[0] // 10 * 10 for row in rows}
