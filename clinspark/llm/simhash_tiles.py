@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -21,7 +20,8 @@ SHINGLES_AT_A_TIME = 65_536
 LEADERS = 16  # documents of a component that all others of it are compared with, per round
 LOCAL_SHINGLES = 2_000_000  # a component with more shingle hashes is worked on by several tasks
 BLOCK_SHINGLES = 250_000  # of such a component, blocks of about so many meet each other
-LANES, WIDE_RADIUS = 4, 52  # fingerprints of 256 bits for the verified near-duplicate search
+HASHES_AT_A_TIME = 1_000_000  # shingle hashes that a task holds before it sends them
+PART_BYTES = 16 << 20  # about so much text per part of the shingle hashes
 _LOWER = bytes(byte + 32 if 65 <= byte <= 90 else byte for byte in range(256))
 
 
@@ -223,35 +223,96 @@ def simhash_groups(
 
 
 def _sets(rows: DataFrame, width: int) -> DataFrame:
-    """``rows`` with ``_set``, the sorted different shingle hashes, in place of ``_text``."""
-    carried = [name for name in rows.columns if name != "_text"]
-    place = rows.columns.index("_text")
+    """(``id``, ``_mark``, ``_mark2``, ``_set``) of (``id``, ``_text``): a fingerprint of 128 bits over the
+    different shingles, and their sorted hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                marks = shingle_set(batch.column(place)[at].as_py(), width).view(np.int64)
-                kept = [batch.column(name).slice(at, 1) for name in carried]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array([marks], pa.list_(pa.int64()))], [*carried, "_set"])
+            for name, text in zip(batch.column("id"), batch.column("_text")):
+                different = shingle_set(text.as_py(), width)
+                marks = _majority([different], 2).view(np.int64)
+                columns = [pa.array([name.as_py()], pa.int64()), pa.array(marks[:1]), pa.array(marks[1:])]
+                held = pa.array([different.view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([*columns, held], ["id", "_mark", "_mark2", "_set"])
 
-    schema = ", ".join(f"{name} {kind}" for name, kind in rows.select(*carried).dtypes) + ", _set array<long>"
-    return rows.mapInArrow(run, schema)
+    return rows.select("id", "_text").mapInArrow(run, "id long, _mark long, _mark2 long, _set array<long>")
 
 
-def _wide_marks(rows: DataFrame, width: int) -> DataFrame:
-    """(``id``, ``mark``, ``size``): fingerprints of ``LANES`` x 64 bits over the different shingles, and their number."""
+def _shared_counts(rows: DataFrame, width: int, parts: int) -> DataFrame:
+    """(``id``, ``size``, ``shared``): for rows (``id``, ``text``) the number of different shingles, and
+    how many of them, at least, another row has. Rows that share none are left out.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            marks, sizes = [], []
-            for value in batch.column("text"):
-                different = shingle_set(value.as_py(), width)
-                marks.append(_majority([different], LANES).astype(">u8").tobytes())
-                sizes.append(len(different))
-            columns = [batch.column("id"), pa.array(marks, pa.binary()), pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "mark", "size"])
+    Shingle hashes travel packed: the remainder by ``parts`` names the part, the upper 32 bits are
+    compared in it. Two shingles that agree in both count as one, which can only raise ``shared``. A
+    text without a shingle has the hash 0.
+    """
 
-    return rows.select("id", "text").mapInArrow(run, "id long, mark binary, size long")
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sets, held = [], [], 0
+
+        def packed() -> pa.RecordBatch:
+            sizes = np.array([len(one) for one in sets], dtype=np.int32)
+            owner = np.repeat(np.arange(len(sets)), sizes)
+            flat, names = np.concatenate(sets), np.array(ids, dtype=np.int64)
+            part = (flat % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            owner, keys, part = owner[order], (flat[order] >> np.uint64(32)).astype("<u4"), part[order]
+            at = np.flatnonzero(np.diff(part, prepend=-1))
+            out = []
+            for start, end in zip(at, np.append(at[1:], len(part))):
+                firsts = np.flatnonzero(np.diff(owner[start:end], prepend=-1))
+                who = owner[start:end][firsts]
+                lengths = np.diff(np.append(firsts, end - start)).astype(np.int32)
+                out.append((int(part[start]), *(x.tobytes() for x in (names[who], sizes[who], lengths, keys[start:end]))))
+            kinds = (pa.int64(), *[pa.binary()] * 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["part", "ids", "sizes", "lengths", "keys"])
+
+        for batch in batches:
+            for name, text in zip(batch.column("id"), batch.column("text")):
+                different = shingle_set(text.as_py(), width)
+                ids.append(name.as_py())
+                sets.append(different if len(different) else np.zeros(1, dtype="<u8"))
+                held += len(sets[-1])
+                if held >= HASHES_AT_A_TIME:
+                    yield packed()
+                    ids, sets, held = [], [], 0
+        if ids:
+            yield packed()
+
+    def count(group: pa.Table) -> pa.Table:
+        def column(name: str, kind: str) -> np.ndarray:
+            return np.frombuffer(b"".join(group[name].to_pylist()), dtype=kind)
+
+        lengths, keys = column("lengths", "<i4"), column("keys", "<u4")
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        same = ordered[1:] == ordered[:-1]
+        common = np.zeros(len(keys), dtype=np.int32)
+        common[order[1:]] = same
+        common[order[:-1]] |= same
+        shared = np.add.reduceat(common, np.cumsum(lengths) - lengths)
+        some = shared > 0
+        columns = [column("ids", "<i8")[some], column("sizes", "<i4")[some], shared[some].astype(np.int32)]
+        return pa.Table.from_arrays([pa.array(one) for one in columns], ["id", "size", "shared"])
+
+    sent = rows.select("id", "text").mapInArrow(spread, "part long, ids binary, sizes binary, lengths binary, keys binary")
+    counted = sent.groupBy("part").applyInArrow(count, "id long, size int, shared int")
+    return counted.groupBy("id", "size").agg(F.sum("shared").alias("shared"))
+
+
+def _candidates(sets: DataFrame, similarity: float) -> DataFrame:
+    """(``node``, ``component``): ids whose components hold all pairs of at least ``similarity``.
+
+    Two such sets share one of the first ``size - ceil(similarity * size) + 1`` shingles in any common
+    order, here that of their hashes. A shingle links its documents with the least of them.
+    """
+    size = F.greatest(F.size("_set"), F.lit(1))
+    first = (size - F.ceil(F.lit(similarity) * size - 1e-9) + 1).cast("int")
+    own = F.when(F.size("_set") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("_set"))
+    ahead = staged(sets.select("id", F.explode(F.slice(own, F.lit(1), first)).alias("hash")), "near-ahead")
+    met = ahead.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("_rows")).filter("_rows > 1")
+    links = join_back(ahead, staged(met, "near-met"), "hash", "_rows", "id", "inner")
+    return components(links.filter("id <> first").select(F.col("first").alias("left"), F.col("id").alias("right")).distinct())
 
 
 def _one_round(left: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -440,15 +501,13 @@ def near_duplicates(
     text_col: str = "text",
     width: int = 5,
     similarity: float = 0.8,
-    radius: int = WIDE_RADIUS,
 ) -> DataFrame:
     """(id, ``keep_id``) of the documents that share a group with another id; ids are longs.
 
-    Candidates are components of 256-bit fingerprints within ``radius`` bits, compared in tiles. Texts
-    of Jaccard similarity 0.8 differ in about 39 +- 6 of 256 bits, unrelated ones in 128 +- 8, so
-    nearly all pairs wanted are candidates and hardly any others. Sizes of the shingle sets of such a
-    pair differ by a factor of at most ``1 / similarity``, so texts are sorted into cells of that width
-    and only neighbouring cells meet.
+    No pair is lost. Documents of that similarity share at least ``similarity`` of the shingles of each, so
+    a document of which fewer occur in another one is out (``_shared_counts``, one shuffle of packed
+    hashes). The others are candidates if they share a shingle among their first ones in hash order
+    (``_candidates``), and the candidates' components are searched.
 
     An exact check follows: in each component the ``LEADERS`` documents whose fingerprints (their first
     128 bits) are nearest to the bitwise majority lead, the texts that the others are variants of. A
@@ -465,28 +524,13 @@ def near_duplicates(
     that repeat an id are one document with the least of its texts; an empty table gives an empty one.
     """
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    marks = staged(_wide_marks(rows, width), "near-marks")
-    band = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-math.log(similarity)) + 1e-9).cast("int")
-    nodes = marks.groupBy("mark").agg(F.min("id").alias("node"), F.min("size").alias("size"), F.count("*").alias("_rows"))
-    # Another fingerprint may have the same least id if rows repeat it: such nodes are one.
-    nodes = staged(nodes.withColumn("cell", F.when(F.col("size") == 0, -1).otherwise(band)), "near-nodes")
-    counts = {row["cell"]: row["count"] for row in nodes.groupBy("cell").count().collect()}
-    met = [(one, two) for one in counts for two in (one, one + 1) if two in counts and one >= 0] + [(-1, -1)] * (-1 in counts)
-    links = tile_links(nodes.select("node", "mark", "cell"), met, counts, LANES, radius, TILE // LANES)
-    linked = components(links)
-    several = (
-        nodes.join(linked, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-        .select("mark", "component", "_rows")
-    )
-    sizes = several.groupBy("component").agg(F.sum("_rows").alias("_all")).filter("_all > 1")
-    known = staged(several.join(sizes, "component").select("mark", "component", "_rows"), "near-known")
-    members = join_back(marks.select("id", "mark"), known, "mark", "_rows", "id", "inner")
-    mine = members.groupBy("id").agg(F.min("component").alias("_component"), F.min(F.hex("mark")).alias("_hex"))
-    lanes = [F.conv(F.substring("_hex", at, 16), 16, -10).cast("long") for at in (1, 17)]
-    one = rows.join(mine, "id").groupBy("id", "_component", "_hex").agg(F.min("text").alias("_text"))
-    one = one.select("id", "_component", lanes[0].alias("_mark"), lanes[1].alias("_mark2"), "_text")
-    left = staged(_sets(one, width), "near-sets")
+    parts = max(16, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
+    shared = _shared_counts(rows, width, parts)
+    asked = shared.filter(F.col("shared") >= F.ceil(F.lit(similarity) * F.col("size") - 1e-9)).select("id").distinct()
+    one = rows.join(staged(asked, "near-asked"), "id").groupBy("id").agg(F.min("text").alias("_text"))
+    sets = staged(_sets(one, width), "near-sets")
+    near = _candidates(sets, similarity).select(F.col("node").alias("id"), F.col("component").alias("_component"))
+    left = staged(sets.join(near, "id").select("id", "_component", "_mark", "_mark2", "_set"), "near-left")
     answers: list[DataFrame] = []
     whole: DataFrame | None = None
     while not left.isEmpty():

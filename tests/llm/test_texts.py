@@ -385,3 +385,20 @@ def test_near_duplicates_with_repeated_lines(spark):
         rows += [(group * 10 + n, other, None, None, None) for n, other in enumerate(texts)]
     got = {r["doc_id"]: r["keep_id"] for r in near_duplicates(frame(spark, rows)).collect()}
     assert got == {row[0]: row[0] // 10 * 10 for row in rows}
+
+
+def test_near_duplicates_at_the_threshold(spark):
+    """Short texts and texts just above the similarity, whose fingerprints may be far apart."""
+    rng = random.Random(41)
+    rows, want = [], {}
+    for group in range(120):
+        size = rng.choice([9, 9, 19, 54, 204])
+        text = words(rng, size).split()
+        count = len(text) - 4
+        cut = text[: 4 + math.ceil(0.8 * count)] if group % 2 else text[: 4 + math.ceil(0.8 * count) - 1]
+        rows += [(group * 2, " ".join(text), None, None, None), (group * 2 + 1, " ".join(cut), None, None, None)]
+        if jaccard(rows[-1][1], rows[-2][1]) >= 0.8:
+            want |= {group * 2: group * 2, group * 2 + 1: group * 2}
+    assert len(want) == 120
+    got = {r["doc_id"]: r["keep_id"] for r in near_duplicates(frame(spark, rows)).collect()}
+    assert got == want
