@@ -14,8 +14,7 @@ from pyspark.sql import types as T
 ORDER = 3
 FIT_DOCS = 1_500  # the model is fitted on about so many labelled documents per language
 MAX_GRAMS = 2**20  # most frequent (language, context, symbol) counts of that sample
-MAX_CELLS = 2**22  # contexts x symbols x languages of the frozen table, 4 bytes each
-SYMBOLS = 128  # the most frequent bytes have a symbol of their own, the rest share one
+SYMBOLS = 256  # every byte that the sample holds has a symbol of its own; the others are never told apart
 BYTES_AT_A_TIME = 1 << 19
 ROWS_AT_A_TIME = 1_000
 UNKNOWN = "und"
@@ -25,12 +24,22 @@ _LOWER = bytes(byte + 32 if 65 <= byte <= 90 else byte for byte in range(256))
 
 @dataclass
 class Model:
-    """Frozen statistics: ``cost[row * SYMBOLS + symbol, language]`` in bits."""
+    """Frozen statistics: a row per context of up to ORDER symbols, an entry per symbol seen after it.
+
+    ``bits`` has a bit per row and symbol, ``before`` the number of entries before each 64 of them.
+    ``cost`` is in bits per entry and language; a symbol without an entry costs ``escape`` of the row and
+    what it costs in the row of the shorter context (``suffix``, -1 at the root).
+    """
 
     languages: list[str]
-    symbol: np.ndarray  # byte -> symbol
+    symbol: np.ndarray  # byte -> symbol, below ``base``
+    base: int
     row_of: np.ndarray  # number of a context of ORDER symbols -> row of its longest known suffix
+    suffix: np.ndarray
+    bits: np.ndarray
+    before: np.ndarray
     cost: np.ndarray
+    escape: np.ndarray
 
 
 def _octets(text: str) -> bytes:
@@ -65,69 +74,82 @@ def _grams(docs: DataFrame, text_col: str, label_col: str) -> DataFrame:
     return counted.groupBy("label", "gram").agg(F.sum("n").alias("n"))
 
 
-def _distributions(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-    """PPM-C for one context and every language: ``counts`` and ``shorter`` are (symbol, language).
-
-    A symbol seen c times of n has c / (n + d) with d distinct symbols; the escape d / (n + d) is
-    shared by the unseen ones as the shorter context predicts them, seen ones excluded.
-    """
-    total, distinct = counts.sum(axis=0), (counts > 0).sum(axis=0)
-    unseen = np.where(counts > 0, 0.0, shorter)
-    rest = unseen.sum(axis=0)
-    closed = rest <= 1e-12  # every symbol was seen: nothing to escape to
-    escape = np.where(closed, 0.0, distinct) / np.maximum(total + np.where(closed, 0, distinct), 1)
-    seen = counts / np.maximum(total + np.where(closed, 0, distinct), 1)
-    mixed = seen + escape * unseen / np.where(closed, 1.0, rest)
-    return np.where(total > 0, mixed, shorter)
+def build_model(grams: list[tuple[str, int, int]]) -> Model:
+    """The context trees of all languages, frozen into code lengths; every count is used."""
+    labels, codes, counts = zip(*grams)
+    return _frozen(np.array(labels, dtype=object), np.array(codes, dtype=np.int64), np.array(counts, dtype=np.float64))
 
 
-def build_model(grams: list[tuple[str, int, int]]) -> Model:
-    """The context trees of all languages, frozen into one table of code lengths."""
-    languages = sorted({label for label, _, _ in grams})
-    number = {label: place for place, label in enumerate(languages)}
-    code = np.array([gram for _, gram, _ in grams], dtype=np.int64)
-    count = np.array([n for _, _, n in grams], dtype=np.float64)
-    which = np.array([number[label] for label, _, _ in grams], dtype=np.int64)
+def _frozen(label: np.ndarray, code: np.ndarray, count: np.ndarray) -> Model:
+    """PPM-C: a symbol seen c times of n in a context has c / (n + d) with d distinct symbols; the escape
+    d / (n + d) is shared by the unseen ones as the shorter context predicts them, seen ones excluded."""
+    languages = sorted(set(label.tolist()))
+    number = {name: place for place, name in enumerate(languages)}
+    which = np.array([number[name] for name in label.tolist()], dtype=np.int64)
+    wide = len(languages)
     places = [(code >> (8 * (ORDER - place))) & 255 for place in range(ORDER + 1)]
-    often = np.bincount(places[-1], weights=count, minlength=256)
-    frequent = np.argsort(-often, kind="stable")[: SYMBOLS - 1]
+    met = np.unique(np.concatenate(places))
+    base = len(met) + 1
     symbol = np.zeros(256, dtype=np.int64)
-    for place, byte in enumerate(frequent[often[frequent] > 0]):
-        symbol[byte] = place + 1
+    symbol[met] = np.arange(1, base)
     coded = [symbol[place] for place in places]
 
-    wide = len(languages)
-    rows_left = max(MAX_CELLS // (SYMBOLS * wide), 2)
-    row_of = np.zeros(SYMBOLS**ORDER, dtype=np.int32)
-    tables: list[np.ndarray] = []
-    known: dict[int, int] = {}
+    row_of = np.zeros(base**ORDER, dtype=np.int32)
+    suffixes, rows, seconds, costs, escapes = [], [], [], [], []
+    known, entries, offset, above = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0, 0
+    shorter = np.zeros((0, wide))
     for depth in range(ORDER + 1):
         context = np.zeros(len(code), dtype=np.int64)
         for place in range(ORDER - depth, ORDER):
-            context = context * SYMBOLS + coded[place]
-        used, inverse = np.unique(context, return_inverse=True)
-        weight = np.bincount(inverse, weights=count)
-        kept = np.sort(np.argsort(-weight, kind="stable")[:rows_left])
-        rows_left -= len(kept)
-        place_of = np.full(len(used), -1)
-        place_of[kept] = np.arange(len(kept))
-        here = place_of[inverse]
-        mask = here >= 0
-        counts = np.zeros((len(kept), SYMBOLS, wide))
-        np.add.at(counts, (here[mask], coded[-1][mask], which[mask]), count[mask])
-        longer: dict[int, int] = {}
-        for at, (ctx, table) in enumerate(zip(used[kept].tolist(), counts)):
-            suffix = known.get(ctx % SYMBOLS ** (depth - 1), 0) if depth else None
-            shorter = tables[suffix] if depth else np.full((SYMBOLS, wide), 1.0 / SYMBOLS)
-            tables.append(_distributions(table, shorter))
-            longer[ctx] = len(tables) - 1
-        view = row_of.reshape(-1, SYMBOLS**depth)
-        for ctx, row in longer.items():
-            view[:, ctx] = row
-        # A context cut off by the size bound is found under its suffix.
-        known = longer
-    cost = -np.log2(np.concatenate(tables)).astype(np.float32)
-    return Model(languages, symbol, row_of, cost)
+            context = context * base + coded[place]
+        keys, inverse = np.unique(context * base + coded[-1], return_inverse=True)
+        seen = np.bincount(inverse * wide + which, weights=count, minlength=len(keys) * wide).reshape(-1, wide)
+        used, starts, row = np.unique(keys // base, return_index=True, return_inverse=True)
+        total = np.add.reduceat(seen, starts)
+        distinct = np.add.reduceat((seen > 0).astype(np.float64), starts)
+        if depth:
+            short = shorter[np.searchsorted(entries, keys % base**depth)]
+            suffix = np.searchsorted(known, used % base ** (depth - 1)) + above
+        else:
+            short, suffix = np.full((len(keys), wide), 1.0 / SYMBOLS), np.full(len(used), -1)
+        rest = np.maximum(1.0 - np.add.reduceat(np.where(seen > 0, short, 0.0), starts), 1e-12)
+        leave = np.where(total > 0, distinct / np.maximum(total + distinct, 1) / rest, 1.0)
+        shorter = np.where(seen > 0, seen / np.maximum(total + distinct, 1)[row], leave[row] * short)
+        costs.append(-np.log2(shorter).astype(np.float32))
+        escapes.append(-np.log2(leave).astype(np.float32))
+        suffixes.append(suffix)
+        rows.append(row + offset)
+        seconds.append(keys % base)
+        row_of.reshape(-1, base**depth)[:, used] = np.arange(len(used), dtype=np.int32) + offset
+        known, entries, above = used, keys, offset
+        offset += len(used)
+    row, second = np.concatenate(rows), np.concatenate(seconds)
+    bits = np.zeros(offset * 4, dtype=np.uint64)
+    np.bitwise_or.at(bits, row * 4 + (second >> 6), np.uint64(1) << (second & 63).astype(np.uint64))
+    before = np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)[:-1]]).astype(np.int32)
+    suffix = np.concatenate(suffixes).astype(np.int32)
+    return Model(languages, symbol, base, row_of, suffix, bits, before, np.concatenate(costs), np.concatenate(escapes))
+
+
+def _costs(model: Model, context: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Bits of each symbol after its context: (place, language)."""
+    row = model.row_of[context].astype(np.int64)
+    out = np.zeros((len(row), len(model.languages)), dtype=np.float32)
+    live: np.ndarray | slice = slice(None)
+    while len(row):
+        cell, bit = row * 4 + (second >> 6), (second & 63).astype(np.uint64)
+        word, one = model.bits[cell], np.uint64(1)
+        found = (word >> bit & one).astype(bool)
+        entry = model.before[cell] + np.bitwise_count(word & ((one << bit) - one))
+        # A row without the symbol has no entry for it; what stands in its place is not used.
+        out[live] += np.where(found[:, None], model.cost[np.minimum(entry, len(model.cost) - 1)], model.escape[row])
+        missed = np.flatnonzero(~found)
+        live = missed if isinstance(live, slice) else live[missed]
+        row, second = model.suffix[row[missed]].astype(np.int64), second[missed]
+        ended = row < 0
+        out[live[ended]] += np.float32(np.log2(SYMBOLS))
+        live, row, second = live[~ended], row[~ended], second[~ended]
+    return out
 
 
 def fit(
@@ -136,7 +158,7 @@ def fit(
     """A model of the labelled rows of ``docs``, None if there are none.
 
     The counts come from a sample of about ``fit_docs`` whole documents per language, chosen by a
-    hash of the id: at most ``MAX_GRAMS`` numbers reach the driver, for any size of the table.
+    hash of the id; all counts of the sample are used, whatever the other languages' are.
     """
     labelled = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = labelled.groupBy(label_col).count().collect()
@@ -145,9 +167,11 @@ def fit(
     shares = [value for label, n in sizes for value in (F.lit(label), F.lit(min(1.0, fit_docs / n)))]
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1_000_000)) / F.lit(1_000_000.0)
     sample = labelled.filter(draw < F.create_map(*shares)[F.col(label_col)])
-    grams = _grams(sample, text_col, label_col).orderBy(F.desc("n"), "label", "gram").limit(MAX_GRAMS)
-    rows = [tuple(row) for row in grams.collect()]
-    return build_model(rows) if rows else None
+    grams = _grams(sample, text_col, label_col).orderBy(F.desc("n"), "label", "gram").limit(MAX_GRAMS).toArrow()
+    if not grams.num_rows:
+        return None
+    label, code, count = (grams[name].to_numpy() for name in ("label", "gram", "n"))
+    return _frozen(label, code, count.astype(np.float64))
 
 
 def code_lengths(texts: list[str], model: Model) -> np.ndarray:
@@ -162,11 +186,10 @@ def code_lengths(texts: list[str], model: Model) -> np.ndarray:
         data = model.symbol[np.concatenate(waiting)]
         context = data[: -ORDER].copy()
         for place in range(1, ORDER):
-            context = context * SYMBOLS + data[place : len(data) - ORDER + place]
-        cell = model.row_of[context].astype(np.int64) * SYMBOLS + data[ORDER:]
+            context = context * model.base + data[place : len(data) - ORDER + place]
         ends = np.cumsum([len(piece) for piece in waiting])
         starts = ends - [len(piece) for piece in waiting]
-        costs = model.cost[cell]
+        costs = _costs(model, context, data[ORDER:])
         for start, end, owner in zip(starts, ends, owners):
             bits[owner] += costs[start : end - ORDER].sum(axis=0, dtype=np.float64)
         waiting.clear()

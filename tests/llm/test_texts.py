@@ -402,3 +402,27 @@ def test_near_duplicates_at_the_threshold(spark):
     assert len(want) == 120
     got = {r["doc_id"]: r["keep_id"] for r in near_duplicates(frame(spark, rows)).collect()}
     assert got == want
+
+
+def grams_of(texts):
+    grams = Counter()
+    for label, text in texts.items():
+        data = b"\n" * ORDER + text.encode()
+        for at in range(len(data) - ORDER):
+            grams[label, int.from_bytes(data[at : at + ORDER + 1], "big")] += 1
+    return [(label, gram, n) for (label, gram), n in grams.items()]
+
+
+def test_ppm_keeps_every_context():
+    """Fifty languages: none of the contexts of order 3 falls out of the model."""
+    rng = random.Random(51)
+    grams = grams_of({f"l{n}": words(rng, 400) for n in range(50)})
+    model = build_model(grams)
+    contexts = {gram >> 8 for _, gram, _ in grams}
+    depth = lambda row: 0 if model.suffix[row] < 0 else 1 + depth(model.suffix[row])
+    for gram in contexts:
+        number = 0
+        for byte in gram.to_bytes(ORDER, "big"):
+            number = number * model.base + int(model.symbol[byte])
+        assert depth(int(model.row_of[number])) == ORDER
+    assert len(contexts) > 655
