@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 ORDER = 3
 FIT_DOCS = 1_500  # the model is fitted on about so many labelled documents per language
-MAX_GRAMS = 2**20  # most frequent (language, context, symbol) counts of that sample
 SYMBOLS = 256  # every byte that the sample holds has a symbol of its own; the others are never told apart
 BYTES_AT_A_TIME = 1 << 19
 ROWS_AT_A_TIME = 1_000
@@ -167,7 +166,7 @@ def fit(
     shares = [value for label, n in sizes for value in (F.lit(label), F.lit(min(1.0, fit_docs / n)))]
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1_000_000)) / F.lit(1_000_000.0)
     sample = labelled.filter(draw < F.create_map(*shares)[F.col(label_col)])
-    grams = _grams(sample, text_col, label_col).orderBy(F.desc("n"), "label", "gram").limit(MAX_GRAMS).toArrow()
+    grams = _grams(sample, text_col, label_col).toArrow()
     if not grams.num_rows:
         return None
     label, code, count = (grams[name].to_numpy() for name in ("label", "gram", "n"))

@@ -426,3 +426,18 @@ def test_ppm_keeps_every_context():
             number = number * model.base + int(model.symbol[byte])
         assert depth(int(model.row_of[number])) == ORDER
     assert len(contexts) > 655
+
+
+def test_ppm_rare_label_and_script(spark):
+    rng = random.Random(52)
+    wide = "".join(chr(c) for c in range(0x80, 0x800, 3))
+    rows = [(n, words(rng, 60) + " " + "".join(rng.sample(wide, 40)), f"big{n % 2}", None, None) for n in range(200)]
+    rows += [(300, "".join(map(chr, range(33, 127))).lower(), "big0", None, None)]
+    rows += [(900, "ማንኛውም ሰው በሕይወት የመኖር", "zz", None, None), (901, "မြန်မာ ဘာသာ စကား", "zy", None, None)]
+    docs = frame(spark, rows)
+    model = fit(docs, "doc_id", "text", "lang")
+    assert model.languages == ["big0", "big1", "zy", "zz"]
+    used = {byte for row in rows for byte in row[1].encode()}
+    assert len({int(model.symbol[byte]) for byte in used}) == len(used) > 127
+    asked = frame(spark, [(1, "ሰው በሕይወት", None, None, None), (2, "ဘာသာ", None, None, None)])
+    assert {r["doc_id"]: r["lang_pred"] for r in predict(asked, model).collect()} == {1: "zz", 2: "zy"}
