@@ -148,6 +148,8 @@ def top_k(
     blocks). A block answers a query with bitmap sums and a descent from the most significant slice;
     rows that tie at the boundary are settled by id. The best of all blocks are then ranked.
 
+    A quantised component outside int32 (``abs(x)`` from 2^23 on at the scale of 256) is an error.
+
     Nulls and edges: rows whose vector or id is null or has a null or non-finite component take no
     part; vectors of different lengths never meet (a query sees the rows of its own length); rows
     that repeat an id are candidates as often as they come, but never for a query with that id, and a
@@ -176,7 +178,10 @@ def top_k(
             starts = np.cumsum(lengths) - lengths
             for width in np.unique(lengths):
                 mine = np.flatnonzero(lengths == width)
-                values = flat[starts[mine][:, None] + np.arange(width)].astype(np.int32)
+                values = flat[starts[mine][:, None] + np.arange(width)]
+                if (values != values.astype(np.int32)).any():
+                    raise OverflowError("a quantised component is outside int32")
+                values = values.astype(np.int32)
                 for at in range(0, len(mine), BLOCK_ROWS):
                     part = slice(at, at + BLOCK_ROWS)
                     parts = held.setdefault(int(width), [])

@@ -151,3 +151,9 @@ def test_capture_histories_empty_and_least(spark):
     few = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abc"), (4, "u", "abc")], schema)
     kinds = {r["page_id"]: r["record_type"] for r in capture_histories(few, stamp, least_bytes=3).collect()}
     assert kinds == {1: "response", 2: "response", 3: "revisit", 4: "response"}
+
+
+def test_top_k_refuses_components_outside_int32(spark):
+    vectors = spark.createDataFrame([(1, [2.0**23, 1.0]), (2, [0.5, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="outside int32"):
+        top_k(vectors, F.lit(True)).collect()
