@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from clinspark.llm.bit_sliced_topk import top_k
 from clinspark.llm.common import staged, table, utf8
+from clinspark.llm.decontamination import contamination
 from clinspark.llm.exact_dedup import exact_dedup
+from clinspark.llm.fill_in_middle import fill_in_middle
 from clinspark.llm.language_ppm import fit, held_out, predict
 from clinspark.llm.license_scan import TEMPLATES, license_scan
+from clinspark.llm.merkle_manifest import merkle_proofs
 from clinspark.llm.mixing import mix_sources, word_count
 from clinspark.llm.packing import pack_documents
 from clinspark.llm.repeated_windows import remove_repeats
@@ -109,6 +112,28 @@ def op10_simhash_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return merkle_proofs(table(spark, folder, "documents"), tamper=tampered)
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    moved = fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"), with_text=False)
+    return moved.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+def op13_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_warc_index_merge": op1_warc_index_merge,
     "op2_bit_sliced_topk": op2_bit_sliced_topk,
@@ -120,6 +145,9 @@ QUERIES: dict[str, Query] = {
     "op8_license_scan": op8_license_scan,
     "op9_language_ppm": op9_language_ppm,
     "op10_simhash_tiles": op10_simhash_tiles,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_decontamination": op13_decontamination,
 }
 
 def _quoted(text: str) -> str:
@@ -135,7 +163,134 @@ _BASE32 = " || ".join(
     for shift in (15, 10, 5, 0)
 )
 
+
+
+def _leaf(text: str) -> str:
+    """The SQL of a leaf whose text is the expression ``text``."""
+    values = [f"{name}::VARCHAR" for name in ("doc_id", "source", "lang", "n_chars")] + [text]
+    fields = (f"coalesce(octet_length(encode({value}))::VARCHAR || ':' || {value}, '-')" for value in values)
+    return f"sha256({' || '.join(fields)})"
+
+
+_ALPHABET = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+# CRC-32 of decimal digits, bit by bit over the reversed polynomial.
+_CRC32 = """xor(list_reduce(
+    list_transform(range(1, len({0}) + 1), lambda i: ascii({0}[i])::BIGINT),
+    lambda crc, byte: list_reduce(range(0, 8), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END,
+                                  xor(crc, byte)), 4294967295::BIGINT), 4294967295)"""
+
+
+def _climb(name: str, leaves: str) -> str:
+    """All levels over ``leaves`` (k, pos, digest, n): runs of 16 become one until one is left."""
+    return f"""{name}(lvl, k, pos, digest, n) AS (
+  SELECT 0, k, pos, digest, n FROM {leaves}
+  UNION ALL
+  SELECT lvl + 1, k, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)), (n + 15) // 16
+  FROM {name} WHERE n > 1 GROUP BY lvl, k, pos // 16, n
+), {name}_runs AS (
+  SELECT lvl, k, pos // 16 AS run, list(digest ORDER BY pos) AS members FROM {name} WHERE n > 1 GROUP BY ALL
+)"""
+
+
+def _fold(name: str, start: str, runs: str) -> str:
+    """From each (key, k, pos, proof, digest) up over the runs: siblings collected, digest folded."""
+    return f"""{name}(lvl, key, k, pos, proof, digest) AS (
+  SELECT 0, key, k, pos, proof, digest FROM {start}
+  UNION ALL
+  SELECT f.lvl + 1, key, f.k, f.pos // 16,
+         proof || array_to_string(members[:f.pos % 16] || members[f.pos % 16 + 2:], ''),
+         sha256(array_to_string(members[:f.pos % 16] || [digest] || members[f.pos % 16 + 2:], ''))
+  FROM {name} f JOIN {runs} r ON f.lvl = r.lvl AND f.k = r.k AND f.pos // 16 = r.run
+), {name}_end AS (
+  SELECT * FROM {name} QUALIFY row_number() OVER (PARTITION BY key ORDER BY lvl DESC) = 1
+)"""
+
+
 ORACLES = {
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS k, row_number() OVER () AS key,
+         {_leaf("text")} AS leaf,
+         CASE WHEN {_CRC32.format("(doc_id::VARCHAR)")} % 5 = 0
+              THEN {_leaf(f"translate(text, {_ALPHABET})")} END AS changed
+  FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM d
+), start AS (SELECT k, pos, leaf AS digest, n FROM leaves
+), {_climb("up", "start")}
+, ends AS (
+  SELECT k AS tree, digest FROM up WHERE n = 1
+), tops AS (
+  SELECT '' AS k, tree, row_number() OVER (ORDER BY tree) - 1 AS pos, digest, count(*) OVER () AS n FROM ends
+), top_start AS (SELECT k, pos, digest, n FROM tops
+), {_climb("over_all", "top_start")}
+, low_start AS (SELECT key, k, pos, '' AS proof, coalesce(changed, leaf) AS digest FROM leaves
+), {_fold("low", "low_start", "up_runs")}
+, high_start AS (
+  SELECT key, '' AS k, tops.pos, low_end.proof, low_end.digest FROM low_end JOIN tops ON tops.tree = low_end.k
+), {_fold("high", "high_start", "over_all_runs")}
+SELECT doc_id, leaf, ends.digest AS subroot, root.digest AS root, sha256(high_end.proof) AS proof_sha256,
+       high_end.digest AS folded_root, high_end.digest = root.digest AS verified
+FROM leaves JOIN ends ON ends.tree = leaves.k JOIN high_end USING (key) CROSS JOIN (SELECT digest FROM over_all WHERE n = 1) root
+""",
+    "op12_fill_in_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS body, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units
+  FROM documents
+), cut AS (
+  SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS a, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS b,
+         CASE WHEN body = '' OR contains(body, '<P>') OR contains(body, '<S>') OR contains(body, '<M>')
+                   OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+              WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), parts AS (
+  SELECT *, array_to_string(units[1:least(a, b)], '') AS p, array_to_string(units[least(a, b) + 1:greatest(a, b)], '') AS m,
+         array_to_string(units[greatest(a, b) + 1:], '') AS s
+  FROM cut
+), made AS (
+  SELECT *, CASE form WHEN 'plain' THEN body WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                      ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output
+  FROM parts
+), found AS (
+  SELECT *, strpos(output, '<P>') AS at_p, strpos(output, '<S>') AS at_s, strpos(output, '<M>') AS at_m FROM made
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(output) AS output_sha256,
+       sha256(CASE form
+         WHEN 'plain' THEN output
+         WHEN 'psm' THEN output[4:at_s - 1] || output[at_m + 3:] || output[at_s + 3:at_m - 1]
+         ELSE output[at_p + 3:at_m - 1] || output[at_m + 3:] || output[4:at_p - 1] END) AS restored_sha256
+FROM found
+""",
+    "op13_decontamination": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS key, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), ALPHABET), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), ALPHABET), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), g AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS l, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS gram
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM b WHERE len(w) > 0)
+), sizes AS (SELECT DISTINCT l FROM g
+), places AS (
+  SELECT key, l, i, array_to_string(w[i:i + l - 1], ' ') AS gram
+  FROM (SELECT key, w, l, unnest(range(1, len(w) - l + 2)) AS i FROM d, sizes WHERE len(w) >= l)
+), hits AS (
+  SELECT key, places.l, i, item_id FROM places JOIN g USING (gram)
+), counted AS (
+  SELECT key, count(DISTINCT place) AS n_hit FROM (SELECT key, unnest(range(i, i + l)) AS place FROM hits) GROUP BY key
+), listed AS (
+  SELECT key, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items
+  FROM hits GROUP BY key
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN counted USING (key) LEFT JOIN listed USING (key)
+""".replace("ALPHABET", _ALPHABET),
     "op1_warc_index_merge": f"""
 WITH p AS (
   SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hash
