@@ -36,7 +36,17 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored.stage_folder = path
+    return stored
+
+
+def discard(*stages: DataFrame) -> None:
+    """Delete tables that ``staged`` returned, once everything that reads them is written."""
+    for stage in stages:
+        jvm = stage.sparkSession.sparkContext._jvm
+        place = jvm.org.apache.hadoop.fs.Path(stage.stage_folder)
+        place.getFileSystem(stage.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def utf8(text: str) -> Column:

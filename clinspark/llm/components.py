@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import staged
+from clinspark.llm.common import discard, staged
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -35,6 +35,8 @@ def components(links: DataFrame) -> DataFrame:
         lower = own.union(near).union(ahead).groupBy("node").agg(F.min("_said").alias("component"), F.max("_old").alias("_old"))
         seen = Observation()
         watched = lower.observe(seen, F.count(F.when(F.col("component") < F.col("_old"), 1)).alias("changed"))
-        labels = staged(watched.select("node", "component"), "labels")
+        before, labels = labels, staged(watched.select("node", "component"), "labels")
         changed = seen.get["changed"]
+        discard(before)
+    discard(edges)
     return labels

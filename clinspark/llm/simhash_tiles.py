@@ -3,25 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import SALTS, join_back, staged
+from clinspark.llm.common import join_back, staged
 from clinspark.llm.components import components
 
 TILE = 16_384
 LEFT_AT_A_TIME, RIGHT_AT_A_TIME = 64, 2_048  # comparisons whose working set stays in a core's cache
 SHINGLES_AT_A_TIME = 65_536
-LEADERS = 16  # documents of a component that all others of it are compared with, per round
-LOCAL_SHINGLES = 2_000_000  # a component with more shingle hashes is worked on by several tasks
-BLOCK_SHINGLES = 250_000  # of such a component, blocks of about so many meet each other
-HASHES_AT_A_TIME = 1_000_000  # shingle hashes that a task holds before it sends them
-PART_BYTES = 16 << 20  # about so much text per part of the shingle hashes
 _LOWER = bytes(byte + 32 if 65 <= byte <= 90 else byte for byte in range(256))
 
 
@@ -60,7 +54,7 @@ def _spread(hashes: np.ndarray, lane: int) -> np.ndarray:
 def fingerprint(text: str | None, width: int, lanes: int = 1, seed: int = 42) -> np.ndarray:
     """SimHash of a whole text, ``lanes`` times 64 bits: a bit is 1 if it is set in over half of the
     shingle hashes."""
-    return _majority(shingle_hashes(text, width, seed), lanes)
+    return majority(shingle_hashes(text, width, seed), lanes)
 
 
 def shingle_set(text: str | None, width: int) -> np.ndarray:
@@ -68,7 +62,7 @@ def shingle_set(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.concatenate([np.zeros(0, dtype="<u8"), *shingle_hashes(text, width)]))
 
 
-def _majority(parts: Iterable[np.ndarray], lanes: int) -> np.ndarray:
+def majority(parts: Iterable[np.ndarray], lanes: int) -> np.ndarray:
     counts, total = np.zeros((lanes, 64), dtype=np.int64), 0
     for hashes in parts:
         for lane in range(lanes):
@@ -220,339 +214,3 @@ def simhash_groups(
     return join_back(rows, named, "fingerprint", "_rows", id_col, "inner").select(
         id_col, "fingerprint", "component_id"
     )
-
-
-def _sets(rows: DataFrame, width: int) -> DataFrame:
-    """(``id``, ``_mark``, ``_mark2``, ``_set``) of (``id``, ``_text``): a fingerprint of 128 bits over the
-    different shingles, and their sorted hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, text in zip(batch.column("id"), batch.column("_text")):
-                different = shingle_set(text.as_py(), width)
-                marks = _majority([different], 2).view(np.int64)
-                columns = [pa.array([name.as_py()], pa.int64()), pa.array(marks[:1]), pa.array(marks[1:])]
-                held = pa.array([different.view(np.int64)], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*columns, held], ["id", "_mark", "_mark2", "_set"])
-
-    return rows.select("id", "_text").mapInArrow(run, "id long, _mark long, _mark2 long, _set array<long>")
-
-
-def _shared_counts(rows: DataFrame, width: int, parts: int) -> DataFrame:
-    """(``id``, ``size``, ``shared``): for rows (``id``, ``text``) the number of different shingles, and
-    how many of them, at least, another row has. Rows that share none are left out.
-
-    Shingle hashes travel packed: the remainder by ``parts`` names the part, the upper 32 bits are
-    compared in it. Two shingles that agree in both count as one, which can only raise ``shared``. A
-    text without a shingle has the hash 0.
-    """
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sets, held = [], [], 0
-
-        def packed() -> pa.RecordBatch:
-            sizes = np.array([len(one) for one in sets], dtype=np.int32)
-            owner = np.repeat(np.arange(len(sets)), sizes)
-            flat, names = np.concatenate(sets), np.array(ids, dtype=np.int64)
-            part = (flat % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            owner, keys, part = owner[order], (flat[order] >> np.uint64(32)).astype("<u4"), part[order]
-            at = np.flatnonzero(np.diff(part, prepend=-1))
-            out = []
-            for start, end in zip(at, np.append(at[1:], len(part))):
-                firsts = np.flatnonzero(np.diff(owner[start:end], prepend=-1))
-                who = owner[start:end][firsts]
-                lengths = np.diff(np.append(firsts, end - start)).astype(np.int32)
-                out.append((int(part[start]), *(x.tobytes() for x in (names[who], sizes[who], lengths, keys[start:end]))))
-            kinds = (pa.int64(), *[pa.binary()] * 4)
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["part", "ids", "sizes", "lengths", "keys"])
-
-        for batch in batches:
-            for name, text in zip(batch.column("id"), batch.column("text")):
-                different = shingle_set(text.as_py(), width)
-                ids.append(name.as_py())
-                sets.append(different if len(different) else np.zeros(1, dtype="<u8"))
-                held += len(sets[-1])
-                if held >= HASHES_AT_A_TIME:
-                    yield packed()
-                    ids, sets, held = [], [], 0
-        if ids:
-            yield packed()
-
-    def count(group: pa.Table) -> pa.Table:
-        def column(name: str, kind: str) -> np.ndarray:
-            return np.frombuffer(b"".join(group[name].to_pylist()), dtype=kind)
-
-        lengths, keys = column("lengths", "<i4"), column("keys", "<u4")
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        same = ordered[1:] == ordered[:-1]
-        common = np.zeros(len(keys), dtype=np.int32)
-        common[order[1:]] = same
-        common[order[:-1]] |= same
-        shared = np.add.reduceat(common, np.cumsum(lengths) - lengths)
-        some = shared > 0
-        columns = [column("ids", "<i8")[some], column("sizes", "<i4")[some], shared[some].astype(np.int32)]
-        return pa.Table.from_arrays([pa.array(one) for one in columns], ["id", "size", "shared"])
-
-    sent = rows.select("id", "text").mapInArrow(spread, "part long, ids binary, sizes binary, lengths binary, keys binary")
-    counted = sent.groupBy("part").applyInArrow(count, "id long, size int, shared int")
-    return counted.groupBy("id", "size").agg(F.sum("shared").alias("shared"))
-
-
-def _candidates(sets: DataFrame, similarity: float) -> DataFrame:
-    """(``node``, ``component``): ids whose components hold all pairs of at least ``similarity``.
-
-    Two such sets share one of the first ``size - ceil(similarity * size) + 1`` shingles in any common
-    order, here that of their hashes. A shingle links its documents with the least of them.
-    """
-    size = F.greatest(F.size("_set"), F.lit(1))
-    first = (size - F.ceil(F.lit(similarity) * size - 1e-9) + 1).cast("int")
-    own = F.when(F.size("_set") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.col("_set"))
-    ahead = staged(sets.select("id", F.explode(F.slice(own, F.lit(1), first)).alias("hash")), "near-ahead")
-    met = ahead.groupBy("hash").agg(F.min("id").alias("first"), F.count("*").alias("_rows")).filter("_rows > 1")
-    links = join_back(ahead, staged(met, "near-met"), "hash", "_rows", "id", "inner")
-    return components(links.filter("id <> first").select(F.col("first").alias("left"), F.col("id").alias("right")).distinct())
-
-
-def _one_round(left: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """A round over components of any size: links (id, leader), and the documents that have none."""
-    lanes = ("_mark", "_mark2")
-    bits = [F.expr(f"sum(shiftrightunsigned({lane}, {bit}) & 1) as {lane}_{bit}") for lane in lanes for bit in range(64)]
-    majority = [
-        F.expr(" | ".join(f"if(2 * {lane}_{bit} > _rows, shiftleft(1L, {bit}), 0L)" for bit in range(64))).alias(f"_centre{lane}")
-        for lane in lanes
-    ]
-    centres = left.groupBy("_component").agg(F.count("*").alias("_rows"), *bits)
-    centres = staged(centres.select("_component", "_rows", *majority), "near-centres")
-    distance = sum(F.bit_count(F.col(lane).bitwiseXOR(F.col(f"_centre{lane}"))) for lane in lanes)
-    placed = join_back(left, centres, "_component", "_rows", "id", "inner").withColumn("_far", distance)
-    # The nearest of each slice of a component, then the nearest of those: no task sorts a component.
-    sliced = Window.partitionBy("_component", F.pmod(F.xxhash64("id"), F.lit(SALTS))).orderBy("_far", "id")
-    whole = Window.partitionBy("_component").orderBy("_far", "id")
-    nearest = placed.withColumn("_place", F.row_number().over(sliced)).filter(F.col("_place") <= LEADERS)
-    nearest = nearest.withColumn("_place", F.row_number().over(whole)).filter(F.col("_place") <= LEADERS)
-    led_by = nearest.groupBy("_component").agg(
-        F.collect_list(F.struct(F.col("id").alias("leader"), F.col("_set").alias("set"))).alias("_leaders"), F.first("_rows").alias("_rows")
-    )
-    led_by = staged(led_by, "near-leaders")
-
-    def agrees(leader: Column) -> Column:
-        shared = F.size(F.array_intersect(F.col("_set"), leader["set"]))
-        union = F.size("_set") + F.size(leader["set"]) - shared
-        return (union == 0) | (shared >= F.lit(similarity) * union)
-
-    met = F.transform(F.filter("_leaders", agrees), lambda leader: leader["leader"])
-    compared = join_back(left, led_by, "_component", "_rows", "id", "inner").withColumn("_met", met)
-    compared = staged(compared.drop("_leaders", "_rows"), "near-compared")
-    links = compared.select("id", F.explode("_met").alias("leader"))
-    return links, compared.filter(F.size("_met") == 0).select(left.columns)
-
-
-def crossing(
-    ids: np.ndarray, classes: np.ndarray, sets: list[np.ndarray], similarity: float, sides: np.ndarray | None = None
-) -> list[tuple[int, int]]:
-    """Links that, with the classes already known, connect what all pairs of at least ``similarity`` connect
-    (of documents on different ``sides``, if they are given).
-
-    Sets of that similarity share one of the first ``size - ceil(similarity * size) + 1`` shingles in
-    any common order; rare ones first leaves few pairs. Only pairs of different classes are counted.
-    """
-    label = np.unique(classes, return_inverse=True)[1]
-    if len(ids) < 2 or label.max() == 0:
-        return []
-    sizes = np.array([len(one) for one in sets])
-    owner = np.repeat(np.arange(len(ids)), sizes)
-    _, token, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    order = np.lexsort((token, often[token], owner))
-    owner, token = owner[order], token[order]
-    firsts = np.cumsum(sizes) - sizes
-    ahead = np.arange(len(owner)) - firsts[owner] < (sizes - np.ceil(similarity * sizes - 1e-9) + 1)[owner]
-
-    def postings(who: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return who[np.argsort(what, kind="stable")], np.searchsorted(np.sort(what), np.arange(len(often) + 1))
-
-    every, every_at = postings(owner, token)
-    front, front_at = postings(owner[ahead], token[ahead])
-    links: list[tuple[int, int]] = []
-    for at in range(len(ids)):
-        mine = slice(firsts[at], firsts[at] + sizes[at])
-        lead = token[mine][ahead[mine]]
-        met = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *(front[front_at[t] : front_at[t + 1]] for t in lead)]))
-        met = met[(met < at) & (label[met] != label[at])]
-        if sides is not None:
-            met = met[sides[met] != sides[at]]
-        if not len(met):
-            continue
-        shared = np.bincount(np.concatenate([every[every_at[t] : every_at[t + 1]] for t in token[mine]]), minlength=len(ids))[met]
-        for other in met[shared >= similarity * (sizes[met] + sizes[at] - shared)]:
-            if label[other] != label[at]:
-                links.append((int(ids[at]), int(ids[other])))
-                label[label == label[other]] = label[at]
-    # Sets without a shingle are alike.
-    empty = np.flatnonzero(sizes == 0)
-    return links + [(int(ids[at]), int(ids[empty[0]])) for at in empty[1:]]
-
-
-def _classes(ids: np.ndarray, links: list[tuple[int, int]]) -> np.ndarray:
-    place = {one: at for at, one in enumerate(ids.tolist())}
-    parent = list(range(len(ids)))
-
-    def root(at: int) -> int:
-        while parent[at] != at:
-            parent[at] = parent[parent[at]]
-            at = parent[at]
-        return at
-
-    for one, two in links:
-        parent[root(place[one])] = root(place[two])
-    return np.array([root(at) for at in range(len(ids))], dtype=np.int64)
-
-
-def led(ids: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """The links (id, leader) of all rounds of one component."""
-    links: list[tuple[int, int]] = []
-    left = np.arange(len(ids))
-    while len(left):
-        octets = np.ascontiguousarray(marks[left], dtype="<u8").view(np.uint8)
-        counts = np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        centre = np.packbits(2 * counts > len(left), bitorder="little").view("<u8")
-        far = np.bitwise_count(marks[left] ^ centre).sum(axis=1, dtype=np.int64)
-        leaders = left[np.lexsort((ids[left], far))[:LEADERS]]
-        alone = []
-        for at in left:
-            met = []
-            for leader in leaders:
-                shared = len(np.intersect1d(sets[at], sets[leader], assume_unique=True))
-                union = len(sets[at]) + len(sets[leader]) - shared
-                if not union or shared >= similarity * union:
-                    met.append((int(ids[at]), int(ids[leader])))
-            links += met
-            if not met:
-                alone.append(at)
-        left = np.array(alone, dtype=np.int64)
-    return links
-
-
-def _led_locally(similarity: float):
-    def run(group: pa.Table) -> pa.Table:
-        ids = group["id"].to_numpy()
-        marks = np.stack([group[lane].to_numpy().view(np.uint64) for lane in ("_mark", "_mark2")], axis=1)
-        sets = [np.array(chunk.values) for part in group["_set"].chunks for chunk in part]
-        links = led(ids, marks, sets, similarity)
-        links += crossing(ids, _classes(ids, links), sets, similarity)
-        columns = [pa.array([link[at] for link in links], pa.int64()) for at in (0, 1)]
-        return pa.Table.from_arrays(columns, ["id", "leader"])
-
-    return run
-
-
-def _block_links(members: DataFrame, similarity: float) -> DataFrame:
-    """Links (id, leader) that are missing between the classes of large components.
-
-    ``members`` are (``id``, ``_component``, ``_class``, ``_set``). Classes of over ``BLOCK_SHINGLES``
-    hashes are cut into blocks of their own, the others of a component share blocks; every two blocks
-    of a component meet in a task, but for those of one class.
-    """
-    weight = F.size("_set") + 1
-    weights = members.groupBy("_component", "_class").agg(F.sum(weight).alias("_weight"), F.count("*").alias("_rows"))
-    open_ones = weights.groupBy("_component").agg(F.count("*").alias("_n")).filter("_n > 1").select("_component")
-    weights = weights.join(open_ones, "_component")
-    weights = weights.withColumn("_own", F.when(F.col("_weight") > BLOCK_SHINGLES, F.col("_class")))
-    cuts = weights.groupBy("_component", "_own").agg(F.ceil(F.sum("_weight") / F.lit(BLOCK_SHINGLES)).cast("int").alias("_parts"))
-    cuts = cuts.withColumnRenamed("_component", "_at").withColumnRenamed("_own", "_as")
-    same = (F.col("_component") == F.col("_at")) & F.col("_own").eqNullSafe(F.col("_as"))
-    known = weights.join(cuts, same).select("_class", F.col("_component").alias("_whole"), "_own", "_parts", "_rows")
-    known = staged(known, "near-classes")
-    blocks = (
-        join_back(members.select("id", "_class", "_set"), known, "_class", "_rows", "id", "inner")
-        .withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
-        .groupBy("_whole", "_own", "_part")
-        .agg(F.collect_list(F.struct("id", "_class", "_set")).alias("members"))
-        .withColumn("block", F.monotonically_increasing_id())
-    )
-    blocks = staged(blocks, "near-blocks")
-    keys = blocks.select("block", "_whole", "_own")
-    other = keys.select(F.col("block").alias("to"), F.col("_whole").alias("_to_whole"), F.col("_own").alias("_to_own"))
-    pairs = keys.join(other, (F.col("_whole") == F.col("_to_whole")) & (F.col("block") <= F.col("to"))).filter(
-        "_own is null or _to_own is null or _own <> _to_own"
-    )
-    sources = blocks.select("block", F.col("members").alias("sources"))
-    targets = blocks.select(F.col("block").alias("to"), F.col("members").alias("targets"))
-    meeting = pairs.select("block", "to").join(sources, "block").join(targets, "to").select("block", "to", "sources", "targets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, to, source, target in zip(*batch.columns):
-                held = [source.values] if block.as_py() == to.as_py() else [source.values, target.values]
-                ids, classes = (np.concatenate([part.field(name).to_numpy() for part in held]) for name in ("id", "_class"))
-                sets = [np.array(one.values) for part in held for one in part.field("_set")]
-                sides = np.repeat(np.arange(2), [len(part) for part in held]) if len(held) > 1 else None
-                links = crossing(ids, classes, sets, similarity, sides)
-                columns = [pa.array([link[at] for link in links], pa.int64()) for at in (0, 1)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "leader"])
-
-    return meeting.mapInArrow(run, "id long, leader long")
-
-
-def near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    similarity: float = 0.8,
-) -> DataFrame:
-    """(id, ``keep_id``) of the documents that share a group with another id; ids are longs.
-
-    No pair is lost. Documents of that similarity share at least ``similarity`` of the shingles of each, so
-    a document of which fewer occur in another one is out (``_shared_counts``, one shuffle of packed
-    hashes). The others are candidates if they share a shingle among their first ones in hash order
-    (``_candidates``), and the candidates' components are searched.
-
-    An exact check follows: in each component the ``LEADERS`` documents whose fingerprints (their first
-    128 bits) are nearest to the bitwise majority lead, the texts that the others are variants of. A
-    document is linked with each leader whose set of ``width``-word shingles has a Jaccard similarity of
-    at least ``similarity`` with its own; linked documents are a group and its smallest id stays.
-    Documents that agree with no leader form the next round of their component, until none is left. The
-    rounds only save work: afterwards all pairs between documents that are not yet connected are
-    verified by prefix filtering (``crossing``), so a component's groups are those of all its pairs,
-    whatever its size. Components whose sets hold up to ``LOCAL_SHINGLES`` hashes are worked on in one
-    task; larger ones go round by round as joins, in which leaders reach hot components through the
-    salted look-up, and then in pairs of blocks. Both ways have the same result.
-
-    Copies are found as well. Texts without words are alike. Rows with a null id are left out; rows
-    that repeat an id are one document with the least of its texts; an empty table gives an empty one.
-    """
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    parts = max(16, -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES))
-    shared = _shared_counts(rows, width, parts)
-    asked = shared.filter(F.col("shared") >= F.ceil(F.lit(similarity) * F.col("size") - 1e-9)).select("id").distinct()
-    one = rows.join(staged(asked, "near-asked"), "id").groupBy("id").agg(F.min("text").alias("_text"))
-    sets = staged(_sets(one, width), "near-sets")
-    near = _candidates(sets, similarity).select(F.col("node").alias("id"), F.col("component").alias("_component"))
-    left = staged(sets.join(near, "id").select("id", "_component", "_mark", "_mark2", "_set"), "near-left")
-    answers: list[DataFrame] = []
-    whole: DataFrame | None = None
-    while not left.isEmpty():
-        sizes = left.groupBy("_component").agg(F.count("*").alias("_rows"), F.sum(F.size("_set") + 1).alias("_weight"))
-        sizes = staged(sizes, "near-sizes")
-        small = sizes.filter(F.col("_weight") <= LOCAL_SHINGLES)
-        here = join_back(left, small, "_component", "_rows", "id", "left_semi")
-        local = here.groupBy("_component").applyInArrow(_led_locally(similarity), "id long, leader long")
-        answers.append(staged(local, "near-local"))
-        large = staged(sizes.filter(F.col("_weight") > LOCAL_SHINGLES), "near-large")
-        if large.isEmpty():
-            break
-        left = staged(join_back(left, large.select("_component", "_rows"), "_component", "_rows", "id", "left_semi"), "near-left")
-        whole = left if whole is None else whole
-        links, left = _one_round(left, similarity)
-        answers.append(links)
-    if not answers:
-        return rows.select(F.col("id").alias(id_col), F.col("id").alias("keep_id")).limit(0)
-    links = reduce(DataFrame.union, answers).select(F.col("id").alias("left"), F.col("leader").alias("right"))
-    if whole is not None:
-        classes = components(links).select(F.col("node").alias("id"), F.col("component").alias("_class"))
-        members = whole.join(classes, "id", "left").withColumn("_class", F.coalesce("_class", "id"))
-        missing = _block_links(staged(members.select("id", "_component", "_class", "_set"), "near-members"), similarity)
-        links = links.union(missing.select(F.col("id").alias("left"), F.col("leader").alias("right")))
-    return components(links).select(F.col("node").alias(id_col), F.col("component").alias("keep_id"))

@@ -15,13 +15,14 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clinspark.llm import components as components_module
-from clinspark.llm import language_ppm, packing, repeated_windows, simhash_tiles
+from clinspark.llm import language_ppm, near_copies, packing, repeated_windows, simhash_tiles
 from clinspark.llm.components import components
 from clinspark.llm.language_ppm import ORDER, SYMBOLS, build_model, code_lengths, fit, held_out, predict
 from clinspark.llm.packing import pack, pack_documents, shortest_pack_first, token_pieces, word_encoder
 from clinspark.llm.registered import tokenizer_file
 from clinspark.llm.repeated_windows import remove_repeats
-from clinspark.llm.simhash_tiles import led, linked_in_tile, near_duplicates, simhash_groups
+from clinspark.llm.near_copies import crossing, near_duplicates
+from clinspark.llm.simhash_tiles import linked_in_tile, simhash_groups
 from tests.llm.cases import awkward_rows, frame, words
 
 ORDERED = lambda x: tuple((v is None, v) for v in x)
@@ -120,7 +121,7 @@ def jaccard(one, two):
 
 @pytest.mark.parametrize("local", [0, 2_000_000])
 def test_near_duplicates(spark, monkeypatch, local):
-    monkeypatch.setattr(simhash_tiles, "LOCAL_SHINGLES", local)
+    monkeypatch.setattr(near_copies, "LOCAL_SHINGLES", local)
     rng = random.Random(6)
     rows, groups = [], []
     for group in range(15):
@@ -146,17 +147,52 @@ def test_near_duplicates_none(spark):
     assert near_duplicates(frame(spark, [(1, "a b c d e f", None, None, None)])).count() == 0
 
 
-def test_leaders():
-    rng = np.random.default_rng(0)
-    ids = rng.permutation(60)
-    sets = [np.unique(rng.integers(0, 30, 25)) for _ in ids]
-    marks = rng.integers(0, 2**63, (60, 2)).astype(np.uint64)
-    links = led(ids, marks, sets, 0.5)
-    of = dict(zip(ids.tolist(), sets))
-    assert {a for a, _ in links} == set(ids.tolist())
-    for one, leader in links:
-        both = len(np.intersect1d(of[one], of[leader]))
-        assert both >= 0.5 * (len(of[one]) + len(of[leader]) - both)
+@pytest.mark.parametrize("sided", [False, True])
+@pytest.mark.parametrize("similarity", [0.5, 0.8])
+def test_crossing_connects(monkeypatch, sided, similarity):
+    """Links and known classes together connect what all pairs connect, at any limit of single tests."""
+    for seed in range(12):
+        monkeypatch.setattr(near_copies, "SINGLE_TESTS", seed % 3)
+        rng = np.random.default_rng(seed)
+        ids = rng.permutation(60)
+        base = rng.integers(0, 200, 40)
+        sets = [np.unique(np.concatenate([base[rng.random(40) < 0.8], rng.integers(0, 200, rng.integers(0, 12))])) for _ in ids]
+        sets[3] = sets[7] = np.zeros(0, dtype=np.int64)
+        classes, sides = np.where(rng.random(60) < 0.4, ids // 6 * 6, ids + 1000), (ids % 2 if sided else None)
+
+        def wanted(a, b):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            return both >= similarity * (len(sets[a]) + len(sets[b]) - both) and not (sided and sides[a] == sides[b] and len(sets[a]))
+
+        known = [(int(i), int(c)) for i, c in zip(ids, classes)]
+        pairs = [(int(ids[a]), int(ids[b])) for a, b in combinations(range(60), 2) if wanted(a, b)]
+        links = crossing(ids, classes, sets, similarity, sides)
+        nodes = {x for pair in known for x in pair}
+        assert closed(nodes, known + links) == closed(nodes, known + pairs)
+        of = dict(zip(ids.tolist(), sets))
+        for one, two in links:
+            both = len(np.intersect1d(of[one], of[two]))
+            assert both >= similarity * (len(of[one]) + len(of[two]) - both)
+
+
+@pytest.mark.parametrize("local", [20_000, 2_000_000])
+def test_near_duplicates_along_a_chain(spark, monkeypatch, local):
+    """2000 versions of which only neighbours are similar, and one hot group: few jobs, one group each."""
+    monkeypatch.setattr(near_copies, "LOCAL_SHINGLES", local)
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", 20_000)
+    rng = random.Random(77)
+    texts = sliding(rng, 2000)
+    base = words(rng, 100).split()
+    hot = [" ".join([*base[:at], "edit", *base[at + 1 :]]) for at in (rng.randrange(100) for _ in range(500))]
+    rows = [(n, text, None, None, None) for n, text in enumerate(texts)] + [(5000 + n, text, None, None, None) for n, text in enumerate(hot)]
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "near copies along a chain")
+    got = {r["doc_id"]: r["keep_id"] for r in near_duplicates(frame(spark, rows)).collect()}
+    jobs = len(tracker.getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("other", "")
+    assert all(jaccard(a, b) >= 0.8 for a, b in zip(texts, texts[1:]))
+    assert got == {n: 0 for n in range(2000)} | {5000 + n: 5000 for n in range(500)}
+    assert jobs < 600  # with adaptive execution every exchange is a job
 
 
 def brute_repeats(rows, window):
@@ -360,8 +396,8 @@ def sliding(rng, count, width=104, step=8):
 
 @pytest.mark.parametrize("local", [0, 2_000_000])
 def test_near_duplicates_of_large_components(spark, monkeypatch, local):
-    monkeypatch.setattr(simhash_tiles, "LOCAL_SHINGLES", local)
-    monkeypatch.setattr(simhash_tiles, "BLOCK_SHINGLES", 1_000)
+    monkeypatch.setattr(near_copies, "LOCAL_SHINGLES", local)
+    monkeypatch.setattr(near_copies, "BLOCK_SHINGLES", 1_000)
     rng = random.Random(21)
     texts = sliding(rng, 40) + list(variants(rng, words(rng, 150), 45, 6))
     ids = list(range(len(texts)))
