@@ -16,7 +16,7 @@ from clinspark.llm.language_ppm import UNKNOWN, fit, predict
 from clinspark.llm.mixing import mix_sources, word_count
 from clinspark.llm.packing import pack_documents
 from clinspark.llm.registered import quality_weight, tokenizer_file
-from clinspark.llm.simhash_tiles import near_duplicates
+from clinspark.llm.near_copies import near_duplicates
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
