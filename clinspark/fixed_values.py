@@ -189,9 +189,6 @@ SIMILAR_SIZE_RATIO = 0.3
 SERIES_MEDIAN_MIN = 100 * 1024
 SERIES_MEDIAN_MAX = 2 * 1024 * 1024
 HEADER_BYTES = 64 * 1024
-HEADER_BYTES_LARGE = 512 * 1024
-LARGE_FILE_BYTES = 1024 * 1024
-MAX_FULL_READ = 50 * 1024 * 1024
 
 # Data elements read from every header (public DICOM dictionary numbers).
 CORE_TAGS = {

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,140 +13,154 @@ from pyspark.sql import functions as F
 
 from clinspark import fixed_values as fixed
 
+_PREAMBLE = 128
 _PIXELS = 0x7FE00010
-_ITEM_MARKS = (0xFFFEE000, 0xFFFEE00D)
-_SEQUENCE_END = 0xFFFEE0DD
+_ITEM, _ITEM_END, _SEQUENCE_END = 0xFFFEE000, 0xFFFEE00D, 0xFFFEE0DD
+_WITHOUT_REPRESENTATION = {_ITEM, _ITEM_END, _SEQUENCE_END}
 _UNDEFINED = 0xFFFFFFFF
 _LONG = {name.encode() for name in fixed.LONG_VALUE_REPRESENTATIONS}
 ALL_TAGS = fixed.CORE_TAGS | fixed.OPTIONAL_TAG_NUMBERS
+STEP_BYTES = 8 * 1024  # fetched after a jump
 SCHEMA = (
     "path string, size bigint, series_group string, tags map<string,string>, parse_error string"
 )
 
 
-class _EndOfBuffer(Exception):
+class _EndOfFile(Exception):
     pass
 
 
-class _Elements:
-    """Walks the data elements of a little-endian buffer."""
+class _Window:
+    """A view of an open file that fetches only the stretches that are asked for.
 
-    def __init__(self, data: bytes):
-        self.data = data
-        self.at = 132
-        self.explicit = True
+    The first fetch takes ``first`` bytes, since most headers end there; after a jump behind what is
+    held, ``step`` bytes or what is asked for.
+    """
 
-    def take(self, layout: str, skip: int = 0) -> int:
-        size = struct.calcsize(layout)
-        if self.at + skip + size > len(self.data):
-            raise _EndOfBuffer
-        (value,) = struct.unpack_from(layout, self.data, self.at + skip)
-        self.at += skip + size
-        return value
+    def __init__(self, opened, size: int, first: int = fixed.HEADER_BYTES, step: int = STEP_BYTES):
+        self.opened, self.size, self.step = opened, size, step
+        self.start, self.data = 0, b""
+        self._fetch(0, first)
 
-    def tag(self) -> int:
-        group = self.take("<H")
-        return group << 16 | self.take("<H")
+    def _fetch(self, at: int, count: int) -> None:
+        self.opened.seek(at)
+        self.start, self.data = at, self.opened.read(min(count, self.size - at))
 
-    def length(self, explicit: bool) -> int:
-        """The value length after a tag; the position moves to the value."""
-        if not explicit:
-            return self.take("<I")
-        representation = self.data[self.at : self.at + 2]
-        return self.take("<I", 4) if representation in _LONG else self.take("<H", 2)
+    def bytes(self, at: int, count: int) -> bytes:
+        if count < 0 or at + count > self.size:
+            raise _EndOfFile
+        inside = at - self.start
+        if inside < 0 or inside + count > len(self.data):
+            self._fetch(at, max(count, self.step))
+            inside = 0
+            if len(self.data) < count:
+                raise _EndOfFile
+        return self.data[inside : inside + count]
 
-    def skip_sequence(self, explicit: bool) -> None:
-        """Move behind the delimiter of a sequence of undefined length."""
-        while (tag := self.tag()) != _SEQUENCE_END:
-            size = self.take("<I") if tag in _ITEM_MARKS else self.length(explicit)
-            if size != _UNDEFINED:
-                self.at += size
-        self.at += 4
 
+@dataclass(frozen=True)
+class _Element:
+    tag: int
+    at: int  # where the value starts
+    size: int
 
-def parse_header(data: bytes, wanted: dict[str, int]) -> dict[str, str] | None:
-    """Wanted tags of a header, or None without the magic word or any wanted tag.
 
-    The meta group is explicit; the transfer syntax decides about the rest. Values count only if they
-    are not empty and lie fully inside ``data``.
+class _Walk:
+    """Goes from data element to data element of a little-endian file and never through a value.
+
+    A value of known length is jumped over. One of undefined length is a sequence: its items are jumped
+    over by their length or, if that is undefined too, walked to their delimiter, to any depth.
+    """
+
+    def __init__(self, window: _Window, at: int):
+        self.window, self.at = window, at
+
+    def number(self, layout: str) -> int:
+        size = struct.calcsize(layout)
+        (value,) = struct.unpack(layout, self.window.bytes(self.at, size))
+        self.at += size
+        return value
+
+    def peek_group(self) -> int:
+        return struct.unpack("<H", self.window.bytes(self.at, 2))[0]
+
+    def element(self, explicit: bool) -> _Element:
+        tag = self.number("<H") << 16 | self.number("<H")
+        if tag in _WITHOUT_REPRESENTATION or not explicit:
+            size = self.number("<I")
+        else:
+            representation = self.window.bytes(self.at, 2)
+            self.at += 4 if representation in _LONG else 2
+            size = self.number("<I" if representation in _LONG else "<H")
+        return _Element(tag, self.at, size)
+
+    def leave(self, element: _Element, explicit: bool) -> None:
+        """Move behind the element's value."""
+        if element.size != _UNDEFINED:
+            self.at = element.at + element.size
+            return
+        open_ones = 1  # sequences and items of undefined length whose delimiters are still to come
+        while open_ones:
+            inner = self.element(explicit)
+            if inner.tag in (_SEQUENCE_END, _ITEM_END):
+                open_ones -= 1
+            elif inner.size == _UNDEFINED:
+                open_ones += 1
+            else:
+                self.at = inner.at + inner.size
+
+
+def walk_header(window: _Window, wanted: dict[str, int]) -> dict[str, str] | None:
+    """Wanted tags of a file, or None without the magic word or any wanted tag.
+
+    The meta group is explicit; the transfer syntax decides about the rest. The walk ends at the pixels,
+    when every wanted tag is found, or where the file ends; wherever a tag lies before, it is found.
+    Values count only if they are not empty and lie fully inside the file.
     """
-    if len(data) < 132 or data[128:132] != b"DICM":
-        return None
-    by_number = {number: name for name, number in wanted.items()}
     syntax = fixed.CORE_TAGS["TransferSyntaxUID"]
-    missing = len({*by_number, syntax})
+    missing = {*wanted.values(), syntax}
     values: dict[int, str] = {}
-    elements = _Elements(data)
+    walk, in_meta, explicit = _Walk(window, _PREAMBLE + 4), True, True
     try:
-        for tag, size in _with_syntax(elements, values, syntax):
-            if tag == _PIXELS:
+        if window.bytes(_PREAMBLE, 4) != b"DICM":
+            return None
+        while missing:
+            if in_meta and walk.peek_group() > 2:
+                in_meta = False
+                explicit = values.get(syntax, "") != fixed.IMPLICIT_TRANSFER_SYNTAX
+            element = walk.element(explicit)
+            if element.tag == _PIXELS:
                 break
-            if size == _UNDEFINED:
-                elements.skip_sequence(elements.explicit or tag >> 16 <= 2)
-                continue
-            end = elements.at + size
-            if (tag in by_number or tag == syntax) and 0 < size and end <= len(data):
-                raw = data[elements.at : end].decode("latin-1")
-                values[tag] = raw.replace("\0", "").strip(fixed.SPACE_CHARS)
-                missing -= 1
-                if missing == 0:
-                    break
-            elements.at = end + end % 2
-    except _EndOfBuffer:
+            if element.tag in missing and 0 < element.size < _UNDEFINED:
+                raw = window.bytes(element.at, element.size).decode("latin-1")
+                values[element.tag] = raw.replace("\0", "").strip(fixed.SPACE_CHARS)
+                missing.discard(element.tag)
+            walk.leave(element, explicit)
+            walk.at += walk.at % 2
+    except _EndOfFile:
         pass
     found = {name: values[number] for name, number in wanted.items() if number in values}
     return found or None
 
 
-def _with_syntax(
-    elements: _Elements, values: dict[int, str], syntax: int
-) -> Iterator[tuple[int, int]]:
-    """Elements of a buffer, switching to the implicit notation when the meta group ends."""
-    in_meta = True
-    while True:
-        start = elements.at
-        tag = elements.tag()
-        if in_meta and tag >> 16 > 2:
-            in_meta = False
-            elements.explicit = values.get(syntax, "") != fixed.IMPLICIT_TRANSFER_SYNTAX
-        if tag == _PIXELS:
-            elements.at = start
-            yield tag, 0
-        else:
-            yield tag, elements.length(elements.explicit or in_meta)
-
-
-def _first_bytes(name: str, size: int) -> int:
-    starts = tuple(
-        prefix
-        for modality, prefixes in fixed.MODALITY_PREFIXES
-        if modality in fixed.THERAPY_MODALITIES
-        for prefix in prefixes
-    )
-    large = name.lower().startswith(starts) or size > fixed.LARGE_FILE_BYTES
-    return min(size, fixed.HEADER_BYTES_LARGE if large else fixed.HEADER_BYTES)
+def parse_header(data: bytes, wanted: dict[str, int]) -> dict[str, str] | None:
+    """Wanted tags of a header that is held in memory."""
+    return walk_header(_Window(io.BytesIO(data), len(data)), wanted)
 
 
-def read_header(opened, name: str, size: int, wanted: dict[str, int]) -> dict[str, str] | None:
-    """Tags from the first part of an open file; the whole file is read only if the first part gave
-    nothing or neither series number nor description, and the file is not too large."""
-    first = _first_bytes(name, size)
-    tags = parse_header(opened.read(first), wanted)
-    thin = not tags or not (tags.get("SeriesNumber") or tags.get("SeriesDescription"))
-    if thin and first < size <= fixed.MAX_FULL_READ:
-        opened.seek(0)
-        tags = parse_header(opened.read(size), wanted)
-    return tags
+def read_header(opened, size: int, wanted: dict[str, int]) -> dict[str, str] | None:
+    """Wanted tags of an open file of ``size`` bytes, however far into it they lie."""
+    return walk_header(_Window(opened, size), wanted)
 
 
 def read_dicom_headers(
     files: DataFrame, wanted: dict[str, int] | None = None, partitions: int | None = None
 ) -> DataFrame:
-    """(path, size, series_group, tags, parse_error) of an inventory with ``uri``, ``path``, ``name``,
-    ``size``.
+    """(path, size, series_group, tags, parse_error) of an inventory with ``uri``, ``path``, ``size``.
 
-    Executors open each file through ``pyarrow.fs`` and read only its first bytes; the binary source
-    would load pixel data too. ``partitions`` spreads the reads, which are waits rather than work.
+    Executors open each file through ``pyarrow.fs`` and walk its elements by ranged reads; the binary
+    source would load pixel data too. There is no limit on how long a header or a file is.
+    ``partitions`` spreads the reads, which are waits rather than work.
     """
     wanted = wanted or ALL_TAGS
 
@@ -153,13 +169,13 @@ def read_dicom_headers(
 
         for frame in frames:
             tags, errors = [], []
-            for uri, name, size in zip(frame["uri"], frame["name"], frame["size"]):
+            for uri in frame["uri"]:
                 found, error = None, None
                 try:
                     address = uri if "://" in uri else "file://" + uri.removeprefix("file:")
                     system, place = fs.FileSystem.from_uri(address)
                     with system.open_input_file(place) as opened:
-                        found = read_header(opened, name, int(size), wanted)
+                        found = read_header(opened, opened.size(), wanted)
                     if found is None:
                         error = "no_header"
                     elif found.get("TransferSyntaxUID") in fixed.UNREADABLE_TRANSFER_SYNTAXES:
@@ -180,7 +196,7 @@ def read_dicom_headers(
 
     if "series_group" not in files.columns:
         files = files.withColumn("series_group", F.lit(None).cast("string"))
-    narrow = files.select("uri", "path", "name", "size", "series_group")
+    narrow = files.select("uri", "path", "size", "series_group")
     if partitions:
         narrow = narrow.repartition(partitions)
     return narrow.mapInPandas(parse, SCHEMA)

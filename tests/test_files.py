@@ -1,12 +1,13 @@
 """Files: inventories, image headers, copies, documents, sheets, tables, audio."""
 
-import io
 import os
 import struct
 import wave
 import zipfile
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from clinspark.plans.imaging import index_dicom
@@ -70,21 +71,81 @@ def test_sequences_of_undefined_length_are_skipped():
     assert tags["PatientID"] == "P1" and tags["Modality"] == "CT"
 
 
-def test_large_headers_are_read_again_in_full():
-    blob = element(0x00080001, "OB", b"\1" * 70_000)
-    data = header(BASE, extra=blob)
-    assert dicom.read_header(io.BytesIO(data), "scan.dcm", len(data), dicom.ALL_TAGS)["SeriesNumber"] == "4"
+class Counting:
+    """A file that counts what is read of it; ``holes`` (place -> bytes) lie in zeros."""
 
-    class Counting(io.BytesIO):
-        most = 0
+    def __init__(self, size, holes):
+        self.length, self.holes, self.at, self.total = size, sorted(holes.items()), 0, 0
 
-        def read(self, size=-1):
-            Counting.most = max(Counting.most, size)
-            return super().read(size)
+    def seek(self, at):
+        self.at = at
 
-    big = header(BASE, pixels=b"\0" * 2_000_000)
-    assert dicom.read_header(Counting(big), "scan.dcm", len(big), dicom.ALL_TAGS)
-    assert Counting.most == 512 * 1024
+    def read(self, count):
+        count = min(count, self.length - self.at)
+        out = bytearray(count)
+        for place, data in self.holes:
+            low, high = max(place, self.at), min(place + len(data), self.at + count)
+            if low < high:
+                out[low - self.at : high - self.at] = data[low - place : high - place]
+        self.at += count
+        self.total += count
+        return bytes(out)
+
+
+LATE = {name: BASE[name] for name in ("SeriesNumber", "SeriesDescription", "InstanceNumber", "StudyDate") if name in BASE}
+
+
+@pytest.mark.parametrize("syntax", ["1.2.840.10008.1.2.1", "1.2.840.10008.1.2"])
+def test_late_tags_of_large_files_are_found_by_seeking(syntax):
+    explicit = syntax != "1.2.840.10008.1.2"
+    early = b"\0" * 128 + b"DICM" + element(0x00020010, "UI", syntax) + element(0x00080060, "LO", "CT", explicit)
+    gap = 60 << 20
+    private = struct.pack("<HH", 0x0009, 0x1010) + (b"OB\0\0" if explicit else b"") + struct.pack("<I", gap)
+    late = b"".join(element(dicom.ALL_TAGS[name], "LO", LATE[name], explicit) for name in sorted(LATE, key=dicom.ALL_TAGS.get))
+    tail = late + element(0x7FE00010, "OW", b"\0" * 64, explicit)
+    start = len(early) + len(private)
+    opened = Counting(start + gap + len(tail), {0: early + private, start + gap: tail})
+    tags = dicom.read_header(opened, opened.length, dicom.ALL_TAGS)
+    assert tags == LATE | {"Modality": "CT", "TransferSyntaxUID": syntax}
+    assert opened.total < 1 << 20
+
+
+def nested(depth, filler, explicit=True):
+    """A sequence of undefined length in whose items lie sequences of undefined length and large values."""
+    inner = nested(depth - 1, filler, explicit) if depth else element(0x00100020, "LO", "WRONG", explicit)
+    item = struct.pack("<HHI", 0xFFFE, 0xE000, 0xFFFFFFFF) + element(0x00091001, "OB", b"\0" * filler, explicit) + inner
+    item += element(0x00100020, "LO", "WRONG", explicit) + struct.pack("<HHI", 0xFFFE, 0xE00D, 0)
+    item += struct.pack("<HHI", 0xFFFE, 0xE000, filler) + b"\xff" * filler
+    return element(0x00081140, "SQ", item + struct.pack("<HHI", 0xFFFE, 0xE0DD, 0), explicit, undefined=True)
+
+
+@pytest.mark.parametrize("syntax", ["1.2.840.10008.1.2.1", "1.2.840.10008.1.2"])
+def test_nested_sequences_of_ten_megabytes_are_jumped_over(syntax):
+    explicit = syntax != "1.2.840.10008.1.2"
+    meta = element(0x00020010, "UI", syntax)
+    body = header(BASE, syntax)[132 + len(meta) :]
+    data = b"\0" * 128 + b"DICM" + meta + nested(4, 1 << 20, explicit) + body
+    assert len(data) > 10 << 20
+    opened = Counting(len(data), {0: data})
+    assert dicom.read_header(opened, len(data), dicom.ALL_TAGS) == BASE | {"TransferSyntaxUID": syntax}
+    assert opened.total < 1 << 20
+
+
+def test_pixels_are_never_read():
+    head = header(BASE, pixels=b"")[:-8]
+    data = head + struct.pack("<I", 500 << 20)
+    opened = Counting(len(data) + (500 << 20), {0: data})
+    assert dicom.read_header(opened, opened.length, dicom.ALL_TAGS)["SeriesNumber"] == "4"
+    assert opened.total <= 64 << 10
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=400), st.integers(0, 300))
+def test_any_bytes_end_the_walk(noise, cut):
+    data = header(BASE)
+    for damaged in (data[:cut] + noise, data[: 132 + cut] + noise + data[132 + cut :], data[:132] + noise):
+        found = dicom.parse_header(damaged, dicom.ALL_TAGS)
+        assert found is None or set(found) <= set(dicom.ALL_TAGS)
 
 
 @pytest.fixture(scope="module")
@@ -104,13 +165,39 @@ def archive(tmp_path_factory):
     return root
 
 
-def test_inventory_reads_no_content(spark, archive):
-    files = list_files(spark, str(archive))
-    plan = files._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[1]
-    rows = {r["path"]: r for r in files.collect()}
+def test_inventory(spark, archive):
+    listed = list_files(spark, str(archive))
+    rows = {r["path"]: r for r in listed.collect()}
     assert len(rows) == 16 and rows["b/readme.txt"]["dir"] == "b" and rows["b/readme.txt"]["size"] == 5000
     assert list_files(spark, str(archive), 3).count() == 3
+    with pytest.raises(FileNotFoundError):
+        list_files(spark, str(archive / "none"))
+
+
+def by_spark(spark, root):
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(root))
+    return {(r["path"], r["length"], r["modificationTime"]) for r in found.select("path", "length", "modificationTime").collect()}
+
+
+def test_listing_of_ten_thousand_files(spark, tmp_path_factory, monkeypatch):
+    """The same rows as the binary source's, found by tasks; the driver collects no file."""
+    root = tmp_path_factory.mktemp("tree")
+    for n in range(10_000):
+        folder = root / f"p {n % 37}" / f"s{n % 11}" if n % 5 else root / "flat%20é"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"f {n} é%.dcm").write_bytes(b"x" * (n % 7))
+    (root / "empty").mkdir()
+    (root / "p 1" / "again").symlink_to(root)
+    want = {(r["path"], r["size"], r["mtime"]) for r in list_files(spark, str(root)).select(F.col("uri").alias("path"), "size", "mtime").collect()}
+    (root / "p 1" / "again").unlink()
+    assert len(want) == 10_000 and want == by_spark(spark, root)
+    collected = []
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    real = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: collected.append(out := real(self)) or out)
+    list_files(spark, "file://" + str(root).replace(" ", "%20"))
+    assert sum(map(len, collected)) <= 5
 
 
 def test_index_of_a_folder(spark, archive):
@@ -216,6 +303,7 @@ def test_upload_rules(spark):
         [("a.docx", 10), ("b.docx", 11 * 1024 * 1024), ("c.mp4", 1), ("d.pdf", 1)], "name string, size long")
     names = lambda df: {r["name"] for r in df.collect()}
     assert names(accept_files(files, "docx")[0]) == {"a.docx"}
+    assert names(accept_files(files, "docx", max_bytes=None)[0]) == {"a.docx", "b.docx"}
     assert names(accept_files(files, "audio")[0]) == {"c.mp4"}
     assert names(accept_files(files, "anonymize")[0]) == {"a.docx", "b.docx", "d.pdf"}
     assert names(accept_files(files, "pdf")[1]) == {"a.docx", "b.docx", "c.mp4"}
