@@ -42,7 +42,7 @@ def _list_directories(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             entries = system.get_file_info(fs.FileSelector(place, recursive=False, allow_not_found=True))
             for at in range(0, len(entries), PAGE_ENTRIES):
                 page = [
-                    (prefix + (entry.path if local else _quoted(entry.path)) + suffix, entry.type == fs.FileType.Directory, entry.size, entry.mtime)
+                    (prefix + (entry.path if local else _quoted(entry.path)) + suffix, entry.type == fs.FileType.Directory, entry.size, None if entry.mtime_ns is None else entry.mtime_ns // 1000)
                     for entry in entries[at : at + PAGE_ENTRIES]
                     # A linked directory is listed where it really is; following links could go in circles.
                     if not (local and entry.type == fs.FileType.Directory and os.path.islink(entry.path))
