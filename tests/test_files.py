@@ -190,7 +190,8 @@ def test_listing_of_ten_thousand_files(spark, tmp_path_factory, monkeypatch):
     (root / "p 1" / "again").symlink_to(root)
     want = {(r["path"], r["size"], r["mtime"]) for r in list_files(spark, str(root)).select(F.col("uri").alias("path"), "size", "mtime").collect()}
     (root / "p 1" / "again").unlink()
-    assert len(want) == 10_000 and want == by_spark(spark, root)
+    # The binary source leaves empty files out.
+    assert len(want) == 10_000 and {row for row in want if row[1]} == by_spark(spark, root)
     collected = []
     from pyspark.sql.classic.dataframe import DataFrame
 
