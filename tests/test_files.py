@@ -1,5 +1,6 @@
 """Files: inventories, image headers, copies, documents, sheets, tables, audio."""
 
+import io
 import os
 import struct
 import wave
