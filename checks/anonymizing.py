@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from checks.base import Check, table
 from checks.detections import RULE_CTE
 from checks.texts import conversations, documents
-from clinspark.operators.inference import safe_rows
+from clinspark.functions.prompts import DETECTION_SYSTEM
+from clinspark.operators.inference import SPAN_COLUMNS, Detector, safe_rows
 from clinspark.operators.rewriting import apply_global_mapping, apply_scoped_mapping
 from clinspark.plans import anonymize as plan
 
@@ -109,6 +114,61 @@ WITH {GLOBAL_CTE} SELECT d.doc_id, CASE WHEN pairs IS NULL THEN d.text ELSE {_re
   d.source, d.lang FROM documents d LEFT JOIN entries USING (doc_id)"""
 
 
+ORGANIZATION = re.compile(r"\bsrc\d+\b")
+
+
+def _sheet_model(row):
+    """Reviews reject nothing; the second pass lists the source cell as an organization."""
+    found = ORGANIZATION.search(row["user"]) if row["system"] == DETECTION_SYSTEM else None
+    return json.dumps([{"entity": found[0], "type": "ORGANIZATION"}]) if found else "[]"
+
+
+def anonymize_table_models(spark, folder):
+    """Two passes over two columns under a mapping that knows one source already."""
+    sheet = documents(spark, folder).select("doc_id", "text", "source", "lang")
+    known = spark.createDataFrame([("src0", "ORGANIZATION", "[ORGANIZATION_7]", 1)], "entity string, type string, replacement string, seq long")
+    done = plan.anonymize_table(sheet, "doc_id", ["text", "source"], passes=("ner", "llm"), model_fn=safe_rows(_sheet_model), mapping=known)
+    return done.texts
+
+
+ANONYMIZE_TABLE_MODELS_SQL = f"""
+WITH {GLOBAL_CTE}, orgs AS (SELECT source, '[ORGANIZATION_' || CASE WHEN source = 'src0' THEN 7
+    ELSE 7 + row_number() OVER (PARTITION BY source = 'src0' ORDER BY min(doc_id)) END || ']' AS tag
+  FROM documents WHERE source IS NOT NULL GROUP BY source)
+SELECT d.doc_id, CASE WHEN pairs IS NULL THEN d.text ELSE {_rewrite_sql('d.text', 'pairs')} END AS text,
+  coalesce(orgs.tag, d.source) AS source, d.lang, NULL::VARCHAR AS error
+FROM documents d LEFT JOIN entries USING (doc_id) LEFT JOIN orgs ON orgs.source = d.source"""
+
+
+def _brittle_spans(frames):
+    """Finds each number of four digits; cannot read every fifth document."""
+    for frame in frames:
+        if (frame["doc_id"] % 5 == 0).any():
+            raise ValueError("unreadable")
+        rows = [
+            (row.doc_id, row.chunk_idx, number, "IDCARDNUM", hit[0], hit.start(), hit.end(), 0.9)
+            for row in frame.itertuples()
+            for number, hit in enumerate(re.finditer(r"(?<![0-9A-Za-z])[0-9]{4}(?![0-9A-Za-z])", row.text))
+        ]
+        yield pd.DataFrame(rows, columns=["doc_id", "chunk_idx", *SPAN_COLUMNS])
+
+
+def anonymize_table_failures(spark, folder):
+    """A detector that fails on every fifth row: both columns of those rows are withheld."""
+    sheet = documents(spark, folder).select("doc_id", "text", "source", "lang")
+    done = plan.anonymize_table(sheet, "doc_id", ["text", "source"], Detector(_brittle_spans, "multilingual_pii"))
+    failed = done.failures.groupBy("doc_id").agg(F.count("*").alias("requests"), F.max("pass").alias("pass"))
+    shown = done.texts.select("doc_id", F.col("text").isNull().alias("text_withheld"), F.col("source").isNull().alias("source_withheld"), "lang", "error")
+    return shown.join(failed, "doc_id", "left").withColumn("asked", F.col("requests") > 0).drop("requests")
+
+
+ANONYMIZE_TABLE_FAILURES_SQL = """
+SELECT doc_id, doc_id % 5 = 0 OR text IS NULL AS text_withheld, doc_id % 5 = 0 OR source IS NULL AS source_withheld, lang,
+  CASE WHEN doc_id % 5 = 0 THEN 'detect: ValueError: unreadable' END AS error,
+  CASE WHEN doc_id % 5 = 0 THEN 'detect' END AS pass, CASE WHEN doc_id % 5 = 0 THEN TRUE END AS asked
+FROM documents"""
+
+
 # --- rewriting with given mappings ---------------------------------------------------------------
 def _turn_words(spark, folder):
     """Per turn, the distinct words of more than six letters with tags by alphabet."""
@@ -154,7 +214,31 @@ m AS (SELECT 'Customer#00000' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS ent
 e AS (SELECT doc_id, list(entity || chr(1) || tag ORDER BY length(entity) DESC, seq) AS pairs FROM t JOIN m ON contains(lower(t.text), lower(m.entity)) GROUP BY doc_id)
 SELECT t.doc_id, t.text, {_rewrite_sql('t.text', "coalesce(pairs, [])")} AS anonymized_text FROM t LEFT JOIN e USING (doc_id)"""
 
+def apply_sequential(spark, folder):
+    """Names first, then words that only the names' tags hold: tags are rewritten too."""
+    texts = documents(spark, folder).select(
+        "doc_id", F.concat(F.lit("customer#00000"), F.lpad((F.col("doc_id") % 5000).cast("string"), 4, "0"), F.lit(" wrote: "), "text").alias("text")
+    )
+    names = table(spark, folder, "customer").select(
+        F.concat(F.lit("Customer#00000"), F.lpad("c_custkey", 4, "0")).alias("entity"),
+        F.concat(F.lit("[PERSON_"), "c_custkey", F.lit("]")).alias("replacement"), F.col("c_custkey").alias("seq"),
+    )
+    words = spark.createDataFrame([("person", "<WHO>", 10**9), ("who", "[SOMEBODY]", 10**9 + 1), ("nobody", "[X]", 10**9 + 2)], names.schema)
+    return apply_global_mapping(texts, names.unionByName(words), ["doc_id"], mode="sequential")
+
+
+APPLY_SEQUENTIAL_SQL = f"""
+WITH t AS (SELECT doc_id, 'customer#00000' || lpad(CAST(doc_id % 5000 AS VARCHAR), 4, '0') || ' wrote: ' || text AS text FROM documents),
+m AS (SELECT 'Customer#00000' || lpad(CAST(c_custkey AS VARCHAR), 4, '0') AS entity, '[PERSON_' || c_custkey || ']' AS tag, c_custkey AS seq FROM customer),
+w AS (SELECT * FROM (VALUES ('person', '<WHO>', 1000000000), ('who', '[SOMEBODY]', 1000000001), ('nobody', '[X]', 1000000002)) AS v(entity, tag, seq)),
+n AS (SELECT doc_id, entity, tag, seq FROM t JOIN m ON contains(lower(t.text), lower(m.entity)) UNION ALL SELECT doc_id, entity, tag, seq FROM t, w),
+e AS (SELECT doc_id, list(entity || chr(1) || tag ORDER BY length(entity) DESC, seq) AS pairs FROM n GROUP BY doc_id)
+SELECT t.doc_id, t.text, {_rewrite_sql('t.text', "coalesce(pairs, [])")} AS anonymized_text FROM t LEFT JOIN e USING (doc_id)"""
+
 CHECKS = {
+    "apply_global_sequential": Check(apply_sequential, APPLY_SEQUENTIAL_SQL),
+    "anonymize_table_models": Check(anonymize_table_models, ANONYMIZE_TABLE_MODELS_SQL),
+    "anonymize_table_failures": Check(anonymize_table_failures, ANONYMIZE_TABLE_FAILURES_SQL),
     "anonymize_documents": Check(anonymize_documents, ANONYMIZE_SQL),
     "document_mapping": Check(document_mapping, DOCUMENT_MAPPING_SQL),
     "anonymize_chunked": Check(anonymize_chunked),

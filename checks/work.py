@@ -6,12 +6,13 @@ import re
 
 from pyspark.sql import functions as F
 
-from checks.base import Check, sql_trim, table
+from checks.base import Check, rounded, sql_trim, table
 from checks.texts import FIXED_CTE, NL_EN_SQL, QUALITY_SQL, conversations, documents
 from clinspark.functions.text import split_paragraphs
 from clinspark.operators import reports, sheets, speech
 from clinspark.operators.inference import safe_rows
-from clinspark.plans.speech import log_table, transcribe_long, transcript_log
+from clinspark.operators.framing import framed, resample_frames
+from clinspark.plans.speech import log_table, transcribe_frames, transcribe_long, transcript_log
 from clinspark.plans.summarize import fact_groups, fact_requests, routed, summarize
 from clinspark.plans.translate import translate, translate_columns
 
@@ -214,6 +215,60 @@ SELECT CAST(vec_id AS VARCHAR) AS recording_id, string_agg(printf('[%02d:%02d] s
 FROM embeddings, unnest(range(0, len(embedding))) AS r(s) GROUP BY vec_id"""
 
 
+def _clock_with_gaps(frames):
+    """The clock, but the second window of every third recording is beyond it."""
+    for frame in frames:
+        if int(frame["recording_id"].iloc[0]) % 3 == 0 and frame["window_no"].iloc[0] == 1:
+            raise RuntimeError("cannot hear")
+        yield from _clock([frame])
+
+
+def _recordings(spark, folder):
+    return framed(
+        table(spark, folder, "embeddings").select(
+            F.col("vec_id").cast("string").alias("recording_id"), F.lit(1).alias("sample_rate"), F.col("embedding").alias("pcm")
+        ),
+        frame_samples=7,
+    )
+
+
+def transcribe_failures(spark, folder):
+    return transcribe_frames(_recordings(spark, folder), _clock_with_gaps, rate=1).failures
+
+
+TRANSCRIBE_FAILURES_SQL = """
+SELECT CAST(vec_id AS VARCHAR) AS recording_id, 1::BIGINT AS window_no, 'RuntimeError: cannot hear' AS error
+FROM embeddings WHERE vec_id % 3 = 0 AND len(embedding) > 30"""
+
+
+def transcribe_with_gaps(spark, folder):
+    """What is left of recordings one of whose windows failed."""
+    return transcribe_frames(_recordings(spark, folder), _clock_with_gaps, rate=1).texts
+
+
+TRANSCRIBE_GAPS_SQL = """
+SELECT CAST(vec_id AS VARCHAR) AS recording_id, string_agg(printf('[%02d:%02d] second %d', s // 60, s % 60, s), chr(10) ORDER BY s) AS transcript
+FROM embeddings, unnest(range(0, len(embedding))) AS r(s)
+WHERE vec_id % 3 <> 0 OR len(embedding) <= 30 OR s < 25 OR (s >= 45 AND len(embedding) > 50) GROUP BY vec_id"""
+
+
+def resample_framed(spark, folder):
+    """Vectors at 40 units a second as recordings in frames of 7 samples, brought to 16; whole again."""
+    frames = _recordings(spark, folder).withColumn("sample_rate", F.lit(40))
+    done = resample_frames(frames, 16)
+    parts = done.groupBy("recording_id", "total").agg(F.array_sort(F.collect_list(F.struct("start", "pcm"))).alias("parts"))
+    samples = F.flatten(F.transform("parts", lambda part: part["pcm"]))
+    return parts.select("recording_id", "total", F.posexplode(samples).alias("at", "sample")).withColumn("sample", rounded(F.col("sample").cast("double"), 4))
+
+
+RESAMPLE_FRAMED_SQL = """
+WITH r AS (SELECT vec_id, embedding AS e, len(embedding) AS n, CAST(floor(len(embedding) / 2.5 + 0.5) AS BIGINT) AS total FROM embeddings),
+p AS (SELECT *, i * 2.5 - floor(i * 2.5) AS share, CAST(floor(i * 2.5) AS BIGINT) AS low FROM r, unnest(range(0, total)) AS q(i))
+SELECT CAST(vec_id AS VARCHAR) AS recording_id, total, i::INT AS at,
+  round(CAST(e[low + 1]::FLOAT::DOUBLE * (1 - share) + e[least(low + 1, n - 1) + 1]::FLOAT::DOUBLE * share AS FLOAT)::DOUBLE, 4) + 0.0 AS sample
+FROM p"""
+
+
 # --- translation ---------------------------------------------------------------------------------
 GLOSSARY = {"the": "de", "and": "en", "is": "is", "of": "van", "in": "in"}
 
@@ -378,6 +433,9 @@ CHECKS = {
     "live_transcript": Check(live_transcript, LIVE_SQL),
     "audio_windows": Check(audio_windows, WINDOWS_SQL),
     "transcribe_long": Check(transcribe_long_vectors, TRANSCRIBE_SQL),
+    "transcribe_failures": Check(transcribe_failures, TRANSCRIBE_FAILURES_SQL),
+    "transcribe_with_gaps": Check(transcribe_with_gaps, TRANSCRIBE_GAPS_SQL),
+    "resample_framed": Check(resample_framed, RESAMPLE_FRAMED_SQL),
     "translate_documents": Check(translate_documents, TRANSLATE_SQL),
     "translate_paragraphs": Check(translate_paragraphs, TRANSLATE_PARAGRAPHS_SQL),
     "translation_failures": Check(translation_failures, FAILURES_SQL),

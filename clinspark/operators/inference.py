@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinspark.operators.detection import map_types
-
-Batches = Iterator[pd.DataFrame]
-ModelFn = Callable[[Batches], Batches]
+from clinspark.operators.guarding import Batches, ModelFn, guarded
 
 
 def infer(
@@ -83,15 +81,25 @@ class Detector:
         model_id: str,
         threshold: float | None = None,
         filter_garbage: bool = False,
+        deadline_s: float | None = None,
     ):
         self.detect = detect
         self.model_id = model_id
         self.threshold = threshold
         self.filter_garbage = filter_garbage
+        self.deadline_s = deadline_s
+
+    def answers(self, chunks: DataFrame, keys: list[str]) -> DataFrame:
+        """Raw spans, and one row with ``error`` for each chunk that the detector failed on."""
+        schema = with_columns(chunks.select(*keys), **SPAN_COLUMNS, error="string")
+        columns = [*keys, *SPAN_COLUMNS]
+        return infer(chunks, guarded(self.detect, keys, columns, self.deadline_s), schema)
+
+    def typed(self, answers: DataFrame) -> DataFrame:
+        return map_types(answers.filter("error IS NULL").drop("error"), self.model_id)
 
     def spans(self, chunks: DataFrame, keys: list[str]) -> DataFrame:
-        schema = with_columns(chunks.select(*keys), **SPAN_COLUMNS)
-        return map_types(infer(chunks, self.detect, schema), self.model_id)
+        return self.typed(self.answers(chunks, keys))
 
 
 def pick_passes(
@@ -112,10 +120,11 @@ def pick_passes(
     return passes, requested
 
 
-def reviewed(requests: DataFrame, model_fn: ModelFn) -> DataFrame:
-    """Request rows with ``reply`` and ``error`` columns."""
+def reviewed(requests: DataFrame, model_fn: ModelFn, deadline_s: float | None = None) -> DataFrame:
+    """Request rows with ``reply`` and ``error`` columns. Requests whose answer raises, crashes its
+    process or is later than ``deadline_s`` have an error and no reply."""
     schema = with_columns(requests, reply="string", error="string")
-    return infer(requests, model_fn, schema)
+    return infer(requests, guarded(model_fn, requests.columns, schema.fieldNames(), deadline_s), schema)
 
 
 def failures(answered: DataFrame) -> DataFrame:

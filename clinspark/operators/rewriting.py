@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinspark.functions.text import as_column, let, quoted
+from clinspark.session import cut_lineage
 
 _LETTER_OR_DIGIT = r"[\p{L}\p{N}]"
 # Private-use characters that stand for a tag while a single-pass rewrite is under way. None of them
@@ -112,37 +113,118 @@ def apply_scoped_mapping(
     ).drop("entries")
 
 
-def _word_tokens(text: Column) -> Column:
-    return F.array_distinct(
-        F.regexp_extract_all(F.lower(text), F.lit(f"{_LETTER_OR_DIGIT}+"), F.lit(0))
+def letter_runs(text: Column | str) -> Column:
+    """The runs of letters and digits of a text in lower case, in order."""
+    return F.array_remove(F.split(F.lower(as_column(text)), r"[^\p{L}\p{N}]+"), "")
+
+
+# An entity is looked up by its first runs, at most LEAD of them, and compared on up to COMPARED.
+LEAD, COMPARED = 3, 16
+# Bits of the mask that prunes places before anything is shuffled: about 64 bytes per 63 bits at most.
+MIN_MASK_BITS, MAX_MASK_BITS, MASK_WORD = 2**16, 2**24, 63
+
+
+def _bit(key: Column, bits: int) -> Column:
+    return F.pmod(key, F.lit(bits).cast("bigint"))
+
+
+def _mask(keys: DataFrame, bits: int) -> DataFrame:
+    """The lookup keys as ``bits / MASK_WORD`` rows at most."""
+    placed = keys.select(_bit(F.col("_key"), bits).alias("_bit"))
+    return (
+        placed.select(F.expr(f"_bit div {MASK_WORD}").alias("_word"), F.expr(f"shiftleft(1L, cast(_bit % {MASK_WORD} as int))").alias("_one"))
+        .groupBy("_word")
+        .agg(F.bit_or("_one").alias("_mask"))
     )
 
 
-def shortlist(
-    texts: DataFrame, mapping: DataFrame, keys: list[str], text: str = "text"
-) -> DataFrame:
-    """(keys, entity, replacement, seq) pairs that can possibly occur in each text.
+def sequence_matches(texts: DataFrame, mapping: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, entity, replacement, seq) of the entities whose letter/digit runs follow each other
+    somewhere in the text, whatever stands between them.
 
-    An entity with a letter or digit can only match where each of its letter/digit runs is a whole
-    run of the text, so texts and mapping meet on one such run: the run of the entity that the fewest
-    other entities contain. Common runs ("de", "1") therefore never become the join key of an entity
-    that also has a rare one. Entities without any letter or digit meet texts on their first sign.
+    An entity with a letter or digit can only match there, so what is found is a hit up to its
+    separators. The first runs of every entity (``LEAD`` at most) are hashed; each place of a text looks
+    its own hashes up in a bit mask of bounded size, and only places that the mask lets through carry
+    their next runs to the join with the mapping, where they are compared.
     """
-    runs = mapping.select("entity", F.explode(_word_tokens(F.col("entity"))).alias("run"))
-    frequency = runs.groupBy("run").agg(F.count("*").alias("entities"))
-    best = (
-        runs.join(frequency, "run")
-        .groupBy("entity")
-        .agg(F.min_by("run", F.struct("entities", "run")).alias("run"))
+    entities = mapping.select("entity", "replacement", "seq", F.slice(letter_runs("entity"), 1, COMPARED).alias("_runs")).filter("size(_runs) > 0")
+    entities = entities.withColumn("_lead", F.least(F.size("_runs"), F.lit(LEAD)))
+    entities = entities.withColumn("_key", F.xxhash64(F.slice("_runs", 1, F.col("_lead"))))
+    shape = entities.agg(F.collect_set("_lead"), F.count("*")).first()
+    leads = sorted(shape[0]) or [1]
+    bits = MIN_MASK_BITS
+    while bits < min(MAX_MASK_BITS, 16 * shape[1]):
+        bits *= 2
+    listed = texts.select(*keys, letter_runs(text).alias("_text"))
+    sized = listed.withColumn("_lead", F.explode(F.array(*[F.lit(n) for n in leads])))
+    last = F.size("_text") - F.col("_lead") + 1
+    places = sized.withColumn("_at", F.explode(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))))
+    keyed = places.withColumn("_key", F.xxhash64(F.slice("_text", F.col("_at"), F.col("_lead"))))
+    keyed = keyed.withColumn("_bit", _bit(F.col("_key"), bits)).withColumn("_word", F.expr(f"_bit div {MASK_WORD}"))
+    through = keyed.join(F.broadcast(_mask(entities, bits)), "_word").filter(
+        F.expr(f"(shiftright(_mask, cast(_bit % {MASK_WORD} as int)) & 1) = 1")
     )
-    keyed = mapping.join(best, "entity", "left").withColumn(
-        "run", F.coalesce("run", F.substring("entity", 1, 1))
+    through = through.select(*keys, "_key", F.slice("_text", F.col("_at"), F.lit(COMPARED)).alias("_next")).distinct()
+    met = through.join(entities, "_key").filter(F.slice("_next", F.lit(1), F.size("_runs")) == F.col("_runs"))
+    return met.select(*keys, "entity", "replacement", "seq").distinct()
+
+
+def _sign_matches(texts: DataFrame, mapping: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """The same for entities without a letter or digit, which meet texts on their first sign."""
+    only = mapping.filter(F.size(letter_runs("entity")) == 0)
+    signs = F.array_distinct(F.split(F.regexp_replace(text, _LETTER_OR_DIGIT, ""), ""))
+    listed = texts.select(*keys, F.explode(signs).alias("_sign"))
+    return listed.join(only.withColumn("_sign", F.substring("entity", 1, 1)), "_sign").select(*keys, "entity", "replacement", "seq")
+
+
+def _set_matches(text_runs: DataFrame, mapping: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, entity, replacement, seq) of the entities all of whose runs are among ``text_runs`` (keys,
+    ``run``): they meet on the run that the fewest entities contain, then all are counted."""
+    runs = mapping.select("entity", "replacement", "seq", F.explode(F.array_distinct(letter_runs("entity"))).alias("run"))
+    frequency = runs.groupBy("run").agg(F.count("*").alias("_n"))
+    rarest = runs.join(frequency, "run").groupBy("entity", "replacement", "seq").agg(
+        F.min_by("run", F.struct("_n", "run")).alias("run"), F.collect_set("run").alias("_all")
     )
-    text_signs = F.split(F.regexp_replace(text, _LETTER_OR_DIGIT, ""), "")
-    text_runs = texts.select(
-        *keys, F.explode(F.array_union(_word_tokens(F.col(text)), text_signs)).alias("run")
+    met = text_runs.join(rarest, "run").select(*keys, "entity", "replacement", "seq", F.explode("_all").alias("run"), F.size("_all").alias("_of"))
+    return (
+        met.join(text_runs, [*keys, "run"])
+        .groupBy(*keys, "entity", "replacement", "seq", "_of")
+        .agg(F.count("*").alias("_n"))
+        .filter("_n = _of")
+        .select(*keys, "entity", "replacement", "seq")
     )
-    return text_runs.join(keyed, "run").select(*keys, "entity", "replacement", "seq")
+
+
+def shortlist(
+    texts: DataFrame, mapping: DataFrame, keys: list[str], text: str = "text", mode: str = "single_pass"
+) -> DataFrame:
+    """(keys, entity, replacement, seq) pairs that can possibly match in each text.
+
+    In a single pass these are the entities whose runs follow each other in the text. Rewriting one after
+    the other also matches what earlier replacements put in: entities that hold a run of such a
+    replacement, and otherwise runs of the text or of replacements, join until none is new. If a
+    replacement has no letter or digit at all, runs on both of its sides become neighbours; then every
+    entity counts whose runs the text has.
+    """
+    found = sequence_matches(texts, mapping, keys, text)
+    if not mapping.filter(F.size(letter_runs("entity")) == 0).isEmpty():
+        found = found.unionByName(_sign_matches(texts, mapping, keys, text))
+    if mode == "single_pass":
+        return found
+    own = texts.select(*keys, F.explode(F.array_distinct(letter_runs(text))).alias("run"))
+    if not mapping.filter(F.size(letter_runs("replacement")) == 0).isEmpty():
+        found = found.unionByName(_set_matches(own, mapping, keys)).distinct()
+    found = cut_lineage(found)
+    size = found.count()
+    while True:
+        put_in = found.select(*keys, F.explode(letter_runs("replacement")).alias("run")).distinct()
+        touched = mapping.select("entity", "replacement", "seq", F.explode(F.array_distinct(letter_runs("entity"))).alias("run"))
+        able = put_in.join(touched, "run").select("entity", "replacement", "seq").distinct()
+        reached = _set_matches(own.unionByName(put_in).distinct(), able, keys)
+        found = cut_lineage(found.unionByName(reached).distinct())
+        before, size = size, found.count()
+        if size == before:
+            return found
 
 
 def apply_global_mapping(
@@ -151,19 +233,21 @@ def apply_global_mapping(
     keys: list[str],
     text: str = "text",
     out: str = "anonymized_text",
+    mode: str = "single_pass",
 ) -> DataFrame:
     """Rewrite every text with one mapping shared by all of them.
 
-    Each text is first paired with only those entries that can occur in it, so the array beside a
-    text is as small as the text, however large the mapping is; of those, entries that are no
-    substring of the text never become a pattern. Tags are protected (``single_pass``): with a large
-    shared mapping almost any number is also somebody's tag number.
+    Each text is first paired with only those entries that can match in it, so the array beside a text is
+    as small as the text, however large the mapping is; of those, entries that are no substring of the
+    text never become a pattern. ``single_pass`` protects tags: with a large shared mapping almost any
+    number is also somebody's tag number. ``sequential`` is the contract of a document's own mapping:
+    longest entity first, each over what the ones before it left.
     """
-    entries = entries_by_key(shortlist(texts, mapping, keys, text), keys)
+    entries = entries_by_key(shortlist(texts, mapping, keys, text, mode), keys)
     joined = texts.join(entries, keys, "left")
-    rewritten = anonymize_text(F.col(text), present_entries(F.col(text), F.col("entries")), "single_pass")
+    held = F.col("entries") if mode == "sequential" else present_entries(F.col(text), F.col("entries"))
     return joined.withColumn(
-        out, F.when(F.col("entries").isNull(), F.col(text)).otherwise(rewritten)
+        out, F.when(F.col("entries").isNull(), F.col(text)).otherwise(anonymize_text(F.col(text), held, mode))
     ).drop("entries")
 
 

@@ -128,15 +128,20 @@ class Anonymized:
     failures: DataFrame | None = None
 
 
-def detect_first_pass(
+def first_pass(
     chunks: DataFrame, keys: list[str], detector: Detector | None = None, filter_garbage: bool = False
-) -> DataFrame:
-    """(keys, chunk_idx, pos, entity, type, score), once per entity and type in a chunk."""
+) -> tuple[DataFrame, DataFrame | None]:
+    """``(found, failed)``: (keys, chunk_idx, pos, entity, type, score), once per entity and type in a
+    chunk, and the chunks a detector failed on (None for the rules, which cannot fail). The detector's
+    answers are stored, so it runs once for both."""
     place = [*keys, "chunk_idx"]
+    failed = None
     if detector is None:
         found = rule_detect(chunks, place)
     else:
-        merged = merge_adjacent_spans(detector.spans(chunks, place), place)
+        answers = cut_lineage(detector.answers(chunks, place))
+        failed = _failed(answers, place, "detect")
+        merged = merge_adjacent_spans(detector.typed(answers), place)
         surface = surface_from_span("text", "start", "end", "word")
         found = merged.join(chunks, place).select(
             *place, "pos", surface.alias("entity"), "type", "score"
@@ -144,7 +149,14 @@ def detect_first_pass(
         found = found.filter(is_valid_span("entity", "type", "score", detector.threshold))
     if filter_garbage or (detector is not None and detector.filter_garbage):
         found = found.filter(~is_obvious_garbage("entity", "type"))
-    return dedupe_entities(found, place, ["pos"])
+    return dedupe_entities(found, place, ["pos"]), failed
+
+
+def detect_first_pass(
+    chunks: DataFrame, keys: list[str], detector: Detector | None = None, filter_garbage: bool = False
+) -> DataFrame:
+    """The detections of ``first_pass`` alone."""
+    return first_pass(chunks, keys, detector, filter_garbage)[0]
 
 
 def _requests(df: DataFrame, prompt: Column, keys: list[str]) -> DataFrame:
@@ -163,7 +175,11 @@ def _failed(answered: DataFrame, place: list[str], name: str) -> DataFrame:
 
 
 def review_detections(
-    detections: DataFrame, chunks: DataFrame, keys: list[str], model_fn: ModelFn
+    detections: DataFrame,
+    chunks: DataFrame,
+    keys: list[str],
+    model_fn: ModelFn,
+    deadline_s: float | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(kept, removed, failed)`` after a model has named the false positives of each chunk. A failed
     review removes nothing."""
@@ -173,20 +189,20 @@ def review_detections(
     )
     prompt = validation_prompt("text", "_entities")
     requests = _requests(chunks.join(listed, place), prompt, place)
-    replies = cut_lineage(reviewed(requests, model_fn).select(*place, "reply", "error"))
+    replies = cut_lineage(reviewed(requests, model_fn, deadline_s).select(*place, "reply", "error"))
     rejects = replies.select(*place, F.explode(parse_reject_json("reply")).alias("entity"))
     kept, removed = reject_false_positives(detections, rejects, place, ["pos"])
     return kept, removed, _failed(replies, place, "review")
 
 
 def detect_second_pass(
-    chunks: DataFrame, keys: list[str], model_fn: ModelFn
+    chunks: DataFrame, keys: list[str], model_fn: ModelFn, deadline_s: float | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(found, failed)``: entities a language model lists per chunk, and the chunks it could not
     read."""
     place = [*keys, "chunk_idx"]
     asked = _requests(chunks, detection_prompt("text"), place)
-    replies = cut_lineage(reviewed(asked, model_fn).select(*place, "reply", "error"))
+    replies = cut_lineage(reviewed(asked, model_fn, deadline_s).select(*place, "reply", "error"))
     found = replies.select(
         *place, F.posexplode(parse_entity_json("reply")).alias("pos", "item")
     ).select(
@@ -241,6 +257,56 @@ def extend_mapping(
     return mapping.select(*columns).unionByName(minted.select(*columns))
 
 
+@dataclass(frozen=True)
+class _Passes:
+    """What the passes over all chunks found: detections with ``phase``, those removed by the review,
+    and the failed requests."""
+
+    found: DataFrame
+    removed: DataFrame | None
+    failed: DataFrame | None
+
+
+def run_passes(
+    chunks: DataFrame,
+    keys: list[str],
+    passes: tuple[str, ...],
+    detector: Detector | None = None,
+    model_fn: ModelFn | None = None,
+    filter_garbage: bool = False,
+    deadline_s: float | None = None,
+) -> _Passes:
+    """First pass, its review and the second pass, each over all chunks before the next begins."""
+    kept = removed = second = None
+    failed: list[DataFrame] = []
+    if "ner" in passes:
+        kept, missed = first_pass(chunks, keys, detector, filter_garbage)
+        if missed is not None:
+            kept = cut_lineage(kept)
+            failed.append(missed)
+        if "llm" in passes:
+            kept, removed, missed = review_detections(kept, chunks, keys, model_fn, deadline_s)
+            failed.append(missed)
+    if "llm" in passes:
+        second, missed = detect_second_pass(chunks, keys, model_fn, deadline_s)
+        failed.append(missed)
+    if kept is not None and second is not None:
+        found = combine_detections(kept, second)
+    else:
+        found = (kept if kept is not None else second).withColumn("phase", F.lit(1))
+    return _Passes(found, removed, reduce(DataFrame.unionByName, failed) if failed else None)
+
+
+def listed_detections(done: _Passes, found: DataFrame) -> DataFrame:
+    """``found`` and the removed detections with ``source`` and ``status``."""
+    source = F.when(F.col("phase") == 2, "second").otherwise("first")
+    detections = found.withColumn("source", source).withColumn("status", F.lit("kept"))
+    if done.removed is None:
+        return detections
+    gone = done.removed.withColumn("phase", F.lit(1)).withColumn("source", F.lit("first"))
+    return detections.unionByName(gone.withColumn("status", F.lit("removed")))
+
+
 def anonymize(
     docs: DataFrame,
     key: str = "doc_id",
@@ -254,6 +320,8 @@ def anonymize(
     label: str | None = None,
     filter_garbage: bool = False,
     release_failed: bool = False,
+    deadline_s: float | None = None,
+    mode: str | None = None,
 ) -> Anonymized:
     """Detect, review, discover, number and rewrite.
 
@@ -261,31 +329,19 @@ def anonymize(
     next begins and ends in a checkpoint, so a model is loaded once per worker and pass and is never
     run again by a later action or after a lost executor. ``scope`` is ``document`` (own numbers per
     document) or ``global`` (one mapping for all). Rewriting uses the whole text, not the chunks.
-    ``filter_garbage`` drops obvious nonsense of zero-shot detectors. A text of which a model request
-    failed is withheld (``anonymized_text`` NULL, ``error`` set) unless ``release_failed``.
+    ``filter_garbage`` drops obvious nonsense of zero-shot detectors. A text of which a request to a
+    detector or model failed is withheld (``anonymized_text`` NULL, ``error`` set) unless
+    ``release_failed``; with ``deadline_s`` language models run in child processes and late answers
+    are failures too. ``mode`` is that of ``anonymize_text``: sequential for a document's own mapping and
+    single pass for a shared one unless it says otherwise.
     """
     keys = [key]
     chunks = explode_chunks(docs, chunk_text(text, *chunk_size), keys)
     if detector is not None or model_fn is not None:
         # Spread the chunks: lengths are heavy-tailed and a long document would pin one task.
         chunks = cut_lineage(chunks.repartition(key, "chunk_idx"))
-    empty = None
-    kept = removed = second = empty
-    failed: list[DataFrame] = []
-    if "ner" in passes:
-        kept = detect_first_pass(chunks, keys, detector, filter_garbage)
-        if detector is not None:
-            kept = cut_lineage(kept)
-        if "llm" in passes:
-            kept, removed, missed = review_detections(kept, chunks, keys, model_fn)
-            failed.append(missed)
-    if "llm" in passes:
-        second, missed = detect_second_pass(chunks, keys, model_fn)
-        failed.append(missed)
-    if kept is not None and second is not None:
-        found = combine_detections(kept, second)
-    else:
-        found = (kept if kept is not None else second).withColumn("phase", F.lit(1))
+    done = run_passes(chunks, keys, passes, detector, model_fn, filter_garbage, deadline_s)
+    found = done.found
     scope_keys = keys if scope == "document" else []
     order = ["phase", *([] if scope_keys else keys), "chunk_idx", "pos"]
     if scope == "global":
@@ -293,29 +349,36 @@ def anonymize(
         found = cut_lineage(found)
     extended = extend_mapping(found, scope_keys, order, mapping, small_scopes=bool(scope_keys))
     if scope == "document":
-        texts = apply_scoped_mapping(docs, extended, keys, text)
+        texts = apply_scoped_mapping(docs, extended, keys, text, mode=mode or "sequential")
     else:
         extended = cut_lineage(extended)
-        texts = apply_global_mapping(docs, extended, keys, text)
-    detections = found.withColumn(
-        "source", F.when(F.col("phase") == 2, "second").otherwise("first")
-    ).withColumn("status", F.lit("kept"))
-    if removed is not None:
-        gone = removed.withColumn("phase", F.lit(1)).withColumn("source", F.lit("first"))
-        detections = detections.unionByName(gone.withColumn("status", F.lit("removed")))
-    missing = reduce(DataFrame.unionByName, failed) if failed else None
-    if missing is not None and not release_failed:
-        texts = withheld(texts, missing, keys)
-    return Anonymized(texts, extended, detections, label or "+".join(passes), missing)
+        texts = apply_global_mapping(docs, extended, keys, text, mode=mode or "single_pass")
+    if done.failed is not None and not release_failed:
+        texts = withheld(texts, done.failed, keys)
+    return Anonymized(texts, extended, listed_detections(done, found), label or "+".join(passes), done.failed)
 
 
 def anonymize_table(
-    df: DataFrame, row: str, columns: list[str], detector: Detector | None = None
+    df: DataFrame,
+    row: str,
+    columns: list[str],
+    detector: Detector | None = None,
+    passes: tuple[str, ...] = ("ner",),
+    model_fn: ModelFn | None = None,
+    mapping: DataFrame | None = None,
+    label: str | None = None,
+    filter_garbage: bool = False,
+    release_failed: bool = False,
+    deadline_s: float | None = None,
+    mode: str = "single_pass",
 ) -> Anonymized:
     """Anonymize text columns of a table with one mapping for all of them.
 
     The cells of a row are detected together, separated by a rule line; rows are never gathered. The
-    mapping is applied to each selected column in place, so the header and all other columns stay.
+    passes are those of ``anonymize``, and so are ``mapping`` (entities that have a replacement already
+    keep it, numbers continue) and the failures. The mapping is applied to each selected column in
+    place, so the header and all other columns stay; of a row with a failed request all selected
+    columns are NULL and ``error`` says why, unless ``release_failed``.
     """
     separator = "\n---\n"
     cells = F.filter(
@@ -324,17 +387,26 @@ def anonymize_table(
     )
     joined = df.select(row, F.array_join(cells, separator).alias("text")).filter("text <> ''")
     chunks = explode_chunks(joined, chunk_text("text"), [row])
-    found = cut_lineage(detect_first_pass(chunks, [row], detector))
-    mapping = cut_lineage(extend_mapping(found, [], [row, "chunk_idx", "pos"]))
-    entries = entries_by_key(shortlist(joined, mapping, [row]), [row])
+    if detector is not None or model_fn is not None:
+        chunks = cut_lineage(chunks.repartition(row, "chunk_idx"))
+    done = run_passes(chunks, [row], passes, detector, model_fn, filter_garbage, deadline_s)
+    found = cut_lineage(done.found)
+    extended = cut_lineage(extend_mapping(found, [], ["phase", row, "chunk_idx", "pos"], mapping))
+    entries = entries_by_key(shortlist(joined, extended, [row], mode=mode), [row])
     with_entries = df.join(entries, row, "left")
     rewritten = {
         name: F.when(F.col("entries").isNull(), F.col(name)).otherwise(
             anonymize_text(
-                F.col(name), present_entries(F.col(name), F.col("entries")), "single_pass"
+                F.col(name),
+                F.col("entries") if mode == "sequential" else present_entries(F.col(name), F.col("entries")),
+                mode,
             )
         )
         for name in columns
     }
     texts = with_entries.withColumns(rewritten).select(*df.columns)
-    return Anonymized(texts, mapping, found, "ner")
+    if done.failed is not None and not release_failed:
+        for name in columns[1:]:
+            texts = withheld(texts, done.failed, [row], name).drop("error")
+        texts = withheld(texts, done.failed, [row], columns[0])
+    return Anonymized(texts, extended, listed_detections(done, found), label or "+".join(passes), done.failed)

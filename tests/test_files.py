@@ -327,7 +327,7 @@ def test_audio(spark, tmp_path):
         out.setframerate(8000)
         out.writeframes(struct.pack("<4h", 16384, 0, -32768, -32768))
     (tmp_path / "bad.wav").write_bytes(b"RIFF")
-    rows = {os.path.basename(r["path"]): r for r in read_audio_frames(spark, str(tmp_path)).collect()}
+    rows = {r["path"]: r for r in read_audio_frames(spark, str(tmp_path)).collect()}
     assert rows["x.wav"]["sample_rate"] == 8000 and rows["x.wav"]["pcm"] == [0.25, -1.0]
     assert rows["bad.wav"]["error"]
 
