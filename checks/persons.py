@@ -63,13 +63,18 @@ def compatible_neighbours(spark, folder):
 COMPATIBLE_SQL = f"""
 WITH {PEOPLE_CTE} SELECT a.seq, lower(a.surname) = lower(b.surname) AND {_PAIR} AS same FROM parts a JOIN parts b ON b.seq = a.seq + 7"""
 
-COMPONENT_CTE = f"""{PEOPLE_CTE},
+def _component_cte(also: str = "") -> str:
+    return f"""{PEOPLE_CTE},
 p AS (SELECT *, lower(surname) AS s FROM parts WHERE type = 'PERSON' AND surname <> ''),
-links AS (SELECT a.scope, a.seq AS u, b.seq AS v FROM p a JOIN p b ON a.scope = b.scope AND a.s = b.s AND a.seq <> b.seq AND {_PAIR}),
+links AS (SELECT a.scope, a.seq AS u, b.seq AS v FROM p a JOIN p b ON a.scope = b.scope AND a.s = b.s AND a.seq <> b.seq AND {_PAIR}{also}),
 reach AS (SELECT scope, u, v FROM links UNION SELECT r.scope, r.u, l.v FROM reach r JOIN links l ON l.scope = r.scope AND l.u = r.v),
 comp AS (SELECT scope, u AS node, least(u, min(v)) AS component FROM reach GROUP BY scope, u)"""
 
 
+COMPONENT_CTE = _component_cte()
+STRICT_CTE = _component_cte(" AND (len(a.given) = 0) = (len(b.given) = 0)")
+
+
 def person_components(spark, folder):
     everyone = people(spark, folder).filter("type = 'PERSON'")
     return persons.connected_components(persons.namesake_links(everyone, ["scope"]), ["scope"])
@@ -88,19 +93,33 @@ def merged_persons(spark, folder):
     return merged
 
 
-RESOLVE_CTE = f"""{COMPONENT_CTE},
+def resolve_persons_strict(spark, folder):
+    """Bare surnames stay apart from full names."""
+    resolved, _ = persons.resolve_persons(people(spark, folder), ["scope"], strict=True)
+    return resolved
+
+
+def _resolve_cte(links: str) -> str:
+    return f"""{links},
 m AS (SELECT c.scope, component, count(*) AS n, count(DISTINCT replacement) AS reps,
   first(replacement ORDER BY len(t) DESC, length(entity) DESC, seq) AS anchor
   FROM comp c JOIN parts ON parts.scope = c.scope AND parts.seq = c.node GROUP BY c.scope, component)"""
-RESOLVE_SQL = f"""
-WITH RECURSIVE {RESOLVE_CTE} SELECT p.scope, p.entity, p.type, p.seq, coalesce(anchor, p.replacement) AS replacement
+
+
+def _resolve_sql(links: str) -> str:
+    return f"""
+WITH RECURSIVE {_resolve_cte(links)} SELECT p.scope, p.entity, p.type, p.seq, coalesce(anchor, p.replacement) AS replacement
 FROM people p LEFT JOIN comp c ON c.scope = p.scope AND c.node = p.seq LEFT JOIN m ON m.scope = p.scope AND m.component = c.component AND reps > 1"""
-MERGED_SQL = f"WITH RECURSIVE {RESOLVE_CTE} SELECT scope, CAST(sum(n - 1) AS BIGINT) AS merged FROM m WHERE reps > 1 GROUP BY scope"
+
+
+RESOLVE_SQL, RESOLVE_STRICT_SQL = _resolve_sql(COMPONENT_CTE), _resolve_sql(STRICT_CTE)
+MERGED_SQL = f"WITH RECURSIVE {_resolve_cte(COMPONENT_CTE)} SELECT scope, CAST(sum(n - 1) AS BIGINT) AS merged FROM m WHERE reps > 1 GROUP BY scope"
 
 CHECKS = {
     "split_name": Check(split_names, SPLIT_SQL),
     "names_compatible": Check(compatible_neighbours, COMPATIBLE_SQL),
     "namesake_components": Check(person_components, COMPONENTS_SQL),
     "resolve_persons": Check(resolve_persons, RESOLVE_SQL),
+    "resolve_persons_strict": Check(resolve_persons_strict, RESOLVE_STRICT_SQL),
     "merged_persons": Check(merged_persons, MERGED_SQL),
 }

@@ -15,132 +15,63 @@ from clinspark.functions.text import split_words
 from clinspark.session import cut_lineage
 
 
-def _prefix_patterns(tokens: Column) -> Column:
-    """Every way to read every prefix of a name: per token its full form or only its letter.
-
-    A token is (letter, full, is_initial, may_blur). Only tokens that some initial in the same
-    surname block can stand for (``may_blur``) are also read as a letter. The result is an array of
-    (length, pattern, mask, initials) structs, where ``mask`` marks the letter-only places and
-    ``initials`` the places where the name itself has an initial.
-    """
-    kind = "array<struct<length:int,pattern:string,mask:string,initials:string>>"
-    first = F.struct(
-        F.lit(0).alias("length"),
-        F.lit("").alias("pattern"),
-        F.lit("").alias("mask"),
-        F.lit("").alias("initials"),
-    )
-    empty = F.struct(
-        F.array().cast(kind).alias("done"), F.array(first).cast(kind).alias("open")
-    )
-
-    def step(state: Column, token: Column) -> Column:
-        def extended(entry: Column, blurred: bool) -> Column:
-            part = token["letter"] if blurred else token["full"]
-            mark = F.lit("1" if blurred else "0")
-            return F.struct(
-                (entry["length"] + 1).alias("length"),
-                F.concat(entry["pattern"], F.lit("\x02"), mark, part).alias("pattern"),
-                F.concat(entry["mask"], mark).alias("mask"),
-                F.concat(
-                    entry["initials"], F.when(token["is_initial"], "1").otherwise("0")
-                ).alias("initials"),
-            )
-
-        sharp = F.transform(state["open"], lambda entry: extended(entry, False))
-        blurred = F.transform(state["open"], lambda entry: extended(entry, True))
-        nothing = F.array().cast(kind)
-        following = F.concat(
-            F.when(token["is_initial"], nothing).otherwise(sharp),
-            F.when(token["is_initial"] | token["may_blur"], blurred).otherwise(nothing),
-        )
-        return F.struct(
-            F.concat(state["done"], state["open"]).alias("done"), following.alias("open")
-        )
-
-    return F.aggregate(
-        tokens, empty, step, lambda state: F.concat(state["done"], state["open"])
-    )
-
-
-def _covers(mask: Column, one: Column, two: Column) -> Column:
-    """Whether each letter-only place is an initial in one of two names."""
-    places = F.sequence(F.lit(1), F.length(mask))
-    return F.when(F.length(mask) == 0, F.lit(True)).otherwise(
-        F.forall(
-            places,
-            lambda at: (F.substr(mask, at, F.lit(1)) == "0")
-            | (F.substr(one, at, F.lit(1)) == "1")
-            | (F.substr(two, at, F.lit(1)) == "1"),
-        )
-    )
+def _blurred(one: str, two: str) -> Column:
+    """The places where one of two names has an initial, as a string of 0 and 1."""
+    either = F.zip_with(F.split(one, ""), F.split(two, ""), lambda a, b: F.greatest(a, b))
+    return F.array_join(either, "")
 
 
-def namesake_links(persons: DataFrame, keys: list[str]) -> DataFrame:
+def namesake_links(persons: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
     """Links (``left``, ``right`` = ``seq`` values) whose connected components are those of "same
-    surname and compatible given names".
-
-    Names meet on (surname, prefix pattern). At one such meeting point all names that read it with
-    the same initials are alike, so they form a handful of classes; a class links to the smallest
-    member of each class it is compatible with. The number of links is the number of readings, never
-    the square of a block.
+    surname and compatible given names". With ``strict`` a bare surname is compatible with bare
+    surnames only.
+
+    Every name walks its prefixes. Compatible names share the letters of the shorter one's tokens, so at
+    each prefix it can only meet names of its class (surname, letters), and only if a name ends there.
+    Two names that meet compare letters where one of them has an initial, and whole tokens elsewhere.
+    Which places those are follows from the two masks of initials, and the masks that a class has are
+    few; so a name is read once per mask of its class, not once per way to blur it. At one such
+    meeting point names with the same initials are alike: a class links to the smallest member of each
+    class it is compatible with, never name by name.
     """
     named = persons.select(*keys, "seq", split_name("entity").alias("name")).filter(
         F.col("name.surname") != ""
     )
     tokens = F.transform(
         F.col("name.given"),
-        lambda token, place: F.struct(
-            place.alias("place"),
+        lambda token: F.struct(
             initial_letter(token).alias("letter"),
             F.lower(token).alias("full"),
-            is_initial(token).alias("is_initial"),
+            F.when(is_initial(token), "1").otherwise("0").alias("mark"),
         ),
     )
-    base = named.select(
-        *keys, "seq", F.lower(F.col("name.surname")).alias("surname"), tokens.alias("tokens")
-    )
     block = [*keys, "surname"]
-    # Which letters occur as initials at which place of a block: a set of at most (places x 27).
-    initials = (
-        base.select(*block, F.explode("tokens").alias("token"))
-        .filter("token.is_initial")
-        .groupBy(*block)
-        .agg(F.collect_set(F.struct("token.place", "token.letter")).alias("blurs"))
-    )
-    known = base.join(initials, block, "left").withColumn(
-        "tokens",
-        F.transform(
-            F.col("tokens"),
-            lambda token: F.struct(
-                token["letter"].alias("letter"),
-                token["full"].alias("full"),
-                token["is_initial"].alias("is_initial"),
-                F.coalesce(
-                    F.array_contains(
-                        F.col("blurs"),
-                        F.struct(token["place"].alias("place"), token["letter"].alias("letter")),
-                    ),
-                    F.lit(False),
-                ).alias("may_blur"),
-            ),
-        ),
-    )
-    readings = known.select(
-        *block,
-        "seq",
-        F.size("tokens").alias("given"),
-        F.explode(_prefix_patterns(F.col("tokens"))).alias("read"),
-    ).select(
-        *block,
-        "seq",
-        F.col("read.length").alias("length"),
-        F.col("read.pattern").alias("pattern"),
-        F.col("read.mask").alias("mask"),
-        F.col("read.initials").alias("initials"),
-        (F.col("given") == F.col("read.length")).alias("whole"),
+    base = named.select(*keys, "seq", F.lower(F.col("name.surname")).alias("surname"), tokens.alias("tokens"))
+    here = F.slice("tokens", F.lit(1), F.col("length"))
+    walked = (
+        base.withColumn("length", F.explode(F.sequence(F.lit(0), F.size("tokens"))))
+        .withColumn("whole", F.col("length") == F.size("tokens"))
+        .withColumn("letters", F.array_join(F.transform(here, lambda token: token["letter"]), "\x02"))
+        .withColumn("initials", F.array_join(F.transform(here, lambda token: token["mark"]), ""))
+        .withColumn("fulls", F.transform(here, lambda token: token["full"]))
+        .drop("tokens")
+    )
+    if strict:
+        walked = walked.filter("whole OR length > 0")
+    walked = cut_lineage(walked)
+    family = [*block, "length", "letters"]
+    ends, passes = (
+        walked.filter(kind).select(*family, F.col("initials").alias("others")).distinct() for kind in ("whole", "NOT whole")
+    )
+    met = walked.join(ends, family).unionByName(walked.filter("whole").join(passes, family))
+    sharp = F.zip_with("fulls", F.split("mask", ""), lambda full, mark: F.when(mark == "0", full).otherwise(""))
+    readings = (
+        met.withColumn("mask", _blurred("initials", "others"))
+        .withColumn("pattern", F.when(F.col("length") == 0, "").otherwise(F.array_join(sharp, "\x02")))
+        .select(*family, "seq", "whole", "initials", "mask", "pattern")
+        .distinct()
     )
-    point = [*block, "length", "pattern", "mask"]
+    point = [*family, "mask", "pattern"]
     classes = (
         readings.groupBy(*point, "initials", "whole")
         .agg(F.min("seq").alias("head"))
@@ -150,11 +81,10 @@ def namesake_links(persons: DataFrame, keys: list[str]) -> DataFrame:
     # Names reading a point join its (few) classes; a compatible pair of classes needs one name that
     # ends here and an initial at every letter-only place.
     linked = readings.join(classes, point).withColumn("other", F.explode("classes"))
-    compatible = (F.col("whole") | F.col("other.whole")) & _covers(
-        F.col("mask"), F.col("initials"), F.col("other.initials")
-    )
+    either = linked.withColumn("theirs", F.col("other.initials"))
+    compatible = (F.col("whole") | F.col("other.whole")) & (_blurred("initials", "theirs") == F.col("mask"))
     return (
-        linked.filter(compatible & (F.col("seq") != F.col("other.head")))
+        either.filter(compatible & (F.col("seq") != F.col("other.head")))
         .select(*keys, F.col("seq").alias("left"), F.col("other.head").alias("right"))
         .distinct()
     )
@@ -214,15 +144,18 @@ def connected_components(links: DataFrame, keys: list[str]) -> DataFrame:
     return members.union(heads)
 
 
-def resolve_persons(mapping: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+def resolve_persons(
+    mapping: DataFrame, keys: list[str], strict: bool = False
+) -> tuple[DataFrame, DataFrame]:
     """``(mapping, merged)``: PERSON entries of one component take the replacement of its fullest
     name (most tokens, then longest, then first); ``merged`` counts the names given up per scope.
 
-    ``seq`` must be unique within a scope. Components that already share a replacement stay as they
+    ``seq`` must be unique within a scope. With ``strict`` a bare surname joins only its like, so it cannot
+    tie different persons of one family together. Components that already share a replacement stay as they
     are and count nothing.
     """
     persons = mapping.filter("type = 'PERSON'")
-    components = connected_components(namesake_links(persons, keys), keys)
+    components = connected_components(namesake_links(persons, keys, strict), keys)
     members = persons.join(
         components.withColumnRenamed("node", "seq"), [*keys, "seq"]
     ).withColumn(

@@ -109,6 +109,31 @@ def test_links_do_not_grow_with_the_square_of_a_block(spark):
     assert persons.namesake_links(df, ["scope"]).count() < 6 * len(names)
 
 
+def test_long_names_next_to_initials(spark):
+    """Fifteen given names, fifteen initials and every prefix of both: linear rows, brute-force components."""
+    random.seed(5)
+    full = [random.choice("ABCDE") + random.choice(["an", "el", "im"]) for _ in range(15)]
+    letters = [f"{name[0]}." for name in full]
+    names = [" ".join([*full[:n], "Smit"]) for n in range(1, 16)] + [" ".join([*letters[:n], "Smit"]) for n in range(1, 16)]
+    names += [" ".join([*full[:7], *letters[7:], "Smit"]), " ".join([*full[:14], "Zed", "Smit"]), "Xi Smit"]
+    df = spark.createDataFrame([("s", n, i) for i, n in enumerate(names)], "scope string, entity string, seq long")
+    links = persons.namesake_links(df, ["scope"])
+    tokens = sum(name.count(" ") for name in names)
+    assert links.count() < 8 * tokens
+    got = list(range(len(names)))
+    for row in persons.connected_components(links, ["scope"]).collect():
+        got[row["node"]] = row["component"]
+    assert got == reference_components(names)
+
+
+def test_strict_persons(spark):
+    rows = ["Sander Puts", "S. Puts", "Puts", "Sanne de Vries", "de Vries", "Puts"]
+    df = spark.createDataFrame([(0, n, "PERSON", f"[PERSON_{i}]", i) for i, n in enumerate(rows)], "scope int, entity string, type string, replacement string, seq long")
+    resolved, _ = persons.resolve_persons(df, ["scope"], strict=True)
+    tags = [r["replacement"] for r in resolved.orderBy("seq").collect()]
+    assert tags == ["[PERSON_0]", "[PERSON_0]", "[PERSON_2]", "[PERSON_3]", "[PERSON_4]", "[PERSON_2]"]
+
+
 def test_resolve_persons(spark):
     rows = [("Sander Puts", "PERSON", "[PERSON_1]"), ("S. Puts", "PERSON", "[PERSON_2]"), ("Puts", "PERSON", "[PERSON_3]"),
             ("Sanne de Vries", "PERSON", "[PERSON_4]"), ("Lucas de Vries", "PERSON", "[PERSON_5]"), ("Puts", "LOCATION", "[LOCATION_1]")]
