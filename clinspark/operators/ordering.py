@@ -4,95 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from clinspark.session import cut_lineage
 
-ROWS_PER_RANGE_SAMPLED = 64
-MIN_RANGES = 64
-
-
-def _literal(value: object, data_type: T.DataType) -> Column:
-    return F.lit(value).cast(data_type)
-
-
-def _range_number(key: Column, bounds: list[Column]) -> Column:
-    """How many of the ascending ``bounds`` are <= ``key``, as a balanced tree of comparisons."""
-
-    def search(low: int, high: int) -> Column:
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(key < bounds[middle], search(low, middle)).otherwise(search(middle + 1, high))
-
-    return search(0, len(bounds))
-
-
-def _sample_bounds(df: DataFrame, names: list[str], ranges: int, sample: int) -> list[Column]:
-    """Up to ``ranges - 1`` range bounds of the sort key, fewer for a table that needs fewer ranges.
-
-    The sample is the ``sample`` rows with the smallest hash, so it is the same on every run and at
-    most ``sample`` keys reach the driver.
-    """
-    rows = df.select(*names).orderBy(F.xxhash64(*names)).limit(sample).collect()
-    ranges = min(ranges, max(len(rows) // ROWS_PER_RANGE_SAMPLED, 1))
-    types = [df.schema[name].dataType for name in names]
-
-    def sortable(row: tuple) -> tuple:
-        return tuple((value is not None, value) for value in row)
-
-    ordered = sorted({tuple(row) for row in rows}, key=sortable)
-    step = len(ordered) / ranges
-    picks = sorted({int(step * number) for number in range(1, ranges)} - {0})
-    return [
-        F.struct(*[_literal(v, t).alias(n) for v, t, n in zip(ordered[pick], types, names)])
-        for pick in picks
-    ]
+# A range holds about so many rows at most; small tables are cut finer, for all cores to have some.
+ROWS_PER_RANGE, ROWS_PER_SMALL_RANGE = 500_000, 2_000
+IN_PARTITION = (1 << 33) - 1  # monotonically_increasing_id: the lower 33 bits count a partition's rows
 
 
 def ordinal_within(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    out: str = "ordinal",
-    ranges: int | None = None,
-    sample: int | None = None,
+    df: DataFrame, keys: list[str], order: list[str], out: str = "ordinal", ranges: int | None = None
 ) -> DataFrame:
     """``row_number`` per ``keys`` in ``order`` (which must be unique per key), without ever putting
     a whole key into one task.
 
-    The input is stored first: it is read for the sample, the shifts and the numbers, and computed once.
-    A plain window over a hot key sorts that key in one task. Here the rows are cut into ranges of
-    (keys, order), numbered within each range, and shifted by the number of earlier rows of the same
-    key. Range bounds are literals taken from a fixed-size hash sample; the shifts are one row per
-    range a key continues into, so fewer than ``ranges`` rows, and are safe to broadcast.
+    A plain window over a hot key sorts that key in one task. Here the rows are dealt to ranges of
+    (keys, order) by one range exchange, whose number grows with the table, sorted and counted inside
+    their range, and shifted by what earlier ranges hold of the same key. The input is stored first, so
+    it is computed once, and so are the dealt rows: bounds are sampled, and counts and numbers must see
+    the same ones. Counts are one row per key and range it has rows in; the optimizer broadcasts them
+    if they are small.
     """
     names = [*keys, *order]
+    stored = cut_lineage(df)
     if ranges is None:
+        rows = stored.count()
         partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        ranges = max(partitions, MIN_RANGES)
-    sample = sample or ranges * ROWS_PER_RANGE_SAMPLED
-    df = cut_lineage(df)
-    bounds = _sample_bounds(df, names, ranges, sample)
-    ranged = df.withColumn("_range", _range_number(F.struct(*names), bounds))
+        ranges = max(min(partitions, -(-rows // ROWS_PER_SMALL_RANGE)), -(-rows // ROWS_PER_RANGE), 1)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit(IN_PARTITION))
+    dealt = cut_lineage(
+        stored.repartitionByRange(ranges, *names)
+        .sortWithinPartitions(*names)
+        .withColumn("_range", F.spark_partition_id())
+        .withColumn("_place", place)
+    )
     earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    shifts = (
-        ranged.groupBy(*keys, "_range")
-        .agg(F.count("*").alias("_rows"))
-        .select(*keys, "_range", F.sum("_rows").over(earlier).alias("_shift"))
-        .filter("_shift > 0")
-        .select(*[F.col(key).alias(f"_k_{key}") for key in keys], F.col("_range").alias("_r"), "_shift")
+    spans = dealt.groupBy(*keys, "_range").agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
+    shifts = spans.select(
+        *[F.col(key).alias(f"_k_{key}") for key in keys],
+        F.col("_range").alias("_r"),
+        (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
     same = F.col("_range") == F.col("_r")
     for key in keys:
         same = same & F.col(key).eqNullSafe(F.col(f"_k_{key}"))
-    window = Window.partitionBy(*keys, "_range").orderBy(*order)
-    numbered = ranged.withColumn("_local", F.row_number().over(window))
-    joined = numbered.join(F.broadcast(shifts), same, "left")
-    number = (F.col("_local") + F.coalesce("_shift", F.lit(0))).cast("bigint")
-    return joined.withColumn(out, number).select(*df.columns, out)
+    number = (F.col("_place") + F.col("_shift")).cast("bigint")
+    return dealt.join(shifts, same).withColumn(out, number).select(*df.columns, out)
 
 
 def join_ordered(

@@ -23,11 +23,10 @@ def skewed(spark, rows=3000):
     return spark.createDataFrame(data, "k string, v long, id long"), data
 
 
-def test_ordinals_of_a_hot_key_come_from_many_ranges(spark):
+@pytest.mark.parametrize("ranges", [None, 1, 16])
+def test_ordinals_of_a_hot_key_come_from_many_ranges(spark, ranges):
     df, data = skewed(spark)
-    out = ordering.ordinal_within(df, ["k"], ["v", "id"], ranges=16, sample=256)
-    plan = out._jdf.queryExecution().toString()
-    assert "_range" in plan and "BroadcastExchange" in plan
+    out = ordering.ordinal_within(df, ["k"], ["v", "id"], ranges=ranges)
     expected = {}
     for key in {row[0] for row in data}:
         ordered = sorted((v, i) for k, v, i in data if k == key)
@@ -35,12 +34,34 @@ def test_ordinals_of_a_hot_key_come_from_many_ranges(spark):
     assert {(r["k"], r["id"]): r["ordinal"] for r in out.collect()} == expected
 
 
+def test_ordinals_take_one_range_exchange_and_the_input_once(spark, tmp_path, monkeypatch):
+    """Nine tenths of the rows belong to one key; no range holds more than a few of the 16 shares."""
+    seen, stages = [], []
+    real = ordering.cut_lineage
+
+    def watched(df):
+        seen.append(df._jdf.queryExecution().toString())
+        stages.append(real(df))
+        return stages[-1]
+
+    monkeypatch.setattr(ordering, "cut_lineage", watched)
+    spark.range(40_000).selectExpr("if(id % 10 = 0, id, -1) as k", "xxhash64(id) as v", "id", "'x' as more").write.parquet(str(tmp_path / "in"))
+    out = ordering.ordinal_within(spark.read.parquet(str(tmp_path / "in")), ["k"], ["v", "id"], ranges=16)
+    plans = [plan.split("== Physical Plan ==")[1] for plan in [*seen, out._jdf.queryExecution().toString()]]
+    assert [plan.count("rangepartitioning") for plan in plans] == [0, 1, 0]
+    assert [f"{tmp_path}/in" in plan for plan in plans] == [True, False, False]
+    spread = [r["count"] for r in stages[1].filter("k = -1").groupBy("_range").count().collect()]
+    assert max(spread) < 40_000 // 4 and len(spread) > 8
+    assert sorted(r["ordinal"] for r in out.filter("k = -1").collect()) == list(range(1, 36_001))
+
+
 def test_ordinals_without_keys_and_with_nulls(spark):
     df = spark.range(1000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("v"), "id")
-    out = ordering.ordinal_within(df, [], ["v", "id"], ranges=8, sample=64).orderBy("ordinal").collect()
+    out = ordering.ordinal_within(df, [], ["v", "id"], ranges=8).orderBy("ordinal").collect()
     expected = sorted(df.collect(), key=lambda r: (r["v"] is not None, r["v"] or 0, r["id"]))
     assert [r["id"] for r in out] == [r["id"] for r in expected]
     assert [r["ordinal"] for r in out] == list(range(1, 1001))
+    assert ordering.ordinal_within(df.limit(0), ["v"], ["id"]).count() == 0
 
 
 @pytest.mark.parametrize("spread", [10, 5000, 10**7])
