@@ -24,6 +24,14 @@ _CONTROLS = re.compile("[\x1c-\x1f]")
 _PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letters that stand for the 256 bytes in byte-level vocabularies: printable ones of Latin-1 for
+    themselves, the others, in order, for those from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [byte for byte in range(256) if byte not in shown]
+    return {byte: chr(byte) for byte in shown} | {byte: chr(0x100 + place) for place, byte in enumerate(hidden)}
+
+
 class WordIds(dict):
     """Ids of words as bytes, in two generations: when the young one is full it becomes the old one, and
     words still in use move over, so memory is bounded and rare words fade out."""
@@ -31,6 +39,15 @@ class WordIds(dict):
     def __init__(self, tokenizer, size: int):
         super().__init__()
         self.tokenizer, self.size, self.old = tokenizer, size, {}
+        self.letters = byte_letters()
+        # Whether letters beyond ASCII reach the vocabulary as their bytes, as they do in byte-level ones.
+        self.by_bytes = all(self.modelled(word) == self.encoded(word) for word in ("é", "naïve", "ñandú", "œuvre", "straße"))
+
+    def modelled(self, word: str) -> bytes:
+        """Ids of a word of letters, by the tokenizer's model alone."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [token.id for token in self.tokenizer.model.tokenize(word)]).tobytes()
 
     def encoded(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -40,10 +57,9 @@ class WordIds(dict):
         ids = self.old.get(word)
         if ids is None:
             core = word.strip(_PUNCTUATION)
-            if word.isascii() and core.isalpha() and "'" not in word:
+            if core.isalpha() and "'" not in word and (self.by_bytes or word.isascii()):
                 if core == word:
-                    tokens = self.tokenizer.model.tokenize(word)
-                    ids = array("I", [token.id for token in tokens]).tobytes()
+                    ids = self.modelled(word)
                 else:  # marks around letters are pieces of their own
                     before, _, after = word.partition(core)
                     ids = b"".join([self[piece] for piece in (before, core, after) if piece])

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import sys
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -477,3 +478,13 @@ def test_ppm_rare_label_and_script(spark):
     assert len({int(model.symbol[byte]) for byte in used}) == len(used) > 127
     asked = frame(spark, [(1, "ሰው በሕይወት", None, None, None), (2, "ဘာသာ", None, None, None)])
     assert {r["doc_id"]: r["lang_pred"] for r in predict(asked, model).collect()} == {1: "zz", 2: "zy"}
+
+
+def test_words_of_letters_have_the_tokenizers_ids():
+    encode = word_encoder(tokenizer_file("word_bpe_49k.json"))
+    whole = sys.__dict__["_word_encoders"][tokenizer_file("word_bpe_49k.json")].encoded
+    assert sys.__dict__["_word_encoders"][tokenizer_file("word_bpe_49k.json")].by_bytes
+    letters = [chr(c) for c in range(0x180) if packing._PLAIN.fullmatch(chr(c))]
+    for char in letters:
+        for text in (char, f"a{char}b", f'"{char}x".', char * 3):
+            assert encode(text) == whole(text)
