@@ -14,9 +14,10 @@ from clinspark import fixed_values as fixed
 from clinspark.functions.chunking import chunk_text, explode_chunks
 from clinspark.functions.text import entity_key, trim_spaces
 from clinspark.operators.detection import rule_detect, rule_matches, rule_type
+from clinspark.operators.guarding import ModelFn
 from clinspark.operators.inference import Detector
 from clinspark.operators.rewriting import anonymize_text, apply_global_mapping
-from clinspark.plans.anonymize import detect_first_pass, extend_mapping
+from clinspark.plans.anonymize import extend_mapping, run_passes, withheld
 from clinspark.session import cut_lineage
 
 MAPPING = "entity string, type string, replacement string, seq bigint"
@@ -44,24 +45,32 @@ def anonymize_stream(
     key: str = "doc_id",
     detector: Detector | None = None,
     chunk_size: tuple[int, int] = fixed.CHUNK_DEFAULT,
+    passes: tuple[str, ...] = ("ner",),
+    model_fn: ModelFn | None = None,
+    filter_garbage: bool = False,
+    release_failed: bool = False,
+    deadline_s: float | None = None,
 ):
     """A stream writer that anonymizes documents with one mapping that only grows.
 
-    Entities are found by ``detector`` (chunk by chunk) or by the rules. Each batch is detected once,
-    reads the mapping of earlier batches, numbers its new entities after them, and writes its own rows
-    to the folder of its batch id, replacing what an interrupted run of the same batch left there.
-    Running a batch twice therefore changes nothing. Start the returned writer with the trigger of
-    your choice.
+    Entities are found by the passes of ``plans.anonymize`` (``detector`` or the rules, a review and a
+    second pass by ``model_fn``). Each batch is detected once, reads the mapping of earlier batches,
+    numbers its new entities after them, and writes its own rows to the folder of its batch id,
+    replacing what an interrupted run of the same batch left there. Running a batch twice therefore
+    changes nothing. With a detector or model the texts carry ``error``: a text with a failed request is
+    withheld unless ``release_failed``. Start the returned writer with the trigger of your choice.
     """
 
     def one_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         known = known_mapping(spark, mapping_path, batch_id)
-        if detector is None:
+        failed = None
+        if detector is None and model_fn is None:
             found, order = rule_detect(batch, [key]), [key, "pos"]
         else:
             chunks = cut_lineage(explode_chunks(batch, chunk_text("text", *chunk_size), [key]))
-            found, order = detect_first_pass(chunks, [key], detector), [key, "chunk_idx", "pos"]
+            done = run_passes(chunks, [key], passes, detector, model_fn, filter_garbage, deadline_s)
+            found, failed, order = done.found, done.failed, ["phase", key, "chunk_idx", "pos"]
         extended = extend_mapping(cut_lineage(found), [], order, known)
         fresh = extended.join(
             known.select(entity_key("entity").alias("_key")),
@@ -72,6 +81,8 @@ def anonymize_stream(
         fresh.write.mode("overwrite").parquet(folder)
         written = spark.read.schema(MAPPING).parquet(folder)
         texts = apply_global_mapping(batch, known.unionByName(written), [key])
+        if failed is not None and not release_failed:
+            texts = withheld(texts, failed, [key])
         texts.write.mode("overwrite").parquet(f"{output_path}/batch={batch_id}")
 
     return docs.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint)

@@ -1,12 +1,13 @@
 """Streams driven by files, batch by batch."""
 
 import datetime as dt
+import re
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from clinspark.operators.inference import safe_rows
+from clinspark.operators.inference import Detector, safe_rows
 from clinspark.plans.anonymize import anonymize
 from clinspark.streaming.dictation import EntryPairing, dictation_stream
 from clinspark.streaming.live_audio import ChunkCutter, live_chunks, live_transcript, transcribed_chunks
@@ -171,6 +172,35 @@ def test_mapping_grows_over_batches_and_survives_a_rerun(spark, tmp_path):
     assert {r["doc_id"]: r["anonymized_text"] for r in batch.collect()} == texts
 
 
+def half_blind(frames):
+    for frame in frames:
+        if frame["text"].str.contains("poison").any():
+            raise ValueError("cannot read")
+        rows = [
+            (row.doc_id, row.chunk_idx, n, "SURNAME", m[0], m.start(), m.end(), 0.9)
+            for row in frame.itertuples()
+            for n, m in enumerate(re.finditer("Jansen|Smit", row.text))
+        ]
+        yield pd.DataFrame(rows, columns=["doc_id", "chunk_idx", "pos", "raw_type", "word", "start", "end", "score"])
+
+
+def test_stream_runs_both_passes_and_withholds_failures(spark, tmp_path):
+    batches = [[(1, "Jansen in Ulm"), (2, "poison Smit")], [(3, "Smit met Jansen in Ulm")]]
+    stream = feed(spark, tmp_path / "in", batches, "doc_id long, text string")
+
+    def model(row):
+        found = "Ulm" in row["user"] and "Detected" not in row["user"]
+        return '[{"entity": "Ulm", "type": "LOCATION"}]' if found else "[]"
+
+    writer = anonymize_stream(
+        stream, str(tmp_path / "mapping"), str(tmp_path / "out"), str(tmp_path / "check"),
+        detector=Detector(half_blind, "multilingual_pii"), passes=("ner", "llm"), model_fn=safe_rows(model),
+    )
+    assert writer.trigger(availableNow=True).start().awaitTermination(180)
+    got = {r["doc_id"]: (r["anonymized_text"], r["error"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {1: ("[PERSON_1] in [LOCATION_1]", None), 2: (None, "detect: ValueError: cannot read"), 3: ("[PERSON_2] met [PERSON_1] in [LOCATION_1]", None)}
+
+
 def test_session_mappings_are_separate(spark, tmp_path):
     batches = [[("s1", 1, "a@x.nl"), ("s2", 2, "b@x.nl")], [("s1", 3, "b@x.nl A@x.nl")]]
     stream = feed(spark, tmp_path / "in", batches, "session_id string, doc_id long, text string")
