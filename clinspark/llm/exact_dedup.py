@@ -13,8 +13,9 @@ MIN_BITS, MAX_BITS, WORD = 2**20, 2**26, 63
 
 
 def normalised(text: str) -> Column:
-    """Every run of white space as one space; null as the empty text."""
-    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{SPACES}]+", " ")
+    """Every run of white space as one space; null as the empty text. Single spaces are no match, so a
+    text that has nothing else comes back as it is."""
+    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), rf"[\x09-\x0D][{SPACES}]*|\x20[{SPACES}]+", " ")
 
 
 def _bit(number: Column, bits: int) -> Column:
@@ -54,7 +55,11 @@ def bits_for(classes: DataFrame) -> int:
 
 
 def exact_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_all: bool = False
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    hash_all: bool = False,
+    with_text: bool = True,
 ) -> DataFrame:
     """Adds ``keep_id``, ``group_size``, ``kept`` and ``full_hash`` to every row of ``docs``.
 
@@ -70,9 +75,11 @@ def exact_dedup(
     that repeat the smallest id with the same text are all kept (they are one document); an empty
     table gives an empty table. Input columns named like the added ones are replaced.
     ``full_hash`` is null for rows that were told apart earlier unless ``hash_all`` asks for it.
+    Without ``with_text`` the text column is left out of the result; the rows with their hashes are then
+    stored once, and texts are read twice instead of four times.
     """
     hidden = Hidden(docs, ("keep_id", "group_size", "kept", "full_hash"))
-    carried = list(hidden.own.values())
+    carried = [name for column, name in hidden.own.items() if with_text or column != text_col]
     base = docs.select(*hidden.columns())
     own, text = F.col(hidden.own[id_col]), normalised(hidden.own[text_col])
     length = F.length(text).cast("long")
@@ -91,9 +98,17 @@ def exact_dedup(
     prefixes = staged(prefixes, "dedup-prefixes")
     bits = bits_for(prefixes)
     by_prefix = staged(class_marks(prefixes, F.col("_prefix"), bits), "dedup-marks")
-    rows = with_mark(base, by_prefix, prefix, bits, "_go")
-
     full = F.sha2(F.encode(text, "UTF-8"), 256)
+    if with_text:
+        rows = with_mark(base, by_prefix, prefix, bits, "_go")
+    else:
+        # The normalised text is one column, which prefix and hash share.
+        read = base.select(*carried, text.alias("_body"))
+        length = F.length("_body").cast("long")
+        marked = with_mark(read, by_prefix, F.xxhash64(length, F.substring("_body", 1, PREFIX_CHARS)), bits, "_go")
+        whole = F.sha2(F.encode("_body", "UTF-8"), 256)
+        narrow = marked.select(*carried, "_go", (whole if hash_all else F.when(F.col("_go"), whole)).alias("_hash"))
+        rows, full = staged(narrow, "dedup-hashed"), F.col("_hash")
     hashed = rows.filter("_go").withColumn("full_hash", full).drop("_go")
     groups = hashed.groupBy("full_hash").agg(F.min(own).alias("keep_id"), F.count("*").alias("group_size"))
     groups = staged(groups, "dedup-groups")
@@ -107,4 +122,5 @@ def exact_dedup(
     grouped = join_back(hashed, groups, "full_hash", "group_size", own, "inner").select(
         *carried, "keep_id", "group_size", own.eqNullSafe(F.col("keep_id")).alias("kept"), "full_hash"
     )
-    return alone.unionByName(grouped).select(*hidden.back(), "keep_id", "group_size", "kept", "full_hash")
+    back = [F.col(own).alias(name) for name, own in hidden.own.items() if own in carried]
+    return alone.unionByName(grouped).select(*back, "keep_id", "group_size", "kept", "full_hash")

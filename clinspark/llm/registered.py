@@ -49,7 +49,7 @@ def op2_bit_sliced_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return exact_dedup(docs, hash_all=True).select(
+    return exact_dedup(docs, hash_all=True, with_text=False).select(
         "doc_id", "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256")
     )
 

@@ -39,6 +39,16 @@ def test_exact_dedup(spark, clashing):
     assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("hash_all", [False, True])
+def test_exact_dedup_without_texts(spark, hash_all):
+    docs = frame(spark, awkward_rows(), True)
+    columns = ("doc_id", "lang", "keep_id", "group_size", "kept", "full_hash")
+    whole = exact_dedup(docs, hash_all=hash_all)
+    narrow = exact_dedup(docs, hash_all=hash_all, with_text=False)
+    assert set(narrow.columns) == set(whole.columns) - {"text"}
+    assert Counter(map(tuple, narrow.select(*columns).collect())) == Counter(map(tuple, whole.select(*columns).collect()))
+
+
 def test_exact_dedup_hot_group(spark):
     docs = spark.range(3000).select(
         F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "the same").otherwise(F.concat(F.lit("text "), "id")).alias("text")
