@@ -1,6 +1,7 @@
 """Streams driven by files, batch by batch."""
 
 import datetime as dt
+import random
 import re
 
 import pandas as pd
@@ -65,12 +66,18 @@ class Handle:
 
     getListState = getValueState
 
-    def getMapState(self, _name, _key, _value, ttl):
-        return Expiring(self, ttl)
+    def getMapState(self, _name, _key, _value, ttl=None):
+        return Counted(self, float("inf")) if ttl is None else Expiring(self, ttl)
 
     def registerTimer(self, moment):
         self.timers.add(moment)
 
+    def deleteTimer(self, moment):
+        self.timers.remove(moment)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
     def getCurrentProcessingTimeInMs(self):
         return self.now
 
@@ -225,6 +232,50 @@ def test_dictation_pairs(spark, tmp_path):
     assert got == [("a", 1, pytest.approx(10.2, abs=0.06)), ("a", 2, 10.0), ("b", 1, 2.0), ("c", 1, 20.0), ("c", 2, 20.0)]
 
 
+class Counted(Expiring):
+    """A map state that counts the events written to it."""
+
+    written = 0
+
+    def updateValue(self, key, value):
+        self.written += len(value[0])
+        super().updateValue(key, value)
+
+    def removeKey(self, key):
+        self.held.pop(key, None)
+
+    def keys(self):
+        return iter(list(self.held))
+
+    def exists(self):
+        return bool(self.held)
+
+    def clear(self):
+        self.held = {}
+
+
+def test_many_events_of_a_session_need_one_timer_and_linear_writes():
+    handle, pairing = Handle(), EntryPairing(10**8)
+    pairing.init(handle)
+    rng = random.Random(2)
+    start = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    events = [(start + dt.timedelta(seconds=n), "start" if n % 2 == 0 else "stop") for n in range(10_000)]
+    shuffled = rng.sample(events, len(events))
+    frame = pd.DataFrame({"session_id": "a", "ts": [pd.Timestamp(ts) for ts, _ in shuffled], "kind": [kind for _, kind in shuffled]})
+    list(pairing.handleInputRows(("a",), iter([frame]), handle))
+    assert len(handle.timers) == 1 and pairing.waiting.written == 10_000
+    out = []
+    for second in (3000.5, 3001.5, 20_000):
+        handle.now = int((start + dt.timedelta(seconds=second)).timestamp() * 1000)
+        assert min(handle.timers) <= handle.now
+        handle.timers.clear()  # Spark drops a timer that has fired
+        out += [row for frame in pairing.handleExpiredTimer(("a",), handle, handle) for row in frame.itertuples(index=False)]
+        assert len(handle.timers) == 1
+    assert [(row.nr, row.duration_s) for row in out] == [(n, 1.0) for n in range(1, 5001)]
+    assert [row.start_ts for row in out] == sorted(row.start_ts for row in out)
+    assert pairing.waiting.written <= 10_000 + 3 * 60 and not pairing.waiting.exists() and pairing.state.exists()
+
+
 def test_out_of_order_events_pair_as_in_one_batch():
     handle, pairing = Handle(), EntryPairing(10**6)
     pairing.init(handle)
@@ -233,8 +284,9 @@ def test_out_of_order_events_pair_as_in_one_batch():
         frame = pd.DataFrame({"session_id": ["a"], "ts": [pd.Timestamp(start) + pd.Timedelta(seconds=second)], "kind": [kind]})
         list(pairing.handleInputRows(("a",), iter([frame]), handle))
     out = []
-    for moment in sorted(handle.timers):
-        handle.now = moment
+    while handle.timers:
+        handle.now = min(handle.timers)
+        handle.timers.clear()
         out += [row for frame in pairing.handleExpiredTimer(("a",), handle, handle) for row in frame["duration_s"]]
     assert out == [10.0, 10.0]
     assert not pairing.state.exists() and not pairing.waiting.exists()
