@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from checks.base import Check, table
 from checks.detections import RULE_CTE
-from checks.texts import conversations, documents
+from checks.texts import chunk_cte, conversations, documents
 from clinspark.functions.prompts import DETECTION_SYSTEM
 from clinspark.operators.inference import SPAN_COLUMNS, Detector, safe_rows
 from clinspark.operators.rewriting import apply_global_mapping, apply_scoped_mapping
@@ -67,6 +67,18 @@ def anonymize_tables(spark, folder):
     return plan.anonymize(documents(spark, folder)).texts.select("doc_id", "anonymized_text")
 
 
+# Rules over chunks: an entity counts where it is seen first, by chunk and place.
+CHUNK_FIRST_CTE = f"""{chunk_cte()}, {RULE_CTE.replace('FROM documents)', 'FROM chunks)').replace('doc_id, text', 'doc_id, chunk_idx, text').replace('doc_id, CAST', 'doc_id, chunk_idx, CAST')},
+firsts AS (SELECT doc_id, chunk_idx, pos, entity, type FROM typed
+  QUALIFY row_number() OVER (PARTITION BY doc_id, lower(entity) ORDER BY chunk_idx, pos) = 1),
+numbered AS (SELECT *, '[' || type || '_' || row_number() OVER (PARTITION BY doc_id, type ORDER BY chunk_idx, pos) || ']' AS tag,
+  row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx, pos) AS seq FROM firsts),
+entries AS (SELECT doc_id, count(*) AS n, list(entity || chr(1) || tag ORDER BY length(entity) DESC, seq) AS pairs FROM numbered GROUP BY doc_id)"""
+_CHUNKED_TEXT = f"CASE WHEN n IS NULL THEN d.text ELSE {_rewrite_sql('d.text', 'pairs')} END AS anonymized_text FROM documents d LEFT JOIN entries USING (doc_id)"
+ANONYMIZE_CHUNKED_SQL = f"WITH RECURSIVE {CHUNK_FIRST_CTE} SELECT d.doc_id, coalesce(n, 0) AS n_entities, {_CHUNKED_TEXT}"
+ANONYMIZE_TABLES_SQL = f"WITH RECURSIVE {CHUNK_FIRST_CTE} SELECT d.doc_id, {_CHUNKED_TEXT}"
+
+
 def anonymize_failures(spark, folder):
     """Two passes with a model that is down for every seventh document: those texts are withheld."""
 
@@ -241,8 +253,8 @@ CHECKS = {
     "anonymize_table_failures": Check(anonymize_table_failures, ANONYMIZE_TABLE_FAILURES_SQL),
     "anonymize_documents": Check(anonymize_documents, ANONYMIZE_SQL),
     "document_mapping": Check(document_mapping, DOCUMENT_MAPPING_SQL),
-    "anonymize_chunked": Check(anonymize_chunked),
-    "anonymize_tables": Check(anonymize_tables),
+    "anonymize_chunked": Check(anonymize_chunked, ANONYMIZE_CHUNKED_SQL),
+    "anonymize_tables": Check(anonymize_tables, ANONYMIZE_TABLES_SQL),
     "anonymize_failures": Check(anonymize_failures, ANONYMIZE_FAILURES_SQL),
     "anonymize_global": Check(anonymize_global, ANONYMIZE_GLOBAL_SQL),
     "anonymize_table": Check(anonymize_table, ANONYMIZE_TABLE_SQL),

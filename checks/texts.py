@@ -527,6 +527,54 @@ def chunk_text(spark, folder):
     return chunking.explode_chunks(documents(spark, folder), chunking.chunk_text("text"), ["doc_id"])
 
 
+def _last_of(value: str, marks: tuple[str, ...]) -> str:
+    """The last place (from 0) of one of the two-character ``marks`` in ``value``, -1 if there is none."""
+    places = (f"CASE WHEN contains({value}, '{mark}') THEN length({value}) - strpos(reverse({value}), '{mark[::-1]}') - 1 ELSE -1 END" for mark in marks)
+    return f"greatest({', '.join(places)})"
+
+
+def chunk_cte(size: int = 2400, overlap: int = 240) -> str:
+    """Paragraph chunks as a state machine: a row per step, with the chunk it closes in ``made``.
+
+    ``held`` is the chunk under way, ``rest`` what is left of a paragraph longer than a chunk.
+    """
+    marks = (". ", "! ", "? ", "; ")
+    window = f"substr(rest, 1, {size + 1})"
+    space = f"CASE WHEN contains({window}, ' ') THEN length({window}) - strpos(reverse({window}), ' ') ELSE -1 END"
+    sentence = _last_of(window, marks)
+    best = f"greatest({space}, CASE WHEN {sentence} > {size} * 0.45 THEN {sentence} + 1 ELSE -1 END)"
+    tail = f"right(closed, {overlap})"
+    line = f"CASE WHEN contains({tail}, chr(10)) THEN length({tail}) - strpos(reverse({tail}), chr(10)) ELSE -1 END"
+    turn = f"""CASE WHEN {_last_of(tail, marks)} > {overlap} * 0.35 THEN {_last_of(tail, marks)}
+      WHEN {line} > {overlap} * 0.35 THEN {line} ELSE greatest(strpos({tail}, ' ') - 1, 0) END"""
+    context = f"CASE WHEN length(closed) <= {overlap} THEN '' ELSE {sql_trim(f'substr({tail}, CASE WHEN {turn} > 0 THEN {turn} + 2 ELSE 1 END)')} END"
+    return f"""steps(doc_id, step, ps, i, held, rest, made) AS (
+  SELECT doc_id, 0, list_filter(regexp_split_to_array(text, '\n+'), lambda p: {sql_trim('p')} <> ''), 1, '', NULL::VARCHAR, NULL::VARCHAR
+  FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, step + 1, ps, CASE WHEN rest IS NULL THEN i + 1 ELSE i END,
+    CASE WHEN rest IS NOT NULL OR alone THEN '' WHEN before = '' THEN p ELSE before || chr(10) || p END,
+    CASE WHEN rest IS NOT NULL THEN CASE WHEN length(rest) > {size} THEN {sql_trim(f'substr(rest, cut - {min(overlap, size // 5)} + 1)')} END
+      WHEN alone THEN {sql_trim('p')} END,
+    CASE WHEN rest IS NOT NULL THEN CASE WHEN length(rest) > {size} THEN {sql_trim('substr(rest, 1, cut)')} ELSE rest END WHEN flush THEN closed END
+  FROM (
+    SELECT *, CASE WHEN NOT flush THEN held WHEN alone THEN '' ELSE {context} END AS before,
+      CASE WHEN rest IS NOT NULL AND length(rest) > {size} THEN CASE WHEN {best} < {size} * 0.35 THEN {size} ELSE {best} END END AS cut
+    FROM (
+      SELECT *, {sql_trim('held')} AS closed, coalesce(alone_, FALSE) AS alone,
+        rest IS NULL AND (p IS NULL OR alone_ OR (held <> '' AND length(held) + 1 + length(p) > {size})) AS flush
+      FROM (SELECT *, length(p) > {size} AS alone_ FROM (
+        SELECT *, CASE WHEN rest IS NULL AND i <= len(ps) THEN ps[i] END AS p FROM steps WHERE rest IS NOT NULL OR i <= len(ps) + 1)))
+  )
+), chunks AS (
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY step) - 1 AS INTEGER) AS chunk_idx, made AS text FROM steps WHERE made <> ''
+  UNION ALL SELECT doc_id, 0, text FROM documents WHERE text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM steps WHERE made <> '')
+)"""
+
+
+CHUNK_TEXT_SQL = f"WITH RECURSIVE {chunk_cte()} SELECT doc_id, chunk_idx, text FROM chunks"
+
+
 def chunk_fixed(spark, folder):
     return chunking.explode_chunks(documents(spark, folder), chunking.chunk_fixed("text"), ["doc_id"])
 
@@ -592,7 +640,7 @@ CHECKS = {
     "detection_prompts": Check(detection_prompts, DETECTION_PROMPT_SQL),
     "rms_and_silence": Check(rms, RMS_SQL),
     "resample_16k": Check(resample, RESAMPLE_SQL),
-    "chunk_text": Check(chunk_text),
+    "chunk_text": Check(chunk_text, CHUNK_TEXT_SQL),
     "chunk_fixed": Check(chunk_fixed, CHUNK_FIXED_SQL),
     "chunk_sentences": Check(chunk_sentences, CHUNK_SENTENCES_SQL),
 }
