@@ -12,12 +12,18 @@ one group when suffixes are ordered to that depth. The order is made by most-sig
   the same surroundings, the whole stretch is one digit; otherwise each suffix of the stretch has its
   own. Members of a group that are not its first (document, place) are repeats.
 
+Digits are compared as keyed hashes of their bytes: a 64-bit one for order and groups and an independent
+32-bit one beside it. The keys are drawn anew for every run, and for any two different grams the chance
+to agree is 2 ** -64 and 2 ** -32 over the keys (multilinear hashing), whatever the texts are, so no text
+can be made to collide with another. Two windows count as equal if 80 bits agree.
+
 Digits travel as arrays of hashes between stored parts of the corpus and buckets of hash values, both
 of bounded size; texts are stored once and never shuffled.
 """
 
 from __future__ import annotations
 
+import secrets
 import zlib
 from collections.abc import Iterator
 
@@ -53,6 +59,23 @@ def _mix(a: np.ndarray, b: np.ndarray, lane: int = 0) -> np.ndarray:
     return out
 
 
+def drawn_keys() -> np.ndarray:
+    """Keys of three lanes of 32 bits for the words of a gram, and one to start from."""
+    draws = [secrets.randbits(64) for _ in range(3 * (GRAM // 4 + 1))]
+    return np.array(draws, dtype=np.uint64).reshape(3, GRAM // 4 + 1)
+
+
+def keyed_lane(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """32 bits for the gram at each place: the upper half of a sum of its 4-byte words times keys."""
+    count = len(words) - GRAM + 4
+    total, scaled = np.full(count, keys[0], dtype=np.uint64), np.empty(count, dtype=np.uint64)
+    for place in range(GRAM // 4):
+        np.multiply(words[4 * place : 4 * place + count], keys[place + 1], out=scaled)
+        total += scaled
+    total >>= np.uint64(32)
+    return total
+
+
 class Batch:
     """Hashes of all grams of some pieces of texts laid end to end.
 
@@ -60,7 +83,7 @@ class Batch:
     pieces that overlap by ``window - 1`` bytes, so that each window lies in exactly one piece.
     """
 
-    def __init__(self, pieces: list[tuple[int, int, bytes]], window: int):
+    def __init__(self, pieces: list[tuple[int, int, bytes]], window: int, keys: np.ndarray):
         self.window = window
         sizes = np.array([len(data) for _, _, data in pieces])
         self.ends = np.cumsum(sizes)
@@ -70,9 +93,10 @@ class Batch:
         data = b"".join(data for _, _, data in pieces)
         self.size = len(data)
         padded = np.frombuffer(data + bytes(2 * GRAM + window), dtype=np.uint8)
-        eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,)).copy()
-        sixteen = _mix(eight[:-8], eight[8:])
-        self.grams = _mix(sixteen[:-16], sixteen[16:])
+        words = np.ndarray((len(padded) - 3,), dtype="<u4", buffer=padded, strides=(1,)).astype(np.uint64)
+        self.grams = keyed_lane(words, keys[0]) << np.uint64(32)
+        self.grams |= keyed_lane(words, keys[1])
+        self.beside = keyed_lane(words, keys[2])
 
     def anchors(self) -> dict[str, np.ndarray]:
         """Stretches of window starts ``first..last`` that share the anchor at ``at``."""
@@ -101,10 +125,11 @@ class Batch:
     def window_hash(self, at: np.ndarray, lane: int) -> np.ndarray:
         """A hash of the window's bytes at each place."""
         offsets = [*range(0, self.window - 2 * GRAM, 2 * GRAM), self.window - 2 * GRAM]
+        grams = self.beside if lane else self.grams
         total = np.full(len(at), _K[3 - lane], dtype=np.uint64)
         for offset in offsets:
             here = at + offset
-            total = _mix(total, _mix(self.grams[here], self.grams[here + GRAM], lane), lane)
+            total = _mix(total, _mix(grams[here], grams[here + GRAM], lane), lane)
         return total
 
     def surroundings(self, found: dict[str, np.ndarray], lane: int) -> np.ndarray:
@@ -139,7 +164,7 @@ def part_rows(path: str, group: int) -> Iterator[tuple[int, int | None, bytes]]:
                 row += 1
 
 
-def part_batches(path: str, group: int, window: int) -> Iterator[tuple[Batch, np.ndarray]]:
+def part_batches(path: str, group: int, window: int, keys: np.ndarray) -> Iterator[tuple[Batch, np.ndarray]]:
     """The part in batches, each with the ids of its pieces."""
     pieces: list[tuple[int, int, bytes]] = []
     ids: list[int] = []
@@ -150,10 +175,10 @@ def part_batches(path: str, group: int, window: int) -> Iterator[tuple[Batch, np
             ids.append(_NO_ID if number is None else number)
             size += len(pieces[-1][2])
             if size >= BATCH_BYTES:
-                yield Batch(pieces, window), np.array(ids, dtype=np.int64)
+                yield Batch(pieces, window, keys), np.array(ids, dtype=np.int64)
                 pieces, ids, size = [], [], 0
     if pieces:
-        yield Batch(pieces, window), np.array(ids, dtype=np.int64)
+        yield Batch(pieces, window, keys), np.array(ids, dtype=np.int64)
 
 
 def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -295,6 +320,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if not where:
         return spark.createDataFrame([], result).withColumnRenamed("id", id_col)
     parts = spark.sparkContext.broadcast(where)
+    keys = drawn_keys()
     tasks = len(where)
     buckets = max(MIN_BUCKETS, size // BUCKET_BYTES)
     every_part = spark.range(0, tasks, 1, tasks).select(F.col("id").cast("int").alias("part"))
@@ -303,7 +329,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for asked in batches:
             for part in asked.column("part").to_pylist():
                 grams, around = [], []
-                for batch, _ in part_batches(*parts.value[part], window):
+                for batch, _ in part_batches(*parts.value[part], window, keys):
                     anchors = batch.anchors()
                     grams.append(batch.grams[anchors["at"]])
                     around.append(batch.surroundings(anchors, 0))
@@ -347,7 +373,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         order = np.argsort(heard, kind="stable")
         heard, kind = heard[order], kind[order].astype(bool)
         kept, grams, around = [], [], []
-        for batch, _ in part_batches(*parts.value[part], window):
+        for batch, _ in part_batches(*parts.value[part], window, keys):
             anchors = batch.anchors()
             kept.append(anchors)
             grams.append(batch.grams[anchors["at"]])
@@ -359,7 +385,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             at = np.minimum(np.searchsorted(heard, own), len(heard) - 1)
             hit = heard[at] == own
             repeated, mixed = repeated | hit, mixed | (hit & kind[at])
-        for number, (batch, ids) in enumerate(part_batches(*parts.value[part], window)):
+        for number, (batch, ids) in enumerate(part_batches(*parts.value[part], window, keys)):
             anchors, place = kept[number], np.searchsorted(own, grams[number])
             whole = {name: values[repeated[place] & ~mixed[place]] for name, values in anchors.items()}
             split = {name: values[repeated[place] & mixed[place]] for name, values in anchors.items()}

@@ -480,6 +480,23 @@ def test_ppm_rare_label_and_script(spark):
     assert {r["doc_id"]: r["lang_pred"] for r in predict(asked, model).collect()} == {1: "zz", 2: "zy"}
 
 
+def test_repeats_are_not_removed_on_a_made_collision(spark):
+    """Two grams that one fixed hash could be made to confuse; and keys that differ from run to run."""
+    one, two = "ri5p.UXL mZdMSaU", "GoLj1k7J<0%<ryUI"
+    rng = random.Random(61)
+    rows = []
+    for place in range(6):
+        left, right = words(rng, 40)[: 16 * place + 2], words(rng, 40)[: 82 - 16 * place]
+        rows += [(10 * place + n, left + middle + right, None, None, None) for n, middle in enumerate((one, two, one[:8] + two[8:], two[:8] + one[8:]))]
+    assert all(len(row[1]) == 100 for row in rows)
+    got = remove_repeats(frame(spark, rows)).collect()
+    assert [(row["n_removed"], len(row["spans"])) for row in got] == [(0, 0)] * len(rows)
+    twice = [(row[0] + n * 1000, row[1], None, None, None) for row in rows for n in (0, 1)]
+    assert sorted(row["doc_id"] for row in remove_repeats(frame(spark, twice)).collect() if row["n_removed"] == 100) == sorted(row[0] + 1000 for row in rows)
+    first, second = repeated_windows.drawn_keys(), repeated_windows.drawn_keys()
+    assert first.shape == second.shape and not (first == second).any()
+
+
 def test_words_of_letters_have_the_tokenizers_ids():
     encode = word_encoder(tokenizer_file("word_bpe_49k.json"))
     whole = sys.__dict__["_word_encoders"][tokenizer_file("word_bpe_49k.json")].encoded
