@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from clinspark.functions.names import initial_letter, is_initial, split_name
 from clinspark.functions.text import split_words
-from clinspark.session import cut_lineage
+from clinspark.session import cut_lineage, shuffled
 
 
 def _blurred(one: str, two: str) -> Column:
@@ -63,7 +63,7 @@ def namesake_links(persons: DataFrame, keys: list[str], strict: bool = False) ->
     ends, passes = (
         walked.filter(kind).select(*family, F.col("initials").alias("others")).distinct() for kind in ("whole", "NOT whole")
     )
-    met = walked.join(ends, family).unionByName(walked.filter("whole").join(passes, family))
+    met = walked.join(shuffled(ends), family).unionByName(walked.filter("whole").join(shuffled(passes), family))
     sharp = F.zip_with("fulls", F.split("mask", ""), lambda full, mark: F.when(mark == "0", full).otherwise(""))
     readings = (
         met.withColumn("mask", _blurred("initials", "others"))
@@ -80,7 +80,7 @@ def namesake_links(persons: DataFrame, keys: list[str], strict: bool = False) ->
     )
     # Names reading a point join its (few) classes; a compatible pair of classes needs one name that
     # ends here and an initial at every letter-only place.
-    linked = readings.join(classes, point).withColumn("other", F.explode("classes"))
+    linked = readings.join(shuffled(classes), point).withColumn("other", F.explode("classes"))
     either = linked.withColumn("theirs", F.col("other.initials"))
     compatible = (F.col("whole") | F.col("other.whole")) & (_blurred("initials", "theirs") == F.col("mask"))
     return (
@@ -107,13 +107,13 @@ def connected_components(links: DataFrame, keys: list[str]) -> DataFrame:
             edges.select(*keys, F.col("v").alias("u"), F.col("u").alias("v"))
         )
         least = neighbours_minimum(both, "u", "v")
-        moved = both.join(least, [*keys, "u"]).filter("v > u")
+        moved = both.join(shuffled(least), [*keys, "u"]).filter("v > u")
         return moved.select(*keys, F.col("v").alias("u"), F.col("_least").alias("v")).distinct()
 
     def small_star(edges: DataFrame) -> DataFrame:
         down = edges.select(*keys, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy(*keys, "u").agg(F.min("v").alias("_least"))
-        moved = down.join(least, [*keys, "u"])
+        moved = down.join(shuffled(least), [*keys, "u"])
         rest = moved.filter("v <> _least").select(
             *keys, F.col("v").alias("u"), F.col("_least").alias("v")
         )
@@ -157,7 +157,7 @@ def resolve_persons(
     persons = mapping.filter("type = 'PERSON'")
     components = connected_components(namesake_links(persons, keys, strict), keys)
     members = persons.join(
-        components.withColumnRenamed("node", "seq"), [*keys, "seq"]
+        shuffled(components.withColumnRenamed("node", "seq")), [*keys, "seq"]
     ).withColumn(
         "_rank",
         F.struct(-F.size(split_words("entity")), -F.length("entity"), F.col("seq")),
@@ -171,12 +171,12 @@ def resolve_persons(
         )
         .filter("_open")
     )
-    changes = components.join(groups, [*keys, "component"]).select(
+    changes = components.join(shuffled(groups), [*keys, "component"]).select(
         *keys, F.col("node").alias("seq"), "_anchor"
     )
     person_tag = (F.col("type") == "PERSON") & F.col("_anchor").isNotNull()
     resolved = (
-        mapping.join(changes, [*keys, "seq"], "left")
+        mapping.join(shuffled(changes), [*keys, "seq"], "left")
         .withColumn(
             "replacement", F.when(person_tag, F.col("_anchor")).otherwise(F.col("replacement"))
         )

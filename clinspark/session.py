@@ -76,3 +76,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     written = df.withColumns(void) if void else df
     written.write.parquet(path)
     return spark.read.schema(written.schema).parquet(path)
+
+
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is never sent through the driver.
+
+    The optimizer takes the bytes of a stored table's files for its size. Numbers that follow each other
+    take so few that a table of a million rows passes for one small enough to be broadcast.
+    """
+    return df.hint("merge")

@@ -228,3 +228,20 @@ def test_dutch_intake_with_the_rule_detector(spark):
     assert "Boer" not in result.texts.first()["anonymized_text"]
     words = result.mapping.select(F.max(F.size(split_words("entity")))).first()[0]
     assert words <= 5
+
+
+def test_name_joins_broadcast_no_stored_table(spark, monkeypatch):
+    """Files of consecutive numbers are small, however many rows they hold: sizes do not bound a broadcast."""
+    plans, real = [], persons.cut_lineage
+
+    def planned(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    monkeypatch.setattr(persons, "cut_lineage", lambda df: plans.append(planned(df)) or real(df))
+    rows = [("s", f"{given} Smit-{n // 3}", "PERSON", f"[PERSON_{n}]", n) for n, given in enumerate(["Jan", "J.", ""] * 20)]
+    mapping = spark.createDataFrame(rows, "scope string, entity string, type string, replacement string, seq long")
+    resolved, merged = persons.resolve_persons(mapping, ["scope"])
+    plans += [planned(resolved), planned(merged)]
+    assert len(plans) > 4 and not [plan for plan in plans if "Broadcast" in plan]
+    assert merged.first()["merged"] == 40
+    assert {row["replacement"] for row in resolved.collect()} == {f"[PERSON_{n}]" for n in range(0, 60, 3)}
