@@ -20,9 +20,9 @@ MODALITIES = ("CT", "MR", "PT", "RTSTRUCT", "RTPLAN", "RTDOSE")
 def _lines(spark, folder):
     lines, orders, customers = (table(spark, folder, name) for name in ("lineitem", "orders", "customer"))
     lines = spread(lines)
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
-        customers, F.col("o_custkey") == F.col("c_custkey")
-    )
+    # Orders meet customers first, so that line items are dealt once.
+    placed = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    return lines.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def headers(spark, folder):

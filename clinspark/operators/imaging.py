@@ -189,12 +189,14 @@ def build_index(headers: DataFrame) -> dict[str, DataFrame]:
         F.coalesce("inferred", F.lit(False)).alias("inferred"),
         "tags",
     )
-    place = F.struct("inferred", "path")
     modality = value("Modality", fixed.UNKNOWN_MODALITY)
-    series_level = files.groupBy("patient_id", "study_uid", "series_uid").agg(
-        F.min(place).alias("first_place"),
-        F.min_by(
+    # Rows are ordered by their place, which leads the struct: the place travels once, and of the tags only
+    # those that the series keeps.
+    first_of_series = files.groupBy("patient_id", "study_uid", "series_uid").agg(
+        F.min(
             F.struct(
+                "inferred",
+                "path",
                 modality.alias("modality"),
                 value("SeriesNumber").alias("series_number"),
                 value("SeriesDescription").alias("series_description"),
@@ -207,35 +209,29 @@ def build_index(headers: DataFrame) -> dict[str, DataFrame]:
                 value("PatientName").alias("patient_name"),
                 value("PatientBirthDate").alias("birth_date"),
                 value("PatientSex").alias("sex"),
-                F.col("tags"),
-            ),
-            place,
+                F.map_entries(project_tags("tags", modality)).alias("optional_tags"),
+            )
         ).alias("first"),
         F.count("*").cast("bigint").alias("file_count"),
         F.sum("size").cast("bigint").alias("total_size"),
         F.sum(F.col("inferred").cast("bigint")).alias("inferred_count"),
     )
-    series_level = cut_lineage(series_level)
+    series_level = cut_lineage(first_of_series)
+    of_study = ("study_date", "study_description", "accession_number")
+    of_patient = ("patient_name", "birth_date", "sex")
+    lead = [f"first.{name}" for name in ("inferred", "path", *of_study, *of_patient)]
     studies = series_level.groupBy("patient_id", "study_uid").agg(
-        F.min("first_place").alias("first_place"),
-        F.min_by(
-            F.struct("first.study_date", "first.study_description", "first.accession_number"),
-            "first_place",
-        ).alias("study"),
-        F.min_by(
-            F.struct("first.patient_name", "first.birth_date", "first.sex"), "first_place"
-        ).alias("patient"),
-        F.count("*").cast("bigint").alias("series_count"),
+        F.min(F.struct(*lead)).alias("first"), F.count("*").cast("bigint").alias("series_count")
     )
     patients = studies.groupBy("patient_id").agg(
-        F.min_by("patient", "first_place").alias("patient"),
+        F.min(F.struct(*[f"first.{name}" for name in ("inferred", "path", *of_patient)])).alias("first"),
         F.count("*").cast("bigint").alias("study_count"),
     )
     series = series_level.select(
         "patient_id",
         "study_uid",
         "series_uid",
-        "first_place",
+        F.struct("first.inferred", "first.path").alias("first_place"),
         "first.modality",
         "first.series_number",
         "first.series_description",
@@ -245,23 +241,21 @@ def build_index(headers: DataFrame) -> dict[str, DataFrame]:
         "file_count",
         "total_size",
         "inferred_count",
-        project_tags("first.tags", "first.modality").alias("optional_tags"),
+        F.map_from_entries("first.optional_tags").alias("optional_tags"),
     )
     return {
         "files": files.drop("tags"),
         "series": series,
-        "studies": studies.select("patient_id", "study_uid", "study.*", "series_count"),
-        "patients": patients.select("patient_id", "patient.*", "study_count"),
+        "studies": studies.select("patient_id", "study_uid", *[f"first.{name}" for name in of_study], "series_count"),
+        "patients": patients.select("patient_id", *[f"first.{name}" for name in of_patient], "study_count"),
     }
 
 
 def series_with_context(index: dict[str, DataFrame]) -> DataFrame:
-    """The flat series list: every series with its study's and patient's attributes."""
-    return (
-        index["series"]
-        .join(index["studies"].drop("series_count"), ["patient_id", "study_uid"])
-        .join(index["patients"].drop("study_count"), "patient_id")
-    )
+    """The flat series list: every series with its study's and patient's attributes. Studies meet
+    patients first, so that series are dealt once."""
+    studies = index["studies"].drop("series_count").join(index["patients"].drop("study_count"), "patient_id")
+    return index["series"].join(studies, ["patient_id", "study_uid"])
 
 
 def filter_modality(series: DataFrame, modality: str) -> DataFrame:

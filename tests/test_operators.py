@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from clinspark.functions.text import split_words
 from clinspark.operators import mapping as mappings
-from clinspark.operators import ordering, persons
+from clinspark.operators import imaging, ordering, persons
 from clinspark.operators.rewriting import apply_global_mapping
 from clinspark.plans.anonymize import anonymize, extend_mapping
 from clinspark.sinks.mapping_files import mapping_documents, write_mapping
@@ -245,3 +245,18 @@ def test_name_joins_broadcast_no_stored_table(spark, monkeypatch):
     assert len(plans) > 4 and not [plan for plan in plans if "Broadcast" in plan]
     assert merged.first()["merged"] == 40
     assert {row["replacement"] for row in resolved.collect()} == {f"[PERSON_{n}]" for n in range(0, 60, 3)}
+
+
+def test_index_stores_one_place_and_only_optional_tags_per_series(spark, monkeypatch):
+    """Tags that no level keeps are not shuffled or stored; the first place decides, read headers before inferred ones."""
+    stored, real = [], imaging.cut_lineage
+    monkeypatch.setattr(imaging, "cut_lineage", lambda df: stored.append(df.schema) or real(df))
+    tags = {"PatientID": "P", "StudyInstanceUID": "1", "SeriesInstanceUID": "2", "Modality": "CT", "StationName": "X"}
+    rows = [("b", 1, tags | {"KVP": "7", "PatientName": "B"}, False), ("a", 2, tags | {"KVP": "8", "PatientName": "A"}, True), ("c", 3, tags, False)]
+    index = imaging.build_index(spark.createDataFrame(rows, "path string, size long, tags map<string,string>, inferred boolean"))
+    series = index["series"].first()
+    assert series["optional_tags"] == {"KVP": "7"} and series["first_place"] == (False, "b")
+    assert (series["file_count"], series["total_size"], series["inferred_count"]) == (3, 6, 1)
+    assert index["patients"].first()["patient_name"] == "B"
+    assert "first_place" not in stored[0].fieldNames()
+    assert "tags" not in stored[0]["first"].dataType.fieldNames()
