@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinspark.functions.text import as_column, let, quoted
-from clinspark.session import cut_lineage
+from clinspark.session import cut_lineage, shuffled
 
 _LETTER_OR_DIGIT = r"[\p{L}\p{N}]"
 # Private-use characters that stand for a tag while a single-pass rewrite is under way. None of them
@@ -182,12 +182,12 @@ def _set_matches(text_runs: DataFrame, mapping: DataFrame, keys: list[str]) -> D
     ``run``): they meet on the run that the fewest entities contain, then all are counted."""
     runs = mapping.select("entity", "replacement", "seq", F.explode(F.array_distinct(letter_runs("entity"))).alias("run"))
     frequency = runs.groupBy("run").agg(F.count("*").alias("_n"))
-    rarest = runs.join(frequency, "run").groupBy("entity", "replacement", "seq").agg(
+    rarest = runs.join(shuffled(frequency), "run").groupBy("entity", "replacement", "seq").agg(
         F.min_by("run", F.struct("_n", "run")).alias("run"), F.collect_set("run").alias("_all")
     )
-    met = text_runs.join(rarest, "run").select(*keys, "entity", "replacement", "seq", F.explode("_all").alias("run"), F.size("_all").alias("_of"))
+    met = text_runs.join(shuffled(rarest), "run").select(*keys, "entity", "replacement", "seq", F.explode("_all").alias("run"), F.size("_all").alias("_of"))
     return (
-        met.join(text_runs, [*keys, "run"])
+        met.join(shuffled(text_runs), [*keys, "run"])
         .groupBy(*keys, "entity", "replacement", "seq", "_of")
         .agg(F.count("*").alias("_n"))
         .filter("_n = _of")
@@ -219,7 +219,7 @@ def shortlist(
     while True:
         put_in = found.select(*keys, F.explode(letter_runs("replacement")).alias("run")).distinct()
         touched = mapping.select("entity", "replacement", "seq", F.explode(F.array_distinct(letter_runs("entity"))).alias("run"))
-        able = put_in.join(touched, "run").select("entity", "replacement", "seq").distinct()
+        able = put_in.join(shuffled(touched), "run").select("entity", "replacement", "seq").distinct()
         reached = _set_matches(own.unionByName(put_in).distinct(), able, keys)
         found = cut_lineage(found.unionByName(reached).distinct())
         before, size = size, found.count()
@@ -227,6 +227,39 @@ def shortlist(
             return found
 
 
+def effective_entries(mapping: DataFrame, mode: str = "single_pass") -> DataFrame:
+    """(entity, replacement, seq) without entries to which an equal one before them leaves nothing.
+
+    Of equal entities the first by ``seq`` replaces every match. In a single pass tags are protected, and no
+    match can begin only where another has gone, so the later ones have no effect. One after the other, they
+    have one only if replacements bring the entity back: what is put in overlaps it, so that it has the first or
+    last character of a replacement or lies within one, or an empty replacement joins what was apart. Later ones
+    stay where that is possible, and wherever characters beyond ASCII leave case open.
+    """
+    entries = mapping.select("entity", "replacement", "seq")
+
+    def firsts(some: DataFrame) -> DataFrame:
+        first = some.groupBy("entity").agg(F.min(F.struct("seq", "replacement")).alias("_first"))
+        return first.select("entity", "_first.replacement", "_first.seq")
+
+    if mode == "single_pass":
+        return firsts(entries)
+    ascii_only = r"^[\x00-\x7F]*\z"
+    replacement = F.coalesce("replacement", F.lit(""))
+    ends = F.array(F.lower(F.substring(replacement, 1, 1)), F.lower(F.substring(replacement, -1, 1)))
+    plain = (replacement != "") & replacement.rlike(ascii_only)
+    # One row: at most the signs of ASCII, and an empty one for any other replacement.
+    edge = F.explode(F.when(plain, ends).otherwise(F.array(F.lit("")))).alias("_edge")
+    edges = entries.select(edge).agg(F.collect_set("_edge").alias("_edges"), F.lit(1).alias("_one"))
+    repeated = entries.groupBy("entity").agg(F.count("*").alias("_n")).filter("_n > 1")
+    runs = repeated.select("entity", F.explode(F.array_distinct(letter_runs("entity"))).alias("run"))
+    put_in = entries.select(F.explode(letter_runs("replacement")).alias("run")).distinct()
+    absent = runs.join(shuffled(put_in), "run", "left_anti").select("entity", F.lit(1).alias("_one")).distinct()
+    apart = ~F.arrays_overlap(F.split(F.lower("entity"), ""), "_edges") & ~F.array_contains("_edges", "")
+    inert = absent.join(F.broadcast(edges), "_one").filter(apart & F.col("entity").rlike(ascii_only)).select("entity")
+    return firsts(entries.join(shuffled(inert), "entity", "left_semi")).unionByName(entries.join(shuffled(inert), "entity", "left_anti"))
+
+
 def apply_global_mapping(
     texts: DataFrame,
     mapping: DataFrame,
@@ -237,12 +270,13 @@ def apply_global_mapping(
 ) -> DataFrame:
     """Rewrite every text with one mapping shared by all of them.
 
-    Each text is first paired with only those entries that can match in it, so the array beside a text is
+    Entries that only repeat an entity without effect go first, however many there are; each text is then paired with only those entries that can match in it, so the array beside a text is
     as small as the text, however large the mapping is; of those, entries that are no substring of the
     text never become a pattern. ``single_pass`` protects tags: with a large shared mapping almost any
     number is also somebody's tag number. ``sequential`` is the contract of a document's own mapping:
     longest entity first, each over what the ones before it left.
     """
+    mapping = cut_lineage(effective_entries(mapping, mode))
     entries = entries_by_key(shortlist(texts, mapping, keys, text, mode), keys)
     joined = texts.join(entries, keys, "left")
     held = F.col("entries") if mode == "sequential" else present_entries(F.col(text), F.col("entries"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from clinspark.functions.text import split_words
 from clinspark.operators import mapping as mappings
 from clinspark.operators import imaging, ordering, persons
-from clinspark.operators.rewriting import apply_global_mapping
+from clinspark.operators.rewriting import anonymize_text, apply_global_mapping, effective_entries
 from clinspark.plans.anonymize import anonymize, extend_mapping
 from clinspark.sinks.mapping_files import mapping_documents, write_mapping
 from clinspark.sources.mapping_files import read_mapping_json
@@ -260,3 +260,21 @@ def test_index_stores_one_place_and_only_optional_tags_per_series(spark, monkeyp
     assert index["patients"].first()["patient_name"] == "B"
     assert "first_place" not in stored[0].fieldNames()
     assert "tags" not in stored[0]["first"].dataType.fieldNames()
+
+
+@pytest.mark.parametrize("mode", ["single_pass", "sequential"])
+def test_repeated_entities_are_tried_once_unless_they_can_come_back(spark, mode):
+    """Equal entities behind the first change nothing; those that a replacement brings back stay."""
+    schema = "entity string, replacement string, seq long"
+    names = [("Customer#1", f"[PERSON_{n}]", n) for n in range(40)] + [("customer#1", "[LOW]", 50)]
+    back = [("Ann", "[Bob]", 1), ("Ann", "[Cy]", 3), ("Bob", "[Ann]", 2), ("Bob", "[Ann]", 4), ("-", "_", 5), ("-", "x", 6)]
+    joining = [("a", "", 1), ("#", "b", 1), ("bc", "[1]", 2), ("bc", "[2]", 3)]
+    texts = spark.createDataFrame([(1, "Customer#1 or customer#1: Ann-Bob, Ann; bacbc bc#c b#c")], "id long, text string")
+    for rows in (names, back, joining, names + back):
+        mapping = spark.createDataFrame(rows, schema)
+        entries = mapping.agg(F.collect_list(F.struct("entity", "replacement", "seq")).alias("e"))
+        whole = texts.join(entries).select(anonymize_text("text", "e", mode)).first()[0]
+        assert apply_global_mapping(texts, mapping, ["id"], mode=mode).first()["anonymized_text"] == whole
+    kept = effective_entries(spark.createDataFrame(names, schema), mode)
+    assert sorted(map(tuple, kept.collect())) == [("Customer#1", "[PERSON_0]", 0), ("customer#1", "[LOW]", 50)]
+    assert effective_entries(spark.createDataFrame(back, schema), mode).count() == (3 if mode == "single_pass" else 6)
