@@ -58,8 +58,8 @@ def headers(spark, folder):
     )
 
 
-def index(spark, folder):
-    return imaging.build_index(headers(spark, folder))
+def index(spark, folder, keep=None):
+    return imaging.build_index(headers(spark, folder), keep)
 
 
 FILES_CTE = """img AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN 'UNKNOWN' ELSE 'P/' || c_custkey END AS patient_id, c_name AS patient_name,
@@ -113,7 +113,7 @@ def index_patients(spark, folder):
 
 
 def scan_info(spark, folder):
-    return imaging.scan_info(index(spark, folder))
+    return imaging.scan_info(index(spark, folder, imaging.KEPT_BY_TOTALS))
 
 
 SCAN_SQL = f"""
@@ -125,7 +125,7 @@ WITH {FILES_CTE} SELECT (SELECT count(*) FROM series) AS series, (SELECT count(*
 
 def scan_summary(spark, folder):
     classed = imaging.classify_files(inventory(spark, folder), smart=True)
-    info = imaging.scan_info(index(spark, folder), classed)
+    info = imaging.scan_info(index(spark, folder, imaging.KEPT_BY_TOTALS), classed)
     return imaging.scan_summary(info, "archive", "2024-01-01T00:00:00.000Z", 1.25)
 
 
@@ -148,7 +148,7 @@ def _summary_sql() -> str:
 
 
 def series_rollup(spark, folder):
-    return imaging.series_rollup(index(spark, folder)["series"])
+    return imaging.series_rollup(index(spark, folder, imaging.KEPT_BY_TOTALS)["series"])
 
 
 ROLLUP_SQL = f"""
@@ -157,11 +157,11 @@ WITH {FILES_CTE} SELECT patient_id, study_uid, modality, CAST(grouping_id(patien
 
 
 def modality_counts(spark, folder):
-    return imaging.modality_counts(index(spark, folder)["series"])
+    return imaging.modality_counts(index(spark, folder, imaging.KEPT_BY_TOTALS)["series"])
 
 
 def modality_filters(spark, folder):
-    series = index(spark, folder)["series"].select("series_uid", "modality")
+    series = index(spark, folder, imaging.KEPT_BY_TOTALS)["series"].select("series_uid", "modality")
     only = imaging.filter_modality(series, "CT").withColumn("view", F.lit("only CT"))
     rest = imaging.exclude_modalities(series, ["CT", "RTDOSE"]).withColumn("view", F.lit("without CT, RTDOSE"))
     return only.unionByName(rest)
@@ -173,7 +173,7 @@ UNION ALL SELECT series_uid, modality, 'without CT, RTDOSE' FROM series WHERE mo
 
 
 def series_sheet(spark, folder):
-    sheet = imaging.series_sheet(imaging.series_with_context(index(spark, folder)))
+    sheet = imaging.series_sheet(imaging.series_with_context(index(spark, folder, imaging.KEPT_BY_SHEET)))
     return sheet.select(
         "Patient ID", "Patient Name", "Study Date", "Study Description", "Modality", "Series #",
         "Series Description", "Files", "Size", "Frame of Ref UID", "Manufacturer", "Institution", "KVP", "RTPlanLabel",
@@ -191,7 +191,7 @@ FROM series JOIN studies USING (patient_id, study_uid) JOIN patients USING (pati
 
 
 def files_detail(spark, folder):
-    return imaging.files_detail(index(spark, folder))
+    return imaging.files_detail(index(spark, folder, imaging.KEPT_BY_DETAIL))
 
 
 DETAIL_SQL = f"""
@@ -203,7 +203,7 @@ FROM img i JOIN series s USING (patient_id, study_uid, series_uid) JOIN studies
 
 def index_documents(spark, folder):
     """The nested documents, flattened again: every file once, with its series."""
-    documents = imaging.index_documents(index(spark, folder), files_per_document=2)
+    documents = imaging.index_documents(index(spark, folder, imaging.KEPT_BY_DOCUMENTS), files_per_document=2)
     schema = (
         "patient struct<patientID:string,patientName:string>, study struct<studyInstanceUID:string>, "
         "series struct<seriesInstanceUID:string,fileCount:long>, part int, files array<struct<path:string,size:long,instanceNumber:string,inferred:boolean>>"
@@ -373,20 +373,20 @@ SELECT_PLAN = "SELECT patient_id, study_uid, series_uid, src, dst FROM plan"
 
 
 def plan_nested(spark, folder):
-    return filing.sort_plan(index(spark, folder), "nested")
+    return filing.sort_plan(index(spark, folder, imaging.KEPT_BY_PLANS), "nested")
 
 
 def plan_flat(spark, folder):
-    return filing.sort_plan(index(spark, folder), "flat", excluded=["PT"])
+    return filing.sort_plan(index(spark, folder, imaging.KEPT_BY_PLANS), "flat", excluded=["PT"])
 
 
 def plan_modality(spark, folder):
-    return filing.sort_plan(index(spark, folder), "modality")
+    return filing.sort_plan(index(spark, folder, imaging.KEPT_BY_PLANS), "modality")
 
 
 def plan_required(spark, folder):
     """Only patients with a CT and a plan; doses are left out after that test."""
-    return filing.sort_plan(index(spark, folder), "nested", ["RTDOSE", "MR"], ["CT", "RTPLAN", "RTDOSE"])
+    return filing.sort_plan(index(spark, folder, imaging.KEPT_BY_PLANS), "nested", ["RTDOSE", "MR"], ["CT", "RTPLAN", "RTDOSE"])
 
 
 def _simple_plan_sql(folder: str, keep: str) -> str:
@@ -399,11 +399,11 @@ _COMPLETE = "SELECT patient_id FROM series WHERE modality IN ('CT', 'RTPLAN', 'R
 
 
 def complete_patients(spark, folder):
-    return filing.complete_patients(index(spark, folder)["series"], ["CT", "RTPLAN", "RTDOSE"])
+    return filing.complete_patients(index(spark, folder, imaging.KEPT_BY_TOTALS)["series"], ["CT", "RTPLAN", "RTDOSE"])
 
 
 def primary_series(spark, folder):
-    series = index(spark, folder)["series"].withColumn("label", F.col("series_description"))
+    series = index(spark, folder, imaging.KEPT_BY_PLANS)["series"].withColumn("label", F.col("series_description"))
     return filing.primary_series(series).select("patient_id", "study_uid", F.col("primary.series_uid").alias("primary_uid"))
 
 
@@ -422,7 +422,7 @@ WITH {NESTED_CTE} SELECT regexp_replace(dst, '_[0-9]+_[0-9]+\\.dcm$', '') AS dst
 
 
 def plan_tree(spark, folder):
-    return filing.plan_tree(plan_nested(spark, folder))
+    return filing.folder_tree(filing.series_folders(index(spark, folder, imaging.KEPT_BY_PLANS), "nested"))
 
 
 TREE_SQL = f"""

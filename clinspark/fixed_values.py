@@ -228,6 +228,8 @@ OPTIONAL_TAGS = {
     "RTPLAN": ("RTPlanLabel", "RTPlanName", "PlanIntent"),
     "RTDOSE": ("DoseUnits", "DoseType", "DoseSummationType"),
 }
+# Those that label the folder of a therapy series.
+LABEL_TAGS = ("StructureSetLabel", "RTPlanLabel", "DoseType")
 OPTIONAL_TAG_NUMBERS = {
     "SliceThickness": 0x00180050,
     "KVP": 0x00180060,

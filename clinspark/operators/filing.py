@@ -72,7 +72,7 @@ def series_folders(
     excluded: list[str] | None = None,
     required: list[str] | None = None,
 ) -> DataFrame:
-    """(patient, study, series, folder): the destination folders of every series."""
+    """(patient, study, series, file_count, folder): the destination folders of every series."""
     series = index["series"].join(index["studies"].drop("series_count"), STUDY)
     if required:
         series = series.join(complete_patients(index["series"], required), "patient_id", "left_semi")
@@ -96,27 +96,27 @@ def series_folders(
     )
     sibling = F.concat(F.col("base"), F.lit("/"), F.col("modality"), F.lit("_"), F.col("label"))
     if mode == "modality":
-        return labelled.select(*SERIES, F.concat_ws("/", "base", "modality", "label").alias("folder"))
+        return labelled.select(*SERIES, "file_count", F.concat_ws("/", "base", "modality", "label").alias("folder"))
     if mode == "flat":
-        return labelled.select(*SERIES, sibling.alias("folder"))
+        return labelled.select(*SERIES, "file_count", sibling.alias("folder"))
     if mode != "nested":
         raise ValueError(f"unknown mode {mode!r}")
     primary_folder = F.concat(
         F.col("base"), F.lit("/"), F.col("primary.modality"), F.lit("_"), F.col("primary.label")
     )
-    placed = labelled.join(primary_series(labelled), STUDY, "left").withColumn(
-        "primary_folder", primary_folder
+    placed = labelled.join(primary_series(labelled), STUDY, "left").select(
+        *SERIES, "modality", "file_count", "label", "base", primary_folder.alias("primary_folder")
     )
     # Read three times below; one row per series, so writing it is cheaper than joining it again.
     placed = cut_lineage(placed)
-    nested = F.col("primary").isNotNull() & F.col("modality").isin(*fixed.THERAPY_MODALITIES)
+    nested = F.col("primary_folder").isNotNull() & F.col("modality").isin(*fixed.THERAPY_MODALITIES)
     below = F.concat(
         F.col("primary_folder"), F.lit("/"), F.col("modality"), F.lit("_"), F.col("label")
     )
     is_plan = nested & (F.col("modality") == "RTPLAN")
     others = placed.filter(~is_plan).withColumn("folder", F.when(nested, below).otherwise(sibling))
     structs = others.filter(nested & (F.col("modality") == "RTSTRUCT"))
-    columns = [*SERIES, "folder"]
+    columns = [*SERIES, "file_count", "folder"]
     plans = nest_plans(placed.filter(is_plan), structs)
     return others.select(*columns).unionByName(plans.select(*columns))
 
@@ -148,21 +148,36 @@ def plan_collisions(plan: DataFrame) -> DataFrame:
     )
 
 
+def _ancestors(folder: Column) -> Column:
+    """``folder`` and all folders above it."""
+    parts = F.split(folder, "/")
+    return F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda depth: F.array_join(F.slice(parts, 1, depth), "/")
+    )
+
+
 def plan_tree(plan: DataFrame) -> DataFrame:
     """Files per destination folder and per ancestor folder."""
-    parts = F.split("dst", "/")
-    folders = F.transform(
-        F.sequence(F.lit(1), F.size(parts) - 1),
-        lambda depth: F.array_join(F.slice(parts, 1, depth), "/"),
-    )
+    name = F.substring_index("dst", "/", -1)
+    folder = F.substring(F.col("dst"), F.lit(1), F.length("dst") - F.length(name) - 1)
     return (
-        plan.filter(F.size(parts) > 1)
-        .select(F.explode(folders).alias("folder"))
+        plan.filter(F.contains("dst", F.lit("/")))
+        .select(F.explode(_ancestors(folder)).alias("folder"))
         .groupBy("folder")
         .agg(F.count("*").cast("bigint").alias("files"))
     )
 
 
+def folder_tree(folders: DataFrame) -> DataFrame:
+    """``plan_tree`` of the plan for ``folders`` (of ``series_folders``): all files of a series go to each
+    of its folders, so their number is known and no file is looked at."""
+    return (
+        folders.select(F.explode(_ancestors(F.col("folder"))).alias("folder"), "file_count")
+        .groupBy("folder")
+        .agg(F.sum("file_count").cast("bigint").alias("files"))
+    )
+
+
 def copy_batches(plan: DataFrame, batch: int = fixed.COPY_BATCH) -> DataFrame:
     """File names per (source folder, destination folder), ``batch`` at a time."""
 

@@ -164,14 +164,31 @@ def project_tags(tags: Column | str, modality: Column | str) -> Column:
     return kept.otherwise(F.create_map().cast("map<string,string>"))
 
 
-def build_index(headers: DataFrame) -> dict[str, DataFrame]:
+OF_SERIES = (
+    "modality", "series_number", "series_description", "frame_of_reference_uid", "manufacturer", "institution",
+    "optional_tags",
+)
+OF_STUDY = ("study_date", "study_description", "accession_number")
+OF_PATIENT = ("patient_name", "birth_date", "sex")
+# A series of at most so many files is gathered in one row.
+GATHERED_FILES = 20_000
+# What the plans, the totals and the sheets read of an index, for ``keep``.
+KEPT_BY_PLANS = ("modality", "series_number", "series_description", "label_tags", "study_date", "study_description")
+KEPT_BY_TOTALS = ("modality", "total_size", "inferred_count")
+KEPT_BY_SHEET = (*OF_SERIES, "study_date", "study_description", "patient_name", "total_size")
+KEPT_BY_DOCUMENTS = (*OF_SERIES, *OF_STUDY, *OF_PATIENT, "total_size")
+KEPT_BY_DETAIL = ("modality", "series_description", "study_date")
+
+
+def build_index(headers: DataFrame, keep: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
     """The ``files``, ``series``, ``studies`` and ``patients`` tables of headers with ``path``,
     ``size``, ``tags``, ``inferred``.
 
     The first file of a level gives its attributes: read headers before inferred ones, then by path.
     Files are aggregated once, by series, with map-side combining, and that roll-up is checkpointed:
     studies, patients, totals and plans all come from it and would otherwise each go through every
-    file again.
+    file again. ``keep`` names the attributes and sums (``total_size``, ``inferred_count``) that the caller
+    reads; the others are not carried (``label_tags`` are those optional tags that label folders).
     """
 
     def value(key: str, missing: str = "") -> Column:
@@ -190,35 +207,42 @@ def build_index(headers: DataFrame) -> dict[str, DataFrame]:
         "tags",
     )
     modality = value("Modality", fixed.UNKNOWN_MODALITY)
+    chosen = project_tags("tags", modality)
+    labels = F.map_filter(chosen, lambda key, _: key.isin(*fixed.LABEL_TAGS))
+    attributes = {
+        "modality": modality,
+        "series_number": value("SeriesNumber"),
+        "series_description": value("SeriesDescription"),
+        "frame_of_reference_uid": value("FrameOfReferenceUID"),
+        "manufacturer": value("Manufacturer"),
+        "institution": value("InstitutionName"),
+        "optional_tags": F.map_entries(chosen),
+        "study_date": value("StudyDate"),
+        "study_description": value("StudyDescription"),
+        "accession_number": value("AccessionNumber"),
+        "patient_name": value("PatientName"),
+        "birth_date": value("PatientBirthDate"),
+        "sex": value("PatientSex"),
+    }
+    if keep is not None:
+        wanted = {*keep, *(["optional_tags"] if "label_tags" in keep else [])}
+        if "optional_tags" not in keep:
+            attributes["optional_tags"] = F.map_entries(labels)
+        attributes = {name: column for name, column in attributes.items() if name in wanted}
     # Rows are ordered by their place, which leads the struct: the place travels once, and of the tags only
     # those that the series keeps.
+    sums = {"total_size": F.sum("size"), "inferred_count": F.sum(F.col("inferred").cast("bigint"))}
+    if keep is not None:
+        sums = {name: column for name, column in sums.items() if name in keep}
     first_of_series = files.groupBy("patient_id", "study_uid", "series_uid").agg(
-        F.min(
-            F.struct(
-                "inferred",
-                "path",
-                modality.alias("modality"),
-                value("SeriesNumber").alias("series_number"),
-                value("SeriesDescription").alias("series_description"),
-                value("FrameOfReferenceUID").alias("frame_of_reference_uid"),
-                value("Manufacturer").alias("manufacturer"),
-                value("InstitutionName").alias("institution"),
-                value("StudyDate").alias("study_date"),
-                value("StudyDescription").alias("study_description"),
-                value("AccessionNumber").alias("accession_number"),
-                value("PatientName").alias("patient_name"),
-                value("PatientBirthDate").alias("birth_date"),
-                value("PatientSex").alias("sex"),
-                F.map_entries(project_tags("tags", modality)).alias("optional_tags"),
-            )
-        ).alias("first"),
+        F.min(F.struct("inferred", "path", *[column.alias(name) for name, column in attributes.items()])).alias("first"),
         F.count("*").cast("bigint").alias("file_count"),
-        F.sum("size").cast("bigint").alias("total_size"),
-        F.sum(F.col("inferred").cast("bigint")).alias("inferred_count"),
+        *[column.cast("bigint").alias(name) for name, column in sums.items()],
     )
     series_level = cut_lineage(first_of_series)
-    of_study = ("study_date", "study_description", "accession_number")
-    of_patient = ("patient_name", "birth_date", "sex")
+    of_series, of_study, of_patient = (
+        [name for name in names if name in attributes] for names in (OF_SERIES, OF_STUDY, OF_PATIENT)
+    )
     lead = [f"first.{name}" for name in ("inferred", "path", *of_study, *of_patient)]
     studies = series_level.groupBy("patient_id", "study_uid").agg(
         F.min(F.struct(*lead)).alias("first"), F.count("*").cast("bigint").alias("series_count")
@@ -232,16 +256,10 @@ def build_index(headers: DataFrame) -> dict[str, DataFrame]:
         "study_uid",
         "series_uid",
         F.struct("first.inferred", "first.path").alias("first_place"),
-        "first.modality",
-        "first.series_number",
-        "first.series_description",
-        "first.frame_of_reference_uid",
-        "first.manufacturer",
-        "first.institution",
+        *[f"first.{name}" for name in of_series if name != "optional_tags"],
         "file_count",
-        "total_size",
-        "inferred_count",
-        F.map_from_entries("first.optional_tags").alias("optional_tags"),
+        *sums,
+        *[F.map_from_entries(f"first.{name}").alias(name) for name in of_series if name == "optional_tags"],
     )
     return {
         "files": files.drop("tags"),
@@ -251,6 +269,11 @@ def build_index(headers: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def series_with_study(index: dict[str, DataFrame]) -> DataFrame:
+    """Every series with its study's attributes."""
+    return index["series"].join(index["studies"].drop("series_count"), ["patient_id", "study_uid"])
+
+
 def series_with_context(index: dict[str, DataFrame]) -> DataFrame:
     """The flat series list: every series with its study's and patient's attributes. Studies meet
     patients first, so that series are dealt once."""
@@ -358,7 +381,7 @@ def files_detail(
 ) -> DataFrame:
     """One row per file for a sheet. The sheet format holds 100 000 rows; a table has no such limit,
     so there is no cap unless one is asked for."""
-    context = series_with_context(index).select(
+    context = series_with_study(index).select(
         "patient_id", "study_uid", "series_uid", "study_date", "modality", "series_description"
     )
     rows = (
@@ -378,6 +401,32 @@ def files_detail(
     return rows if cap is None else rows.orderBy("Patient ID", "File Path").limit(cap)
 
 
+def file_parts(index: dict[str, DataFrame], files_per_document: int) -> DataFrame:
+    """(patient, study, series, part, files): the files of every series by path, so many to a part.
+
+    A series of at most ``GATHERED_FILES`` files is gathered and cut inside its row, which deals its files
+    once. Files of larger ones, if there are any, are numbered without gathering them.
+    """
+    keys = ["patient_id", "study_uid", "series_uid"]
+    file = F.struct("path", "size", F.col("instance_number").alias("instanceNumber"), "inferred")
+    files = index["files"].select(*keys, file.alias("file"))
+    large = index["series"].filter(F.col("file_count") > GATHERED_FILES).select(*keys)
+    some_large = not large.isEmpty()
+    small = files.join(large, keys, "left_anti") if some_large else files
+    whole = small.groupBy(*keys).agg(F.sort_array(F.collect_list("file")).alias("_all"))
+    starts = F.sequence(F.lit(1), F.size("_all"), F.lit(files_per_document))
+    cut = F.transform(starts, lambda start: F.slice("_all", start, F.lit(files_per_document)))
+    parts = whole.select(*keys, F.posexplode(cut).alias("part", "files"))
+    if not some_large:
+        return parts
+    rest = files.join(large, keys, "left_semi").select(*keys, "file", F.col("file.path").alias("_path"))
+    numbered = ordinal_within(rest, keys, ["_path"]).withColumn(
+        "part", F.floor((F.col("ordinal") - 1) / files_per_document).cast("int")
+    )
+    gathered = numbered.groupBy(*keys, "part").agg(F.sort_array(F.collect_list("file")).alias("files"))
+    return parts.unionByName(gathered)
+
+
 def index_documents(index: dict[str, DataFrame], files_per_document: int = 5000) -> DataFrame:
     """Nested JSON of the index: one document per series and part of at most ``files_per_document``
     files, carrying its patient and study.
@@ -386,16 +435,7 @@ def index_documents(index: dict[str, DataFrame], files_per_document: int = 5000)
     in one task. Parts are numbered; all files of all parts together are all files.
     """
     keys = ["patient_id", "study_uid", "series_uid"]
-    numbered = ordinal_within(index["files"], keys, ["path"]).withColumn(
-        "part", F.floor((F.col("ordinal") - 1) / files_per_document).cast("int")
-    )
-    parts = numbered.groupBy(*keys, "part").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct("path", "size", F.col("instance_number").alias("instanceNumber"), "inferred")
-            )
-        ).alias("files")
-    )
+    parts = file_parts(index, files_per_document)
     document = F.struct(
         F.struct(
             F.col("patient_id").alias("patientID"),

@@ -74,7 +74,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     void = {name: F.col(f"`{name}`").cast("string") for name, kind in df.dtypes if kind == "void"}
     written = df.withColumns(void) if void else df
-    written.write.parquet(path)
+    written.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(written.schema).parquet(path)
 
 
