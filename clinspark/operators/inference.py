@@ -12,18 +12,19 @@ from pyspark.sql import types as T
 from clinspark.operators.detection import map_types
 from clinspark.operators.guarding import Batches, ModelFn, guarded
 
+ROWS_AT_ONCE = 500
+
 
 def infer(
-    requests: DataFrame, model_fn: ModelFn, schema: T.StructType | str, batch_size: int | None = None
+    requests: DataFrame, model_fn: ModelFn, schema: T.StructType | str, batch_size: int = ROWS_AT_ONCE
 ) -> DataFrame:
     """Run ``model_fn`` over the rows of ``requests`` in Arrow batches.
 
     ``model_fn`` is called once per partition with an iterator of frames, so a model is built once
     and kept for all batches. Sampling parameters (temperature, token limit) are request columns.
-    ``batch_size`` regroups rows inside the Python worker.
+    Frames have at most ``batch_size`` rows: an Arrow batch has as many rows as the session allows, and
+    what is asked and answered would be held several times over for all of them.
     """
-    if batch_size is None:
-        return requests.mapInPandas(model_fn, schema)
 
     def regrouped(frames: Batches) -> Batches:
         def slices() -> Batches:
