@@ -18,6 +18,7 @@ from clinspark.llm.common import Hidden, gapless, staged
 SEQUENCE_TOKENS = 4096
 END_ID = 2
 CACHED_WORDS = 250_000  # per generation and worker process
+ROWS_AT_ONCE = 500  # rows whose ids are held at once
 # Characters for which lower-casing and composing a text is the same in Python as in the tokenizer.
 _PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-įı-ſ]*")
 _CONTROLS = re.compile("[\x1c-\x1f]")
@@ -116,7 +117,7 @@ def token_pieces(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(tokenizer_path)
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS_AT_ONCE) for whole in batches for at in range(0, whole.num_rows, ROWS_AT_ONCE)):
             rows, starts, lengths, totals, blobs = [], [], [], [], []
             for row, text in enumerate(batch.column("text")):
                 ids = encode(text.as_py() or "") + end
