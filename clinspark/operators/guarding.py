@@ -116,15 +116,22 @@ def guarded(
     isolated = deadline_s is not None if isolated is None else isolated
 
     def failed(rows: pd.DataFrame, said: str) -> pd.DataFrame:
-        out = rows[place].copy()
-        for name in columns:
-            if name not in place:
-                out[name] = None
-        return out.assign(error=said)
+        empty = {name: None for name in columns if name not in place}
+        return pd.DataFrame({name: rows[name] for name in place} | empty | {"error": said}, index=rows.index)
 
     def complete(frame: pd.DataFrame) -> pd.DataFrame:
         return frame if "error" in frame.columns else frame.assign(error=None)
 
+    def together(answers: list[pd.DataFrame]) -> Batches:
+        """Answers to single rows as few frames: each frame that leaves costs as much as some hundred rows.
+        Only frames of the same columns and types are joined, so that no value changes its type."""
+        alike: dict[tuple, list[pd.DataFrame]] = {}
+        for frame in answers:
+            if len(frame):
+                alike.setdefault((tuple(frame.columns), tuple(frame.dtypes)), []).append(frame)
+        for frames in alike.values():
+            yield complete(frames[0] if len(frames) == 1 else pd.concat(frames))
+
     def single_rows(frame: pd.DataFrame) -> list[pd.DataFrame]:
         return [frame.iloc[at : at + 1] for at in range(len(frame))]
 
@@ -139,17 +146,19 @@ def guarded(
                     again, said = (single_rows(frame), "") if len(frame) > 1 else ([], str(problem))
                 if not again:
                     yield failed(frame, said)
+                answers: list[pd.DataFrame] = []
                 for row in again:
                     try:
-                        yield from map(complete, model.answer(row))
+                        answers.extend(model.answer(row))
                     except _Failed as problem:
-                        yield failed(row, str(problem))
+                        answers.append(failed(row, str(problem)))
+                yield from together(answers)
         finally:
             model.stop()
 
     def in_worker(frames: Batches) -> Batches:
         again: deque[pd.DataFrame] = deque()
-        ready: deque[pd.DataFrame] = deque()  # answers of batches that are done
+        ready: list[pd.DataFrame] = []  # answers of batches that are done
         held: list[pd.DataFrame] = []  # answers of the batch that is being worked on
         current: pd.DataFrame | None = None
 
@@ -168,13 +177,18 @@ def guarded(
                 current = frame
                 yield frame
 
+        def leaving() -> Batches:
+            """What is ready, joined if it answers single rows of a batch that failed."""
+            out, ready[:] = list(ready), []
+            return together(out) if len(out) > 1 else map(complete, out)
+
         ended = False
         while not ended:
             current = None
             answers = model_fn(fed())
             while True:
                 try:
-                    held.append(complete(next(answers)))
+                    held.append(next(answers))
                 except StopIteration:
                     ready.extend(held)
                     held.clear()
@@ -187,11 +201,11 @@ def guarded(
                         ready.append(failed(current, f"{type(problem).__name__}: {problem}"))
                     again.extendleft(reversed(single_rows(current) if len(current) > 1 else []))
                     break
-                while ready:
-                    yield ready.popleft()
                 if ended:
                     break
-            while ready:
-                yield ready.popleft()
+                if not again:
+                    yield from leaving()
+            if ended or not again:
+                yield from leaving()
 
     return in_child if isolated else in_worker

@@ -73,6 +73,24 @@ def test_models_are_built_once_and_after_failures():
         list(guarded(unbuildable, ["n"], ["n", "twice"])(iter(batches)))
 
 
+@pytest.mark.parametrize("deadline", [None, 20])
+def test_single_answers_leave_together(deadline):
+    """Each frame that leaves a worker costs milliseconds: a failed batch gives a few, not one a row."""
+
+    def model(frames):
+        for frame in frames:
+            if (frame["n"] % 5 == 0).any():
+                raise ValueError("five")
+            yield frame.assign(twice=frame["n"] * 2, half=[n / 2 if n % 2 else n // 2 for n in frame["n"]])
+
+    first = 2**60  # would not survive a column of floats
+    batches = [pd.DataFrame({"n": range(at, at + 100)}) for at in (first, first + 100)]
+    frames = list(guarded(model, ["n"], ["n", "twice", "half"], deadline)(iter(batches)))
+    assert len(frames) <= 6 and all(set(frame.columns) == {"n", "twice", "half", "error"} for frame in frames)
+    got = {n: (None if pd.isna(twice) else twice, said) for frame in frames for n, twice, said in zip(frame["n"], frame["twice"], frame["error"])}
+    assert got == {n: (None, "ValueError: five") if n % 5 == 0 else (2 * n, None) for n in range(first, first + 200)}
+
+
 def test_late_reviews_are_failures(spark):
     def model(row):
         if row["n"] == 2:
