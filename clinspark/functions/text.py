@@ -25,6 +25,45 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def in_blocks(values: Column) -> Column:
+    """An array as an array of runs, about as many as each is long."""
+
+    def dealt(array: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(array))).cast("int"))
+        firsts = F.when(F.size(array) > 0, F.sequence(F.lit(1), F.size(array), width))
+        return F.transform(F.coalesce(firsts, F.array().cast("array<int>")), lambda first: F.slice(array, first, width))
+
+    return let(values, dealt)
+
+
+def running_sums(sizes: Column) -> Column:
+    """For every element of an array of whole numbers, the sum of those before it.
+
+    An array grows by being copied, so sums are gathered in runs and the runs then joined.
+    """
+    numbers, runs = F.array().cast("array<int>"), F.array().cast("array<array<int>>")
+
+    def within(start: Column, run: Column) -> Column:
+        return F.aggregate(
+            run,
+            F.struct(start.alias("total"), numbers.alias("sums")),
+            lambda done, size: F.struct(
+                (done["total"] + size).alias("total"), F.concat(done["sums"], F.array(done["total"])).alias("sums")
+            ),
+        )
+
+    joined = F.aggregate(
+        in_blocks(sizes),
+        F.struct(F.lit(0).alias("total"), runs.alias("sums")),
+        lambda done, run: let(
+            within(done["total"], run),
+            lambda one: F.struct(one["total"].alias("total"), F.concat(done["sums"], F.array(one["sums"])).alias("sums")),
+        ),
+        lambda done: F.flatten(done["sums"]),
+    )
+    return joined
+
+
 def quoted(literal: Column) -> Column:
     """A regex that matches ``literal`` as it stands."""
     inner = F.replace(literal, F.lit(r"\E"), F.lit(r"\E\\E\Q"))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinspark.fixed_values import BOX_PADDING
 from clinspark.functions.signals import page_kind
-from clinspark.functions.text import let, quoted, trim_spaces
+from clinspark.functions.text import let, quoted, running_sums, trim_spaces
 from clinspark.operators.ordering import join_ordered
 
 PAGE = ["doc_id", "page"]
@@ -99,53 +104,128 @@ def clean_targets(targets: DataFrame) -> DataFrame:
     )
 
 
-def locate_targets(pages: DataFrame, targets: DataFrame) -> DataFrame:
-    """(doc_id, page, target, start, end) of all case-insensitive, non-overlapping occurrences.
+def targets_by_document(targets: DataFrame) -> DataFrame:
+    """(doc_id, targets): the distinct targets of a document in one array."""
+    return clean_targets(targets).groupBy("doc_id").agg(F.collect_list("target").alias("targets"))
+
+
+def located(text: Column, targets: Column) -> Column:
+    """(target, start, end) of all case-insensitive, non-overlapping occurrences in one page string.
 
-    Unlike the text rewrite there is no word boundary. Pages and targets meet on the document. The
-    text between occurrences comes from one ``split`` on the quoted target, so the start of an
-    occurrence is a running sum of lengths; texts stay in place and only lengths are windowed.
+    Unlike the text rewrite there is no word boundary. The text between occurrences comes from one
+    ``split`` on the quoted target, so an occurrence ends at a running sum of lengths.
     """
-    wanted = clean_targets(targets).groupBy("doc_id").agg(F.collect_list("target").alias("targets"))
-
-    def needle(target: Column) -> Column:
-        return F.lower(trim_spaces(target))
-
-    def occurrences(lowered: Column) -> Column:
-        present = F.filter("targets", lambda target: F.contains(lowered, needle(target)))
-        return F.transform(
-            present,
-            lambda target: F.struct(
-                target.alias("target"),
-                F.length(needle(target)).alias("size"),
-                F.transform(
-                    F.split(lowered, quoted(needle(target)), -1), lambda gap: F.length(gap)
-                ).alias("gaps"),
+
+    def occurrences(lowered: Column, item: Column) -> Column:
+        size = F.length(item["needle"])
+        gaps = F.split(lowered, quoted(item["needle"]), -1)
+        upto = running_sums(F.transform(gaps, lambda gap: F.length(gap) + size))
+        return let(
+            upto,
+            lambda ends: F.transform(
+                F.slice(ends, F.lit(2), F.size(ends)),
+                lambda end: F.struct(item["target"].alias("target"), (end - size).alias("start"), end.alias("end")),
             ),
         )
 
-    found = (
-        pages.join(wanted, "doc_id")
-        .select(*PAGE, F.explode(let(F.lower("text"), occurrences)).alias("found"))
-        .select(
-            *PAGE,
-            F.col("found.target").alias("target"),
-            F.col("found.size").alias("_size"),
-            (F.size("found.gaps") - 1).alias("_hits"),
-            F.posexplode("found.gaps").alias("_no", "_gap"),
-        )
-        .filter("_no < _hits")
-    )
-    upto = (
-        Window.partitionBy(*PAGE, "target").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
+    needles = F.transform(
+        targets, lambda target: F.struct(target.alias("target"), F.lower(trim_spaces(target)).alias("needle"))
     )
-    start = F.sum("_gap").over(upto) + F.col("_no") * F.col("_size")
-    return (
-        found.withColumn("start", start.cast("int"))
-        .withColumn("end", F.col("start") + F.col("_size"))
-        .select(*PAGE, "target", "start", "end")
+
+    def of_all(lowered: Column) -> Column:
+        present = F.filter(needles, lambda item: F.contains(lowered, item["needle"]))
+        return F.flatten(F.transform(present, lambda item: occurrences(lowered, item)))
+
+    return let(F.lower(text), of_all)
+
+
+def locate_targets(pages: DataFrame, targets: DataFrame) -> DataFrame:
+    """(doc_id, page, target, start, end) of what ``located`` finds. Pages and targets meet on the
+    document; hits are made beside the text and never shuffled."""
+    found = pages.join(targets_by_document(targets), "doc_id")
+    return found.select(*PAGE, F.inline(located(F.col("text"), F.col("targets"))))
+
+
+# --- pages as rows with their items beside them ----------------------------------------------------
+ITEM = ("idx", "str", "x", "y", "w", "h", "has_eol")
+
+
+def gathered(items: DataFrame) -> DataFrame:
+    """(doc_id, page, items): an item table with a page's items in one array, in order."""
+    item = F.struct(*[F.col(name) for name in ITEM])
+    return items.groupBy(*PAGE).agg(F.sort_array(F.collect_list(item)).alias("items"))
+
+
+def page_string(items: Column) -> Column:
+    """The page string of ``positioned_segments``."""
+
+    def part(item: Column) -> Column:
+        text = F.coalesce(item["str"], F.lit(""))
+        return F.concat(text, F.when(item["has_eol"], "\n").when(item["str"] != "", " ").otherwise(""))
+
+    return F.array_join(F.transform(items, part), "")
+
+
+def boxes_on_pages(pages: DataFrame, padding: float = BOX_PADDING) -> DataFrame:
+    """The boxes of ``hits_to_boxes`` for rows (doc_id, page, items, hits). Pages stay in their partition; in
+    a batch of them, offsets are one cumulative sum and hits find their first and last segment by bisection,
+    so the work grows with items and boxes however long a page is."""
+    kinds = {field.name: field.dataType.simpleString() for field in pages.schema.fields}
+    idx = pages.schema["items"].dataType.elementType["idx"].dataType.simpleString()
+    schema = (
+        f"doc_id {kinds['doc_id']}, page {kinds['page']}, target string, start int, end int, seg_idx {idx}, "
+        "x double, y double, w double, h double"
     )
 
+    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _boxes_of_batch(batch, padding)
+
+    return pages.select(*PAGE, "items", "hits").mapInArrow(boxes, schema)
+
+
+def _boxes_of_batch(batch: pa.RecordBatch, padding: float) -> pa.RecordBatch:
+    def flat(name: str) -> tuple[dict[str, pa.Array], np.ndarray]:
+        """The fields of all elements of a list column, and the page each element belongs to."""
+        lists = batch.column(name)
+        counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        elements = lists.flatten()
+        names = [elements.type.field(at).name for at in range(elements.type.num_fields)]
+        return dict(zip(names, elements.flatten())), np.repeat(np.arange(len(batch), dtype=np.int64), counts)
+
+    def numbers(values: pa.Array, missing) -> np.ndarray:
+        return pc.fill_null(values, missing).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    items, item_page = flat("items")
+    hits, hit_page = flat("hits")
+    size = numbers(pc.utf8_length(items["str"]), 0)
+    taken = np.where(size > 0, size + 1, numbers(items["has_eol"], False))
+    before = np.cumsum(taken) - taken
+    # What all pages before a page take is not part of its offsets.
+    start = before - before[np.searchsorted(item_page, item_page)]
+    rows = np.flatnonzero(size > 0)
+    size, start, page = size[rows], start[rows], item_page[rows] << 32
+    hit_start, hit_end, at = numbers(hits["start"], 0), numbers(hits["end"], 0), hit_page << 32
+    first = np.searchsorted(page + start + size, at + hit_start, side="right")
+    count = np.maximum(np.searchsorted(page + start, at + hit_end, side="left") - first, 0)
+    hit = np.repeat(np.arange(len(count)), count)
+    segment = np.arange(len(hit)) - (np.cumsum(count) - count)[hit] + first[hit]
+    size, start, rows = size[segment], start[segment], pa.array(rows[segment])
+    low = np.maximum(hit_start[hit], start) - start
+    high = np.minimum(hit_end[hit], start + size) - start
+    x, y, w, h = (items[name].take(rows).cast(pa.float64()) for name in "xywh")
+    estimated = pc.multiply(pc.multiply(h, pa.array(size.astype(float))), 0.5)
+    known = pc.if_else(pc.fill_null(pc.equal(w, 0.0), False), pa.scalar(None, pa.float64()), w)
+    w, of_page, of_hit = pc.coalesce(known, estimated), pa.array(hit_page[hit]), pa.array(hit)
+    columns = {name: batch.column(name).take(of_page) for name in PAGE}
+    columns |= {name: hits[name].take(of_hit) for name in ("target", "start", "end")}
+    columns["seg_idx"] = items["idx"].take(rows)
+    columns["x"] = pc.subtract(pc.add(x, pc.multiply(pa.array(low / size), w)), padding)
+    columns["y"] = pc.subtract(y, padding)
+    columns["w"] = pc.add(pc.multiply(pa.array((high - low) / size), w), 2 * padding)
+    columns["h"] = pc.add(h, 2 * padding)
+    return pa.RecordBatch.from_pydict(columns)
+
 
 def hits_to_boxes(hits: DataFrame, segments: DataFrame, padding: float = BOX_PADDING) -> DataFrame:
     """The boxes that cover each hit: the share of every overlapped segment, padded.
@@ -186,19 +266,17 @@ def hits_to_boxes(hits: DataFrame, segments: DataFrame, padding: float = BOX_PAD
     )
 
 
-def redaction_summary(pages: DataFrame, targets: DataFrame, hits: DataFrame) -> DataFrame:
-    """Per document: pages, text pages, scanned pages, targets and hits."""
-    kinds = with_page_kind(pages).groupBy("doc_id").agg(
+def redaction_summary(pages: DataFrame) -> DataFrame:
+    """Per document: pages, text pages, scanned pages, targets and hits, from rows (doc_id, page, text, targets,
+    hits) of pages with the targets of their document and the number of hits."""
+    counted = with_page_kind(pages).groupBy("doc_id").agg(
         F.count("*").cast("bigint").alias("pages"),
         F.count(F.when(F.col("kind") == "text", True)).cast("bigint").alias("text_pages"),
         F.count(F.when(F.col("kind") == "ocr", True)).cast("bigint").alias("ocr_pages"),
+        F.max(F.array_size("targets")).cast("bigint").alias("targets"),
+        F.sum("hits").cast("bigint").alias("hits"),
     )
-    wanted = clean_targets(targets).groupBy("doc_id").agg(
-        F.count("*").cast("bigint").alias("targets")
-    )
-    found = hits.groupBy("doc_id").agg(F.count("*").cast("bigint").alias("hits"))
-    joined = kinds.join(wanted, "doc_id", "left").join(found, "doc_id", "left")
-    return joined.fillna(0, ["targets", "hits"])
+    return counted.fillna(0, ["targets", "hits"])
 
 
 def ocr_language(pages: DataFrame) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from clinspark.operators.redaction import (
-    hits_to_boxes,
-    locate_targets,
-    positioned_segments,
+    PAGE,
+    boxes_on_pages,
+    gathered,
+    located,
+    page_string,
     redaction_summary,
+    targets_by_document,
 )
 
 
@@ -21,10 +25,19 @@ class Redaction:
     summary: DataFrame
 
 
+def redact_pages(pages: DataFrame) -> Redaction:
+    """Boxes, hits and a summary per document for rows (doc_id, page, items, targets): a page with its
+    positioned items in order and the distinct targets of its document (``targets_by_document``; NULL if
+    it has none). A page is one row and stays where it is; only the counts of the summary are shuffled.
+    """
+    items, targets = F.col("items"), F.col("targets")
+    hits = located(page_string(items), targets)
+    boxes = boxes_on_pages(pages.select(*PAGE, "items", hits.alias("hits")))
+    texts = pages.select(*PAGE, "targets", page_string(items).alias("text"))
+    counted = texts.withColumn("hits", F.array_size(located(F.col("text"), targets)))
+    return Redaction(boxes, pages.select(*PAGE, F.inline(hits)), redaction_summary(counted))
+
+
 def redact_boxes(items: DataFrame, targets: DataFrame) -> Redaction:
-    """Boxes, hits and a summary per document for positioned ``items`` and per-document targets."""
-    segments, pages = positioned_segments(items)
-    hits = locate_targets(pages, targets)
-    return Redaction(
-        hits_to_boxes(hits, segments), hits, redaction_summary(pages, targets, hits)
-    )
+    """The same for a table of positioned ``items`` and one of per-document targets."""
+    return redact_pages(gathered(items).join(targets_by_document(targets), "doc_id", "left"))
