@@ -124,47 +124,56 @@ LEAD, COMPARED = 3, 16
 MIN_MASK_BITS, MAX_MASK_BITS, MASK_WORD = 2**16, 2**24, 63
 
 
-def _bit(key: Column, bits: int) -> Column:
-    return F.pmod(key, F.lit(bits).cast("bigint"))
+def _word_and_pattern(keyed: DataFrame, bits: int) -> DataFrame:
+    """The word of the mask that a ``_key`` belongs to, and the bits (three at most) that it sets there."""
+    place = F.pmod("_key", F.lit(bits // MASK_WORD + 1).cast("bigint"))
+    ones = [F.expr(f"shiftleft(1L, cast(shiftrightunsigned(_key, {shift}) % {MASK_WORD} as int))") for shift in (25, 38, 51)]
+    return keyed.withColumn("_word", place).withColumn("_ones", ones[0].bitwiseOR(ones[1]).bitwiseOR(ones[2]))
 
 
 def _mask(keys: DataFrame, bits: int) -> DataFrame:
     """The lookup keys as ``bits / MASK_WORD`` rows at most."""
-    placed = keys.select(_bit(F.col("_key"), bits).alias("_bit"))
-    return (
-        placed.select(F.expr(f"_bit div {MASK_WORD}").alias("_word"), F.expr(f"shiftleft(1L, cast(_bit % {MASK_WORD} as int))").alias("_one"))
-        .groupBy("_word")
-        .agg(F.bit_or("_one").alias("_mask"))
-    )
-
+    return _word_and_pattern(keys.select("_key"), bits).groupBy("_word").agg(F.bit_or("_ones").alias("_mask"))
 
-def sequence_matches(texts: DataFrame, mapping: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """(keys, entity, replacement, seq) of the entities whose letter/digit runs follow each other
-    somewhere in the text, whatever stands between them.
 
-    An entity with a letter or digit can only match there, so what is found is a hit up to its
-    separators. The first runs of every entity (``LEAD`` at most) are hashed; each place of a text looks
-    its own hashes up in a bit mask of bounded size, and only places that the mask lets through carry
-    their next runs to the join with the mapping, where they are compared.
-    """
+def lookup_entities(mapping: DataFrame) -> DataFrame:
+    """Entities with a letter or digit, with their runs (``COMPARED`` at most) and the key they are looked up by."""
     entities = mapping.select("entity", "replacement", "seq", F.slice(letter_runs("entity"), 1, COMPARED).alias("_runs")).filter("size(_runs) > 0")
     entities = entities.withColumn("_lead", F.least(F.size("_runs"), F.lit(LEAD)))
-    entities = entities.withColumn("_key", F.xxhash64(F.slice("_runs", 1, F.col("_lead"))))
-    shape = entities.agg(F.collect_set("_lead"), F.count("*")).first()
-    leads = sorted(shape[0]) or [1]
+    return entities.withColumn("_key", F.xxhash64(F.slice("_runs", 1, F.col("_lead"))))
+
+
+def likely_places(texts: DataFrame, entities: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, _key, _next): the places of the texts that the mask of the entities lets through, with the runs
+    that are to be compared: those the key was made of if no entity of that key can be longer."""
+    shape = entities.agg(F.collect_set("_lead"), F.count("*"), F.max(F.size("_runs"))).first()
+    leads, longest = sorted(shape[0]) or [1], shape[2] or 1
     bits = MIN_MASK_BITS
-    while bits < min(MAX_MASK_BITS, 16 * shape[1]):
+    while bits < min(MAX_MASK_BITS, 32 * shape[1]):
         bits *= 2
     listed = texts.select(*keys, letter_runs(text).alias("_text"))
     sized = listed.withColumn("_lead", F.explode(F.array(*[F.lit(n) for n in leads])))
     last = F.size("_text") - F.col("_lead") + 1
     places = sized.withColumn("_at", F.explode(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))))
     keyed = places.withColumn("_key", F.xxhash64(F.slice("_text", F.col("_at"), F.col("_lead"))))
-    keyed = keyed.withColumn("_bit", _bit(F.col("_key"), bits)).withColumn("_word", F.expr(f"_bit div {MASK_WORD}"))
-    through = keyed.join(F.broadcast(_mask(entities, bits)), "_word").filter(
-        F.expr(f"(shiftright(_mask, cast(_bit % {MASK_WORD} as int)) & 1) = 1")
+    through = _word_and_pattern(keyed, bits).join(F.broadcast(_mask(entities, bits)), "_word").filter(
+        F.col("_mask").bitwiseAND(F.col("_ones")) == F.col("_ones")
     )
-    through = through.select(*keys, "_key", F.slice("_text", F.col("_at"), F.lit(COMPARED)).alias("_next")).distinct()
+    compared = F.when(F.col("_lead") < LEAD, F.col("_lead")).otherwise(F.lit(longest))
+    return through.select(*keys, "_key", F.slice("_text", F.col("_at"), compared).alias("_next")).distinct()
+
+
+def sequence_matches(texts: DataFrame, mapping: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, entity, replacement, seq) of the entities whose letter/digit runs follow each other
+    somewhere in the text, whatever stands between them.
+
+    An entity with a letter or digit can only match there, so what is found is a hit up to its
+    separators. The first runs of every entity (``LEAD`` at most) are hashed; each place of a text looks
+    its own hashes up in a bit mask of bounded size, and only places that the mask lets through carry
+    their next runs to the join with the mapping, where they are compared.
+    """
+    entities = lookup_entities(mapping)
+    through = likely_places(texts, entities, keys, text)
     met = through.join(entities, "_key").filter(F.slice("_next", F.lit(1), F.size("_runs")) == F.col("_runs"))
     return met.select(*keys, "entity", "replacement", "seq").distinct()
 

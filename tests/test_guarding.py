@@ -274,3 +274,18 @@ def test_longer_than_compared_and_bounded_mask(spark, monkeypatch):
     got = {r["doc_id"]: r["anonymized_text"] for r in apply_global_mapping(texts, mapping, ["doc_id"]).collect()}
     assert got == {1: "a [L] [E] b", 2: None, 3: ""}
     assert shortlist(texts, mapping.limit(0), ["doc_id"]).count() == 0
+
+
+def test_few_places_pass_the_mask_without_an_entity(spark):
+    """What passes is shuffled with its runs. One bit a key let one place in 16 to 32 pass, with 16 runs each."""
+    from clinspark.operators.rewriting import likely_places, lookup_entities
+
+    names = [(f"a{n}", "[X]", n) for n in range(20_000)] + [(f"b{n} c{n} d{n} e{n}", "[Y]", n) for n in range(20_000)]
+    mapping = spark.createDataFrame(names, "entity string, replacement string, seq long")
+    words = " ".join(f"w{n}" for n in range(50_000))
+    texts = spark.createDataFrame([(1, words), (2, "a7 or b9 c9 d9 e9 f9")], "doc_id long, text string")
+    passed = likely_places(texts, lookup_entities(mapping), ["doc_id"]).collect()
+    assert sum(r["doc_id"] == 1 for r in passed) < 1000  # of 100,000 places
+    assert sorted(r["_next"] for r in passed if r["doc_id"] == 2) == [["a7"], ["b9", "c9", "d9", "e9"]]
+    found = sequence_matches(texts, mapping, ["doc_id"]).select("doc_id", "entity").collect()
+    assert sorted(map(tuple, found)) == [(2, "a7"), (2, "b9 c9 d9 e9")]
