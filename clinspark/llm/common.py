@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def small_table(spark: SparkSession, rows: list[tuple], kinds: dict[str, pa.DataType]) -> DataFrame:
+    """A few rows of the driver's as a table. They go as Arrow: a list of rows would be read by Python
+    workers of another kind than those of the operators, which stay beside them on every executor."""
+    columns = zip(*rows) if rows else [[]] * len(kinds)
+    return spark.createDataFrame(pa.table([pa.array(c, kind) for c, kind in zip(columns, kinds.values())], names=list(kinds)))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder; removed when the application ends."""
     path = f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 ORDER = 3
 FIT_DOCS = 1_500  # the model is fitted on about so many labelled documents per language
 SYMBOLS = 256  # every byte that the sample holds has a symbol of its own; the others are never told apart
-BYTES_AT_A_TIME = 1 << 19
+BYTES_AT_A_TIME = 1 << 17  # scored at once, at about 100 bytes of memory each
 ROWS_AT_A_TIME = 1_000
 UNKNOWN = "und"
 _PAD = b"\n" * ORDER

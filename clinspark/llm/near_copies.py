@@ -16,7 +16,7 @@ from clinspark.llm.simhash_tiles import majority, near_links, shingle_set
 RADIUS = 8  # differing bits of 64 that put documents into one SimHash group
 LOCAL_SHINGLES = 2_000_000  # shingle hashes that one task compares among themselves
 BLOCK_SHINGLES = 250_000  # of open groups with more, blocks of about so many meet each other
-HASHES_AT_A_TIME = 1_000_000  # shingle hashes that a task holds before it sends them
+HASHES_AT_A_TIME = 250_000  # shingle hashes that a task holds before it sends them
 PART_BYTES = 16 << 20  # about so much text per part of the shingle hashes
 QUICK_TESTS = 8  # tries to connect a document with its latest neighbours before all others are listed
 SINGLE_TESTS = 300  # up to so many open pairs of a document are tested one by one

@@ -13,11 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import Hidden, gapless, staged
+from clinspark.llm.common import Hidden, gapless, small_table, staged
 
 SEQUENCE_TOKENS = 4096
 END_ID = 2
-CACHED_WORDS = 250_000  # per generation and worker process
+CACHED_WORDS = 100_000  # per generation and worker process
+MET_WORDS = 1 << 20  # marks of words met once
 ROWS_AT_ONCE = 500  # rows whose ids are held at once
 # Characters for which lower-casing and composing a text is the same in Python as in the tokenizer.
 _PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-įı-ſ]*")
@@ -35,11 +36,13 @@ def byte_letters() -> dict[int, str]:
 
 class WordIds(dict):
     """Ids of words as bytes, in two generations: when the young one is full it becomes the old one, and
-    words still in use move over, so memory is bounded and rare words fade out."""
+    words still in use move over, so memory is bounded and rare words fade out. A word is stored when it
+    comes again: most words come once and would only push others out."""
 
     def __init__(self, tokenizer, size: int):
         super().__init__()
         self.tokenizer, self.size, self.old = tokenizer, size, {}
+        self.met = bytearray(MET_WORDS)  # by hash, whether a word of this generation was met
         self.letters = byte_letters()
         # Whether letters beyond ASCII reach the vocabulary as their bytes, as they do in byte-level ones.
         self.by_bytes = all(self.modelled(word) == self.encoded(word) for word in ("é", "naïve", "ñandú", "œuvre", "straße"))
@@ -66,9 +69,14 @@ class WordIds(dict):
                     ids = b"".join([self[piece] for piece in (before, core, after) if piece])
             else:
                 ids = self.encoded(word)
+            place = hash(word) % MET_WORDS
+            if not self.met[place]:
+                self.met[place] = 1
+                return ids
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
+            self.met = bytearray(MET_WORDS)
         self[word] = ids
         return ids
 
@@ -193,7 +201,7 @@ def pack(pieces: DataFrame, order: list[str], most: int = SEQUENCE_TOKENS) -> Da
             served[piece] += packs
             offset += piece
         sequence += packs
-    ranges = spark.createDataFrame(places, "_length long, _from long, _to long, _sequence long, offset long")
+    ranges = small_table(spark, places, dict.fromkeys(("_length", "_from", "_to", "_sequence", "offset"), pa.int64()))
     ranked = gapless(rows, [length], order, "_rank", sum(histogram.values()))
     here = (F.col(length) == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     return ranked.join(F.broadcast(ranges), here).select(

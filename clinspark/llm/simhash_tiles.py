@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinspark.llm.common import join_back, staged
+from clinspark.llm.common import join_back, small_table, staged
 from clinspark.llm.components import components
 
 TILE = 16_384
@@ -130,8 +130,8 @@ def tile_links(marks: DataFrame, met: list[tuple[int, int]], counts: dict[int, i
     """
     spark = marks.sparkSession
     parts = {cell: -(-count // tile) for cell, count in counts.items()}
-    cells = spark.createDataFrame(list(parts.items()), "cell int, parts int")
-    reach = spark.createDataFrame([(one, two, parts[two]) for one, two in met], "cell int, to_cell int, to_parts int")
+    cells = small_table(spark, list(parts.items()), {"cell": pa.int32(), "parts": pa.int32()})
+    reach = small_table(spark, [(one, two, parts[two]) for one, two in met], dict.fromkeys(("cell", "to_cell", "to_parts"), pa.int32()))
     tiles = (
         marks.join(F.broadcast(cells), "cell")
         .withColumn("tile", F.pmod(F.xxhash64("mark"), F.col("parts")).cast("int"))

@@ -4,11 +4,13 @@ import math
 import random
 import re
 import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 
 from clinspark.llm import components as components_module
 from clinspark.llm import language_ppm, near_copies, packing, repeated_windows, simhash_tiles
+from clinspark.llm.common import small_table
 from clinspark.llm.components import components
 from clinspark.llm.language_ppm import ORDER, SYMBOLS, build_model, code_lengths, fit, held_out, predict
 from clinspark.llm.packing import pack, pack_documents, shortest_pack_first, token_pieces, word_encoder
@@ -505,3 +508,37 @@ def test_words_of_letters_have_the_tokenizers_ids():
     for char in letters:
         for text in (char, f"a{char}b", f'"{char}x".', char * 3):
             assert encode(text) == whole(text)
+
+
+def test_words_are_stored_when_they_come_again(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 50)
+    monkeypatch.setattr(sys, "_word_encoders", {}, raising=False)
+    path = tokenizer_file("word_bpe_49k.json")
+    encode = word_encoder(path)
+    words = sys.__dict__["_word_encoders"][path]
+    once = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"]
+    first = [encode(word) for word in once]
+    assert len(words) + len(words.old) < 5  # words whose marks fell together
+    assert [encode(word) for word in once] == first == [words.encoded(word) for word in once]
+    assert len(words) <= 50 and len(words.old) == 50
+
+
+def test_scored_pieces_are_small():
+    rows = [(f"l{k}", a << 24 | b << 16 | c << 8 | d, 1 + k) for k in range(4) for a in range(97, 100) for b in range(97, 100) for c in range(97, 100) for d in range(97, 100)]
+    model, text = build_model(rows), "abcab" * 400_000
+    tracemalloc.start()
+    try:
+        code_lengths([text], model)
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_small_tables_start_no_workers(spark):
+    kinds = {"one": pa.int32(), "two": pa.int64()}
+    table = small_table(spark, [(1, 2), (3, 4)], kinds)
+    assert table.dtypes == [("one", "int"), ("two", "bigint")] and {tuple(row) for row in table.collect()} == {(1, 2), (3, 4)}
+    assert small_table(spark, [], kinds).count() == 0
+    marks = spark.range(100).select((F.col("id") * 7919).alias("fingerprint"))
+    plan = simhash_tiles.near_links(marks, 3)._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan and "LogicalRDD" not in plan
