@@ -26,7 +26,7 @@ def _lines(spark, folder):
 
 
 def headers(spark, folder):
-    """(path, size, tags, inferred) of every line item."""
+    """(path, size, inferred) of every line item and its tags, one a column."""
     order, part, supplier = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
     number = supplier % 6
     modality = F.get(F.array(*map(F.lit, MODALITIES)), number.cast("int"))
@@ -48,13 +48,12 @@ def headers(spark, folder):
         "StructureSetLabel": label, "RTPlanLabel": label, "DoseType": label,
         "KVP": text(part % 5), "SliceThickness": text(part % 7),
     }
-    tags = F.create_map(*[item for key, value in values.items() for item in (F.lit(key), value)])
     name = F.concat(F.lit("IM"), F.col("l_linenumber").cast("string"), F.lit("_"), part.cast("string"))
     return _lines(spark, folder).select(
         F.concat_ws("/", F.concat(F.lit("disk"), text(order % 3)), text(order), text(number), F.concat(name, F.lit("_"), text(supplier), F.lit(".dcm"))).alias("path"),
         F.floor("l_extendedprice").cast("bigint").alias("size"),
-        tags.alias("tags"),
         (F.col("l_returnflag") == "R").alias("inferred"),
+        *[value.alias(key) for key, value in values.items()],
     )
 
 
@@ -62,6 +61,11 @@ def index(spark, folder, keep=None):
     return imaging.build_index(headers(spark, folder), keep)
 
 
+def file_rows(spark, folder, keep=None):
+    """As much of an index as plans and documents read."""
+    return {"rows": imaging.file_rows(headers(spark, folder), keep)}
+
+
 FILES_CTE = """img AS (SELECT CASE WHEN c_custkey % 50 = 0 THEN 'UNKNOWN' ELSE 'P/' || c_custkey END AS patient_id, c_name AS patient_name,
   '1.2.' || l_orderkey AS study_uid, '1.2.' || l_orderkey || '.' || (l_suppkey % 6) AS series_uid,
   CASE WHEN l_orderkey % 7 = 0 THEN '' WHEN l_orderkey % 11 = 0 THEN strftime(o_orderdate, '%Y%m') ELSE strftime(o_orderdate, '%Y%m%d') END AS study_date,
@@ -203,7 +207,7 @@ FROM img i JOIN series s USING (patient_id, study_uid, series_uid) JOIN studies
 
 def index_documents(spark, folder):
     """The nested documents, flattened again: every file once, with its series."""
-    documents = imaging.index_documents(index(spark, folder, imaging.KEPT_BY_DOCUMENTS), files_per_document=2)
+    documents = imaging.index_documents(file_rows(spark, folder, imaging.KEPT_BY_DOCUMENTS), files_per_document=2)
     schema = (
         "patient struct<patientID:string,patientName:string>, study struct<studyInstanceUID:string>, "
         "series struct<seriesInstanceUID:string,fileCount:long>, part int, files array<struct<path:string,size:long,instanceNumber:string,inferred:boolean>>"
@@ -373,20 +377,20 @@ SELECT_PLAN = "SELECT patient_id, study_uid, series_uid, src, dst FROM plan"
 
 
 def plan_nested(spark, folder):
-    return filing.sort_plan(index(spark, folder, imaging.KEPT_BY_PLANS), "nested")
+    return filing.sort_plan(file_rows(spark, folder, imaging.KEPT_BY_PLANS), "nested")
 
 
 def plan_flat(spark, folder):
-    return filing.sort_plan(index(spark, folder, imaging.KEPT_BY_PLANS), "flat", excluded=["PT"])
+    return filing.sort_plan(file_rows(spark, folder, imaging.KEPT_BY_PLANS), "flat", excluded=["PT"])
 
 
 def plan_modality(spark, folder):
-    return filing.sort_plan(index(spark, folder, imaging.KEPT_BY_PLANS), "modality")
+    return filing.sort_plan(file_rows(spark, folder, imaging.KEPT_BY_PLANS), "modality")
 
 
 def plan_required(spark, folder):
     """Only patients with a CT and a plan; doses are left out after that test."""
-    return filing.sort_plan(index(spark, folder, imaging.KEPT_BY_PLANS), "nested", ["RTDOSE", "MR"], ["CT", "RTPLAN", "RTDOSE"])
+    return filing.sort_plan(file_rows(spark, folder, imaging.KEPT_BY_PLANS), "nested", ["RTDOSE", "MR"], ["CT", "RTPLAN", "RTDOSE"])
 
 
 def _simple_plan_sql(folder: str, keep: str) -> str:
@@ -422,7 +426,7 @@ WITH {NESTED_CTE} SELECT regexp_replace(dst, '_[0-9]+_[0-9]+\\.dcm$', '') AS dst
 
 
 def plan_tree(spark, folder):
-    return filing.folder_tree(filing.series_folders(index(spark, folder, imaging.KEPT_BY_PLANS), "nested"))
+    return filing.folder_tree(filing.folder_counts(filing.file_folders(file_rows(spark, folder, imaging.KEPT_BY_PLANS), "nested")))
 
 
 TREE_SQL = f"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinspark import fixed_values as fixed
@@ -164,14 +164,18 @@ def project_tags(tags: Column | str, modality: Column | str) -> Column:
     return kept.otherwise(F.create_map().cast("map<string,string>"))
 
 
+STUDY = ["patient_id", "study_uid"]
+SERIES = [*STUDY, "series_uid"]
 OF_SERIES = (
     "modality", "series_number", "series_description", "frame_of_reference_uid", "manufacturer", "institution",
     "optional_tags",
 )
 OF_STUDY = ("study_date", "study_description", "accession_number")
 OF_PATIENT = ("patient_name", "birth_date", "sex")
-# A series of at most so many files is gathered in one row.
+# A study of at most so many files lies in one task, and a series of as many is gathered in one row.
 GATHERED_FILES = 20_000
+# So many files meet in a task that holds whole studies.
+ROWS_PER_TASK = 1_250_000
 # What the plans, the totals and the sheets read of an index, for ``keep``.
 KEPT_BY_PLANS = ("modality", "series_number", "series_description", "label_tags", "study_date", "study_description")
 KEPT_BY_TOTALS = ("modality", "total_size", "inferred_count")
@@ -180,22 +184,38 @@ KEPT_BY_DOCUMENTS = (*OF_SERIES, *OF_STUDY, *OF_PATIENT, "total_size")
 KEPT_BY_DETAIL = ("modality", "series_description", "study_date")
 
 
-def build_index(headers: DataFrame, keep: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
-    """The ``files``, ``series``, ``studies`` and ``patients`` tables of headers with ``path``,
-    ``size``, ``tags``, ``inferred``.
+def file_rows(headers: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per file of headers with ``path``, ``size``, ``tags``, ``inferred``: its keys and every attribute
+    that a level may take from it. Without ``tags``, each tag is a column of its own (null: the file has none);
+    then tags that a caller's columns do not need are not worked out or moved.
 
-    The first file of a level gives its attributes: read headers before inferred ones, then by path.
-    Files are aggregated once, by series, with map-side combining, and that roll-up is checkpointed:
-    studies, patients, totals and plans all come from it and would otherwise each go through every
-    file again. ``keep`` names the attributes and sums (``total_size``, ``inferred_count``) that the caller
-    reads; the others are not carried (``label_tags`` are those optional tags that label folders).
+    ``label_tag`` is the tag that labels a therapy series; without ``optional_tags`` in ``keep``, the label tags
+    are the only optional ones.
     """
+    mapped = "tags" in headers.columns
+
+    def tag(key: str) -> Column:
+        if mapped:
+            return F.col("tags")[key]
+        return F.col(key) if key in headers.columns else F.lit(None).cast("string")
 
     def value(key: str, missing: str = "") -> Column:
-        given = F.nullif(F.col("tags")[key], F.lit(""))
-        return F.coalesce(given, F.lit(missing))
+        return F.coalesce(F.nullif(tag(key), F.lit("")), F.lit(missing)) if missing else F.coalesce(tag(key), F.lit(""))
 
-    files = headers.select(
+    modality = value("Modality", fixed.UNKNOWN_MODALITY)
+    tags = F.col("tags") if mapped else F.create_map().cast("map<string,string>")
+    optional = sorted({key for keys in fixed.OPTIONAL_TAGS.values() for key in keys} & {*headers.columns})
+    if optional and not mapped:
+        given = [F.struct(F.lit(key).alias("key"), tag(key).alias("value")) for key in optional]
+        tags = F.map_from_entries(F.filter(F.array(*given), lambda one: one["value"].isNotNull()))
+    chosen = project_tags(tags, modality)
+    if keep is not None and "optional_tags" not in keep:
+        chosen = F.map_filter(chosen, lambda key, _: key.isin(*fixed.LABEL_TAGS))
+    label_tag = F.lit(None).cast("string")
+    for key in fixed.LABEL_TAGS:
+        owners = [name for name, keys in fixed.OPTIONAL_TAGS.items() if key in keys]
+        label_tag = F.when(modality.isin(*owners), tag(key)).otherwise(label_tag)
+    return headers.select(
         value("PatientID", fixed.UNKNOWN_PATIENT).alias("patient_id"),
         value("StudyInstanceUID", fixed.UNKNOWN_STUDY).alias("study_uid"),
         value("SeriesInstanceUID", fixed.UNKNOWN_SERIES).alias("series_uid"),
@@ -204,38 +224,50 @@ def build_index(headers: DataFrame, keep: tuple[str, ...] | None = None) -> dict
         value("InstanceNumber").alias("instance_number"),
         value("SOPInstanceUID").alias("sop_instance_uid"),
         F.coalesce("inferred", F.lit(False)).alias("inferred"),
-        "tags",
+        modality.alias("modality"),
+        value("SeriesNumber").alias("series_number"),
+        value("SeriesDescription").alias("series_description"),
+        value("FrameOfReferenceUID").alias("frame_of_reference_uid"),
+        value("Manufacturer").alias("manufacturer"),
+        value("InstitutionName").alias("institution"),
+        F.map_entries(chosen).alias("optional_tags"),
+        value("StudyDate").alias("study_date"),
+        value("StudyDescription").alias("study_description"),
+        value("AccessionNumber").alias("accession_number"),
+        value("PatientName").alias("patient_name"),
+        value("PatientBirthDate").alias("birth_date"),
+        value("PatientSex").alias("sex"),
+        label_tag.alias("label_tag"),
     )
-    modality = value("Modality", fixed.UNKNOWN_MODALITY)
-    chosen = project_tags("tags", modality)
-    labels = F.map_filter(chosen, lambda key, _: key.isin(*fixed.LABEL_TAGS))
-    attributes = {
-        "modality": modality,
-        "series_number": value("SeriesNumber"),
-        "series_description": value("SeriesDescription"),
-        "frame_of_reference_uid": value("FrameOfReferenceUID"),
-        "manufacturer": value("Manufacturer"),
-        "institution": value("InstitutionName"),
-        "optional_tags": F.map_entries(chosen),
-        "study_date": value("StudyDate"),
-        "study_description": value("StudyDescription"),
-        "accession_number": value("AccessionNumber"),
-        "patient_name": value("PatientName"),
-        "birth_date": value("PatientBirthDate"),
-        "sex": value("PatientSex"),
-    }
-    if keep is not None:
-        wanted = {*keep, *(["optional_tags"] if "label_tags" in keep else [])}
-        if "optional_tags" not in keep:
-            attributes["optional_tags"] = F.map_entries(labels)
-        attributes = {name: column for name, column in attributes.items() if name in wanted}
+
+
+def build_index(headers: DataFrame, keep: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """The ``files``, ``series``, ``studies`` and ``patients`` tables of headers with ``path``,
+    ``size``, ``tags``, ``inferred``, and ``rows``: the files with their own attributes.
+
+    ``keep`` names the attributes and sums (``total_size``, ``inferred_count``) that the caller
+    reads; the others are not carried (``label_tags`` are those optional tags that label folders).
+    """
+    return roll_up(file_rows(headers, keep), keep)
+
+
+def roll_up(rows: DataFrame, keep: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """The tables of ``build_index`` for ``file_rows``.
+
+    The first file of a level gives its attributes: read headers before inferred ones, then by path.
+    Files are aggregated once, by series, with map-side combining, and that roll-up is checkpointed:
+    studies, patients and totals all come from it and would otherwise each go through every file again.
+    """
+    attributes = [*OF_SERIES, *OF_STUDY, *OF_PATIENT]
     # Rows are ordered by their place, which leads the struct: the place travels once, and of the tags only
     # those that the series keeps.
     sums = {"total_size": F.sum("size"), "inferred_count": F.sum(F.col("inferred").cast("bigint"))}
     if keep is not None:
+        wanted = {*keep, *(["optional_tags"] if "label_tags" in keep else [])}
+        attributes = [name for name in attributes if name in wanted]
         sums = {name: column for name, column in sums.items() if name in keep}
-    first_of_series = files.groupBy("patient_id", "study_uid", "series_uid").agg(
-        F.min(F.struct("inferred", "path", *[column.alias(name) for name, column in attributes.items()])).alias("first"),
+    first_of_series = rows.groupBy(*SERIES).agg(
+        F.min(F.struct("inferred", "path", *attributes)).alias("first"),
         F.count("*").cast("bigint").alias("file_count"),
         *[column.cast("bigint").alias(name) for name, column in sums.items()],
     )
@@ -244,7 +276,7 @@ def build_index(headers: DataFrame, keep: tuple[str, ...] | None = None) -> dict
         [name for name in names if name in attributes] for names in (OF_SERIES, OF_STUDY, OF_PATIENT)
     )
     lead = [f"first.{name}" for name in ("inferred", "path", *of_study, *of_patient)]
-    studies = series_level.groupBy("patient_id", "study_uid").agg(
+    studies = series_level.groupBy(*STUDY).agg(
         F.min(F.struct(*lead)).alias("first"), F.count("*").cast("bigint").alias("series_count")
     )
     patients = studies.groupBy("patient_id").agg(
@@ -252,9 +284,7 @@ def build_index(headers: DataFrame, keep: tuple[str, ...] | None = None) -> dict
         F.count("*").cast("bigint").alias("study_count"),
     )
     series = series_level.select(
-        "patient_id",
-        "study_uid",
-        "series_uid",
+        *SERIES,
         F.struct("first.inferred", "first.path").alias("first_place"),
         *[f"first.{name}" for name in of_series if name != "optional_tags"],
         "file_count",
@@ -262,13 +292,42 @@ def build_index(headers: DataFrame, keep: tuple[str, ...] | None = None) -> dict
         *[F.map_from_entries(f"first.{name}").alias(name) for name in of_series if name == "optional_tags"],
     )
     return {
-        "files": files.drop("tags"),
+        "rows": rows,
+        "files": rows.select(*SERIES, "path", "size", "instance_number", "sop_instance_uid", "inferred"),
         "series": series,
-        "studies": studies.select("patient_id", "study_uid", *[f"first.{name}" for name in of_study], "series_count"),
+        "studies": studies.select(*STUDY, *[f"first.{name}" for name in of_study], "series_count"),
         "patients": patients.select("patient_id", *[f"first.{name}" for name in of_patient], "study_count"),
     }
 
 
+def split_studies(rows: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
+    """The rows of studies of at most ``GATHERED_FILES`` files, those of larger studies (None if there are none)
+    and the number of all rows.
+
+    Studies are counted by a hash of their keys. Two that share one may count as large together, which
+    changes their way and not the result. There are at most all rows / ``GATHERED_FILES`` large ones.
+    """
+    study = F.xxhash64(*STUDY).alias("_study")
+    counts = rows.groupBy(study).agg(F.count("*").alias("_n"))
+    total, most = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    if most <= GATHERED_FILES:
+        return rows, None, total
+    large = F.broadcast(cut_lineage(counts.filter(F.col("_n") > GATHERED_FILES).select("_study")))
+    marked = rows.select("*", study)
+    usual, rest = (marked.join(large, "_study", how).drop("_study") for how in ("left_anti", "left_semi"))
+    return usual, rest, total
+
+
+def by_study(rows: DataFrame, total: int) -> DataFrame:
+    """``rows`` dealt by study, for ``total`` rows of studies none of which is large: series and studies are
+    then aggregated, ordered and joined where they lie."""
+    spark = rows.sparkSession
+    tasks = -(-total // ROWS_PER_TASK)
+    if tasks <= spark.sparkContext.defaultParallelism:
+        return rows.repartition(*STUDY)
+    return rows.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *STUDY)
+
+
 def series_with_study(index: dict[str, DataFrame]) -> DataFrame:
     """Every series with its study's attributes."""
     return index["series"].join(index["studies"].drop("series_count"), ["patient_id", "study_uid"])
@@ -401,6 +460,12 @@ def files_detail(
     return rows if cap is None else rows.orderBy("Patient ID", "File Path").limit(cap)
 
 
+def _cut(files: str, size: int) -> Column:
+    """An array that is not empty, in arrays of at most ``size``."""
+    starts = F.sequence(F.lit(1), F.size(files), F.lit(size))
+    return F.transform(starts, lambda start: F.slice(files, start, F.lit(size)))
+
+
 def file_parts(index: dict[str, DataFrame], files_per_document: int) -> DataFrame:
     """(patient, study, series, part, files): the files of every series by path, so many to a part.
 
@@ -414,9 +479,7 @@ def file_parts(index: dict[str, DataFrame], files_per_document: int) -> DataFram
     some_large = not large.isEmpty()
     small = files.join(large, keys, "left_anti") if some_large else files
     whole = small.groupBy(*keys).agg(F.sort_array(F.collect_list("file")).alias("_all"))
-    starts = F.sequence(F.lit(1), F.size("_all"), F.lit(files_per_document))
-    cut = F.transform(starts, lambda start: F.slice("_all", start, F.lit(files_per_document)))
-    parts = whole.select(*keys, F.posexplode(cut).alias("part", "files"))
+    parts = whole.select(*keys, F.posexplode(_cut("_all", files_per_document)).alias("part", "files"))
     if not some_large:
         return parts
     rest = files.join(large, keys, "left_semi").select(*keys, "file", F.col("file.path").alias("_path"))
@@ -429,19 +492,40 @@ def file_parts(index: dict[str, DataFrame], files_per_document: int) -> DataFram
 
 def index_documents(index: dict[str, DataFrame], files_per_document: int = 5000) -> DataFrame:
     """Nested JSON of the index: one document per series and part of at most ``files_per_document``
-    files, carrying its patient and study.
+    files, carrying its patient and study. Reads ``rows`` of the index.
 
     A patient or series may own any share of all files, so a document per patient could not be built
-    in one task. Parts are numbered; all files of all parts together are all files.
+    in one task. Parts are numbered; all files of all parts together are all files. Files are dealt once, by
+    study, and gathered and cut there; those of large studies, if there are any, meet their series by joins.
     """
-    keys = ["patient_id", "study_uid", "series_uid"]
-    parts = file_parts(index, files_per_document)
+    rows, large, total = split_studies(index["rows"])
+    file = F.struct("inferred", "path", "size", "instance_number", *OF_SERIES, *OF_STUDY).alias("file")
+    dealt = by_study(rows.select(*SERIES, file), total)
+    item = F.struct("file.path", "file.size", F.col("file.instance_number").alias("instanceNumber"), "file.inferred")
+    gathered = dealt.groupBy(*SERIES).agg(
+        F.min("file").alias("first"), F.count("*").cast("bigint").alias("file_count"), F.sum("file.size").cast("bigint").alias("total_size"),
+        F.sort_array(F.collect_list(item)).alias("_all"),
+    )
+    lead = F.struct("first.inferred", "first.path", *[f"first.{name}" for name in OF_STUDY])
+    placed = gathered.withColumn("study", F.min(lead).over(Window.partitionBy(*STUDY)))
+    cut = placed.select(
+        *SERIES, *[f"first.{name}" for name in OF_SERIES if name != "optional_tags"], F.map_from_entries("first.optional_tags").alias("optional_tags"),
+        "file_count", "total_size", *[f"study.{name}" for name in OF_STUDY], F.posexplode(_cut("_all", files_per_document)).alias("part", "files"),
+    )
+    # Patients meet studies, not files.
+    lead = F.struct("inferred", "path", *OF_PATIENT)
+    patients = index["rows"].groupBy("patient_id").agg(F.min(lead).alias("patient"))
+    parts = cut.join(dealt.select(*STUDY).distinct().join(patients, "patient_id"), STUDY)
+    if large is not None:
+        tables = roll_up(large)
+        series = series_with_study(tables).join(patients, "patient_id")
+        parts = parts.unionByName(file_parts(tables, files_per_document).join(series, SERIES).select(*parts.columns))
     document = F.struct(
         F.struct(
             F.col("patient_id").alias("patientID"),
-            F.col("patient_name").alias("patientName"),
-            F.col("birth_date").alias("patientBirthDate"),
-            F.col("sex").alias("patientSex"),
+            F.col("patient.patient_name").alias("patientName"),
+            F.col("patient.birth_date").alias("patientBirthDate"),
+            F.col("patient.sex").alias("patientSex"),
         ).alias("patient"),
         F.struct(
             F.col("study_uid").alias("studyInstanceUID"),
@@ -464,6 +548,4 @@ def index_documents(index: dict[str, DataFrame], files_per_document: int = 5000)
         F.col("part").alias("part"),
         F.col("files").alias("files"),
     )
-    return parts.join(series_with_context(index), keys).select(
-        *keys, "part", F.size("files").cast("bigint").alias("files"), F.to_json(document).alias("json")
-    )
+    return parts.select(*SERIES, "part", F.size("files").cast("bigint").alias("files"), F.to_json(document).alias("json"))
