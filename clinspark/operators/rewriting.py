@@ -136,6 +136,15 @@ def _mask(keys: DataFrame, bits: int) -> DataFrame:
     return _word_and_pattern(keys.select("_key"), bits).groupBy("_word").agg(F.bit_or("_ones").alias("_mask"))
 
 
+def _through_mask(keyed: DataFrame, keys: DataFrame, count: int) -> DataFrame:
+    """The rows whose ``_key`` may be one of ``keys`` (``count`` rows with a ``_key``); no row is shuffled."""
+    bits = MIN_MASK_BITS
+    while bits < min(MAX_MASK_BITS, 32 * count):
+        bits *= 2
+    met = _word_and_pattern(keyed, bits).join(F.broadcast(_mask(keys, bits)), "_word")
+    return met.filter(F.col("_mask").bitwiseAND(F.col("_ones")) == F.col("_ones"))
+
+
 def lookup_entities(mapping: DataFrame) -> DataFrame:
     """Entities with a letter or digit, with their runs (``COMPARED`` at most) and the key they are looked up by."""
     entities = mapping.select("entity", "replacement", "seq", F.slice(letter_runs("entity"), 1, COMPARED).alias("_runs")).filter("size(_runs) > 0")
@@ -148,17 +157,12 @@ def likely_places(texts: DataFrame, entities: DataFrame, keys: list[str], text:
     that are to be compared: those the key was made of if no entity of that key can be longer."""
     shape = entities.agg(F.collect_set("_lead"), F.count("*"), F.max(F.size("_runs"))).first()
     leads, longest = sorted(shape[0]) or [1], shape[2] or 1
-    bits = MIN_MASK_BITS
-    while bits < min(MAX_MASK_BITS, 32 * shape[1]):
-        bits *= 2
     listed = texts.select(*keys, letter_runs(text).alias("_text"))
     sized = listed.withColumn("_lead", F.explode(F.array(*[F.lit(n) for n in leads])))
     last = F.size("_text") - F.col("_lead") + 1
     places = sized.withColumn("_at", F.explode(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))))
     keyed = places.withColumn("_key", F.xxhash64(F.slice("_text", F.col("_at"), F.col("_lead"))))
-    through = _word_and_pattern(keyed, bits).join(F.broadcast(_mask(entities, bits)), "_word").filter(
-        F.col("_mask").bitwiseAND(F.col("_ones")) == F.col("_ones")
-    )
+    through = _through_mask(keyed, entities, shape[1])
     compared = F.when(F.col("_lead") < LEAD, F.col("_lead")).otherwise(F.lit(longest))
     return through.select(*keys, "_key", F.slice("_text", F.col("_at"), compared).alias("_next")).distinct()
 
@@ -204,6 +208,22 @@ def _set_matches(text_runs: DataFrame, mapping: DataFrame, keys: list[str]) -> D
     )
 
 
+def _runs_of(entries: DataFrame) -> DataFrame:
+    return entries.select("entity", "replacement", "seq", F.explode(F.array_distinct(letter_runs("entity"))).alias("run"))
+
+
+def _wanted_runs(texts: DataFrame, entries: DataFrame, keys: list[str], text: str) -> DataFrame | None:
+    """(keys, run) of the texts, once a text: all runs that the entities hold and maybe a few others, stored; None
+    if the entities hold none."""
+    wanted = cut_lineage(_runs_of(entries).select(F.xxhash64("run").alias("_key")).distinct())
+    count = wanted.count()
+    if not count:
+        return None
+    listed = texts.select(*keys, F.explode(F.array_distinct(letter_runs(text))).alias("run"))
+    met = _through_mask(listed.withColumn("_key", F.xxhash64("run")), wanted, count)
+    return cut_lineage(met.select(*keys, "run"))
+
+
 def shortlist(
     texts: DataFrame, mapping: DataFrame, keys: list[str], text: str = "text", mode: str = "single_pass"
 ) -> DataFrame:
@@ -220,14 +240,20 @@ def shortlist(
         found = found.unionByName(_sign_matches(texts, mapping, keys, text))
     if mode == "single_pass":
         return found
-    own = texts.select(*keys, F.explode(F.array_distinct(letter_runs(text))).alias("run"))
     if not mapping.filter(F.size(letter_runs("replacement")) == 0).isEmpty():
-        found = found.unionByName(_set_matches(own, mapping, keys)).distinct()
+        own = _wanted_runs(texts, mapping, keys, text)
+        found = found if own is None else found.unionByName(_set_matches(own, mapping, keys)).distinct()
+    # No other entity can be reached by what is put in, and of the texts only runs of these matter.
+    touched = _runs_of(mapping)
+    any_put_in = mapping.select(F.explode(letter_runs("replacement")).alias("run")).distinct()
+    reachable = touched.join(shuffled(any_put_in), "run", "left_semi").select("entity", "replacement", "seq").distinct()
+    own = _wanted_runs(texts, reachable, keys, text)
+    if own is None:
+        return found
     found = cut_lineage(found)
     size = found.count()
     while True:
         put_in = found.select(*keys, F.explode(letter_runs("replacement")).alias("run")).distinct()
-        touched = mapping.select("entity", "replacement", "seq", F.explode(F.array_distinct(letter_runs("entity"))).alias("run"))
         able = put_in.join(shuffled(touched), "run").select("entity", "replacement", "seq").distinct()
         reached = _set_matches(own.unionByName(put_in).distinct(), able, keys)
         found = cut_lineage(found.unionByName(reached).distinct())
