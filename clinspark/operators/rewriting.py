@@ -158,9 +158,11 @@ def likely_places(texts: DataFrame, entities: DataFrame, keys: list[str], text:
     shape = entities.agg(F.collect_set("_lead"), F.count("*"), F.max(F.size("_runs"))).first()
     leads, longest = sorted(shape[0]) or [1], shape[2] or 1
     listed = texts.select(*keys, letter_runs(text).alias("_text"))
-    sized = listed.withColumn("_lead", F.explode(F.array(*[F.lit(n) for n in leads])))
-    last = F.size("_text") - F.col("_lead") + 1
-    places = sized.withColumn("_at", F.explode(F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))))
+    # Places whose first run no entity begins with go before all their lengths are looked up.
+    begun = listed.select(*keys, "_text", F.posexplode("_text").alias("_at", "_first")).withColumn("_key", F.xxhash64("_first"))
+    firsts = entities.select(F.xxhash64(F.get("_runs", F.lit(0))).alias("_key"))
+    likely = _through_mask(begun, firsts, shape[1]).select(*keys, "_text", (F.col("_at") + 1).alias("_at"))
+    places = likely.withColumn("_lead", F.explode(F.array(*[F.lit(n) for n in leads]))).filter(F.col("_at") + F.col("_lead") <= F.size("_text") + 1)
     keyed = places.withColumn("_key", F.xxhash64(F.slice("_text", F.col("_at"), F.col("_lead"))))
     through = _through_mask(keyed, entities, shape[1])
     compared = F.when(F.col("_lead") < LEAD, F.col("_lead")).otherwise(F.lit(longest))

@@ -282,8 +282,10 @@ def run_passes(
     if "ner" in passes:
         kept, missed = first_pass(chunks, keys, detector, filter_garbage)
         if missed is not None:
-            kept = cut_lineage(kept)
             failed.append(missed)
+        if missed is not None or "llm" in passes:
+            # A review reads what was found three times: rules and joins run once.
+            kept = cut_lineage(kept)
         if "llm" in passes:
             kept, removed, missed = review_detections(kept, chunks, keys, model_fn, deadline_s)
             failed.append(missed)
