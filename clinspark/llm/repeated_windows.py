@@ -6,8 +6,9 @@ one group when suffixes are ordered to that depth. The order is made by most-sig
 * Suffixes are looked at in classes: every window holds exactly one *anchor*, the 32-byte gram in it
   with the least hash (the first of several), at a place that the window's bytes alone decide. So equal
   windows have equal anchors at equal places, and a whole stretch of neighbouring suffixes that share
-  an anchor occurrence can be treated as one record.
-* Digit 1 is the anchor's gram. Grams that occur once in the corpus end there.
+  an anchor occurrence can be treated as one record. A window also holds the gram behind the anchor or, if
+  the anchor is further back than that leaves room for, the one before it; stretches are cut there.
+* Digit 1 is the anchor's gram with that neighbour. Pairs that occur once in the corpus end there.
 * Digit 2 is everything that is left down to the threshold depth. If all occurrences of a gram lie in
   the same surroundings, the whole stretch is one digit; otherwise each suffix of the stretch has its
   own. Members of a group that are not its first (document, place) are repeats.
@@ -85,6 +86,8 @@ class Batch:
 
     def __init__(self, pieces: list[tuple[int, int, bytes]], window: int, keys: np.ndarray):
         self.window = window
+        # The gram beside an anchor is so far from it that each window holds one of its two sides.
+        self.beside_at = min(GRAM, (window - GRAM + 1) // 2)
         sizes = np.array([len(data) for _, _, data in pieces])
         self.ends = np.cumsum(sizes)
         self.starts = self.ends - sizes
@@ -120,7 +123,23 @@ class Batch:
         first = np.concatenate([[0], turns])
         last = np.concatenate([turns - 1, [count - 1]])
         valid = anchor[first] >= 0
-        return {"first": first[valid], "last": last[valid], "at": anchor[first[valid]]}
+        first, last = first[valid], last[valid]
+        at = anchor[first]
+        # Windows that begin before this hold the gram before the anchor, the others the one behind it.
+        turn = at - (self.window - GRAM - self.beside_at)
+        left, right = first < turn, last >= turn
+        return {
+            "first": np.concatenate([first[left], np.maximum(first, turn)[right]]),
+            "last": np.concatenate([np.minimum(last, turn - 1)[left], last[right]]),
+            "at": np.concatenate([at[left], at[right]]),
+        }
+
+    def digits(self, found: dict[str, np.ndarray]) -> np.ndarray:
+        """A hash of the two grams that all windows of a stretch hold: the anchor and the one beside it."""
+        at = found["at"]
+        before = found["last"] < at - (self.window - GRAM - self.beside_at)
+        low = np.where(before, at - self.beside_at, at)
+        return _mix(self.grams[low], self.grams[low + self.beside_at] ^ before.astype(np.uint64))
 
     def window_hash(self, at: np.ndarray, lane: int) -> np.ndarray:
         """A hash of the window's bytes at each place."""
@@ -331,7 +350,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 grams, around = [], []
                 for batch, _ in part_batches(*parts.value[part], window, keys):
                     anchors = batch.anchors()
-                    grams.append(batch.grams[anchors["at"]])
+                    grams.append(batch.digits(anchors))
                     around.append(batch.surroundings(anchors, 0))
                 none = np.zeros(0, dtype=np.uint64)
                 gram, _, shared = digit_groups(np.concatenate([none, *grams]), np.concatenate([none, *around]))
@@ -376,7 +395,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch, _ in part_batches(*parts.value[part], window, keys):
             anchors = batch.anchors()
             kept.append(anchors)
-            grams.append(batch.grams[anchors["at"]])
+            grams.append(batch.digits(anchors))
             around.append(batch.surroundings(anchors, 0))
         none = np.zeros(0, dtype=np.uint64)
         own, sizes, shared = digit_groups(np.concatenate([none, *grams]), np.concatenate([none, *around]))
